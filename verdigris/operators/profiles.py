@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
 from ..schemas import KNOWN_SENTIMENTS, MINIMUM_WEAKNESS_SUPPORT, PRIOR_STRENGTH
-from .votes import PAIR_KEYS, count_votes, with_distribution
+from .votes import with_distribution
 
 
 def net_sentiment(aspect_votes: DataFrame) -> DataFrame:
@@ -72,13 +72,12 @@ def category_prior(aspect_counts: DataFrame) -> DataFrame:
     )
 
 
-def smoothed_profile(aspect_votes: DataFrame, review_counts: DataFrame) -> DataFrame:
+def smoothed_profile(counts: DataFrame, review_counts: DataFrame) -> DataFrame:
     """Smoothed four-channel profile per product and aspect it mentions.
 
     Aspects a product does not mention have mention rate 0 and so contribute nothing: the sparse
     form is exact.
     """
-    counts = count_votes(aspect_votes, ["product_id", "aspect_id", "aspect"])
     prior = category_prior(counts)
     joined = counts.join(prior, "aspect_id").join(
         review_counts.select("product_id", "review_count"), "product_id"
@@ -107,22 +106,20 @@ def smoothed_profile(aspect_votes: DataFrame, review_counts: DataFrame) -> DataF
     )
 
 
-def pair_rates(pair_votes: DataFrame, review_counts: DataFrame) -> DataFrame:
+def pair_rates(pair_counts: DataFrame, review_counts: DataFrame) -> DataFrame:
     """Mention rate of every aspect-status pair, the NULL status included."""
-    counts = pair_votes.groupBy("product_id", "aspect_id", "status_id").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts.join(review_counts.select("product_id", "review_count"), "product_id").select(
-        "product_id", "aspect_id", "status_id", (F.col("n") / F.col("review_count")).alias("rate")
+    rate = F.col("supporting_review_count") / F.col("review_count")
+    totals = review_counts.select("product_id", "review_count")
+    return pair_counts.join(totals, "product_id").select(
+        "product_id", "aspect_id", "status_id", rate.alias("rate")
     )
 
 
 def pair_profiles(
-    pair_votes: DataFrame, minimum_support: int = MINIMUM_WEAKNESS_SUPPORT
+    pair_counts: DataFrame, minimum_support: int = MINIMUM_WEAKNESS_SUPPORT
 ) -> DataFrame:
     """Distribution and support reliability of every observed pair with a status."""
-    observed = pair_votes.filter(F.col("status_id").isNotNull())
-    counted = with_distribution(count_votes(observed, ["product_id", *PAIR_KEYS]))
+    counted = with_distribution(pair_counts.filter(F.col("status_id").isNotNull()))
     reliability = F.least(
         F.lit(1.0), F.col("supporting_review_count") / F.lit(float(minimum_support))
     )

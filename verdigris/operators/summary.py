@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sentiment import collapse_mask, rounded, vote_mask
 from ..schemas import CANDIDATE, DISPLAY_LIMIT, EXCLUDED, MAPPED_EXACT, SENTIMENTS
 from .joins import null_safe_join
-from .votes import ASPECT_KEYS, PAIR_KEYS, count_votes, with_distribution
+from .votes import ASPECT_KEYS, PAIR_KEYS, with_distribution
 
 
 def product_review_counts(products: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -81,10 +81,9 @@ def summary_order(keys: Sequence[str]) -> list:
     return order
 
 
-def sentiment_matrix(votes: DataFrame, review_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Ranked summary row per product and aspect (or aspect-status) with its distribution."""
-    counted = count_votes(votes, ["product_id", *keys])
-    joined = counted.join(review_counts, "product_id")
+def sentiment_matrix(counts: DataFrame, review_counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranked summary row per product and aspect (or aspect-status) from its vote counts."""
+    joined = counts.join(review_counts, "product_id")
     mention = F.col("supporting_review_count") / F.when(
         F.col("review_count") > 0, F.col("review_count")
     )
@@ -317,14 +316,14 @@ def quality_flags(coverage_rows: DataFrame) -> DataFrame:
 
 def summary_rows(
     units: DataFrame,
-    votes: DataFrame,
+    counts: DataFrame,
     review_counts: DataFrame,
     keys: Sequence[str],
 ) -> DataFrame:
     """The full summary: sentiment matrix joined with mapping statistics at the same grain."""
     grain = ["product_id", *keys]
     parts = ["aspect", "status"] if "status_id" in keys else ["aspect"]
-    result = sentiment_matrix(votes, review_counts, keys)
+    result = sentiment_matrix(counts, review_counts, keys)
     for part in parts:
         stats = mapping_stats(units, grain, f"{part}_distance")
         renamed = stats.select(

@@ -278,3 +278,116 @@ pp AS (SELECT m.*, {distribution()}, least(1.0::DOUBLE, supporting_review_count
   FROM (SELECT product_id, aspect_id, status_id, aspect, status, count(*) AS supporting_review_count, {COUNTS}
         FROM pv WHERE status_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5) m)"""
 ORACLES["pair_profiles"] = base("SELECT * FROM pp", True, PAIR_PROFILES)
+
+# --- similarity and repair --------------------------------------------------------------------
+SIMILARITY = f"""
+, pairs2 AS (SELECT a.product_id AS source_id, b.product_id AS candidate_id, b.product_name AS candidate_name,
+    b.review_count AS catalog_review_count
+  FROM review_counts a JOIN review_counts b ON a.product_id <> b.product_id),
+sums AS (SELECT product_id, sum(mention_rate) AS mention,
+  sum({' + '.join(f'{s}_value * {s}_value' for s in KNOWN)}) AS square FROM profile GROUP BY 1),
+rate_sums AS (SELECT product_id, sum(rate) AS rates FROM rates GROUP BY 1),
+shared AS (SELECT a.product_id AS source_id, b.product_id AS candidate_id,
+    sum(least(a.mention_rate, b.mention_rate)) AS low,
+    sum(least(a.mention_rate, b.mention_rate) * sqrt(a.support_reliability * b.support_reliability)) AS reliable,
+    sum(sqrt(a.mention_rate * b.mention_rate)) AS mention_dot,
+    sum({' + '.join(f'a.{s}_value * b.{s}_value' for s in KNOWN)}) AS channel_dot
+  FROM profile a JOIN profile b ON a.aspect_id = b.aspect_id AND a.product_id <> b.product_id GROUP BY 1, 2),
+shared_rates AS (SELECT a.product_id AS source_id, b.product_id AS candidate_id, sum(least(a.rate, b.rate)) AS rate_low
+  FROM rates a JOIN rates b ON a.aspect_id = b.aspect_id AND a.status_id IS NOT DISTINCT FROM b.status_id
+   AND a.product_id <> b.product_id GROUP BY 1, 2),
+components AS (SELECT p.*, s.low / (x.mention + y.mention - s.low) AS overlap, s.reliable / s.low AS reliability,
+    s.channel_dot / (sqrt(x.square) * sqrt(y.square)) AS cosine,
+    s.mention_dot / (sqrt(x.mention) * sqrt(y.mention)) AS mention_cosine,
+    q.rate_low / (v.rates + w.rates - q.rate_low) AS status_overlap
+  FROM pairs2 p LEFT JOIN shared s USING (source_id, candidate_id) LEFT JOIN shared_rates q USING (source_id, candidate_id)
+  LEFT JOIN sums x ON x.product_id = source_id LEFT JOIN sums y ON y.product_id = candidate_id
+  LEFT JOIN rate_sums v ON v.product_id = source_id LEFT JOIN rate_sums w ON w.product_id = candidate_id),
+similar_pairs AS (SELECT *, coalesce({r('cosine * sqrt(overlap)')}, 0.0::DOUBLE) AS experience_similarity FROM components),
+ranked_similar AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY experience_similarity DESC, candidate_name)::INTEGER AS rank
+  FROM similar_pairs)"""
+FULL = "," + PROFILE + PAIR_PROFILES + SIMILARITY
+ORACLES["similar_products"] = base(
+    f"""SELECT source_id, candidate_id, candidate_name, rank, catalog_review_count, experience_similarity,
+  experience_similarity AS pair_similarity, {r('coalesce(mention_cosine, 0)')} AS aspect_mention_similarity,
+  {r('coalesce(cosine, 0)')} AS aspect_sentiment_similarity, {r('coalesce(overlap, 0)')} AS evidence_overlap,
+  {r('coalesce(reliability, 0)')} AS support_reliability, {r('coalesce(status_overlap, 0)')} AS aspect_status_exact_overlap,
+  concat_ws(',', CASE WHEN coalesce(overlap, 0) < 0.2 THEN 'LOW_EVIDENCE_OVERLAP' END,
+    CASE WHEN coalesce(reliability, 0) < 0.5 THEN 'LOW_SHARED_SUPPORT_RELIABILITY' END) AS quality_codes
+FROM ranked_similar WHERE rank <= 3""",
+    True,
+    FULL,
+)
+ORACLES["shared_aspects_top5"] = base(
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, candidate_id
+    ORDER BY shared_mention_weight DESC, aspect, aspect_id)::INTEGER AS rank
+  FROM (SELECT s.source_id, s.candidate_id, a.aspect_id, a.aspect, {r('a.mention_rate')} AS source_mention_rate,
+    {r('b.mention_rate')} AS candidate_mention_rate, {r('least(a.mention_rate, b.mention_rate)')} AS shared_mention_weight
+    FROM ranked_similar s JOIN profile a ON a.product_id = s.source_id
+    JOIN profile b ON b.product_id = s.candidate_id AND a.aspect_id = b.aspect_id WHERE s.rank <= 3)) WHERE rank <= 5""",
+    True,
+    FULL,
+)
+WEAK = f"""
+, pair_matrix AS ({PAIR_MATRIX}),
+weak AS (SELECT *, 'weakness_' || position AS condition_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY importance DESC, negative_count DESC,
+    supporting_review_count DESC, aspect, status)::INTEGER AS position
+  FROM (SELECT product_id, aspect_id, status_id, aspect, status, negative_count, supporting_review_count,
+    {r('negative_count::DOUBLE / supporting_review_count')} AS negative_rate,
+    {r('negative_count::DOUBLE / supporting_review_count * supporting_review_count / (supporting_review_count + 5.0::DOUBLE)')} AS importance
+    FROM pair_matrix WHERE negative_count > 0 AND status_id IS NOT NULL AND supporting_review_count >= 2)) WHERE position <= 10)"""
+ORACLES["source_weaknesses"] = base("SELECT * FROM weak", True, WEAK)
+ORACLES["excluded_weaknesses"] = base(
+    """SELECT product_id, aspect, status, CASE WHEN status_id IS NULL THEN 'STATUS_CLUSTER_ID_UNAVAILABLE'
+  ELSE 'SOURCE_NEGATIVE_SUPPORT_BELOW_MINIMUM' END AS reason, negative_count, supporting_review_count
+FROM pair_matrix WHERE negative_count > 0 AND (status_id IS NULL OR supporting_review_count < 2)""",
+    True,
+    WEAK,
+)
+
+
+def repair(against: str) -> str:
+    """CTEs ranking candidates for ``conditions`` (request_id, source_id, condition_id, ..., importance)."""
+    return f"""
+, strengths AS (SELECT *, {against} AS against,
+    CASE WHEN dominant_sentiment = 'positive' THEN support_reliability * positive_wilson_lower END AS favour FROM pp),
+keys AS (SELECT DISTINCT aspect_id, status_id FROM conditions),
+options AS (SELECT k.aspect_id, k.status_id, s.product_id AS candidate_id, s.status AS best_status, s.status_id AS best_status_id,
+    s.favour, s.positive_count AS best_positive_count, row_number() OVER (PARTITION BY k.aspect_id, k.status_id, s.product_id
+      ORDER BY s.favour DESC, s.supporting_review_count DESC, s.status, s.status_id) AS n
+  FROM keys k JOIN strengths s ON s.aspect_id = k.aspect_id AND s.status_id <> k.status_id WHERE s.favour IS NOT NULL),
+evaluated AS (SELECT k.aspect_id, k.status_id, p.product_id AS candidate_id, t.against, t.negative_count AS target_negative_count,
+    t.supporting_review_count AS target_support, o.favour, o.best_status, o.best_status_id, o.best_positive_count,
+    {r('coalesce(o.favour, 0) - coalesce(t.against, 0)')} AS utility
+  FROM keys k CROSS JOIN products p
+  LEFT JOIN strengths t ON t.product_id = p.product_id AND t.aspect_id = k.aspect_id AND t.status_id = k.status_id
+  LEFT JOIN options o ON o.candidate_id = p.product_id AND o.aspect_id = k.aspect_id AND o.status_id = k.status_id AND o.n = 1),
+scored AS (SELECT c.request_id, c.source_id, e.candidate_id, sum(c.importance * e.utility) / sum(c.importance) AS u,
+    count(*) FILTER (WHERE e.against IS NOT NULL OR e.favour IS NOT NULL) AS supported, count(*) AS n
+  FROM conditions c JOIN evaluated e USING (aspect_id, status_id) WHERE e.candidate_id <> c.source_id GROUP BY 1, 2, 3),
+repaired AS (SELECT x.request_id, x.source_id, x.candidate_id, s.candidate_name, {r('x.u')} AS utility, s.experience_similarity,
+    {r('0.25::DOUBLE * s.experience_similarity + 0.75::DOUBLE * ((x.u + 1) / 2)')} AS score,
+    {r('x.supported::DOUBLE / x.n')} AS evidence_coverage, x.supported::INTEGER AS supported_count
+  FROM scored x JOIN similar_pairs s USING (source_id, candidate_id) WHERE x.supported > 0),
+top_repairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
+    ORDER BY score DESC, utility DESC, experience_similarity DESC, candidate_name)::INTEGER AS rank FROM repaired) WHERE rank <= 3)"""
+
+
+STATIC_CONDITIONS = """
+, conditions AS (SELECT product_id AS request_id, product_id AS source_id, condition_id, aspect_id, status_id, aspect,
+  status, importance FROM weak)"""
+STATIC = FULL + WEAK + STATIC_CONDITIONS + repair("support_reliability")
+MATCHES = """SELECT t.request_id, t.candidate_id, c.condition_id, t.rank, c.aspect_id, c.status_id, c.aspect, c.status,
+  CASE WHEN e.against IS NOT NULL AND e.favour IS NOT NULL THEN 'EXACT_UNDESIRED_STATUS_AND_POSITIVE_ALTERNATIVE'
+    WHEN e.against IS NOT NULL THEN 'EXACT_UNDESIRED_STATUS_ONLY'
+    WHEN e.favour IS NOT NULL THEN 'POSITIVE_ALTERNATIVE_ONLY' ELSE 'NO_EVIDENCE' END AS relation,
+  e.utility, e.target_support, e.best_status_id AS positive_status_id,
+  concat_ws('; ', CASE WHEN e.against IS NOT NULL
+      THEN chr(39) || c.aspect || ' ' || c.status || chr(39) || ' 부정 근거 ' || e.target_negative_count || '개'
+      ELSE chr(39) || c.aspect || ' ' || c.status || chr(39) || ' 부정 상태 미관측' END,
+    chr(39) || c.aspect || ' ' || e.best_status || chr(39) || ' 긍정 근거 ' || e.best_positive_count || '개') AS reason
+FROM top_repairs t JOIN conditions c USING (request_id)
+JOIN evaluated e ON e.candidate_id = t.candidate_id AND e.aspect_id = c.aspect_id AND e.status_id = c.status_id"""
+ORACLES["weakness_repair_static"] = base("SELECT * FROM top_repairs", True, STATIC)
+ORACLES["condition_matches_static"] = base(MATCHES, True, STATIC)

@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
-from ..operators import profiles, summary, votes
+from ..operators import profiles, recommend, similarity, summary, votes
 from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
 from ..schemas import KNOWN_SENTIMENTS
 from ..sources import driver_tables as src
+from .statistics import CatalogStatistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,10 @@ def _votes(spark: SparkSession, sf: str, keys=ASPECT_KEYS) -> DataFrame:
     return votes.review_votes(src.mapped_units(spark, sf), keys)
 
 
+def _counts(spark: SparkSession, sf: str, keys=ASPECT_KEYS) -> DataFrame:
+    return votes.count_votes(_votes(spark, sf, keys), ["product_id", *keys])
+
+
 def _review_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = summary.product_review_counts(src.products(spark, sf), src.reviews(spark, sf))
     return counted.drop("category")
@@ -34,13 +39,13 @@ def _review_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def aspect_sentiment_matrix(spark, sf):
-    return summary.sentiment_matrix(_votes(spark, sf), _review_counts(spark, sf), ASPECT_KEYS)
+    return summary.sentiment_matrix(_counts(spark, sf), _review_counts(spark, sf), ASPECT_KEYS)
 
 
 @query
 def aspect_status_matrix(spark, sf):
     return summary.sentiment_matrix(
-        _votes(spark, sf, PAIR_KEYS), _review_counts(spark, sf), PAIR_KEYS
+        _counts(spark, sf, PAIR_KEYS), _review_counts(spark, sf), PAIR_KEYS
     )
 
 
@@ -169,7 +174,7 @@ def category_prior(spark, sf):
 @query
 def smoothed_profile(spark, sf):
     values = ["mention_rate", "support_reliability", *[f"{s}_value" for s in KNOWN_SENTIMENTS]]
-    return profiles.smoothed_profile(_votes(spark, sf), _review_counts(spark, sf)).select(
+    return profiles.smoothed_profile(_counts(spark, sf), _review_counts(spark, sf)).select(
         "product_id",
         "aspect_id",
         "aspect",
@@ -180,4 +185,43 @@ def smoothed_profile(spark, sf):
 
 @query
 def pair_profiles(spark, sf):
-    return profiles.pair_profiles(_votes(spark, sf, PAIR_KEYS))
+    return profiles.pair_profiles(_counts(spark, sf, PAIR_KEYS))
+
+
+def _statistics(spark: SparkSession, sf: str) -> CatalogStatistics:
+    return CatalogStatistics.compute(
+        src.mapped_units(spark, sf), src.products(spark, sf), src.reviews(spark, sf)
+    )
+
+
+@query
+def similar_products(spark, sf):
+    components = _statistics(spark, sf).similar_products()
+    return components.withColumn("quality_codes", F.concat_ws(",", "quality_codes"))
+
+
+@query
+def shared_aspects_top5(spark, sf):
+    statistics = _statistics(spark, sf)
+    ranked = similarity.similar_products(statistics.profile_arrays)
+    return similarity.shared_aspects(ranked, statistics.profile)
+
+
+@query
+def source_weaknesses(spark, sf):
+    return recommend.source_weaknesses(aspect_status_matrix(spark, sf))[0]
+
+
+@query
+def excluded_weaknesses(spark, sf):
+    return recommend.source_weaknesses(aspect_status_matrix(spark, sf))[1]
+
+
+@query
+def weakness_repair_static(spark, sf):
+    return _statistics(spark, sf).weakness_repairs()
+
+
+@query
+def condition_matches_static(spark, sf):
+    return _statistics(spark, sf).weakness_repair_matches()
