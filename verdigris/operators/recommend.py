@@ -156,6 +156,15 @@ def _condition_values(key: tuple, data: dict, round_value: bool):
     return (np.round(value, 6) + 0.0 if round_value else value), has_match | has_favour
 
 
+def settled(values: np.ndarray) -> np.ndarray:
+    """Six places, half to even, after removing float noise.
+
+    A mean of six-place values often lies exactly between two of them; summation order must not
+    decide which one it becomes.
+    """
+    return np.round(np.round(values, 9), 6) + 0.0
+
+
 def _request_matrices(conditions: pd.Series):
     """Importance and count of each distinct condition (columns) in each request (rows)."""
     keys: dict[tuple, int] = {}
@@ -203,11 +212,11 @@ def rank_candidates(
             )
             score = SIMILARITY_WEIGHT * similarity + UTILITY_WEIGHT * ((utility + 1.0) / 2.0)
             allowed = allowed & (support > 0)
-            order = [-np.round(score, 6), -np.round(utility, 6), -similarity, names]
+            order = [-settled(score), -settled(utility), -similarity, names]
         else:
             similarity = np.zeros_like(utility)
             score = utility
-            order = [-np.round(score, 6), names]
+            order = [-settled(score), names]
         rows, columns = best_per_row(order, allowed, limit)
         pick = (rows, columns)
         return pd.DataFrame(
@@ -216,9 +225,9 @@ def rank_candidates(
                 "source_id": left["source_id"].to_numpy()[rows],
                 "candidate_id": right["product_id"].to_numpy()[columns],
                 "candidate_name": right["product_name"].to_numpy()[columns],
-                "utility": np.round(utility[pick], 6) + 0.0,
+                "utility": settled(utility[pick]),
                 "experience_similarity": similarity[pick],
-                "score": np.round(score[pick], 6) + 0.0,
+                "score": settled(score[pick]),
                 "evidence_coverage": np.round(coverage[pick], 6),
                 "supported_count": support[pick].astype(int),
             }

@@ -11,6 +11,11 @@ def r(expression: str, places: int = 6) -> str:
     return f"(round_even(({expression})::DOUBLE, {places})::DOUBLE + 0.0::DOUBLE)"
 
 
+def settled(expression: str) -> str:
+    """Six places after removing float noise, for means of six-place values."""
+    return r(f"round(({expression})::DOUBLE, 9)")
+
+
 COLLAPSE = (
     "CASE WHEN count(DISTINCT sentiment) FILTER (WHERE sentiment <> 'unknown') = 0 THEN 'unknown' "
     "WHEN count(DISTINCT sentiment) FILTER (WHERE sentiment <> 'unknown') = 1 "
@@ -110,8 +115,15 @@ ASPECT_MATRIX = matrix("av", "aspect_id, aspect", ASPECT_ORDER)
 PAIR_MATRIX = matrix("pv", "aspect_id, status_id, aspect, status", PAIR_ORDER)
 
 
-def base(body: str, votes: bool = True, extra: str = "") -> str:
-    return f"WITH {CATALOG}{VOTES if votes else ''}{extra}\n{body}"
+CUSTOMER_CATALOG = CATALOG.replace(
+    "SELECT n_nationkey AS product_id, n_name AS product_name, n_regionkey AS category FROM nation",
+    "SELECT c_custkey AS product_id, c_name AS product_name, c_mktsegment AS category FROM customer",
+).replace("c.c_nationkey AS product_id", "c.c_custkey AS product_id")
+
+
+def base(body: str, votes: bool = True, extra: str = "", by_customer: bool = False) -> str:
+    catalog = CUSTOMER_CATALOG if by_customer else CATALOG
+    return f"WITH {catalog}{VOTES if votes else ''}{extra}\n{body}"
 
 
 def stats(keys: str, part: str) -> str:
@@ -366,8 +378,8 @@ evaluated AS (SELECT k.aspect_id, k.status_id, p.product_id AS candidate_id, t.a
 scored AS (SELECT c.request_id, c.source_id, e.candidate_id, sum(c.importance * e.utility) / sum(c.importance) AS u,
     count(*) FILTER (WHERE e.against IS NOT NULL OR e.favour IS NOT NULL) AS supported, count(*) AS n
   FROM conditions c JOIN evaluated e USING (aspect_id, status_id) WHERE e.candidate_id <> c.source_id GROUP BY 1, 2, 3),
-repaired AS (SELECT x.request_id, x.source_id, x.candidate_id, s.candidate_name, {r('x.u')} AS utility, s.experience_similarity,
-    {r('0.25::DOUBLE * s.experience_similarity + 0.75::DOUBLE * ((x.u + 1) / 2)')} AS score,
+repaired AS (SELECT x.request_id, x.source_id, x.candidate_id, s.candidate_name, {settled('x.u')} AS utility, s.experience_similarity,
+    {settled('0.25::DOUBLE * s.experience_similarity + 0.75::DOUBLE * ((x.u + 1) / 2)')} AS score,
     {r('x.supported::DOUBLE / x.n')} AS evidence_coverage, x.supported::INTEGER AS supported_count
   FROM scored x JOIN similar_pairs s USING (source_id, candidate_id) WHERE x.supported > 0),
 top_repairs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id
@@ -391,3 +403,251 @@ FROM top_repairs t JOIN conditions c USING (request_id)
 JOIN evaluated e ON e.candidate_id = t.candidate_id AND e.aspect_id = c.aspect_id AND e.status_id = c.status_id"""
 ORACLES["weakness_repair_static"] = base("SELECT * FROM top_repairs", True, STATIC)
 ORACLES["condition_matches_static"] = base(MATCHES, True, STATIC)
+
+# --- submitted reviews ------------------------------------------------------------------------
+GROUPS = f"""
+, sgroups AS (SELECT review_id AS submission_id, product_id, aspect_id, status_id, aspect, status,
+    {COLLAPSE} AS submitted_sentiment, 1::BIGINT AS submitted_review_vote_count,
+    string_agg(opinion_unit_id, ',' ORDER BY unit_position) AS submitted_opinion_unit_ids,
+    row_number() OVER (PARTITION BY review_id ORDER BY min(unit_position))::INTEGER AS rank
+  FROM fact GROUP BY review_id, product_id, aspect_id, status_id, aspect, status)"""
+OTHER_COUNTS = ", ".join(
+    f"count(*) FILTER (WHERE v.vote = '{s}' AND v.review_id <> g.submission_id) AS other_{s}_count"
+    for s in SENTIMENTS
+)
+RELATIONS = (
+    GROUPS
+    + f"""
+, compared AS (
+  SELECT g.*, 'aspect_status' AS comparison_grain, count(v.review_id) AS same_status_review_count,
+    count(*) FILTER (WHERE v.review_id <> g.submission_id) AS other_supporting_review_count, {OTHER_COUNTS}
+  FROM sgroups g LEFT JOIN pv v ON v.product_id = g.product_id AND v.aspect_id = g.aspect_id AND v.status_id = g.status_id
+  WHERE g.status_id IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT g.*, 'aspect' AS comparison_grain, count(v.review_id) AS same_status_review_count,
+    count(*) FILTER (WHERE v.review_id <> g.submission_id) AS other_supporting_review_count, {OTHER_COUNTS}
+  FROM sgroups g LEFT JOIN av v ON v.product_id = g.product_id AND v.aspect_id = g.aspect_id
+  WHERE g.status_id IS NULL GROUP BY ALL),
+relations AS (SELECT *, CASE WHEN other_supporting_review_count = 0 THEN 'NOT_MENTIONED_BY_OTHER_REVIEWS'
+    WHEN submitted_sentiment NOT IN ('positive', 'negative') OR other_dominant_sentiment NOT IN ('positive', 'negative')
+      THEN 'INSUFFICIENT_OR_NON_DIRECTIONAL_OTHER_REVIEW_EVIDENCE'
+    WHEN submitted_sentiment = other_dominant_sentiment THEN 'ALIGNS_WITH_OTHER_REVIEW_MAJORITY'
+    ELSE 'CONTRADICTS_OTHER_REVIEW_MAJORITY' END AS relation_code
+  FROM (SELECT c.*, {distribution('other_supporting_review_count', 'other_', 'other_')}, a.aspect_review_count,
+          r.review_count AS catalog_review_count
+        FROM compared c JOIN (SELECT product_id, aspect_id, count(*) AS aspect_review_count FROM av GROUP BY 1, 2) a
+          USING (product_id, aspect_id) JOIN review_counts r USING (product_id)))"""
+)
+ORACLES["submitted_relationships"] = base(
+    """SELECT *, CASE relation_code WHEN 'ALIGNS_WITH_OTHER_REVIEW_MAJORITY' THEN '일치합니다'
+  WHEN 'CONTRADICTS_OTHER_REVIEW_MAJORITY' THEN '일치하지 않습니다' ELSE '판단하기 어렵습니다' END AS relation_label
+FROM relations""",
+    True,
+    RELATIONS,
+    by_customer=True,
+)
+ORACLES["unmentioned_pairs"] = base(
+    """SELECT submission_id, product_id, aspect_id, status_id, aspect, status, rank, submitted_opinion_unit_ids
+FROM relations WHERE status_id IS NOT NULL AND other_supporting_review_count = 0""",
+    True,
+    RELATIONS,
+    by_customer=True,
+)
+ORACLES["other_top_statuses"] = base(
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id, product_id, aspect_id, status_id
+    ORDER BY supporting_review_count DESC, other_status, other_status_id)::INTEGER AS rank
+  FROM (SELECT u.submission_id, u.product_id, u.aspect_id, u.status_id, v.status_id AS other_status_id,
+          v.status AS other_status, count(*) AS supporting_review_count, {COUNTS}
+        FROM relations u JOIN pv v ON v.product_id = u.product_id AND v.aspect_id = u.aspect_id
+         AND v.review_id <> u.submission_id AND v.status_id IS NOT NULL
+        WHERE u.status_id IS NOT NULL AND u.other_supporting_review_count = 0 GROUP BY 1, 2, 3, 4, 5, 6)) WHERE rank <= 3""",
+    True,
+    RELATIONS,
+    by_customer=True,
+)
+ORACLES["comparison_summary"] = base(
+    """SELECT review_id AS submission_id, count(*) AS submitted_opinion_unit_count,
+  count(*) FILTER (WHERE mapping_state = 'mapped_exact') AS exact_mapped_opinion_unit_count,
+  count(DISTINCT aspect_id || '|' || status_id) FILTER (WHERE mapping_state = 'mapped_exact') AS exact_mapped_aspect_status_count,
+  count(*) FILTER (WHERE mapping_state <> 'mapped_exact') AS unresolved_opinion_unit_count,
+  count(*) FILTER (WHERE mapping_state = 'candidate') AS candidate_opinion_unit_count
+FROM catalog GROUP BY 1""",
+    False,
+)
+ORACLES["unresolved_units"] = base(
+    """SELECT review_id AS submission_id, opinion_unit_id, raw_aspect, raw_status, mapping_state,
+  CASE mapping_state WHEN 'candidate' THEN 'CANDIDATE_HAS_NO_CANONICAL_ASPECT_STATUS' ELSE 'EXCLUDED_FROM_TAXONOMY' END AS reason
+FROM catalog WHERE mapping_state <> 'mapped_exact'""",
+    False,
+)
+CONDITIONS = (
+    GROUPS
+    + """
+, sconditions AS (SELECT *, 'condition_' || position AS condition_id FROM (
+  SELECT submission_id, product_id, aspect_id, status_id, aspect, status,
+    row_number() OVER (PARTITION BY submission_id ORDER BY rank)::INTEGER AS position,
+    submitted_review_vote_count::DOUBLE AS importance, submitted_opinion_unit_ids
+  FROM sgroups WHERE submitted_sentiment = 'negative' AND status_id IS NOT NULL)),
+sexcluded AS (SELECT submission_id, split_part(submitted_opinion_unit_ids, ',', 1) AS opinion_unit_id, aspect, status,
+    'mapped_exact' AS mapping_state, 'NEGATIVE_INPUT_HAS_NO_STATUS_CLUSTER_ID' AS reason
+  FROM sgroups WHERE submitted_sentiment = 'negative' AND status_id IS NULL
+  UNION ALL SELECT review_id, opinion_unit_id, raw_aspect, raw_status, mapping_state,
+    'NEGATIVE_INPUT_HAS_NO_CANONICAL_ASPECT_STATUS' FROM catalog WHERE sentiment = 'negative' AND mapping_state <> 'mapped_exact')"""
+)
+ORACLES["negative_conditions"] = base("SELECT * FROM sconditions", True, CONDITIONS, by_customer=True)
+ORACLES["excluded_negative_conditions"] = base("SELECT * FROM sexcluded", True, CONDITIONS)
+ORACLES["two_level_collapse"] = base(
+    f"""SELECT product_id AS submission_id, aspect_id, status_id, aspect, status, count(*) AS submitted_review_vote_count,
+  {COLLAPSE.replace('sentiment', 'vote')} AS submitted_sentiment FROM pv GROUP BY 1, 2, 3, 4, 5""",
+    True,
+    by_customer=True,
+)
+SUBMITTED = (
+    FULL
+    + CONDITIONS
+    + """
+, conditions AS (SELECT submission_id AS request_id, product_id AS source_id, condition_id, aspect_id, status_id, aspect,
+  status, importance FROM sconditions)"""
+    + repair("support_reliability * coalesce(negative_wilson_upper, 0)")
+)
+ORACLES["weakness_repair_submitted"] = base("SELECT * FROM top_repairs", True, SUBMITTED)
+ORACLES["recommendation_status"] = base(
+    """SELECT v.review_id AS submission_id, coalesce(a.n, 0) AS alternative_count, coalesce(c.n, 0) AS condition_count,
+  coalesce(e.n, 0) AS excluded_condition_count,
+  CASE WHEN a.n > 0 THEN 'COMPLETED' WHEN c.n > 0 THEN 'NO_CANDIDATE_WITH_REPAIR_EVIDENCE'
+    WHEN e.n > 0 THEN 'NEGATIVE_INPUT_UNRESOLVED' ELSE 'NO_NEGATIVE_SUBMITTED_ASPECT_STATUS' END AS status
+FROM reviews v LEFT JOIN (SELECT request_id, count(*) AS n FROM top_repairs GROUP BY 1) a ON a.request_id = v.review_id
+LEFT JOIN (SELECT submission_id, count(*) AS n FROM sconditions GROUP BY 1) c ON c.submission_id = v.review_id
+LEFT JOIN (SELECT submission_id, count(*) AS n FROM sexcluded GROUP BY 1) e ON e.submission_id = v.review_id""",
+    True,
+    SUBMITTED,
+)
+
+# --- requests and decisions -------------------------------------------------------------------
+RESOLVE = """
+, pairs AS (SELECT DISTINCT aspect_id, aspect, status_id, status FROM units WHERE mapping_state = 'mapped_exact'),
+by_aspect AS (SELECT aspect, count(DISTINCT aspect_id) AS n, min(aspect_id) AS id FROM pairs GROUP BY 1),
+by_status AS (SELECT aspect_id, status, count(DISTINCT status_id) AS n, min(status_id) AS id FROM pairs
+  WHERE status_id IS NOT NULL GROUP BY 1, 2),
+step1 AS (SELECT q.*, coalesce(q.aspect_cluster_id, CASE WHEN a.n = 1 THEN a.id END) AS resolved_aspect_id,
+    CASE WHEN q.aspect_cluster_id IS NULL AND a.n IS NULL THEN 'ASPECT_LABEL_NOT_FOUND'
+      WHEN q.aspect_cluster_id IS NULL AND a.n > 1 THEN 'ASPECT_LABEL_AMBIGUOUS'
+      WHEN q.aspect_cluster_id IS NOT NULL AND i.aspect IS NULL THEN 'ASPECT_CLUSTER_ID_NOT_FOUND'
+      WHEN i.aspect <> q.aspect THEN 'ASPECT_LABEL_CLUSTER_MISMATCH' END AS aspect_reason
+  FROM requested q LEFT JOIN by_aspect a ON a.aspect = q.aspect
+  LEFT JOIN (SELECT DISTINCT aspect_id, aspect FROM pairs) i ON i.aspect_id = q.aspect_cluster_id),
+step2 AS (SELECT q.*, coalesce(q.status_cluster_id, CASE WHEN s.n = 1 THEN s.id END) AS resolved_status_id,
+    coalesce(q.status, i.status) AS full_status,
+    CASE WHEN q.resolved_aspect_id IS NOT NULL AND q.status IS NOT NULL AND q.status_cluster_id IS NULL AND s.n IS NULL THEN 'STATUS_LABEL_NOT_FOUND'
+      WHEN q.resolved_aspect_id IS NOT NULL AND q.status IS NOT NULL AND q.status_cluster_id IS NULL AND s.n > 1 THEN 'STATUS_LABEL_AMBIGUOUS'
+      WHEN q.status_cluster_id IS NOT NULL AND i.status IS NULL THEN 'STATUS_CLUSTER_ID_NOT_FOUND'
+      WHEN q.status_cluster_id IS NOT NULL AND i.aspect_id <> q.resolved_aspect_id THEN 'STATUS_CLUSTER_ASPECT_MISMATCH' END AS status_reason,
+    CASE WHEN q.status_cluster_id IS NOT NULL AND i.status <> q.status THEN 'STATUS_LABEL_CLUSTER_MISMATCH' END AS label_reason
+  FROM step1 q LEFT JOIN by_status s ON s.aspect_id = q.resolved_aspect_id AND s.status = q.status
+  LEFT JOIN (SELECT DISTINCT aspect_id, status_id, status FROM pairs WHERE status_id IS NOT NULL) i ON i.status_id = q.status_cluster_id),
+resolved AS (SELECT * EXCLUDE (status, full_status, aspect_reason, status_reason, label_reason), full_status AS status,
+    CASE WHEN sentiment IN ('positive', 'negative') AND coalesce(aspect_reason, status_reason, label_reason) IS NULL
+        AND (resolved_aspect_id IS NULL OR resolved_status_id IS NULL) THEN 'ACTIONABLE_REQUIREMENT_HAS_NO_RESOLVED_PAIR'
+      ELSE concat_ws(',', aspect_reason, status_reason, label_reason) END AS reasons FROM step2)"""
+ORACLES["label_resolution"] = base(
+    "SELECT * FROM resolved",
+    False,
+    """
+, requested AS (SELECT review_id AS request_id, product_id AS source_id, 'r' || unit_position AS requirement_id,
+    CASE WHEN mapping_state = 'mapped_exact' THEN aspect ELSE raw_aspect END AS aspect,
+    CASE WHEN sentiment = 'mixed' THEN raw_status ELSE status END AS status, sentiment,
+    CASE WHEN source_opinion_unit_idx IS NOT NULL THEN aspect_id END AS aspect_cluster_id,
+    CASE WHEN unit_position = 1 THEN status_id WHEN unit_position = 2 THEN aspect || ':MEDIUM' END AS status_cluster_id,
+    1.0::DOUBLE AS importance FROM catalog)"""
+    + RESOLVE,
+)
+REVIEW_REQUESTS = (
+    """
+, requested AS (SELECT review_id AS request_id, product_id AS source_id,
+    'r' || row_number() OVER (PARTITION BY review_id ORDER BY unit_position) AS requirement_id, aspect, status, sentiment,
+    aspect_id AS aspect_cluster_id, status_id AS status_cluster_id, 1.0::DOUBLE AS importance, excerpt
+  FROM fact)"""
+    + RESOLVE
+)
+CLASHES = """
+, clashes AS (SELECT request_id, resolved_aspect_id, resolved_status_id,
+    string_agg(DISTINCT sentiment, ',' ORDER BY sentiment) AS sentiments FROM resolved
+  WHERE resolved_aspect_id IS NOT NULL AND resolved_status_id IS NOT NULL GROUP BY 1, 2, 3
+  HAVING count(*) FILTER (WHERE sentiment = 'positive') > 0 AND count(*) FILTER (WHERE sentiment = 'negative') > 0)"""
+ORACLES["requirement_conflicts"] = base("SELECT * FROM clashes", True, REVIEW_REQUESTS + CLASHES)
+NEAR = """
+, vectors AS (SELECT s.aspect_id, s.status_id, s.status, e.embedding::DOUBLE[] AS embedding FROM (
+    SELECT *, row_number() OVER (ORDER BY status_id) - 1 AS vec_id FROM (SELECT DISTINCT aspect_id, status_id, status
+      FROM units WHERE mapping_state = 'mapped_exact' AND status_id IS NOT NULL)) s JOIN embeddings e USING (vec_id)),
+near AS (SELECT a.aspect_id, a.status_id, b.status_id AS near_status_id, b.status AS near_status,
+    1 - list_dot_product(a.embedding, b.embedding) / sqrt(list_dot_product(a.embedding, a.embedding) * list_dot_product(b.embedding, b.embedding)) AS d
+  FROM vectors a JOIN vectors b ON a.aspect_id = b.aspect_id AND a.status_id <> b.status_id)"""
+ORACLES["near_status_pairs"] = base(
+    f"SELECT aspect_id, status_id, near_status_id, {r('d', 8)} AS distance FROM near WHERE d <= 0.9",
+    False,
+    NEAR,
+)
+DECISION = (
+    REVIEW_REQUESTS
+    + CLASHES
+    + NEAR
+    + f""",
+dp AS (SELECT m.*, {distribution()}, {r('least(1.0::DOUBLE, supporting_review_count / 3.0::DOUBLE)')} AS support_reliability
+  FROM (SELECT product_id, aspect_id, status_id, aspect, status, count(*) AS supporting_review_count, {COUNTS}
+        FROM pv WHERE status_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5) m),
+wanted AS (SELECT request_id, source_id, resolved_aspect_id AS aspect_id, resolved_status_id AS status_id, sentiment, importance
+  FROM resolved WHERE reasons = '' AND sentiment IN ('positive', 'negative')),
+wanted_keys AS (SELECT DISTINCT aspect_id, status_id, sentiment FROM wanted),
+close AS (SELECT DISTINCT aspect_id, status_id, status_id AS near_status_id, 0.0::DOUBLE AS d FROM wanted_keys
+  UNION ALL SELECT aspect_id, status_id, near_status_id, {r('d', 8)} FROM near WHERE d <= 0.9),
+matched AS (SELECT *, row_number() OVER (PARTITION BY aspect_id, status_id, sentiment, candidate_id
+    ORDER BY strength DESC, d, near_status_id) AS n FROM (
+  SELECT k.*, p.product_id AS candidate_id, c.near_status_id, c.d, (1 - c.d / 0.9) * p.support_reliability AS strength,
+    p.positive_wilson_lower AS lower_bound
+  FROM wanted_keys k JOIN close c USING (aspect_id, status_id) JOIN dp p ON p.aspect_id = k.aspect_id AND p.status_id = c.near_status_id)),
+favoured AS (SELECT k.aspect_id, k.status_id, k.sentiment, p.product_id AS candidate_id,
+    max(p.support_reliability * p.positive_wilson_lower) AS favour
+  FROM wanted_keys k JOIN dp p ON p.aspect_id = k.aspect_id AND p.dominant_sentiment = 'positive'
+  WHERE k.sentiment = 'negative' AND NOT EXISTS (SELECT 1 FROM close c WHERE c.aspect_id = k.aspect_id
+    AND c.status_id = k.status_id AND c.near_status_id = p.status_id) GROUP BY 1, 2, 3, 4),
+contributions AS (SELECT k.*, p.product_id AS candidate_id, p.product_name AS candidate_name,
+    CASE k.sentiment WHEN 'positive' THEN coalesce(m.strength * m.lower_bound, 0)
+      ELSE coalesce(f.favour, 0) - coalesce(m.strength, 0) END AS value, m.n IS NOT NULL OR f.favour IS NOT NULL AS supported
+  FROM wanted_keys k CROSS JOIN products p
+  LEFT JOIN matched m ON m.n = 1 AND m.aspect_id = k.aspect_id AND m.status_id = k.status_id AND m.sentiment = k.sentiment AND m.candidate_id = p.product_id
+  LEFT JOIN favoured f ON f.aspect_id = k.aspect_id AND f.status_id = k.status_id AND f.sentiment = k.sentiment AND f.candidate_id = p.product_id),
+dscores AS (SELECT w.request_id, w.source_id, c.candidate_id, c.candidate_name,
+    {settled('sum(w.importance * c.value) / sum(w.importance)')} AS score,
+    {r('count(*) FILTER (WHERE c.supported)::DOUBLE / count(*)')} AS evidence_coverage,
+    (count(*) FILTER (WHERE c.supported))::INTEGER AS supported_count
+  FROM wanted w JOIN contributions c USING (aspect_id, status_id, sentiment) WHERE c.candidate_id <> w.source_id GROUP BY 1, 2, 3, 4),
+dranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_name)::INTEGER AS rank
+  FROM dscores) WHERE rank <= 2)"""
+)
+ORACLES["requirement_scores"] = base("SELECT * FROM dranked", True, DECISION)
+ORACLES["decision_policy"] = base(
+    f"""SELECT request_id, source_id, actionable_count, unresolved_count, conflict_count, top_product_name, top_score, top_coverage,
+  runner_up_product_name, runner_up_score, {r('top_score - runner_up_score')} AS runner_up_margin,
+  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count > 0 THEN 'ASK_CLARIFICATION'
+    WHEN top_score IS NULL OR top_score < 0.15 OR top_coverage < 0.5 THEN 'ABSTAIN'
+    WHEN top_score - runner_up_score <= 0.05 THEN 'COMPARE' ELSE 'RECOMMEND' END AS action,
+  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count > 0 THEN concat_ws(',',
+      CASE WHEN actionable_count = 0 THEN 'NO_RESOLVED_ACTIONABLE_REQUIREMENT' END,
+      CASE WHEN unresolved_count > 0 THEN 'UNRESOLVED_ACTIONABLE_REQUIREMENT' END,
+      CASE WHEN conflict_count > 0 THEN 'CONFLICTING_REQUIREMENTS' END)
+    WHEN top_score IS NULL THEN 'NO_CANDIDATE'
+    WHEN top_score < 0.15 OR top_coverage < 0.5 THEN concat_ws(',', CASE WHEN top_score < 0.15 THEN 'TOP_SCORE_BELOW_THRESHOLD' END,
+      CASE WHEN top_coverage < 0.5 THEN 'REQUIREMENT_COVERAGE_BELOW_THRESHOLD' END)
+    ELSE 'TOP_SCORE_ABOVE_THRESHOLD,REQUIREMENT_COVERAGE_SUFFICIENT,' || CASE
+      WHEN top_score - runner_up_score <= 0.05 THEN 'TOP_CANDIDATES_WITHIN_COMPARE_MARGIN'
+      WHEN runner_up_score IS NULL THEN 'NO_RUNNER_UP_AVAILABLE' ELSE 'RUNNER_UP_MARGIN_EXCEEDS_COMPARE_THRESHOLD' END END AS reason_codes
+FROM (SELECT request_id, source_id, count(*) FILTER (WHERE reasons = '' AND sentiment IN ('positive', 'negative')) AS actionable_count,
+    count(*) FILTER (WHERE reasons <> '' AND sentiment IN ('positive', 'negative')) AS unresolved_count FROM resolved GROUP BY 1, 2)
+LEFT JOIN (SELECT request_id, candidate_name AS top_product_name, score AS top_score, evidence_coverage AS top_coverage
+  FROM dranked WHERE rank = 1) USING (request_id)
+LEFT JOIN (SELECT request_id, candidate_name AS runner_up_product_name, score AS runner_up_score FROM dranked WHERE rank = 2) USING (request_id)
+LEFT JOIN (SELECT r.request_id, count(c.request_id) AS conflict_count FROM (SELECT DISTINCT request_id FROM resolved) r
+  LEFT JOIN clashes c USING (request_id) GROUP BY 1) USING (request_id)""",
+    True,
+    DECISION,
+)

@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
-from ..operators import profiles, recommend, similarity, summary, votes
+from ..operators import decision, mapping, profiles, recommend, similarity, submission, summary, votes
 from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
-from ..schemas import KNOWN_SENTIMENTS
+from ..schemas import KNOWN_SENTIMENTS, MAPPED_EXACT
 from ..sources import driver_tables as src
 from .statistics import CatalogStatistics
 
@@ -225,3 +225,185 @@ def weakness_repair_static(spark, sf):
 @query
 def condition_matches_static(spark, sf):
     return _statistics(spark, sf).weakness_repair_matches()
+
+
+def _submitted(spark: SparkSession, sf: str, by: str = src.CUSTOMER) -> DataFrame:
+    """Every catalog review as a submission of its own."""
+    return src.catalog_units(spark, sf, by).withColumn("submission_id", F.col("review_id"))
+
+
+def _flat_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn(
+        "submitted_opinion_unit_ids", F.concat_ws(",", "submitted_opinion_unit_ids")
+    )
+
+
+def _relations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(relationships, pair counts, pair votes, submission sources) with customers as products."""
+    pair_votes = votes.review_votes(src.mapped_units(spark, sf, src.CUSTOMER), PAIR_KEYS)
+    aspect_votes = votes.coarser_votes(pair_votes)
+    pair_counts = votes.count_votes(pair_votes, ["product_id", *PAIR_KEYS])
+    aspect_counts = votes.count_votes(aspect_votes, ["product_id", *ASPECT_KEYS])
+    reviews = src.reviews(spark, sf, src.CUSTOMER)
+    sources = reviews.select("review_id", F.col("review_id").alias("submission_id"))
+    relations = submission.relationships(
+        submission.submitted_groups(_submitted(spark, sf)),
+        aspect_votes,
+        pair_votes,
+        aspect_counts,
+        pair_counts,
+        sources,
+        summary.product_review_counts(src.products(spark, sf, src.CUSTOMER), reviews),
+    )
+    return relations, pair_counts, pair_votes, sources
+
+
+@query
+def submitted_relationships(spark, sf):
+    return _flat_ids(_relations(spark, sf)[0])
+
+
+@query
+def unmentioned_pairs(spark, sf):
+    return _flat_ids(submission.unmentioned_pairs(_relations(spark, sf)[0]))
+
+
+@query
+def other_top_statuses(spark, sf):
+    relations, pair_counts, pair_votes, sources = _relations(spark, sf)
+    unmentioned = submission.unmentioned_pairs(relations)
+    return submission.other_top_statuses(unmentioned, pair_counts, pair_votes, sources)
+
+
+@query
+def comparison_summary(spark, sf):
+    return submission.comparison_summary(_submitted(spark, sf))
+
+
+@query
+def unresolved_units(spark, sf):
+    return submission.unresolved_units(_submitted(spark, sf)).select(
+        "submission_id", "opinion_unit_id", "raw_aspect", "raw_status", "mapping_state", "reason"
+    )
+
+
+@query
+def negative_conditions(spark, sf):
+    return _flat_ids(
+        submission.negative_conditions(submission.submitted_groups(_submitted(spark, sf)))
+    )
+
+
+@query
+def excluded_negative_conditions(spark, sf):
+    submitted = _submitted(spark, sf)
+    return submission.excluded_conditions(submission.submitted_groups(submitted), submitted)
+
+
+@query
+def two_level_collapse(spark, sf):
+    """All reviews of a customer as one submission."""
+    units = src.mapped_units(spark, sf, src.CUSTOMER).withColumnRenamed(
+        "product_id", "submission_id"
+    )
+    return votes.submission_votes(units, "submission_id", PAIR_KEYS)
+
+
+def _submitted_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ranked candidates, conditions, excluded conditions) of every review as a submission.
+
+    Submissions with the same product and conditions share one ranking.
+    """
+    statistics = _statistics(spark, sf)
+    submitted = _submitted(spark, sf, src.NATION)
+    groups = submission.submitted_groups(submitted)
+    conditions = submission.negative_conditions(groups)
+    wanted = (
+        conditions.withColumn("sentiment", F.lit("negative"))
+        .groupBy("submission_id", "product_id")
+        .agg(F.sort_array(F.collect_list(recommend.condition())).alias("conditions"))
+        .withColumn("request_key", F.xxhash64("product_id", F.to_json("conditions")))
+    )
+    distinct = wanted.groupBy("request_key", F.col("product_id").alias("source_id")).agg(
+        F.first("conditions").alias("conditions")
+    )
+    requests = distinct.join(
+        statistics.profile_arrays.select(F.col("product_id").alias("source_id"), "aspects"),
+        "source_id",
+        "left",
+    ).withColumnRenamed("request_key", "request_id")
+    ranked = statistics.rank(requests, recommend.SUBMITTED).withColumnRenamed(
+        "request_id", "request_key"
+    )
+    per_submission = (
+        wanted.select(F.col("submission_id").alias("request_id"), "request_key")
+        .join(ranked, "request_key")
+        .drop("request_key")
+    )
+    return per_submission, conditions, submission.excluded_conditions(groups, submitted)
+
+
+@query
+def weakness_repair_submitted(spark, sf):
+    return _submitted_repairs(spark, sf)[0]
+
+
+@query
+def recommendation_status(spark, sf):
+    ranked, conditions, excluded = _submitted_repairs(spark, sf)
+    submissions = src.reviews(spark, sf).select(F.col("review_id").alias("submission_id"))
+    return submission.recommendation_status(submissions, ranked, conditions, excluded)
+
+
+def _canonical_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return src.units(spark, sf).filter(F.col("mapping_state") == MAPPED_EXACT)
+
+
+@query
+def label_resolution(spark, sf):
+    resolved = decision.resolve_labels(src.requests(spark, sf), _canonical_pairs(spark, sf))
+    return resolved.withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+def _review_requirements(spark: SparkSession, sf: str) -> DataFrame:
+    requirements = decision.requirements_from_reviews(src.catalog_units(spark, sf))
+    return decision.resolve_labels(requirements, _canonical_pairs(spark, sf))
+
+
+@query
+def requirement_conflicts(spark, sf):
+    clashes = decision.conflicts(_review_requirements(spark, sf))
+    return clashes.withColumn("sentiments", F.concat_ws(",", "sentiments"))
+
+
+NEAR_SETTINGS = decision.DecisionSettings(near_distance=0.9)
+
+
+def _scored_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    requirements = _review_requirements(spark, sf)
+    near = near_status_pairs(spark, sf)
+    requests = decision.decision_requests(requirements, near, NEAR_SETTINGS)
+    statistics = _statistics(spark, sf)
+    profile = profiles.pair_profiles(statistics.pair_counts, NEAR_SETTINGS.minimum_support)
+    candidates = recommend.candidate_arrays(
+        recommend.strengths(profile, recommend.DECISION), statistics.profile_arrays
+    )
+    ranked = recommend.rank_candidates(requests, candidates, recommend.DECISION, 2)
+    return requirements, ranked
+
+
+@query
+def near_status_pairs(spark, sf):
+    return mapping.near_statuses(src.status_vectors(spark, sf), NEAR_SETTINGS.near_distance)
+
+
+@query
+def requirement_scores(spark, sf):
+    return _scored_requests(spark, sf)[1].drop("utility", "experience_similarity")
+
+
+@query
+def decision_policy(spark, sf):
+    requirements, ranked = _scored_requests(spark, sf)
+    decided = decision.decide(requirements, ranked, NEAR_SETTINGS)
+    return decided.withColumn("reason_codes", F.concat_ws(",", "reason_codes"))

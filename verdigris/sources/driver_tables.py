@@ -10,11 +10,20 @@ from ..functions.sentiment import first_match
 from ..schemas import CANDIDATE, EXCLUDED, MAPPED_EXACT
 
 
+NATION, CUSTOMER = "nation", "customer"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products(spark: SparkSession, sf_dir: str, by: str = NATION) -> DataFrame:
+    if by == CUSTOMER:
+        return table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("product_id"),
+            F.col("c_name").alias("product_name"),
+            F.col("c_mktsegment").alias("category"),
+        )
     return table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("product_id"),
         F.col("n_name").alias("product_name"),
@@ -22,20 +31,21 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One review per order; its product is the nation of the customer."""
-    customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("product_id")
-    )
-    return (
-        table(spark, sf_dir, "orders")
-        .join(customers, "o_custkey")
-        .select(
-            F.col("o_orderkey").alias("review_id"),
-            "product_id",
-            F.concat_ws(" ", "o_orderpriority", F.lit("order"), "o_orderkey").alias("review_text"),
-            F.col("o_orderdate").alias("created_at"),
+def reviews(spark: SparkSession, sf_dir: str, by: str = NATION) -> DataFrame:
+    """One review per order; its product is the customer's nation, or the customer."""
+    orders = table(spark, sf_dir, "orders")
+    if by == CUSTOMER:
+        orders = orders.withColumn("product_id", F.col("o_custkey"))
+    else:
+        customers = table(spark, sf_dir, "customer").select(
+            F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("product_id")
         )
+        orders = orders.join(customers, "o_custkey")
+    return orders.select(
+        F.col("o_orderkey").alias("review_id"),
+        "product_id",
+        F.concat_ws(" ", "o_orderpriority", F.lit("order"), "o_orderkey").alias("review_text"),
+        F.col("o_orderdate").alias("created_at"),
     )
 
 
@@ -96,11 +106,83 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def catalog_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def catalog_units(spark: SparkSession, sf_dir: str, by: str = NATION) -> DataFrame:
     """All opinion units with their review's product, whatever their mapping state."""
-    return units(spark, sf_dir).join(reviews(spark, sf_dir), "review_id")
+    return units(spark, sf_dir).join(reviews(spark, sf_dir, by), "review_id")
 
 
-def mapped_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapped_units(spark: SparkSession, sf_dir: str, by: str = NATION) -> DataFrame:
     """Only exact canonical mappings take part in catalog statistics."""
-    return catalog_units(spark, sf_dir).filter(F.col("mapping_state") == MAPPED_EXACT)
+    return catalog_units(spark, sf_dir, by).filter(F.col("mapping_state") == MAPPED_EXACT)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements as a caller would send them, some by label, some by id, some wrong.
+
+    Every unit is a requirement of its review's request. Units without a canonical mapping give
+    their raw aspect, mixed opinions give their raw status, and the second unit of a review names
+    one fixed status type that need not be its own.
+    """
+    mapped = F.col("mapping_state") == MAPPED_EXACT
+    position = F.col("unit_position")
+    return catalog_units(spark, sf_dir).select(
+        F.col("review_id").alias("request_id"),
+        F.col("product_id").alias("source_id"),
+        F.concat(F.lit("r"), position).alias("requirement_id"),
+        F.when(mapped, F.col("aspect")).otherwise(F.col("raw_aspect")).alias("aspect"),
+        F.when(F.col("sentiment") == "mixed", F.col("raw_status"))
+        .otherwise(F.col("status"))
+        .alias("status"),
+        "sentiment",
+        F.when(F.col("source_opinion_unit_idx").isNotNull(), F.col("aspect_id")).alias(
+            "aspect_cluster_id"
+        ),
+        F.when(position == 1, F.col("status_id"))
+        .when(position == 2, F.concat_ws(":", "aspect", F.lit("MEDIUM")))
+        .alias("status_cluster_id"),
+        F.lit(1.0).alias("importance"),
+    )
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions with vectors: text, boundary, review count and unit-length embedding.
+
+    The review count of an expression is the number of events of the user with its number.
+    """
+    seen = (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("user_id").alias("vec_id"))
+        .agg(F.count(F.lit(1)).alias("unique_review_count"))
+    )
+    return (
+        table(spark, sf_dir, "embeddings")
+        .join(seen, "vec_id", "left")
+        .select(
+            "vec_id",
+            F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("text"),
+            F.col("label").alias("boundary"),
+            F.coalesce("unique_review_count", F.lit(1).cast("long")).alias("unique_review_count"),
+            F.col("embedding").cast("array<double>").alias("embedding"),
+        )
+    )
+
+
+def clustered_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expressions with a given cluster: the boundary and the signs of two vector components."""
+    sign = [(F.col("embedding")[i] > 0).cast("int").cast("string") for i in (0, 1)]
+    return embeddings(spark, sf_dir).withColumn(
+        "cluster_id", F.concat_ws("-", F.lit("C"), F.col("boundary"), *sign)
+    )
+
+
+def status_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every canonical status: statuses numbered in order take the same-numbered one."""
+    pairs = (
+        units(spark, sf_dir)
+        .filter((F.col("mapping_state") == MAPPED_EXACT) & F.col("status_id").isNotNull())
+        .select("aspect_id", "status_id", "status")
+        .distinct()
+        .withColumn("vec_id", F.row_number().over(W.orderBy("status_id")) - 1)
+    )
+    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    return pairs.join(vectors, "vec_id").drop("vec_id")
