@@ -18,13 +18,15 @@ def norm(vector: Column | str) -> Column:
 
 
 def cosine_distance(left: Column | str, right: Column | str) -> Column:
-    """1 - cosine, within [0, 2]; a zero vector is at distance 1."""
+    """1 - cosine, within [0, 2]; a zero vector is at distance 1, a missing one has no distance."""
     size = norm(left) * norm(right)
     cosine = F.when(size > 0, dot(left, right) / size).otherwise(F.lit(0.0))
-    return F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.lit(1.0) - cosine))
+    clipped = F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.lit(1.0) - cosine))
+    return F.when(size.isNotNull(), clipped)
 
 
 def unit_vector(vector: Column | str) -> Column:
+    vector = F.col(vector) if isinstance(vector, str) else vector
     size = norm(vector)
     return F.when(size > 0, F.transform(vector, lambda v: v / size)).otherwise(vector)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SENTIMENTS = ("positive", "negative", "mixed", "neutral", "unknown")
 Z = "1.959963984540054::DOUBLE"
 
@@ -651,3 +653,206 @@ LEFT JOIN (SELECT r.request_id, count(c.request_id) AS conflict_count FROM (SELE
     True,
     DECISION,
 )
+
+# --- normalization ----------------------------------------------------------------------------
+
+
+def cosine(a: str, b: str) -> str:
+    inner = f"list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
+    return f"greatest(0.0::DOUBLE, least(2.0::DOUBLE, 1 - {inner}))"
+
+
+def mean_vector(source: str, keys: str, name: str) -> str:
+    return f"""{name} AS (SELECT {keys}, list(x ORDER BY i) AS centroid FROM (
+    SELECT {keys}, i, avg(x) AS x FROM (SELECT {keys}, unnest(range(64)) AS i, unnest(embedding) AS x FROM {source})
+    GROUP BY ALL) GROUP BY ALL)"""
+
+
+EXPRESSIONS = """
+WITH seen AS (SELECT user_id AS vec_id, count(*) AS n FROM events GROUP BY 1),
+expressions AS (SELECT vec_id, 'e' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS text, label AS boundary,
+    coalesce(n, 1) AS unique_review_count, embedding::DOUBLE[] AS embedding FROM embeddings LEFT JOIN seen USING (vec_id)),
+clustered AS (SELECT *, 'C-' || boundary || '-' || (embedding[1] > 0)::INTEGER || '-' || (embedding[2] > 0)::INTEGER AS cluster_id
+  FROM expressions)"""
+
+
+def ranking(expressions: str, members: str) -> str:
+    """CTEs ending in ``best``: nearest and second cluster of expression_id inside its boundary."""
+    return f"""
+, farthest AS (SELECT e.expression_id, e.boundary, m.cluster_id, max({cosine('e.embedding', 'm.embedding')}) AS mx,
+    any_value(e.embedding) AS embedding FROM {expressions} e JOIN {members} m USING (boundary) GROUP BY 1, 2, 3),
+heads AS (SELECT boundary, cluster_id, min(label) AS label, arg_min(embedding, text) AS canonical FROM {members} GROUP BY 1, 2),
+{mean_vector(members, 'boundary, cluster_id', 'centres')},
+measured AS (SELECT f.*, h.label, {cosine('f.embedding', 'c.centroid')} AS cd, {cosine('f.embedding', 'h.canonical')} AS pd
+  FROM farthest f JOIN heads h USING (boundary, cluster_id) JOIN centres c USING (boundary, cluster_id)),
+placed AS (SELECT *, mx <= 1.2 + 1e-6 AS eligible, row_number() OVER w AS n, lead(mx) OVER w AS next_mx FROM measured
+  WINDOW w AS (PARTITION BY expression_id, boundary ORDER BY mx <= 1.2 + 1e-6 DESC, mx, cd, pd, cluster_id)),
+best AS (SELECT expression_id, boundary, cluster_id AS suggested_id, label AS suggested_label, {r('pd', 8)} AS distance,
+    {r('mx', 8)} AS membership_max_distance, {r('cd', 8)} AS centroid_distance, {r('next_mx', 8)} AS second_nearest_distance,
+    {r('next_mx - mx', 8)} AS distance_margin, eligible AS candidate_eligible FROM placed WHERE n = 1)"""
+
+
+ORACLES["candidate_ranking"] = (
+    EXPRESSIONS
+    + ", asked AS (SELECT *, vec_id AS expression_id FROM expressions), members AS (SELECT *, text AS label FROM clustered)"
+    + ranking("asked", "members")
+    + " SELECT * FROM best"
+)
+ORACLES["candidate_ranking_global"] = (
+    EXPRESSIONS
+    + """, asked AS (SELECT vec_id AS expression_id, 'all' AS boundary, embedding FROM expressions),
+members AS (SELECT 'all' AS boundary, 'L-' || boundary AS cluster_id, text, text AS label, embedding FROM expressions)"""
+    + ranking("asked", "members")
+    + " SELECT * FROM best"
+)
+TEXTS = """
+, texts AS (SELECT t.text, e.embedding::DOUBLE[] AS embedding FROM (SELECT text, row_number() OVER (ORDER BY text) - 1 AS vec_id
+  FROM (SELECT raw_aspect AS text FROM units UNION SELECT raw_status FROM units WHERE raw_status IS NOT NULL)) t
+  JOIN embeddings e USING (vec_id)),
+known AS (SELECT DISTINCT raw_aspect, raw_status, aspect_id, aspect, status_id, status FROM units
+  WHERE raw_aspect < 'n' AND aspect <> 'anvil'),
+amembers AS (SELECT 'all' AS boundary, k.aspect_id AS cluster_id, k.aspect AS label, t.text, t.embedding
+  FROM (SELECT DISTINCT raw_aspect, aspect_id, aspect FROM known) k JOIN texts t ON t.text = k.raw_aspect),
+smembers AS (SELECT k.aspect_id AS boundary, k.status_id AS cluster_id, k.status AS label, t.text, t.embedding
+  FROM (SELECT DISTINCT aspect_id, raw_status, status_id, status FROM known WHERE raw_status IS NOT NULL AND status <> 'STANDARD') k
+  JOIN texts t ON t.text = k.raw_status)"""
+MAPS = f"""
+, amap AS (SELECT m.text AS raw_aspect, m.cluster_id AS aspect_id, m.label AS aspect, {cosine('m.embedding', 'h.canonical')} AS aspect_map_distance
+  FROM amembers m JOIN (SELECT cluster_id, arg_min(embedding, text) AS canonical FROM amembers GROUP BY 1) h USING (cluster_id)),
+smap AS (SELECT m.boundary AS aspect_id, m.text AS raw_status, m.cluster_id AS status_id, m.label AS status,
+    {cosine('m.embedding', 'h.canonical')} AS status_map_distance
+  FROM smembers m JOIN (SELECT boundary, cluster_id, arg_min(embedding, text) AS canonical FROM smembers GROUP BY 1, 2) h
+    USING (boundary, cluster_id))"""
+ORACLES["exact_mapping"] = base(
+    f"""SELECT u.opinion_unit_id, u.raw_aspect, u.raw_status, a.aspect_id, a.aspect, s.status_id, s.status,
+  {r('a.aspect_map_distance', 8)} AS aspect_map_distance, {r('s.status_map_distance', 8)} AS status_map_distance
+FROM units u LEFT JOIN amap a ON a.raw_aspect = u.raw_aspect
+LEFT JOIN smap s ON s.aspect_id = a.aspect_id AND s.raw_status = u.raw_status""",
+    False,
+    TEXTS + MAPS,
+)
+
+
+def _renamed(text: str, prefix: str) -> str:
+    names = "farthest|heads|centres|measured|placed|best"
+    text = re.sub(rf"\b({names}) AS \(SELECT", rf"{prefix}\1 AS (SELECT", text)
+    return re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\1 {prefix}\2", text)
+
+
+_DIAGNOSTICS = (
+    "membership_max_distance centroid_distance second_nearest_distance distance_margin candidate_eligible"
+).split()
+
+
+def _suggested(part: str, alias: str) -> str:
+    return ", ".join(f"{alias}.{name} AS {part}_{name}" for name in _DIAGNOSTICS)
+
+
+ORACLES["mapping_state_machine"] = base(
+    f"""SELECT u.opinion_unit_id, u.raw_aspect, u.raw_status,
+  CASE WHEN u.kept_out THEN 'excluded_taxonomy' WHEN u.aspect_id IS NOT NULL AND (u.raw_status IS NULL OR u.status_id IS NOT NULL)
+    THEN 'mapped_exact' ELSE 'candidate' END AS mapping_state,
+  u.aspect_id, u.aspect, u.status_id, u.status,
+  u.suggested_aspect_id, u.suggested_aspect, coalesce({r('u.aspect_map_distance', 8)}, u.aspect_candidate) AS aspect_distance,
+  {', '.join('u.aspect_' + n for n in _DIAGNOSTICS)},
+  s.suggested_id AS suggested_status_id, s.suggested_label AS suggested_status,
+  coalesce({r('u.status_map_distance', 8)}, s.distance) AS status_distance, {_suggested('status', 's')}
+FROM searched u LEFT JOIN sbest s ON s.boundary = u.search_id AND s.expression_id = u.raw_status AND u.status_id IS NULL""",
+    False,
+    TEXTS
+    + MAPS
+    + """
+, looked AS (SELECT u.opinion_unit_id, u.raw_aspect, u.raw_status, u.aspect = 'anvil' AS kept_out, a.aspect_id, a.aspect,
+    a.aspect_map_distance, s.status_id, s.status, s.status_map_distance
+  FROM units u LEFT JOIN amap a ON a.raw_aspect = u.raw_aspect AND u.aspect <> 'anvil'
+  LEFT JOIN smap s ON s.aspect_id = a.aspect_id AND s.raw_status = u.raw_status),
+aasked AS (SELECT 'all' AS boundary, t.text AS expression_id, t.embedding FROM texts t
+  WHERE t.text IN (SELECT raw_aspect FROM looked WHERE NOT kept_out AND aspect_id IS NULL))"""
+    + _renamed(ranking("aasked", "amembers"), "a")
+    + f"""
+, searched AS (SELECT l.*, coalesce(l.aspect_id, b.suggested_id) AS search_id, b.suggested_id AS suggested_aspect_id,
+    b.suggested_label AS suggested_aspect, b.distance AS aspect_candidate, {_suggested('aspect', 'b')}
+  FROM looked l LEFT JOIN abest b ON b.expression_id = l.raw_aspect AND NOT l.kept_out AND l.aspect_id IS NULL),
+sasked AS (SELECT q.search_id AS boundary, t.text AS expression_id, t.embedding
+  FROM (SELECT DISTINCT search_id, raw_status FROM searched WHERE raw_status IS NOT NULL AND status_id IS NULL AND search_id IS NOT NULL) q
+  JOIN texts t ON t.text = q.raw_status)"""
+    + _renamed(ranking("sasked", "smembers"), "s"),
+)
+
+# --- taxonomy ---------------------------------------------------------------------------------
+DETAILS = f"""
+, pairwise AS (SELECT a.cluster_id, a.text, max(a.unique_review_count) AS unique_review_count, count(*) AS member_count,
+    coalesce(sum(CASE WHEN a.text <> b.text THEN {cosine('a.embedding', 'b.embedding')} END) / nullif(count(*) - 1, 0), 0) AS average_distance,
+    coalesce(max(CASE WHEN a.text <> b.text THEN {cosine('a.embedding', 'b.embedding')} END), 0) AS max_distance
+  FROM clustered a JOIN clustered b USING (cluster_id) GROUP BY 1, 2),
+central AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY average_distance, text)
+      <= CASE WHEN member_count = 1 THEN 1 WHEN member_count = 2 THEN 2 WHEN member_count < 10 THEN 3 ELSE 5 END AS central_candidate,
+    text NOT IN ('e000003', 'e000010', 'e000017') AS role_filter_passed FROM pairwise),
+eligible AS (SELECT *, central_candidate AND (role_filter_passed OR member_count = 1) AS ok FROM central),
+scored AS (SELECT *, CASE WHEN ok THEN CASE WHEN member_count = 1 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1 - average_distance / 2)) END END AS centrality,
+    CASE WHEN ok THEN CASE WHEN member_count = 1 THEN 1.0::DOUBLE
+      ELSE ln(1 + unique_review_count) / max(CASE WHEN ok THEN ln(1 + unique_review_count) END) OVER (PARTITION BY cluster_id) END END AS frequency_score
+  FROM eligible),
+details AS (SELECT *, CASE WHEN ok THEN CASE WHEN member_count = 1 THEN 1.0::DOUBLE ELSE 0.7::DOUBLE * centrality + 0.3::DOUBLE * frequency_score END END AS combined_score FROM scored),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY combined_score DESC, average_distance,
+    unique_review_count DESC, text) AS n FROM details WHERE ok) WHERE n = 1),
+labels AS (SELECT c.*, CASE WHEN member_count = 1 THEN 'singleton_inherited' WHEN mx > 1.25 + 1e-12 THEN 'cohesion_review_required'
+      WHEN f.text IS NULL THEN 'no_role_eligible_candidate' ELSE 'selected' END AS naming_status, f.text AS first_text,
+    f.average_distance AS first_average, f.max_distance AS first_max
+  FROM (SELECT cluster_id, any_value(member_count) AS member_count, max(max_distance) AS mx,
+          arg_min(text, (average_distance, text)) AS medoid_label FROM details GROUP BY 1) c
+  LEFT JOIN (SELECT cluster_id, text, average_distance, max_distance FROM firsts) f USING (cluster_id)),
+named AS (SELECT *, CASE WHEN naming_status IN ('singleton_inherited', 'selected') THEN first_text END AS canonical_label FROM labels)"""
+ORACLES["cluster_labels"] = (
+    EXPRESSIONS
+    + DETAILS
+    + f""" SELECT cluster_id, member_count, {r('mx', 8)} AS cluster_max_distance, medoid_label, canonical_label, naming_status,
+  CASE WHEN canonical_label IS NOT NULL THEN {r('first_average', 8)} END AS representative_average_distance,
+  CASE WHEN canonical_label IS NOT NULL THEN {r('first_max', 8)} END AS representative_max_distance FROM named"""
+)
+ORACLES["cluster_member_details"] = (
+    EXPRESSIONS
+    + DETAILS
+    + f""" SELECT cluster_id, text, unique_review_count, central_candidate, role_filter_passed, {r('average_distance', 8)} AS average_distance,
+  {r('max_distance', 8)} AS max_distance, {r('centrality', 8)} AS centrality, {r('frequency_score', 8)} AS frequency_score,
+  {r('combined_score', 8)} AS combined_score FROM details"""
+)
+ORACLES["cluster_stats"] = (
+    EXPRESSIONS
+    + DETAILS
+    + f""", {mean_vector('clustered', 'cluster_id', 'centres')}
+SELECT n.cluster_id, n.member_count, m.source_row_count, n.canonical_label, m.member_expressions,
+  CASE WHEN n.canonical_label IS NOT NULL THEN {r(cosine('e.embedding', 'c.centroid'), 8)} END AS representative_centroid_distance
+FROM named n JOIN centres c USING (cluster_id)
+JOIN (SELECT cluster_id, sum(unique_review_count)::BIGINT AS source_row_count, string_agg(text, ',' ORDER BY text) AS member_expressions
+  FROM clustered GROUP BY 1) m USING (cluster_id) LEFT JOIN expressions e ON e.text = n.canonical_label"""
+)
+ORACLES["node_mapping_distance"] = (
+    EXPRESSIONS
+    + DETAILS
+    + f""" SELECT m.cluster_id, m.text, n.canonical_label, coalesce(m.text <> n.canonical_label, false) AS mapping_applied,
+  coalesce(CASE WHEN m.text <> n.canonical_label THEN {r(cosine('m.embedding', 'e.embedding'), 8)} END, 0.0::DOUBLE) AS mapping_distance
+FROM clustered m JOIN named n USING (cluster_id) LEFT JOIN expressions e ON e.text = n.canonical_label"""
+)
+ORACLES["mapping_nodes"] = base(
+    """SELECT aspect_id AS boundary, raw_status AS text, count(*) AS source_row_count, count(DISTINCT review_id) AS unique_review_count
+FROM units WHERE raw_status IS NOT NULL GROUP BY 1, 2""",
+    False,
+)
+ORACLES["remap_with_late_rows"] = base(
+    """SELECT opinion_unit_id,
+  CASE WHEN NOT captured THEN mapping_state WHEN kept_out THEN 'excluded_taxonomy' ELSE 'mapped_exact' END AS mapping_state,
+  CASE WHEN NOT captured THEN aspect_id WHEN NOT kept_out THEN 'v2-' || aspect_id END AS aspect_id,
+  CASE WHEN NOT captured THEN aspect WHEN NOT kept_out THEN upper(aspect) END AS aspect,
+  CASE WHEN NOT captured THEN status_id WHEN NOT kept_out THEN 'v2-' || status_id END AS status_id,
+  CASE WHEN NOT captured THEN status WHEN NOT kept_out THEN lower(status) END AS status,
+  aspect_distance, status_distance, CASE WHEN captured THEN 'v2' ELSE 'v1' END AS mapping_table_version_id
+FROM (SELECT *, source_opinion_unit_idx IS NOT NULL AS captured, mapping_state = 'excluded_taxonomy' AS kept_out FROM units)""",
+    False,
+)
+ORACLES["rebuild_audit"] = base(
+    """SELECT count(*) FILTER (WHERE source_opinion_unit_idx IS NOT NULL) AS captured_opinion_unit_count,
+  count(*) FILTER (WHERE source_opinion_unit_idx IS NULL) AS carried_forward_opinion_unit_count,
+  0::BIGINT AS missing_opinion_unit_count FROM units""",
+    False,
+)

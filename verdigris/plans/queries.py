@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
-from ..operators import decision, mapping, profiles, recommend, similarity, submission, summary, votes
+from ..functions.vectors import cosine_distance
+from ..operators import (
+    decision,
+    mapping,
+    profiles,
+    recommend,
+    similarity,
+    submission,
+    summary,
+    taxonomy,
+    votes,
+)
 from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
-from ..schemas import KNOWN_SENTIMENTS, MAPPED_EXACT
+from ..schemas import EXCLUDED, KNOWN_SENTIMENTS, MAPPED_EXACT
+from ..session import cut_lineage
 from ..sources import driver_tables as src
 from .statistics import CatalogStatistics
 
@@ -407,3 +420,290 @@ def decision_policy(spark, sf):
     requirements, ranked = _scored_requests(spark, sf)
     decided = decision.decide(requirements, ranked, NEAR_SETTINGS)
     return decided.withColumn("reason_codes", F.concat_ws(",", "reason_codes"))
+
+
+def _clusters(members: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Cluster rows of given members: centroid, and the first member's vector as canonical."""
+    heads = members.groupBy(*keys).agg(
+        F.min(label).alias("label"),
+        F.min_by("embedding", "text").alias("canonical"),
+        F.max("distance_threshold").alias("distance_threshold"),
+    )
+    return heads.join(mapping.centroids(members, keys), keys)
+
+
+@query
+def candidate_ranking(spark, sf):
+    """Every expression against the clusters of its boundary."""
+    members = src.clustered_embeddings(spark, sf).withColumn(
+        "distance_threshold", F.lit(src.CANDIDATE_THRESHOLD)
+    )
+    expressions = src.embeddings(spark, sf).withColumn("expression_id", F.col("vec_id"))
+    return mapping.nearest_clusters(
+        expressions, members, _clusters(members, ["boundary", "cluster_id"], "text")
+    )
+
+
+@query
+def candidate_ranking_global(spark, sf):
+    """Every expression against all clusters, as for unseen aspects."""
+    members = (
+        src.embeddings(spark, sf)
+        .withColumn("cluster_id", F.concat_ws("-", F.lit("L"), "boundary"))
+        .withColumn("boundary", F.lit("all"))
+        .withColumn("distance_threshold", F.lit(src.CANDIDATE_THRESHOLD))
+    )
+    expressions = (
+        src.embeddings(spark, sf)
+        .withColumn("expression_id", F.col("vec_id"))
+        .withColumn("boundary", F.lit("all"))
+    )
+    return mapping.nearest_clusters(
+        expressions, members, _clusters(members, ["boundary", "cluster_id"], "text")
+    )
+
+
+def _mapping_maps(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Cluster tables and exact lookup maps of the partly known taxonomy."""
+    aspects, statuses = tables["aspect_members"], tables["status_members"]
+    aspect_clusters = _clusters(aspects, ["cluster_id"], "aspect")
+    status_clusters = _clusters(statuses, ["boundary", "cluster_id"], "status")
+    aspect_map = aspects.join(aspect_clusters.select("cluster_id", "canonical"), "cluster_id").select(
+        F.col("text").alias("raw_aspect"),
+        F.col("cluster_id").alias("aspect_id"),
+        "aspect",
+        cosine_distance("embedding", "canonical").alias("aspect_map_distance"),
+    )
+    status_map = statuses.join(
+        status_clusters.select("boundary", "cluster_id", "canonical"), ["boundary", "cluster_id"]
+    ).select(
+        F.col("boundary").alias("aspect_id"),
+        F.col("text").alias("raw_status"),
+        F.col("cluster_id").alias("status_id"),
+        "status",
+        cosine_distance("embedding", "canonical").alias("status_map_distance"),
+    )
+    return {
+        "aspect_map": aspect_map,
+        "status_map": status_map,
+        "aspect_clusters": aspect_clusters,
+        "status_clusters": status_clusters,
+    }
+
+
+@query
+def exact_mapping(spark, sf):
+    maps = _mapping_maps(src.mapping_tables(spark, sf))
+    units = src.units(spark, sf).select("opinion_unit_id", "raw_aspect", "raw_status")
+    found = mapping.exact_mapping(units, maps["aspect_map"], maps["status_map"])
+    return found.withColumn(
+        "aspect_map_distance", rounded(F.col("aspect_map_distance"), 8)
+    ).withColumn("status_map_distance", rounded(F.col("status_map_distance"), 8))
+
+
+@query
+def mapping_state_machine(spark, sf):
+    tables = src.mapping_tables(spark, sf)
+    tables = {name: cut_lineage(df) for name, df in tables.items()}
+    maps = _mapping_maps(tables)
+    units = src.units(spark, sf).select("opinion_unit_id", "raw_aspect", "raw_status")
+    decisions = mapping.map_expressions(
+        units,
+        maps["aspect_map"],
+        maps["status_map"],
+        tables["aspect_members"],
+        maps["aspect_clusters"],
+        tables["status_members"],
+        maps["status_clusters"],
+        tables["vectors"],
+        src.EXCLUDED_ASPECTS,
+    )
+    return mapping.apply_mapping(units, decisions)
+
+
+CLUSTER_SETTINGS = taxonomy.ClusterSettings(threshold=0.75, naming_max=0.75)
+LABEL_SETTINGS = taxonomy.ClusterSettings(
+    threshold=1.4, naming_max=1.25, label_stop_list=("e000003", "e000010", "e000017")
+)
+
+
+def _label_members(spark: SparkSession, sf: str) -> DataFrame:
+    members = src.clustered_embeddings(spark, sf).drop("vec_id")
+    return members.withColumn("source_row_count", F.col("unique_review_count"))
+
+
+@query
+def cluster_labels(spark, sf):
+    details = cut_lineage(taxonomy.label_details(_label_members(spark, sf), LABEL_SETTINGS))
+    labels = taxonomy.select_labels(details, LABEL_SETTINGS)
+    distances = [
+        "cluster_max_distance",
+        "representative_average_distance",
+        "representative_max_distance",
+    ]
+    return labels.withColumns({name: rounded(F.col(name), 8) for name in distances})
+
+
+@query
+def cluster_member_details(spark, sf):
+    details = taxonomy.label_details(_label_members(spark, sf), LABEL_SETTINGS)
+    values = [
+        "average_distance",
+        "max_distance",
+        "centrality",
+        "frequency_score",
+        "combined_score",
+    ]
+    return details.select(
+        "cluster_id",
+        "text",
+        "unique_review_count",
+        "central_candidate",
+        "role_filter_passed",
+        *[rounded(F.col(value), 8).alias(value) for value in values],
+    )
+
+
+@query
+def cluster_stats(spark, sf):
+    members = _label_members(spark, sf)
+    details = cut_lineage(taxonomy.label_details(members, LABEL_SETTINGS))
+    labels = taxonomy.select_labels(details, LABEL_SETTINGS)
+    _, clusters = taxonomy.cluster_statistics(members, details, labels)
+    return clusters.select(
+        "cluster_id",
+        "member_count",
+        "source_row_count",
+        "canonical_label",
+        F.concat_ws(",", "member_expressions").alias("member_expressions"),
+        rounded(F.col("representative_centroid_distance"), 8).alias(
+            "representative_centroid_distance"
+        ),
+    )
+
+
+@query
+def node_mapping_distance(spark, sf):
+    members = _label_members(spark, sf)
+    details = cut_lineage(taxonomy.label_details(members, LABEL_SETTINGS))
+    labels = taxonomy.select_labels(details, LABEL_SETTINGS)
+    nodes, _ = taxonomy.cluster_statistics(members, details, labels)
+    return nodes.select(
+        "cluster_id",
+        "text",
+        "canonical_label",
+        "mapping_applied",
+        rounded(F.col("mapping_distance"), 8).alias("mapping_distance"),
+    )
+
+
+@query
+def complete_linkage(spark, sf):
+    return taxonomy.complete_linkage(src.embeddings(spark, sf), CLUSTER_SETTINGS)
+
+
+@query
+def complete_linkage_rounds(spark, sf):
+    """The whole vocabulary as one boundary, through the distributed rounds."""
+    nodes = src.embeddings(spark, sf).withColumn("boundary", F.lit("all"))
+    settings = replace(CLUSTER_SETTINGS, local_boundary_rows=0)
+    return taxonomy.complete_linkage(nodes, settings)
+
+
+@query
+def mapping_nodes(spark, sf):
+    return taxonomy.expression_nodes(
+        src.units(spark, sf).filter(F.col("raw_status").isNotNull()), "raw_status", F.col("aspect_id")
+    )
+
+
+STATUS_RULES = {
+    "opposition_groups": [(("ECONOMY/F",), ("LARGE/O",))],
+    "suffix_pairs": [("/F", "/O")],
+    "negation_suffixes": [],
+    "negation_tokens": [],
+    "negation_enabled": False,
+    "core_similarity": 0.65,
+}
+REBUILD_SETTINGS = taxonomy.TaxonomySettings(
+    aspect=taxonomy.ClusterSettings(1.0, 1.0),
+    status=taxonomy.ClusterSettings(1.0, 1.0, constraints=STATUS_RULES),
+    excluded_aspects=src.EXCLUDED_ASPECTS,
+)
+
+
+@query
+def cannot_link_pairs(spark, sf):
+    """Opposed status pairs per aspect, found over the distinct statuses of each aspect."""
+    nodes = mapping_nodes(spark, sf)
+    return taxonomy.cannot_link_pairs(nodes, STATUS_RULES)
+
+
+def _rebuilt(spark: SparkSession, sf: str) -> taxonomy.Taxonomy:
+    units = src.units(spark, sf).select("opinion_unit_id", "review_id", "raw_aspect", "raw_status")
+    vectors = cut_lineage(src.text_vectors(spark, sf))
+    return taxonomy.build_taxonomy(units, vectors, REBUILD_SETTINGS)
+
+
+@query
+def taxonomy_rebuild(spark, sf):
+    return _rebuilt(spark, sf).assignments
+
+
+@query
+def taxonomy_rebuild_clusters(spark, sf):
+    rebuilt = _rebuilt(spark, sf)
+    columns = [
+        "cluster_id",
+        "boundary",
+        "canonical_label",
+        "naming_status",
+        "member_count",
+        "source_row_count",
+        "unique_review_count",
+        "cannot_link_pair_count",
+        "cluster_max_distance",
+    ]
+    return rebuilt.aspect_clusters.select(*columns).unionByName(
+        rebuilt.status_clusters.select(*columns)
+    )
+
+
+def _captured_assignments(spark: SparkSession, sf: str) -> DataFrame:
+    """A new mapping of the units captured from the source files; units added later have none."""
+    captured = src.units(spark, sf).filter(F.col("source_opinion_unit_idx").isNotNull())
+    kept_out = F.col("mapping_state") == EXCLUDED
+    return captured.select(
+        "opinion_unit_id",
+        F.when(kept_out, F.lit(EXCLUDED)).otherwise(F.lit(MAPPED_EXACT)).alias("mapping_state"),
+        F.when(~kept_out, F.concat(F.lit("v2-"), "aspect_id")).alias("aspect_cluster_id"),
+        F.when(~kept_out, F.upper("aspect")).alias("aspect"),
+        F.when(~kept_out, F.concat(F.lit("v2-"), "status_id")).alias("status_cluster_id"),
+        F.when(~kept_out, F.lower("status")).alias("status"),
+        F.col("aspect_distance").alias("aspect_mapping_distance"),
+        F.col("status_distance").alias("status_mapping_distance"),
+    )
+
+
+@query
+def remap_with_late_rows(spark, sf):
+    units = src.units(spark, sf).withColumn("mapping_table_version_id", F.lit("v1"))
+    remapped = taxonomy.remap_units(
+        units, _captured_assignments(spark, sf), {"mapping_table_version_id": "v2"}
+    )
+    return remapped.select(
+        "opinion_unit_id",
+        "mapping_state",
+        "aspect_id",
+        "aspect",
+        "status_id",
+        "status",
+        "aspect_distance",
+        "status_distance",
+        "mapping_table_version_id",
+    )
+
+
+@query
+def rebuild_audit(spark, sf):
+    return taxonomy.rebuild_audit(src.units(spark, sf), _captured_assignments(spark, sf))

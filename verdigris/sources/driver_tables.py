@@ -186,3 +186,62 @@ def status_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
     return pairs.join(vectors, "vec_id").drop("vec_id")
+
+
+def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every raw expression: texts numbered in order take the same-numbered one."""
+    raw = units(spark, sf_dir)
+    texts = (
+        raw.select(F.col("raw_aspect").alias("text"))
+        .unionByName(raw.select(F.col("raw_status").alias("text")))
+        .filter(F.col("text").isNotNull())
+        .distinct()
+        .withColumn("vec_id", F.row_number().over(W.orderBy("text")) - 1)
+    )
+    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    return texts.join(vectors, "vec_id").drop("vec_id")
+
+
+# Raw aspects kept out of the taxonomy in the adapted data.
+EXCLUDED_ASPECTS = tuple(
+    f"{colour} anvil" for colour in ("blue", "cold", "hot", "large", "new", "old", "red", "small")
+)
+CANDIDATE_THRESHOLD = 1.2
+
+
+def mapping_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A taxonomy that knows part of the vocabulary, so that exact, candidate and miss all occur.
+
+    It knows raw aspects sorting before 'n' and, inside them, every status type but STANDARD.
+    """
+    vectors = text_vectors(spark, sf_dir)
+    known = (
+        units(spark, sf_dir)
+        .filter((F.col("raw_aspect") < "n") & ~F.col("raw_aspect").isin(*EXCLUDED_ASPECTS))
+        .select("raw_aspect", "raw_status", "aspect_id", "aspect", "status_id", "status")
+        .distinct()
+    )
+    threshold = F.lit(CANDIDATE_THRESHOLD).alias("distance_threshold")
+    aspect_members = (
+        known.select("raw_aspect", "aspect_id", "aspect")
+        .distinct()
+        .withColumnRenamed("raw_aspect", "text")
+        .join(vectors, "text")
+        .select(F.col("aspect_id").alias("cluster_id"), "aspect", "text", "embedding", threshold)
+    )
+    status_members = (
+        known.filter(F.col("raw_status").isNotNull() & (F.col("status") != "STANDARD"))
+        .select("aspect_id", "raw_status", "status_id", "status")
+        .distinct()
+        .withColumnRenamed("raw_status", "text")
+        .join(vectors, "text")
+        .select(
+            F.col("aspect_id").alias("boundary"),
+            F.col("status_id").alias("cluster_id"),
+            "status",
+            "text",
+            "embedding",
+            threshold,
+        )
+    )
+    return {"aspect_members": aspect_members, "status_members": status_members, "vectors": vectors}
