@@ -7,7 +7,7 @@ submission is ever paired with the reviews it is compared to.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -301,7 +301,7 @@ def recommendation_status(
     return joined.withColumn("status", code)
 
 
-def is_non_product_aspect(raw_aspect):
-    """True where the aspect is about delivery, packaging, service or gifts."""
+def is_non_product_aspect(raw_aspect: Column, terms=NON_PRODUCT_TERMS) -> Column:
+    """True where the aspect, spaces removed, is about delivery, packaging, service or gifts."""
     compact = F.replace(raw_aspect, F.lit(" "), F.lit(""))
-    return first_match([(compact.contains(term), F.lit(True)) for term in NON_PRODUCT_TERMS], F.lit(False))
+    return first_match([(compact.contains(term), F.lit(True)) for term in terms], F.lit(False))

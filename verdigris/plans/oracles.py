@@ -856,3 +856,181 @@ ORACLES["rebuild_audit"] = base(
   0::BIGINT AS missing_opinion_unit_count FROM units""",
     False,
 )
+
+# --- ingestion --------------------------------------------------------------------------------
+_WHITE = r"[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]"
+
+
+def strip(text: str) -> str:
+    return f"regexp_replace({text}, '^{_WHITE}+|{_WHITE}+$', '', 'g')"
+
+
+STAGED = f"""
+WITH staged AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS source_review_id,
+    'review-' || substr(sha256('catalog_inbox|' || doc_id), 1, 16) AS review_id, 'catalog_inbox' AS source,
+    source AS product_id, upper(source) AS product_name, lang AS category, sha256({strip('text')}) AS content_sha256 FROM documents),
+existing AS (SELECT DISTINCT s.content_sha256 FROM staged s JOIN labels l USING (doc_id) WHERE l.quality = 1),
+kept AS (SELECT * FROM staged WHERE content_sha256 NOT IN (SELECT content_sha256 FROM existing)
+  QUALIFY row_number() OVER (PARTITION BY content_sha256 ORDER BY doc_id) = 1)"""
+ORACLES["surrogate_ids"] = (
+    STAGED
+    + " SELECT source_review_id, review_id, source, content_sha256, "
+    + "'monitor-' || substr(sha256(product_name), 1, 16) AS product_key FROM staged"
+)
+ORACLES["dedup_inbox"] = STAGED + " SELECT source_review_id, product_id, content_sha256 FROM kept"
+ORACLES["dedup_duplicate_count"] = (
+    STAGED
+    + " SELECT (SELECT count(*) FROM staged) - (SELECT count(*) FROM kept) AS duplicate_count"
+)
+ORACLES["insert_or_ignore_products"] = """
+WITH keyed AS (SELECT source || '/' || lang AS product_id, doc_id, upper(source) AS product_name, lang AS category FROM documents),
+firsts AS (SELECT k.*, l.doc_id IS NOT NULL AS known FROM keyed k LEFT JOIN labels l USING (doc_id)),
+known AS (SELECT DISTINCT ON (product_id) product_id, product_name, category, 'seed' AS first_seen_run_id
+  FROM firsts WHERE known ORDER BY product_id, doc_id)
+SELECT * FROM known UNION ALL
+SELECT DISTINCT ON (product_id) product_id, product_name, category, 'run-1' AS first_seen_run_id
+FROM firsts WHERE product_id NOT IN (SELECT product_id FROM known) ORDER BY product_id"""
+DOCUMENT_UNITS = """
+WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(1, len(string_split(text, chr(10))) + 1))::INTEGER AS unit_position FROM documents),
+dunits AS (SELECT doc_id, text AS review_text, unit_position, string_split(line, ' ')[1] AS raw_aspect,
+    string_split(line, ' ')[2] AS raw_status, CASE WHEN length(line) % 7 = 0 THEN line || '#' ELSE line END AS excerpt,
+    line AS opinion, ['positive', 'negative', 'mixed', 'neutral', 'unknown', 'joyful'][length(line) % 6 + 1] AS sentiment FROM lines)"""
+_SPACE_ONLY = f"regexp_full_match(%s, '{_WHITE}*')"
+CHECKED = (
+    DOCUMENT_UNITS
+    + f""",
+checked AS (SELECT *, concat_ws(',', CASE WHEN {_SPACE_ONLY % 'raw_aspect'} THEN 'BLANK_ASPECT' END,
+    CASE WHEN {_SPACE_ONLY % 'raw_status'} THEN 'BLANK_STATUS' END, CASE WHEN {_SPACE_ONLY % 'excerpt'} THEN 'BLANK_EXCERPT' END,
+    CASE WHEN NOT {_SPACE_ONLY % 'excerpt'} AND NOT contains(review_text, excerpt) THEN 'UNGROUNDED_EXCERPT' END,
+    CASE WHEN {_SPACE_ONLY % 'opinion'} THEN 'BLANK_OPINION' END,
+    CASE WHEN sentiment = 'joyful' THEN 'INVALID_SENTIMENT' END) AS violations FROM dunits)"""
+)
+ORACLES["field_validation"] = CHECKED + " SELECT doc_id, unit_position, violations FROM checked"
+ORACLES["grounding_check"] = (
+    CHECKED
+    + " SELECT doc_id, unit_position, excerpt FROM checked "
+    + f"WHERE {_SPACE_ONLY % 'excerpt'} OR NOT contains(review_text, excerpt)"
+)
+ORACLES["valid_units_dropped"] = (
+    CHECKED
+    + f" SELECT doc_id, unit_position, {strip('raw_aspect')} AS raw_aspect, {strip('raw_status')} AS raw_status, "
+    + f"{strip('opinion')} AS opinion, sentiment FROM checked WHERE violations = ''"
+)
+ORACLES["json_units_explode"] = (
+    DOCUMENT_UNITS
+    + " SELECT doc_id, unit_position, raw_aspect, raw_status, excerpt, opinion, sentiment FROM dunits"
+)
+ORACLES["json_field_contract"] = """
+SELECT event_id, array_to_string(list_filter(['k', 'v'], lambda x: NOT list_contains(json_keys(props), x)), ',') AS missing,
+  array_to_string(list_filter(json_keys(props), lambda x: NOT list_contains(['k', 'v'], x)), ',') AS unexpected FROM events"""
+ORACLES["non_product_filter"] = base(
+    """SELECT opinion_unit_id, raw_aspect,
+  contains(replace(raw_aspect, ' ', ''), 'dring') OR contains(replace(raw_aspect, ' ', ''), 'anvil') AS is_non_product FROM units""",
+    False,
+)
+ORACLES["submission_validation"] = base(
+    """SELECT product_id AS submission_id, count(*) AS review_count, count(*) FILTER (WHERE trim(review_text) = '') AS blank_count,
+  count(*) FILTER (WHERE length(review_text) > 10000) AS overlong_count FROM reviews GROUP BY 1 HAVING count(*) > 20""",
+    False,
+    by_customer=True,
+)
+ORACLES["commit_receipt"] = base(
+    """SELECT 'run-1' AS run_id, (SELECT count(*) FROM reviews) AS review_count, count(*) AS opinion_unit_count,
+  count(*) FILTER (WHERE mapping_state = 'candidate') AS candidate_count FROM units""",
+    False,
+)
+ORACLES["rebuild_recommendation"] = base(
+    """SELECT strftime(created_at, '%Y-%m') AS run_id, count(*) AS opinion_unit_count,
+  count(*) FILTER (WHERE mapping_state = 'candidate') AS candidate_count,
+  count(*) FILTER (WHERE mapping_state = 'candidate') >= 100 AS recommended FROM catalog GROUP BY 1""",
+    False,
+)
+ORACLES["mapping_differences"] = base(
+    """SELECT opinion_unit_id, aspect AS left_aspect, status AS left_status,
+  CASE WHEN mapping_state <> 'excluded_taxonomy' THEN upper(aspect) END AS right_aspect,
+  CASE WHEN mapping_state <> 'excluded_taxonomy' THEN lower(status) END AS right_status
+FROM units WHERE source_opinion_unit_idx IS NOT NULL""",
+    False,
+)
+_CHECKS = {
+    "unit_key_unique": "SELECT opinion_unit_id FROM units GROUP BY 1 HAVING count(*) > 1",
+    "unit_key_not_null": "SELECT 1 FROM units WHERE opinion_unit_id IS NULL OR review_id IS NULL",
+    "review_key_unique": "SELECT review_id FROM reviews GROUP BY 1 HAVING count(*) > 1",
+    "line_key_unique": "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1",
+    "one_label_per_aspect": "SELECT aspect_id FROM units GROUP BY 1 HAVING count(DISTINCT aspect) > 1",
+    "one_aspect_per_status": "SELECT status_id FROM units WHERE status_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT (aspect_id, status)) > 1",
+    "units_have_review": "SELECT 1 FROM units WHERE review_id NOT IN (SELECT review_id FROM reviews)",
+    "reviews_have_product": "SELECT 1 FROM reviews WHERE product_id NOT IN (SELECT product_id FROM products)",
+    "reviews_have_units": "SELECT 1 FROM reviews WHERE review_id NOT IN (SELECT review_id FROM units)",
+    "excerpts_grounded": "SELECT 1 FROM catalog WHERE NOT contains(review_text, excerpt)",
+    "constant_lineage": "SELECT DISTINCT mapping_state FROM units OFFSET 1",
+    "embeddings_valid": "SELECT 1 FROM embeddings WHERE len(embedding) <> 64",
+    "source_rows_preserved": "SELECT review_id FROM reviews EXCEPT SELECT review_id FROM units",
+    "distribution_invariants": "SELECT 1 WHERE false",
+}
+ORACLES["integrity_checks"] = base(
+    "SELECT *, violations = 0 AS passed FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS check, count(*) AS violations FROM ({sql})" for name, sql in _CHECKS.items()
+    ).replace(" AS check,", ' AS "check",')
+    + ")",
+    False,
+)
+
+# --- evaluation -------------------------------------------------------------------------------
+RATINGS = """
+WITH ratings AS (SELECT l_suppkey AS item_id, l_linenumber AS rater_id, substr('ABCD', l_linenumber % 4 + 1, 1) AS arm,
+    round(l_discount * 100)::INTEGER % 5 + 1 AS score, l_returnflag = 'R' AS preferred FROM lineitem),
+item_means AS (SELECT item_id, arm, avg(score) AS score FROM ratings GROUP BY 1, 2)"""
+ORACLES["rating_summary"] = (
+    RATINGS
+    + f" SELECT arm, count(*) AS item_count, {r('avg(score)')} AS mean_score, {r('stddev_samp(score)')} AS sd_score FROM item_means GROUP BY 1"
+)
+ORACLES["factorial_effects"] = (
+    RATINGS
+    + f""", wide AS (SELECT item_id, max(score) FILTER (WHERE arm = 'A') AS a, max(score) FILTER (WHERE arm = 'B') AS b,
+  max(score) FILTER (WHERE arm = 'C') AS c, max(score) FILTER (WHERE arm = 'D') AS d FROM item_means GROUP BY 1 HAVING count(*) = 4)
+SELECT count(*) AS item_count, {r('avg(((c + d) - (a + b)) / 2)')} AS structured_effect,
+  {r('avg(((b + d) - (a + c)) / 2)')} AS clustering_effect, {r('avg((d - c) - (b - a))')} AS interaction_effect FROM wide"""
+)
+ORACLES["preference_rates"] = (
+    RATINGS
+    + f""" SELECT arm, count(*) AS preference_count, {r('count(*)::DOUBLE / sum(count(*)) OVER ()')} AS preference_rate
+FROM ratings WHERE preferred GROUP BY 1"""
+)
+ORACLES["cohort_violations"] = (
+    RATINGS
+    + """ SELECT rater_id, item_id, count(*) AS row_count, bit_or(1 << (ascii(arm) - 65)) AS arms,
+  count(*) FILTER (WHERE preferred) AS preferences, count(*) FILTER (WHERE score NOT BETWEEN 1 AND 5) AS invalid_scores
+FROM ratings GROUP BY 1, 2
+HAVING count(*) <> 4 OR count(DISTINCT arm) <> 4 OR count(*) FILTER (WHERE preferred) <> 1"""
+)
+ORACLES["icc"] = (
+    RATINGS
+    + f""", cells AS (SELECT item_id, rater_id, avg(score) AS x FROM ratings GROUP BY 1, 2),
+full_cells AS (SELECT * FROM cells WHERE item_id IN (SELECT item_id FROM cells GROUP BY 1
+  HAVING count(*) = (SELECT count(DISTINCT rater_id) FROM cells))),
+marked AS (SELECT *, avg(x) OVER (PARTITION BY item_id) AS im, avg(x) OVER (PARTITION BY rater_id) AS rm, avg(x) OVER () AS gm FROM full_cells),
+sizes AS (SELECT count(DISTINCT item_id) AS n, count(DISTINCT rater_id) AS k FROM full_cells),
+squares AS (SELECT sum((im - gm) * (im - gm)) AS ssr, sum((rm - gm) * (rm - gm)) AS ssc,
+  sum((x - im - rm + gm) * (x - im - rm + gm)) AS sse FROM marked),
+ms AS (SELECT n, k, ssr / (n - 1) AS msr, ssc / (k - 1) AS msc, sse / ((n - 1) * (k - 1)) AS mse FROM squares, sizes)
+SELECT n AS item_count, k AS rater_count, {r('(msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n)')} AS icc_2_1 FROM ms"""
+)
+ORACLES["cluster_silhouettes"] = (
+    EXPRESSIONS
+    + f""", sums AS (SELECT a.boundary, a.cluster_id, a.text, b.cluster_id AS other_id, count(*) AS n,
+    sum(CASE WHEN a.text <> b.text THEN {cosine('a.embedding', 'b.embedding')} ELSE 0 END) AS total
+  FROM clustered a JOIN clustered b USING (boundary) GROUP BY 1, 2, 3, 4),
+nodes AS (SELECT boundary, cluster_id, text, max(CASE WHEN cluster_id = other_id AND n > 1 THEN total / (n - 1) END) AS a,
+    min(CASE WHEN cluster_id <> other_id THEN total / n END) AS b FROM sums GROUP BY 1, 2, 3)
+SELECT CAST(boundary AS VARCHAR) AS boundary, cluster_id, count(*) AS member_count,
+  {r('avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END)')} AS cluster_silhouette_mean FROM nodes GROUP BY 1, 2"""
+)
+ORACLES["nearest_cluster_pairs"] = (
+    EXPRESSIONS
+    + f""", {mean_vector('clustered', 'cluster_id', 'centres')}
+SELECT a.cluster_id AS lo, b.cluster_id AS hi, {r(cosine('a.centroid', 'b.centroid'), 8)} AS distance
+FROM centres a JOIN centres b ON a.cluster_id < b.cluster_id ORDER BY distance, lo, hi LIMIT 50"""
+)

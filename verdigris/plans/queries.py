@@ -10,11 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
+from ..functions.text import content_hash, derived_id, field_violations
 from ..functions.vectors import cosine_distance
 from ..operators import (
     decision,
+    evaluation,
+    ingest,
+    joins,
     mapping,
     profiles,
+    quality,
     recommend,
     similarity,
     submission,
@@ -26,6 +31,7 @@ from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
 from ..schemas import EXCLUDED, KNOWN_SENTIMENTS, MAPPED_EXACT
 from ..session import cut_lineage
 from ..sources import driver_tables as src
+from ..sources import inbox
 from .statistics import CatalogStatistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -707,3 +713,206 @@ def remap_with_late_rows(spark, sf):
 @query
 def rebuild_audit(spark, sf):
     return taxonomy.rebuild_audit(src.units(spark, sf), _captured_assignments(spark, sf))
+
+
+def _staged(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.stage_inbox(src.document_inbox(spark, sf))
+
+
+def _existing_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts the catalog already holds: the documents labelled as good."""
+    good = src.table(spark, sf, "labels").filter(F.col("quality") == 1).select("doc_id")
+    known = src.table(spark, sf, "documents").join(good, "doc_id", "left_semi")
+    return known.select(content_hash("text").alias("content_sha256")).distinct()
+
+
+@query
+def surrogate_ids(spark, sf):
+    return _staged(spark, sf).select(
+        "source_review_id",
+        "review_id",
+        "source",
+        "content_sha256",
+        derived_id("monitor-", "product_name").alias("product_key"),
+    )
+
+
+@query
+def dedup_inbox(spark, sf):
+    kept = ingest.deduplicate(_staged(spark, sf), _existing_hashes(spark, sf))
+    return kept.select("source_review_id", "product_id", "content_sha256")
+
+
+@query
+def dedup_duplicate_count(spark, sf):
+    staged = _staged(spark, sf)
+    return ingest.duplicate_count(staged, ingest.deduplicate(staged, _existing_hashes(spark, sf)))
+
+
+@query
+def insert_or_ignore_products(spark, sf):
+    """Products known from labelled documents, then those that the whole inbox adds."""
+    documents = src.document_inbox(spark, sf)
+    keyed = documents.withColumn("product_id", F.concat_ws("/", "product_id", "category"))
+    labelled = src.table(spark, sf, "labels").select(
+        F.col("doc_id").cast("string").alias("source_review_id")
+    )
+    known = keyed.join(labelled, "source_review_id", "left_semi")
+    existing = known.groupBy("product_id").agg(
+        F.min(F.struct("ordinal", "product_name", "category")).alias("first")
+    ).select("product_id", "first.product_name", "first.category", F.lit("seed").alias("first_seen_run_id"))
+    return existing.unionByName(ingest.new_products(existing, keyed, "run-1"))
+
+
+@query
+def field_validation(spark, sf):
+    checked = ingest.unit_violations(src.document_units(spark, sf))
+    return checked.select(
+        "doc_id", "unit_position", F.concat_ws(",", "violations").alias("violations")
+    )
+
+
+@query
+def grounding_check(spark, sf):
+    units = src.document_units(spark, sf)
+    return quality.ungrounded(units).select("doc_id", "unit_position", "excerpt")
+
+
+@query
+def valid_units_dropped(spark, sf):
+    """Units kept when invalid items are dropped alone."""
+    kept, _ = ingest.validate_units(src.document_units(spark, sf), "drop")
+    return kept.select("doc_id", "unit_position", "raw_aspect", "raw_status", "opinion", "sentiment")
+
+
+@query
+def json_units_explode(spark, sf):
+    return inbox.parse_units(src.document_responses(spark, sf), "doc_id")
+
+
+@query
+def json_field_contract(spark, sf):
+    missing, unexpected = field_violations("props", ["k", "v"])
+    return src.table(spark, sf, "events").select(
+        "event_id",
+        F.concat_ws(",", missing).alias("missing"),
+        F.concat_ws(",", unexpected).alias("unexpected"),
+    )
+
+
+@query
+def non_product_filter(spark, sf):
+    return src.units(spark, sf).select(
+        "opinion_unit_id",
+        "raw_aspect",
+        submission.is_non_product_aspect(F.col("raw_aspect"), ("dring", "anvil")).alias(
+            "is_non_product"
+        ),
+    )
+
+
+@query
+def submission_validation(spark, sf):
+    """Orders of one customer as one submission: too many, blank or overlong reviews."""
+    submitted = src.reviews(spark, sf, src.CUSTOMER).withColumnRenamed("product_id", "submission_id")
+    return ingest.submission_violations(submitted)
+
+
+@query
+def commit_receipt(spark, sf):
+    receipt = ingest.commit_receipt(src.reviews(spark, sf), src.units(spark, sf), "run-1")
+    return receipt.drop("delta_checksum")
+
+
+@query
+def rebuild_recommendation(spark, sf):
+    units = src.catalog_units(spark, sf).withColumn(
+        "run_id", F.date_format("created_at", "yyyy-MM")
+    )
+    return ingest.rebuild_recommendation(units, "run_id")
+
+
+@query
+def mapping_differences(spark, sf):
+    """Labels that differ between the current mapping and the remapped one."""
+    units = src.units(spark, sf)
+    remapped = taxonomy.remap_units(units, _captured_assignments(spark, sf), {})
+    columns = ["aspect", "status"]
+    rows = ["opinion_unit_id", *columns]
+    return joins.differing_rows(
+        units.select(*rows), remapped.select(*rows), ["opinion_unit_id"], columns
+    )
+
+
+@query
+def integrity_checks(spark, sf):
+    units, reviews = src.units(spark, sf), src.reviews(spark, sf)
+    products, vectors = src.products(spark, sf), src.embeddings(spark, sf)
+    lines = src.table(spark, sf, "lineitem")
+    matrix = aspect_sentiment_matrix(spark, sf)
+    return quality.report(
+        {
+            "unit_key_unique": quality.check_unique(units, ["opinion_unit_id"]),
+            "unit_key_not_null": quality.null_keys(units, ["opinion_unit_id", "review_id"]),
+            "review_key_unique": quality.check_unique(reviews, ["review_id"]),
+            "line_key_unique": quality.check_unique(lines, ["l_orderkey", "l_linenumber"]),
+            "one_label_per_aspect": quality.ambiguous_labels(units, "aspect_id", ["aspect"]),
+            "one_aspect_per_status": quality.ambiguous_labels(
+                units, "status_id", ["aspect_id", "status"]
+            ),
+            "units_have_review": quality.orphans(units, reviews, "review_id"),
+            "reviews_have_product": quality.orphans(reviews, products, "product_id"),
+            "reviews_have_units": quality.orphans(reviews, units, "review_id"),
+            "excerpts_grounded": quality.ungrounded(src.catalog_units(spark, sf)),
+            "constant_lineage": quality.varying_lineage(units, ["mapping_state"]),
+            "embeddings_valid": quality.invalid_embeddings(vectors, 64),
+            "source_rows_preserved": quality.lost_rows(
+                reviews.select("review_id", "product_id"),
+                src.catalog_units(spark, sf).select("review_id", "product_id").distinct(),
+            ),
+            "distribution_invariants": quality.distribution_violations(matrix),
+        }
+    )
+
+
+@query
+def rating_summary(spark, sf):
+    return evaluation.rating_summary(src.ratings(spark, sf))
+
+
+@query
+def factorial_effects(spark, sf):
+    return evaluation.factorial_effects(src.ratings(spark, sf))
+
+
+@query
+def preference_rates(spark, sf):
+    return evaluation.preference_rates(src.ratings(spark, sf).filter("preferred"))
+
+
+@query
+def cohort_violations(spark, sf):
+    return evaluation.cohort_violations(src.ratings(spark, sf))
+
+
+@query
+def icc(spark, sf):
+    return evaluation.icc_agreement(src.ratings(spark, sf))
+
+
+@query
+def bootstrap_ci(spark, sf):
+    wide = evaluation.complete_items(src.ratings(spark, sf))
+    return evaluation.bootstrap_means(wide, "item_id", list(evaluation.ARMS))
+
+
+@query
+def cluster_silhouettes(spark, sf):
+    return evaluation.silhouettes(src.clustered_embeddings(spark, sf))
+
+
+@query
+def nearest_cluster_pairs(spark, sf):
+    members = src.clustered_embeddings(spark, sf)
+    centres = mapping.centroids(members, ["cluster_id"])
+    return evaluation.nearest_cluster_pairs(centres.withColumnRenamed("centroid", "embedding"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import first_match
-from ..schemas import CANDIDATE, EXCLUDED, MAPPED_EXACT
+from ..schemas import CANDIDATE, EXCLUDED, MAPPED_EXACT, SENTIMENTS
 
 
 NATION, CUSTOMER = "nation", "customer"
@@ -245,3 +245,64 @@ def mapping_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
     )
     return {"aspect_members": aspect_members, "status_members": status_members, "vectors": vectors}
+
+
+def document_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an inbox of reviews; their source is the product, their language the category."""
+    return table(spark, sf_dir, "documents").select(
+        F.lit(None).cast("string").alias("source"),
+        F.col("doc_id").cast("string").alias("source_review_id"),
+        F.col("source").alias("product_id"),
+        F.upper("source").alias("product_name"),
+        F.col("lang").alias("category"),
+        F.col("text").alias("review_text"),
+        F.col("doc_id").alias("ordinal"),
+    )
+
+
+def document_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a document as an extracted unit; some break a rule.
+
+    The sentiment follows the length of the line and is invalid for one length in six; the excerpt
+    of one length in seven has a mark that is not in the document.
+    """
+    lines = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.posexplode(F.split("text", "\n")).alias("place", "line")
+    )
+    word = F.split("line", " ")
+    length = F.length("line")
+    labels = F.array(*[F.lit(name) for name in (*SENTIMENTS, "joyful")])
+    return lines.select(
+        "doc_id",
+        F.col("text").alias("review_text"),
+        (F.col("place") + 1).alias("unit_position"),
+        word[0].alias("raw_aspect"),
+        F.get(word, F.lit(1)).alias("raw_status"),
+        F.when(length % 7 == 0, F.concat("line", F.lit("#"))).otherwise(F.col("line")).alias("excerpt"),
+        F.col("line").alias("opinion"),
+        F.get(labels, length % 6).alias("sentiment"),
+    )
+
+
+def document_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The units of each document as one stored JSON response."""
+    unit = F.struct("raw_aspect", "raw_status", "excerpt", "opinion", "sentiment")
+    placed = F.struct("unit_position", unit.alias("unit"))
+    return (
+        document_units(spark, sf_dir)
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(placed)).alias("units"))
+        .select("doc_id", F.to_json(F.struct(F.col("units.unit").alias("opinion_units"))).alias("response"))
+    )
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as ratings: supplier = item, line number = rater and arm, discount = score."""
+    number = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("item_id"),
+        number.alias("rater_id"),
+        F.substring(F.lit("ABCD"), number % 4 + 1, F.lit(1)).alias("arm"),
+        (F.round(F.col("l_discount") * 100).cast("int") % 5 + 1).alias("score"),
+        (F.col("l_returnflag") == "R").alias("preferred"),
+    )
