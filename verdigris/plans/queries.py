@@ -32,6 +32,7 @@ from ..schemas import EXCLUDED, KNOWN_SENTIMENTS, MAPPED_EXACT
 from ..session import cut_lineage
 from ..sources import driver_tables as src
 from ..sources import inbox
+from . import reports
 from .statistics import CatalogStatistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -333,33 +334,11 @@ def _submitted_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
 
     Submissions with the same product and conditions share one ranking.
     """
-    statistics = _statistics(spark, sf)
     submitted = _submitted(spark, sf, src.NATION)
     groups = submission.submitted_groups(submitted)
     conditions = submission.negative_conditions(groups)
-    wanted = (
-        conditions.withColumn("sentiment", F.lit("negative"))
-        .groupBy("submission_id", "product_id")
-        .agg(F.sort_array(F.collect_list(recommend.condition())).alias("conditions"))
-        .withColumn("request_key", F.xxhash64("product_id", F.to_json("conditions")))
-    )
-    distinct = wanted.groupBy("request_key", F.col("product_id").alias("source_id")).agg(
-        F.first("conditions").alias("conditions")
-    )
-    requests = distinct.join(
-        statistics.profile_arrays.select(F.col("product_id").alias("source_id"), "aspects"),
-        "source_id",
-        "left",
-    ).withColumnRenamed("request_key", "request_id")
-    ranked = statistics.rank(requests, recommend.SUBMITTED).withColumnRenamed(
-        "request_id", "request_key"
-    )
-    per_submission = (
-        wanted.select(F.col("submission_id").alias("request_id"), "request_key")
-        .join(ranked, "request_key")
-        .drop("request_key")
-    )
-    return per_submission, conditions, submission.excluded_conditions(groups, submitted)
+    ranked = reports.ranked_submissions(_statistics(spark, sf), conditions)
+    return ranked, conditions, submission.excluded_conditions(groups, submitted)
 
 
 @query
@@ -916,3 +895,52 @@ def nearest_cluster_pairs(spark, sf):
     members = src.clustered_embeddings(spark, sf)
     centres = mapping.centroids(members, ["cluster_id"])
     return evaluation.nearest_cluster_pairs(centres.withColumnRenamed("centroid", "embedding"))
+
+
+def _static_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return reports.static_reports(
+        _statistics(spark, sf), src.catalog_units(spark, sf), src.reviews(spark, sf)
+    )
+
+
+@query
+def static_report(spark, sf):
+    return reports.document(
+        _static_reports(spark, sf), "product_id", reports.STATIC_TYPE, reports.STATIC_SCHEMA_VERSION
+    )
+
+
+@query
+def static_report_markdown(spark, sf):
+    return reports.render_static(_static_reports(spark, sf))
+
+
+def _submission_reports(spark: SparkSession, sf: str) -> DataFrame:
+    submissions = src.reviews(spark, sf).select(
+        F.col("review_id").alias("submission_id"),
+        "review_id",
+        "product_id",
+        "review_text",
+        F.col("created_at").cast("timestamp").alias("submitted_at"),
+    )
+    return reports.submission_reports(
+        _statistics(spark, sf),
+        _submitted(spark, sf, src.NATION),
+        submissions,
+        src.mapped_units(spark, sf),
+    )
+
+
+@query
+def dynamic_report(spark, sf):
+    return reports.document(
+        _submission_reports(spark, sf),
+        "submission_id",
+        reports.DYNAMIC_TYPE,
+        reports.DYNAMIC_SCHEMA_VERSION,
+    )
+
+
+@query
+def dynamic_report_markdown(spark, sf):
+    return reports.render_submission(_submission_reports(spark, sf))
