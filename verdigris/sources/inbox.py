@@ -32,7 +32,7 @@ def read_responses(spark: SparkSession, path: str, pattern: str = "*.json") -> D
     return files.select(
         F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("review_id"),
         F.sha2(F.col("content"), 256).alias("response_sha256"),
-        F.decode("content", F.lit("UTF-8")).alias("response"),
+        F.decode("content", "UTF-8").alias("response"),
     )
 
 
