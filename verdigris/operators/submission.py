@@ -18,8 +18,15 @@ from ..functions.sentiment import (
     vote_counts,
     vote_mask,
 )
-from ..schemas import CANDIDATE, MAPPED_EXACT, NON_PRODUCT_TERMS, SENTIMENTS
-from .joins import null_safe_join
+from ..schemas import (
+    CANDIDATE,
+    GENERAL_EXPERIENCE_ASPECTS,
+    MAPPED_EXACT,
+    NON_PRODUCT_TERMS,
+    SENTIMENTS,
+)
+from .decision import resolve_labels
+from .ingest import unit_violations
 from .votes import ASPECT_KEYS, PAIR_KEYS
 
 _COUNTS = ["supporting_review_count", *[f"{name}_count" for name in SENTIMENTS]]
@@ -69,15 +76,19 @@ def _others(groups: DataFrame, totals: DataFrame, own: DataFrame, keys) -> DataF
     mine = own.select(
         "submission_id", "product_id", *keys, *[F.col(c).alias(f"own_{c}") for c in _COUNTS]
     )
-    joined = null_safe_join(groups, full, ["product_id", *keys], "left")
-    joined = null_safe_join(joined, mine, ["submission_id", "product_id", *keys], "left")
+    # Every key is present at both grains, so plain equi-joins do.
+    joined = groups.join(mine, ["submission_id", "product_id", *keys], "left").join(
+        full, ["product_id", *keys], "left"
+    )
     zero = F.lit(0).cast("long")
-    for name in _COUNTS:
-        rest = F.coalesce(f"full_{name}", zero) - F.coalesce(f"own_{name}", zero)
-        joined = joined.withColumn(f"other_{name}", rest)
-    return joined.withColumn(
-        "same_status_review_count", F.coalesce("full_supporting_review_count", zero)
-    ).drop(*[f"{side}_{c}" for side in ("full", "own") for c in _COUNTS])
+    rest = {
+        f"other_{name}": F.coalesce(f"full_{name}", zero) - F.coalesce(f"own_{name}", zero)
+        for name in _COUNTS
+    }
+    same = F.coalesce("full_supporting_review_count", zero).alias("same_status_review_count")
+    return joined.select(
+        *groups.columns, *[column.alias(name) for name, column in rest.items()], same
+    )
 
 
 def relationships(
@@ -190,9 +201,9 @@ def other_top_statuses(
     )
     keys = ["submission_id", "product_id", "aspect_id", "other_status_id"]
     joined = options.join(mine, keys, "left")
-    for name in _COUNTS:
-        rest = F.col(name) - F.coalesce(f"own_{name}", F.lit(0))
-        joined = joined.withColumn(name, rest)
+    joined = joined.withColumns(
+        {name: F.col(name) - F.coalesce(f"own_{name}", F.lit(0)) for name in _COUNTS}
+    )
     order = W.partitionBy("submission_id", "product_id", "aspect_id", "status_id").orderBy(
         F.desc("supporting_review_count"), "other_status", "other_status_id"
     )
@@ -305,3 +316,35 @@ def is_non_product_aspect(raw_aspect: Column, terms=NON_PRODUCT_TERMS) -> Column
     """True where the aspect, spaces removed, is about delivery, packaging, service or gifts."""
     compact = F.replace(raw_aspect, F.lit(" "), F.lit(""))
     return first_match([(compact.contains(term), F.lit(True)) for term in terms], F.lit(False))
+
+
+def unit_problems(units: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Check externally extracted units against the catalog: text rules, then labels and ids.
+
+    ``units``: submission_id, unit_position, review_text, the five extracted fields and optional
+    aspect, status, aspect_cluster_id, status_cluster_id. A general-experience unit has no status
+    and is exempt from label resolution. Each unit gets its resolved ids and its problems.
+    """
+    checked = unit_violations(units)
+    general = F.col("aspect").isin(*GENERAL_EXPERIENCE_ASPECTS)
+    asked = checked.withColumns(
+        {
+            "aspect": F.coalesce("aspect", "raw_aspect"),
+            "status": F.coalesce("status", "raw_status"),
+            "is_general": F.coalesce(general, F.lit(False)),
+        }
+    )
+    resolved = resolve_labels(asked, pairs)
+    own_rules = F.array_compact(
+        F.array(
+            F.when(is_non_product_aspect(F.col("raw_aspect")), F.lit("NOT_A_PRODUCT_ATTRIBUTE")),
+            F.when(
+                F.col("is_general") & F.col("raw_status").isNotNull(),
+                F.lit("GENERAL_EXPERIENCE_HAS_STATUS"),
+            ),
+        )
+    )
+    labels = F.when(F.col("is_general"), F.array().cast("array<string>")).otherwise(F.col("reasons"))
+    return resolved.withColumn(
+        "problems", F.concat("violations", own_rules, labels)
+    ).withColumn("catalog_comparison_eligible", ~F.col("is_general")).drop("violations", "reasons")

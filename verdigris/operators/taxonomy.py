@@ -266,7 +266,8 @@ def complete_linkage(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
             }
         )
 
-    linked = small.groupBy("boundary").applyInPandas(
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = small.repartition(tasks, "boundary").groupBy("boundary").applyInPandas(
         link, "boundary string, text string, cluster string, cannot_link_pair_count long"
     )
     if large.isEmpty():

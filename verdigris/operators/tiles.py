@@ -58,6 +58,10 @@ def block_pairs(
     rhs = _assign(right.join(counts, "__boundary"), right_key, "__rb", "__nr", "__lb", "__nl")
     rhs = rhs.select(*[F.col(name).alias(name) for name in rhs.columns])  # allow left = right
     keys = ["__boundary", "__lb", "__rb"]
+    # A fixed partition count keeps adaptive execution from merging compute-heavy blocks that are
+    # small in bytes into one task.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lhs, rhs = lhs.repartition(tasks, *keys), rhs.repartition(tasks, *keys)
 
     def meet(left_part: pd.DataFrame, right_part: pd.DataFrame) -> pd.DataFrame:
         if left_part.empty or right_part.empty:

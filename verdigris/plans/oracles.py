@@ -1034,3 +1034,40 @@ ORACLES["nearest_cluster_pairs"] = (
 SELECT a.cluster_id AS lo, b.cluster_id AS hi, {r(cosine('a.centroid', 'b.centroid'), 8)} AS distance
 FROM centres a JOIN centres b ON a.cluster_id < b.cluster_id ORDER BY distance, lo, hi LIMIT 50"""
 )
+
+ORACLES["sentiment_summary"] = base(
+    f"""SELECT m.*, {', '.join(f"coalesce({r(f'{s}_count::DOUBLE / supporting_review_count')}, 0.0::DOUBLE) AS {s}_share" for s in SENTIMENTS)},
+  {r(wilson('positive_count', 'supporting_review_count', 'lower'))} AS positive_wilson_lower,
+  {r(wilson('positive_count', 'supporting_review_count', 'upper'))} AS positive_wilson_upper
+FROM (SELECT product_id, aspect_id, aspect, count(*) AS supporting_review_count, {COUNTS} FROM av GROUP BY 1, 2, 3) m"""
+)
+ORACLES["excluded_experience"] = base(
+    """SELECT product_id, count(*) AS excluded_opinion_unit_count, count(DISTINCT review_id) AS excluded_review_count
+FROM catalog WHERE mapping_state = 'excluded_taxonomy' GROUP BY 1""",
+    False,
+)
+ORACLES["risky_clusters_present"] = base(
+    """SELECT product_id, count(DISTINCT status_id) AS risky_cluster_count FROM pv
+WHERE status_id IN (SELECT status_id FROM pv WHERE status_id IS NOT NULL GROUP BY 1
+  HAVING count(*) FILTER (WHERE vote = 'unknown')::DOUBLE / count(*) > 0.08::DOUBLE) GROUP BY 1"""
+)
+ORACLES["catalog_submissions"] = base(
+    """SELECT 'demo-review-' || review_id AS submission_id, product_id, review_text, count(*)::INTEGER AS unit_count,
+  string_agg(raw_aspect, ',' ORDER BY unit_position) AS raw_aspects, string_agg(sentiment, ',' ORDER BY unit_position) AS sentiments
+FROM fact GROUP BY review_id, product_id, review_text""",
+    False,
+)
+ORACLES["submission_results"] = base(
+    """SELECT 'demo-' || review_id AS demo_review_id, unit_position, raw_aspect, raw_status, aspect, status, sentiment,
+  mapping_state, excerpt, opinion FROM catalog""",
+    False,
+)
+ORACLES["submission_unit_problems"] = base(
+    """SELECT request_id AS submission_id, unit_position, resolved_aspect_id, resolved_status_id, true AS catalog_comparison_eligible,
+  concat_ws(',', CASE WHEN sentiment = 'mixed' THEN 'UNGROUNDED_EXCERPT' END, nullif(reasons, '')) AS problems FROM resolved""",
+    False,
+    """
+, requested AS (SELECT review_id AS request_id, unit_position, CASE WHEN mapping_state = 'mapped_exact' THEN aspect ELSE raw_aspect END AS aspect,
+    coalesce(status, raw_status) AS status, sentiment, NULL::VARCHAR AS aspect_cluster_id, NULL::VARCHAR AS status_cluster_id FROM catalog)"""
+    + RESOLVE,
+)

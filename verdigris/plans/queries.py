@@ -260,7 +260,9 @@ def _flat_ids(df: DataFrame) -> DataFrame:
 
 def _relations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(relationships, pair counts, pair votes, submission sources) with customers as products."""
-    pair_votes = votes.review_votes(src.mapped_units(spark, sf, src.CUSTOMER), PAIR_KEYS)
+    pair_votes = cut_lineage(
+        votes.review_votes(src.mapped_units(spark, sf, src.CUSTOMER), PAIR_KEYS)
+    )
     aspect_votes = votes.coarser_votes(pair_votes)
     pair_counts = votes.count_votes(pair_votes, ["product_id", *PAIR_KEYS])
     aspect_counts = votes.count_votes(aspect_votes, ["product_id", *ASPECT_KEYS])
@@ -335,7 +337,7 @@ def _submitted_repairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFra
     Submissions with the same product and conditions share one ranking.
     """
     submitted = _submitted(spark, sf, src.NATION)
-    groups = submission.submitted_groups(submitted)
+    groups = cut_lineage(submission.submitted_groups(submitted))
     conditions = submission.negative_conditions(groups)
     ranked = reports.ranked_submissions(_statistics(spark, sf), conditions)
     return ranked, conditions, submission.excluded_conditions(groups, submitted)
@@ -378,7 +380,7 @@ NEAR_SETTINGS = decision.DecisionSettings(near_distance=0.9)
 
 
 def _scored_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    requirements = _review_requirements(spark, sf)
+    requirements = cut_lineage(_review_requirements(spark, sf))
     near = near_status_pairs(spark, sf)
     requests = decision.decision_requests(requirements, near, NEAR_SETTINGS)
     statistics = _statistics(spark, sf)
@@ -944,3 +946,77 @@ def dynamic_report(spark, sf):
 @query
 def dynamic_report_markdown(spark, sf):
     return reports.render_submission(_submission_reports(spark, sf))
+
+
+@query
+def sentiment_summary(spark, sf):
+    return votes.sentiment_summary(_votes(spark, sf), ["product_id", *ASPECT_KEYS])
+
+
+@query
+def excluded_experience(spark, sf):
+    return summary.excluded_experience(src.units(spark, sf), src.reviews(spark, sf))
+
+
+@query
+def risky_clusters_present(spark, sf):
+    """Statuses with fewer than half of their votes decided count as risky."""
+    pairs = _counts(spark, sf, PAIR_KEYS)
+    totals = pairs.filter(F.col("status_id").isNotNull()).groupBy("status_id").agg(
+        (F.sum("unknown_count") / F.sum("supporting_review_count")).alias("risk")
+    )
+    risky = totals.filter(F.col("risk") > 0.08).withColumnRenamed("status_id", "cluster_id")
+    return summary.risk_overlap(pairs, risky)
+
+
+@query
+def catalog_submissions(spark, sf):
+    """Every catalog review written as a submission document."""
+    built = decision.submissions_from_reviews(src.mapped_units(spark, sf))
+    return built.select(
+        "submission_id",
+        "product_id",
+        "review_text",
+        F.size("opinion_units").alias("unit_count"),
+        F.concat_ws(",", "opinion_units.raw_aspect").alias("raw_aspects"),
+        F.concat_ws(",", "opinion_units.sentiment").alias("sentiments"),
+    )
+
+
+@query
+def submission_results(spark, sf):
+    reviews = src.reviews(spark, sf).withColumn(
+        "demo_review_id", F.concat_ws("-", F.lit("demo"), "review_id")
+    )
+    columns = ["opinion_unit_id", "review_id", "unit_position", "raw_aspect", "raw_status"]
+    columns += ["aspect", "status", "sentiment", "mapping_state", "excerpt", "opinion"]
+    return ingest.submission_result(src.units(spark, sf).select(*columns), reviews)
+
+
+@query
+def submission_unit_problems(spark, sf):
+    units = src.catalog_units(spark, sf).select(
+        F.col("review_id").alias("submission_id"),
+        "unit_position",
+        "review_text",
+        "raw_aspect",
+        "raw_status",
+        F.when(F.col("sentiment") == "mixed", F.col("opinion"))
+        .otherwise(F.col("excerpt"))
+        .alias("excerpt"),
+        "opinion",
+        "sentiment",
+        F.when(F.col("mapping_state") == MAPPED_EXACT, F.col("aspect")).alias("aspect"),
+        "status",
+        F.lit(None).cast("string").alias("aspect_cluster_id"),
+        F.lit(None).cast("string").alias("status_cluster_id"),
+    )
+    found = submission.unit_problems(units, _canonical_pairs(spark, sf))
+    return found.select(
+        "submission_id",
+        "unit_position",
+        "resolved_aspect_id",
+        "resolved_status_id",
+        "catalog_comparison_eligible",
+        F.concat_ws(",", "problems").alias("problems"),
+    )

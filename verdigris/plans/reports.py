@@ -18,6 +18,7 @@ from ..schemas import (
     RELATED_PRODUCT_LIMIT,
     SENTIMENTS,
 )
+from ..session import cut_lineage
 from . import report_texts as say
 from .statistics import CatalogStatistics
 
@@ -114,8 +115,10 @@ def static_reports(
         rows = summary.summary_rows(mapped, counted, counts, keys)
         rows = null_safe_join(rows, _evidence(mapped, keys, limit), ["product_id", *keys], "left")
         parts.append(_listed(rows, ["product_id"], [F.col("rank")], _summary_item(keys), name))
-    pair_votes = votes.review_votes(mapped, PAIR_KEYS)
-    covered = summary.coverage(kept, statistics.review_counts.drop("category"), pair_votes)
+    pair_votes = cut_lineage(votes.review_votes(mapped, PAIR_KEYS))
+    covered = cut_lineage(
+        summary.coverage(kept, statistics.review_counts.drop("category"), pair_votes)
+    )
     latest = summary.latest_review(reviews).join(
         reviews.select("review_id", "review_text"), "review_id"
     )
@@ -300,17 +303,20 @@ def submission_reports(
     ``submissions``: submission_id, review_id, product_id, review_text, submitted_at;
     ``submitted``: its units of all states; ``mapped``: catalog units with canonical mapping.
     """
-    groups = submission.submitted_groups(submitted)
-    pair_votes = votes.review_votes(mapped, PAIR_KEYS)
+    submitted = submitted.repartition("review_id").persist()
+    groups = cut_lineage(submission.submitted_groups(submitted))
+    pair_votes = cut_lineage(votes.review_votes(mapped, PAIR_KEYS))
     sources = submissions.select("submission_id", "review_id")
-    relations = submission.relationships(
-        groups,
-        votes.coarser_votes(pair_votes),
-        pair_votes,
-        statistics.aspect_counts,
-        statistics.pair_counts,
-        sources,
-        statistics.named_counts,
+    relations = cut_lineage(
+        submission.relationships(
+            groups,
+            votes.coarser_votes(pair_votes),
+            pair_votes,
+            statistics.aspect_counts,
+            statistics.pair_counts,
+            sources,
+            statistics.named_counts,
+        )
     )
     top = submission.other_top_statuses(
         submission.unmentioned_pairs(relations), statistics.pair_counts, pair_votes, sources
@@ -329,7 +335,7 @@ def submission_reports(
     relation_item = F.struct(*[c for c in relations.columns if c not in ("submission_id", "product_id")])
     conditions = submission.negative_conditions(groups)
     excluded = submission.excluded_conditions(groups, submitted)
-    ranked = ranked_submissions(statistics, conditions)
+    ranked = cut_lineage(ranked_submissions(statistics, conditions))
     matches = recommend.condition_matches(
         ranked,
         conditions.withColumnRenamed("submission_id", "request_id").select(

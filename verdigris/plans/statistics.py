@@ -15,7 +15,10 @@ from ..session import cut_lineage
 
 @dataclass
 class CatalogStatistics:
-    """Vote counts per product and aspect (pair), and what derives from them alone."""
+    """Vote counts per product and aspect (pair), and what derives from them alone.
+
+    Derived tables used more than once are kept too: all are products times taxonomy at most.
+    """
 
     products: DataFrame
     review_counts: DataFrame
@@ -60,11 +63,11 @@ class CatalogStatistics:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return profiles.smoothed_profile(self.aspect_counts, self.named_counts)
+        return cut_lineage(profiles.smoothed_profile(self.aspect_counts, self.named_counts))
 
     @cached_property
     def profile_arrays(self) -> DataFrame:
-        return similarity.profile_arrays(self.profile, self.products)
+        return cut_lineage(similarity.profile_arrays(self.profile, self.products))
 
     @cached_property
     def pair_rates(self) -> DataFrame:
@@ -72,14 +75,15 @@ class CatalogStatistics:
 
     @cached_property
     def pair_profiles(self) -> DataFrame:
-        return profiles.pair_profiles(self.pair_counts)
+        return cut_lineage(profiles.pair_profiles(self.pair_counts))
 
     @cached_property
     def weaknesses(self) -> tuple[DataFrame, DataFrame]:
-        return recommend.source_weaknesses(self.pair_matrix)
+        weaknesses, excluded = recommend.source_weaknesses(self.pair_matrix)
+        return cut_lineage(weaknesses), excluded
 
     def similar_products(self) -> DataFrame:
-        ranked = similarity.similar_products(self.profile_arrays)
+        ranked = cut_lineage(similarity.similar_products(self.profile_arrays))
         return similarity.pair_components(
             ranked, self.profile, self.pair_rates, self.named_counts
         )
@@ -91,7 +95,7 @@ class CatalogStatistics:
 
     def weakness_repairs(self) -> DataFrame:
         requests = recommend.product_requests(self.weaknesses[0], self.profile_arrays)
-        return self.rank(requests, recommend.STATIC)
+        return cut_lineage(self.rank(requests, recommend.STATIC))
 
     def weakness_repair_matches(self, ranked: DataFrame | None = None) -> DataFrame:
         conditions = self.weaknesses[0].select(
