@@ -54,6 +54,8 @@ def block_pairs(
     counts = _block_counts(left, left_rows, "__nl").join(
         _block_counts(right, right_rows, "__nr"), "__boundary"
     )
+    if left_boundary is None and right_boundary is None:
+        counts = F.broadcast(counts)  # exactly one row
     lhs = _assign(left.join(counts, "__boundary"), left_key, "__lb", "__nl", "__rb", "__nr")
     rhs = _assign(right.join(counts, "__boundary"), right_key, "__rb", "__nr", "__lb", "__nl")
     rhs = rhs.select(*[F.col(name).alias(name) for name in rhs.columns])  # allow left = right

@@ -1071,3 +1071,13 @@ ORACLES["submission_unit_problems"] = base(
     coalesce(status, raw_status) AS status, sentiment, NULL::VARCHAR AS aspect_cluster_id, NULL::VARCHAR AS status_cluster_id FROM catalog)"""
     + RESOLVE,
 )
+# Two status types never reach the matching ratio, so cores oppose exactly where they are equal.
+ORACLES["cannot_link_pairs"] = base(
+    """SELECT a.aspect_id AS boundary, a.raw_status AS lo, b.raw_status AS hi
+FROM (SELECT DISTINCT aspect_id, raw_status FROM units WHERE raw_status IS NOT NULL) a
+JOIN (SELECT DISTINCT aspect_id, raw_status FROM units WHERE raw_status IS NOT NULL) b
+  ON a.aspect_id = b.aspect_id AND a.raw_status < b.raw_status
+WHERE (split_part(a.raw_status, '/', 1) = split_part(b.raw_status, '/', 1) AND split_part(a.raw_status, '/', 2) <> split_part(b.raw_status, '/', 2))
+   OR (a.raw_status = 'ECONOMY/F' AND b.raw_status = 'LARGE/O')""",
+    False,
+)

@@ -18,6 +18,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.appName("verdigris")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a hot join key even where an aggregation reuses the join's partitioning.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
