@@ -227,16 +227,18 @@ def _linkage_by_rounds(nodes: DataFrame, settings: ClusterSettings) -> DataFrame
     )
     edges = found.filter(F.col("lo").isNotNull())
     membership = nodes.select("boundary", "text", F.col("text").alias("cluster"))
+    done = 0
     while not edges.isEmpty():
         merges = cut_lineage(_mutual_pairs(edges))
         renamed = merges.select(
             "boundary", F.col("hi").alias("cluster"), F.col("lo").alias("merged_into")
         )
-        membership = cut_lineage(
-            membership.join(renamed, ["boundary", "cluster"], "left").select(
-                "boundary", "text", F.coalesce("merged_into", "cluster").alias("cluster")
-            )
+        membership = membership.join(renamed, ["boundary", "cluster"], "left").select(
+            "boundary", "text", F.coalesce("merged_into", "cluster").alias("cluster")
         )
+        done += 1
+        if done % 8 == 0:
+            membership = cut_lineage(membership)
         edges = cut_lineage(_merged_edges(edges, merges))
     return membership.join(counts, "boundary", "left").fillna(0, subset=["cannot_link_pair_count"])
 

@@ -20,6 +20,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         # Split a hot join key even where an aggregation reuses the join's partitioning.
         .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+        # Recording the Python call site of every column costs seconds on wide report plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
