@@ -1,4 +1,4 @@
-"""The reference situations: a tiny catalog, late rows, repeated texts, rejected excerpts."""
+"""Small situations end to end: a tiny catalog, late rows, repeated texts, rejected excerpts."""
 
 import json
 from datetime import datetime
