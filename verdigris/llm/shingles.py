@@ -48,14 +48,14 @@ def _chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a chunk, and where each text's words begin (one more entry at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a chunk, where each text's words begin (one more entry at the end), and their bytes."""
     begin = offsets[0]
     data = _LOWER[data[begin : offsets[-1]]]
     offsets = offsets - begin
     size = len(data)
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
     inside = np.zeros(size + 2, bool)
     inside[1:-1] = ~_SPACE[data]
     edge = np.zeros(size + 1, bool)
@@ -65,11 +65,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_BASE, size, "up"), out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * _power(_INVERSE, size, "down")[starts])
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), ends - starts
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    words, begins = word_hashes(data, offsets)
+    words, begins, _ = word_hashes(data, offsets)
     count = len(words)
     wide = np.zeros(count, np.uint64)
     for k in range(min(WORDS, count)):
