@@ -28,6 +28,8 @@ BUCKETS = 1 << 17
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
 EPOCHS = 4
+#: Subwords that stand for a training text.
+GRAMS = 800
 RATE = 0.5
 #: Share of labelled rows whose own language may fall under the score of rejection.
 REJECTED_SHARE = 0.002
@@ -120,7 +122,7 @@ def _examples(texts: list[str]) -> list[list[np.ndarray]]:
         spaced, _ = _spaced(data, np.array([0, len(data)]))
         grams = [_buckets(spaced, size) for size in SIZES]
         whole = np.concatenate([g[g != 0] for g in grams])
-        own = [whole[:: max(1, len(whole) // 3000)]]
+        own = [whole[:: 1 + len(whole) // GRAMS]]  # spread over the whole text
         for width in (40, 150):
             at = (len(data) - width) // 2
             if at > 0:

@@ -1,6 +1,7 @@
-"""What the driver's contract registers from this subpackage."""
+"""What the driver's contract registers from this subpackage and from the pipeline."""
 
-from verdigris.llm.oracles import ORACLES
-from verdigris.llm.queries import QUERIES
+import corpus_pipeline
+from verdigris.llm import oracles, queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | {"pipeline": corpus_pipeline.run}
+ORACLES = oracles.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -14,6 +14,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ TERM_WORDS = 3
 BYTES_PER_WEIGHT = 6
 LARGEST_WEIGHT = 7
 RADIUS = 12
+#: Ranges of ids for each task that compares neighbours: several, so that hashing deals them out evenly.
+RANGES_PER_TASK = 4
 #: Rows of one side that a task compares at a time.
 TILE = 20_000
 _CHUNK = 1 << 18
@@ -142,14 +145,24 @@ def beside_next(docs: DataFrame, ranges: int) -> DataFrame:
     if not bounds:
         return rows.sparkSession.createDataFrame([], _BESIDE)
     key = F.coalesce("doc_id", F.lit(_LEAST))
-    home = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda bound: bound <= F.col("key"))) - 1
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(bounds))
+
+    @F.pandas_udf("long")
+    def place(keys: pd.Series) -> pd.Series:
+        """2 * range, and one more for the id that begins it."""
+        at = np.searchsorted(shared.value, keys.to_numpy(), "right") - 1
+        return pd.Series(2 * at + (shared.value[at] == keys.to_numpy()))
+
+    home = F.shiftright("place", 1)
     before = F.pmod(F.col("home") - 1, F.lit(len(bounds)))
     own = F.struct(F.lit(False).alias("guest"), F.col("home").alias("at"))
     guest = F.struct(F.lit(True).alias("guest"), before.alias("at"))
-    homes = F.when(F.col("key").isin(bounds), F.array(own, guest)).otherwise(F.array(own))
-    dealt = rows.withColumn("key", key).withColumn("home", home).select("doc_id", "text", F.explode(homes).alias("to"))
+    homes = F.when(F.col("place") % 2 == 1, F.array(own, guest)).otherwise(F.array(own))
+    dealt = (
+        rows.withColumn("place", place(key)).withColumn("home", home).select("doc_id", "text", F.explode(homes).alias("to"))
+    )
     placed = dealt.select("doc_id", "text", F.col("to.guest").alias("guest"), F.col("to.at").alias("at"))
-    ordered = placed.repartition(len(bounds), "at").sortWithinPartitions("at", "guest", "doc_id", "text")
+    ordered = placed.repartition(max(1, ranges // RANGES_PER_TASK), "at").sortWithinPartitions("at", "guest", "doc_id", "text")
     return small_batches(ordered).mapInArrow(_beside, _BESIDE)
 
 
@@ -171,17 +184,22 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _compared(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     changed = [edited(text, following) for _, text, following in pairs]
     texts = [text for _, text, _ in pairs]
-    # Neighbours follow each other, so the next text's fingerprint is mostly the next row's own.
-    own = fingerprints_of([*texts, *([pairs[-1][2]] if pairs else [])])
+    # The next text is mostly the next row's own; it isn't at the end of a range or batch.
+    alone = [k for k, (_, _, after) in enumerate(pairs) if k + 1 == len(pairs) or after is not texts[k + 1]]
+    own = fingerprints_of([*texts, *(pairs[k][2] for k in alone)])
+    of_next = own[1 : len(texts) + 1]
+    for k, found in zip(alone, own[len(texts) :], strict=True):
+        of_next[k] = found
+    own = own[: len(texts)]
     of_edited = fingerprints_of(changed)
     columns = (
         [doc_id for doc_id, _, _ in pairs],
         [len(text) for text in texts],
         [hashlib.sha256(text.encode()).hexdigest() for text in changed],
-        [x.hex() for x in own[:-1]],
+        [x.hex() for x in own],
         [x.hex() for x in of_edited],
-        [likeness(a, b) for a, b in zip(own, of_edited, strict=False)],
-        [likeness(a, b) for a, b in zip(own, own[1:], strict=False)],
+        [likeness(a, b) for a, b in zip(own, of_edited, strict=True)],
+        [likeness(a, b) for a, b in zip(own, of_next, strict=True)],
     )
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     names = [part.split()[0] for part in _BESIDE.split(", ")]
