@@ -74,9 +74,9 @@ def test_odd_rows(make):
     assert ngram_join.near_duplicates(make([])).count() == 0
 
 
-@pytest.mark.parametrize("seed,few", [(1, 8), (2, 0)])
-def test_groups_around_the_threshold(make, monkeypatch, seed, few):
-    monkeypatch.setattr(ngram_join, "FEW", few)  # 0: hub rounds until they find nothing
+@pytest.mark.parametrize("seed,mostly", [(1, 0.5), (2, 0.0), (3, 2.0)])
+def test_groups_around_the_threshold(make, monkeypatch, seed, mostly):
+    monkeypatch.setattr(ngram_join, "MOSTLY", mostly)  # 0: turns with hubs until they find nothing; 2: one turn
     rows = planted(seed)
     check(make(rows), rows)
 

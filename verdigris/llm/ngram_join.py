@@ -7,14 +7,15 @@ another set at all; one with less than the threshold links with nothing), then p
 Candidates share a shingle among the rarest of both sets: of two sets that reach the threshold ``t``, the first
 ``n - ceil(t n) + 1`` shingles in any common order meet. To find the components, not every pair of a group of
 copies is compared: in each round every set is compared with one other set, a hub of the shingles it has in common
-with others of another component. When what is left apart is little, all pairs of different components that share a
-rare shingle are compared. So no link that joins components is missed, and pairs do not grow with the square of a
+with others of another component. When such pairs mostly don't link any more, all pairs of different components that
+share a rare shingle, and may reach the threshold by what follows it, are compared. So no link that joins components is missed, and pairs do not grow with the square of a
 group of copies.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ PER_FLUSH = 3_000_000
 PART_BITS = 3
 #: Size of the filter that spares most other texts a second shuffle; it grows no further, an exact join follows.
 FILTER_BITS = 1 << 26
-#: Pairs of the last step per row of the candidate table, up to which it is taken at once.
-FEW = 8
+#: Share of the pairs with hubs that must link for another turn with hubs.
+MOSTLY = 0.5
 _MANY = 0xFFFF  # owner of a shingle that several sets of one flush have
 
 
@@ -234,29 +235,42 @@ def set_parts(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def rare_shingles(parts: DataFrame) -> DataFrame:
-    """shingle, node, n: the shingles of each set that two linked sets cannot both lack.
+    """shingle, node, n, after, typical: the shingles of each set that two linked sets cannot both lack.
 
-    They are its first ones in the order of how many sets have them, without those that no other set has.
+    They are its first ones in the order of how many sets have them; those that no other set has come before all and
+    are left out. ``after`` counts the set's shingles from this one on; ``typical`` is how many sets have one of the
+    set's shingles, on average.
     """
     each = parts.select("set_key", "n", F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     held = each.join(common, "shingle").groupBy("set_key", "n").agg(
-        F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("held")
+        F.array_sort(F.collect_list(F.struct("sets", "shingle"))).alias("held"), F.sum("sets").alias("typical")
     )
     least = F.ceil(F.col("n") * THRESHOLD / 100)
-    length = (F.col("n") - least + 1 - (F.col("n") - F.size("held"))).cast("int")
+    length = (F.size("held") - least + 1).cast("int")
     return (
         held.where(length > 0)
-        .select("set_key", "n", F.explode(F.slice("held", F.lit(1), length)).alias("own"))
-        .select(F.col("own.shingle").alias("shingle"), F.col("set_key").alias("node"), "n")
+        .select("set_key", "n", "typical", F.size("held").alias("many"), F.posexplode(F.slice("held", F.lit(1), length)).alias("at", "own"))
+        .select(
+            F.col("own.shingle").alias("shingle"),
+            F.col("set_key").alias("node"),
+            "n",
+            (F.col("many") - F.col("at")).alias("after"),
+            (F.col("typical") / F.col("n")).alias("typical"),
+        )
     )
 
 
 # Second count: what the candidates of a pair have in common.
 
 
-def _may_reach(n: Column, m: Column) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * THRESHOLD
+def _may_reach(n: Column, after: Column, m: Column, after_too: Column) -> Column:
+    """Whether two sets that first meet in this shingle may have enough in common.
+
+    Sets of n and m shingles link from an overlap of (n + m) t / (1 + t) on, and it cannot exceed what either has from
+    the first common shingle on. That one passes this test whenever the sets link, so no link is missed.
+    """
+    return F.least(after, after_too) * (100 + THRESHOLD) >= (n + m) * THRESHOLD
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -271,18 +285,29 @@ def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(rare: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Each set with one hub: of the hubs of its rare shingles in other components, the one it meets most often."""
-    own = rare.join(labels, "node")
-    place = F.xxhash64("node", F.lit(turn))
-    hubs = own.groupBy("shingle").agg(
-        F.min(F.struct(place.alias("place"), F.col("node").alias("hub"), F.col("n").alias("nb"), F.col("component").alias("of")))
-        .alias("hub"),
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
+    """Each set with one hub: of the hubs of its rare shingles in other components, the one it meets most often.
+
+    A shingle has a hub for each class of sizes: first the most typical of its sets, which is near the middle of a
+    group of edited copies, and any in later turns.
+    """
+    own = rare.join(labels, "node").withColumn("size", F.floor(F.log("n") * 6))
+    place = F.xxhash64("node", F.lit(turn)) if turn else -F.col("typical")
+    hub = F.struct(
+        place.alias("place"),
+        F.col("node").alias("hub"),
+        F.col("n").alias("nb"),
+        F.col("after").alias("hub_after"),
+        F.col("component").alias("of"),
+    )
+    hubs = own.groupBy("shingle", "size").agg(
+        F.min(hub).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
     )
     meets = (
-        own.join(hubs.where("low <> high"), "shingle")
-        .where((F.col("component") != F.col("hub.of")) & _may_reach(F.col("n"), F.col("hub.nb")))
+        own.join(hubs.where("low <> high"), ["shingle", "size"])
+        .where(
+            (F.col("component") != F.col("hub.of"))
+            & _may_reach(F.col("n"), F.col("after"), F.col("hub.nb"), F.col("hub.hub_after"))
+        )
         .groupBy("node", "n", "hub.hub", "hub.nb")
         .agg(F.count(F.lit(1)).alias("times"))
     )
@@ -303,17 +328,22 @@ def _sides(rare: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _pairs_apart(rare: DataFrame, labels: DataFrame, sides: DataFrame) -> DataFrame:
-    """All pairs of sets of different components that share a rare shingle."""
+def _pairs_apart(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of sets of different components that meet in a rare shingle and may reach the threshold there."""
+    sides = _sides(rare, labels)
     own = rare.join(labels, "node").join(sides.select("shingle", "main"), "shingle")
     right = own.select(
-        "shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb")
+        "shingle",
+        F.col("node").alias("b"),
+        F.col("n").alias("nb"),
+        F.col("after").alias("after_b"),
+        F.col("component").alias("cb"),
     )
     left = own.where(F.col("component") != F.col("main"))
     met = left.join(right, "shingle").where(
         (F.col("component") != F.col("cb"))
         & ((F.col("cb") == F.col("main")) | (F.col("node") < F.col("b")))
-        & _may_reach(F.col("n"), F.col("nb"))
+        & _may_reach(F.col("n"), F.col("after"), F.col("nb"), F.col("after_b"))
     )
     low, high = F.col("node") < F.col("b"), F.col("node") >= F.col("b")
     return met.select(
@@ -325,22 +355,22 @@ def _pairs_apart(rare: DataFrame, labels: DataFrame, sides: DataFrame) -> DataFr
 
 
 def components_of(rare: DataFrame, parts: DataFrame) -> DataFrame:
-    """node and component (a set_key) of every set that has rare shingles."""
+    """node and component (a set_key) of every set that has rare shingles.
+
+    Turns with hubs go on while most of the pairs that they try link; pairs of what then lies apart mostly don't, and
+    all of them are tried.
+    """
     labels = cut_lineage(rare.select("node", F.col("node").alias("component")).distinct())
-    rows = rare.count()
-    turn, idle = 0, 0
-    while True:
-        sides = cut_lineage(_sides(rare, labels))
-        left = sides.agg(F.sum(F.col("out").cast("double") * F.col("all"))).first()[0]
-        if not left:
-            return labels
-        if left <= FEW * rows or idle == 2:
-            pairs = cut_lineage(_pairs_apart(rare, labels, sides))
-            return merge_components(labels, cut_lineage(linked(pairs, parts).select("a", "b")))
-        links = cut_lineage(linked(_hub_pairs(rare, labels, turn), parts).select("a", "b"))
-        idle = idle + 1 if links.isEmpty() else 0
-        labels = merge_components(labels, links)
-        turn += 1
+    for turn in itertools.count():
+        hubs = cut_lineage(_hub_pairs(rare, labels, turn))
+        links = cut_lineage(linked(hubs, parts).select("a", "b"))
+        tried, found = hubs.count(), links.count()
+        if found:
+            labels = merge_components(labels, links)
+        if found < MOSTLY * tried or not found:
+            break
+    pairs = cut_lineage(_pairs_apart(rare, labels))
+    return merge_components(labels, cut_lineage(linked(pairs, parts).select("a", "b")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -377,13 +407,11 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
     keys = cut_lineage(sets_that_may_link(docs, max(1, -(-total // PER_FRAGMENT))))
     parts = cut_lineage(set_parts(docs, keys))
     rare = cut_lineage(rare_shingles(parts))
-    right = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"))
+    left = rare.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("after").alias("after_a"))
+    right = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
+    reach = _may_reach(F.col("na"), F.col("after_a"), F.col("nb"), F.col("after_b"))
     pairs = (
-        rare.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"))
-        .join(right, "shingle")
-        .where((F.col("a") < F.col("b")) & _may_reach(F.col("na"), F.col("nb")))
-        .drop("shingle")
-        .distinct()
+        left.join(right, "shingle").where((F.col("a") < F.col("b")) & reach).select("a", "b", "na", "nb").distinct()
     )
     return linked(pairs, parts)
 
