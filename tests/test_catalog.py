@@ -221,10 +221,15 @@ def test_stream_rebuild_and_late_rows(spark, tmp_path):
 
     def run():
         stream = inbox_stream(spark, str(box))
-        ingest_available(stream, store, answered, tables, LINEAGE, str(tmp_path / "cp")).awaitTermination()
+        ingest_available(
+            stream, store, answered, tables, LINEAGE, str(tmp_path / "cp"), "quarantine"
+        ).awaitTermination()
 
     run()
     assert store.read("reviews").count() == 3
+    assert [(r.raw_aspect, r.violations) for r in store.read("quarantined_units").collect()] == [
+        ("화면", ["UNGROUNDED_EXCERPT"])
+    ]
     units = {(r.raw_aspect, r.raw_status): r for r in store.read("opinion_units").collect()}
     assert units["화면", "밝음"].mapping_state == "mapped_exact"
     unseen = units["디스플레이", "어두움"]
@@ -247,7 +252,82 @@ def test_stream_rebuild_and_late_rows(spark, tmp_path):
                 for r in store.read("opinion_units", "g1").collect()}
     assert versions["디스플레이"] == ("mapping-2", "mapped_exact")
     assert versions["색감"] == ("mapping-1", "candidate")
-    assert store.read("aspect_mapping_table", "g1").count() == 2
+    assert store.read("aspect_mapping_table").count() == 2
+
+
+def test_ingestion_and_rebuild_are_one_lineage(spark, tmp_path):
+    from verdigris.functions.text import content_hash
+    from verdigris.operators.ingest import stage_inbox
+    from verdigris.plans.ingestion import ingest_run
+    from verdigris.schemas import INBOX
+
+    texts = ["화면이 밝음", "디스플레이가 어두움", "색감 좋음"]
+    units = [
+        response([("화면", "밝음", "밝음", "밝다", "positive")]),
+        response([("디스플레이", "어두움", "어두움", "어둡다", "negative")]),
+        response([("색감", "밝음", "색감", "좋다", "positive")]),
+    ]
+    store = catalog.CatalogStore(spark, str(tmp_path / "catalog"))
+    tables = known_taxonomy(spark)
+
+    def answers(numbers):
+        rows = [(texts[i], units[i]) for i in numbers]
+        return spark.createDataFrame(rows, "text string, response string").select(
+            content_hash("text").alias("content_sha256"), "response", F.sha2("response", 256).alias("response_sha256")
+        )
+
+    def ingest(run_id, numbers, answered):
+        rows = [(None, str(i), "p1", "상품", None, texts[i]) for i in numbers]
+        inbox = spark.createDataFrame(rows, INBOX).withColumn("ordinal", F.col("source_review_id").cast("long"))
+        return ingest_run(store, stage_inbox(inbox), answered, tables, LINEAGE, run_id)
+
+    def rebuild_all(version, generation):
+        frozen = store.read("opinion_units").select("opinion_unit_id", "review_id", "raw_aspect", "raw_status")
+        return rebuild.rebuild(
+            store, frozen, tables.vectors, taxonomy.TaxonomySettings(), version, f"rebuild-{version}", generation
+        )
+
+    assert ingest("run-1", [0, 1], answers([0]))  # the second has no response yet
+    assert (store.read("reviews").count(), store.read("pending_reviews").count()) == (1, 1)
+    rebuild_all("mapping-2", "g1")
+    assert store.current_generation() == "g1"
+    assert ingest("run-2", [2], answers([0, 1, 2]))  # and is taken up again
+    assert not ingest("run-2", [2], answers([0, 1, 2]))
+    assert store.read("reviews").count() == 3 and store.read("products").count() == 1
+    assert {r.raw_aspect: r.mapping_table_version_id for r in store.read("opinion_units").collect()} == {
+        "화면": "mapping-2", "디스플레이": "mapping-1", "색감": "mapping-1",
+    }
+    with pytest.raises(ValueError, match="already exists"):
+        rebuild_all("mapping-2", "g2")
+    with pytest.raises(ValueError, match="already exists"):
+        rebuild_all("mapping-3", "g1")
+    rebuild_all("mapping-3", "g2")
+    assert {r.mapping_table_version_id for r in store.read("opinion_units").collect()} == {"mapping-3"}
+    assert store.read("opinion_units", "g1").count() == 3
+    assert sorted(r.mapping_table_version_id for r in store.read("taxonomy_versions").collect()) == [
+        "mapping-2", "mapping-3",
+    ]
+    doubled = answers([0]).unionByName(answers([0]).withColumn("response", F.lit("{}")))
+    with pytest.raises(ValueError, match="more than one"):
+        ingest("run-3", [0], doubled)
+
+
+def test_missing_vectors_and_wide_ids(spark):
+    captured = spark.createDataFrame(
+        [("ou-1", "r1", "화면", None), ("ou-2", "r2", "색감", None)],
+        "opinion_unit_id string, review_id string, raw_aspect string, raw_status string",
+    )
+    vectors = spark.createDataFrame([("화면", [1.0, 0.0])], "text string, embedding array<double>")
+    with pytest.raises(ValueError, match="without a vector"):
+        taxonomy.build_taxonomy(captured, vectors, taxonomy.TaxonomySettings())
+    assignments = spark.createDataFrame(
+        [("ou-1", "mapped_exact", None, None), ("ou-2", "mapped_exact", "A", None)],
+        "opinion_unit_id string, mapping_state string, aspect_cluster_id string, status_cluster_id string",
+    )
+    assert [r.opinion_unit_id for r in taxonomy.unmapped_exact(assignments, captured).collect()] == ["ou-1"]
+    ids = taxonomy.sequential_ids(spark.range(1_000_100), ["id"], "name", "D-A-")
+    assert ids.select("name").distinct().count() == 1_000_100
+    assert {r.name for r in ids.filter("id in (0, 999999)").collect()} == {"D-A-000001", "D-A-1000000"}
 
 
 def test_store_commits_once_and_release_is_verified(spark, tmp_path):

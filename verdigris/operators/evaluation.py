@@ -16,7 +16,6 @@ ARMS = ("A", "B", "C", "D")
 RESAMPLES = 5000
 SEED = 17171771
 BLOCK_ROWS = 4096
-MAXIMUM_BLOCKS = 65536
 
 
 def item_means(ratings: DataFrame) -> DataFrame:
@@ -50,6 +49,23 @@ def complete_items(ratings: DataFrame) -> DataFrame:
     return item_means(ratings).groupBy("item_id").pivot("arm", list(ARMS)).avg("score").dropna()
 
 
+def _split_shares(placed: DataFrame, levels: int) -> DataFrame:
+    """For each block and level of the tree of splits above it, the share of rows in the left half."""
+    counted = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    steps = counted.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))) if levels else None
+    if steps is None:
+        return counted.select(F.col("block").alias("of_block"), F.lit(0).alias("level"), F.lit(1.0).alias("left_share")).filter("level > 0")
+    shift = F.lit(levels) - F.col("level")
+    node = F.expr("shiftright(block, cast(shift as int))")
+    right = F.expr("shiftright(block, cast(shift as int) - 1)") % 2
+    placed_steps = steps.withColumn("shift", shift).withColumns({"node": node, "right": right})
+    halves = placed_steps.groupBy("level", "node").agg(
+        (F.sum(F.when(F.col("right") == 0, F.col("n")).otherwise(0)) / F.sum("n")).alias("left_share")
+    )
+    found = placed_steps.join(halves, ["level", "node"])
+    return found.select(F.col("block").alias("of_block"), "level", "left_share")
+
+
 def bootstrap_means(
     values: DataFrame, key: str, columns: list[str], resamples: int = RESAMPLES, seed: int = SEED
 ) -> DataFrame:
@@ -61,44 +77,39 @@ def bootstrap_means(
     resample: neither rows times resamples nor all rows meet in one place.
     """
     total = values.count()
-    blocks = max(1, min(MAXIMUM_BLOCKS, -(-total // BLOCK_ROWS)))
+    blocks = max(1, -(-total // BLOCK_ROWS))
+    levels = (blocks - 1).bit_length()
     placed = values.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), key, *columns
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"), key, *columns
     )
-    sizes = np.zeros(blocks, dtype=np.int64)
-    counted = placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    for row in counted.toLocalIterator():  # at most MAXIMUM_BLOCKS rows
-        sizes[row["block"]] = row["n"]
-    before = np.concatenate([[0], np.cumsum(sizes)])
     schema = "resample int, " + ", ".join(f"{name} double" for name in columns)
 
-    def block_draws(block: int) -> np.ndarray:
-        draws, low, high = np.full(resamples, total), 0, blocks
-        while high - low > 1:
-            middle = (low + high) // 2
-            rows = before[high] - before[low]
-            share = (before[middle] - before[low]) / rows if rows else 0.0
-            left = np.random.default_rng([seed, low, high]).binomial(draws, share)
-            if block < middle:
-                draws, high = left, middle
-            else:
-                draws, low = draws - left, middle
+    def block_draws(block: int, shares: dict) -> np.ndarray:
+        draws = np.full(resamples, total)
+        for level in range(levels):
+            node = block >> (levels - level)
+            left = np.random.default_rng([seed, level, node]).binomial(draws, shares[level])
+            right = (block >> (levels - level - 1)) & 1
+            draws = draws - left if right else left
         return draws
 
-    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+    def draw(frame: pd.DataFrame, path: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(key)
         block = int(frame["block"].iloc[0])
         data = frame[columns].to_numpy(dtype=float)
-        inside = np.random.default_rng([seed, block])
+        inside = np.random.default_rng([seed, levels, block])
         uniform = np.full(len(frame), 1.0 / len(frame))
         sums = np.zeros((resamples, len(columns)))
-        for number, count in enumerate(block_draws(block)):
+        shares = dict(zip(path["level"], path["left_share"], strict=True))
+        for number, count in enumerate(block_draws(block, shares)):
             sums[number] = inside.multinomial(count, uniform) @ data
         return pd.DataFrame(sums, columns=columns).assign(resample=np.arange(resamples))[
             ["resample", *columns]
         ]
 
-    partial = placed.groupBy("block").applyInPandas(draw, schema)
+    paths = _split_shares(placed, levels)
+    grouped = placed.groupBy("block").cogroup(paths.groupBy("of_block"))
+    partial = grouped.applyInPandas(draw, schema)
     means = partial.groupBy("resample").agg(
         *[(F.sum(name) / F.lit(float(total))).alias(name) for name in columns]
     )

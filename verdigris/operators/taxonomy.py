@@ -292,7 +292,7 @@ def sequential_ids(df: DataFrame, order: list[str], name: str, prefix: str) -> D
     number = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(*order))
     return (
         kept.join(offsets, "__part")
-        .withColumn(name, F.concat(F.lit(prefix), F.lpad(number.cast("string"), 6, "0")))
+        .withColumn(name, F.format_string(f"{prefix}%06d", number))  # widens from a million on
         .drop("__part", "__before")
     )
 
@@ -545,6 +545,23 @@ class TaxonomySettings:
     excluded_aspects: tuple = GENERAL_EXPERIENCE_ASPECTS
 
 
+def with_vectors(nodes: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Nodes with their embedding; fails if an expression has no vector, which would leave it unclustered."""
+    known = vectors.select("text").distinct()
+    lacking = [row["text"] for row in nodes.join(known, "text", "left_anti").select("text").limit(5).collect()]
+    if lacking:
+        raise ValueError(f"expressions without a vector: {lacking}")
+    return nodes.join(vectors, "text")
+
+
+def unmapped_exact(assignments: DataFrame, units: DataFrame) -> DataFrame:
+    """Units marked as mapped exactly that lack an aspect, or a status although their raw status is set."""
+    raw = units.select("opinion_unit_id", "raw_status")
+    exact = assignments.filter(F.col("mapping_state") == MAPPED_EXACT).join(raw, "opinion_unit_id")
+    lacks_status = F.col("raw_status").isNotNull() & F.col("status_cluster_id").isNull()
+    return exact.filter(F.col("aspect_cluster_id").isNull() | lacks_status)
+
+
 def build_taxonomy(units: DataFrame, vectors: DataFrame, settings: TaxonomySettings) -> Taxonomy:
     """Aspects over the whole catalog, then statuses inside each aspect cluster.
 
@@ -552,7 +569,7 @@ def build_taxonomy(units: DataFrame, vectors: DataFrame, settings: TaxonomySetti
     """
     eligible = units.filter(~F.col("raw_aspect").isin(*settings.excluded_aspects))
     aspect_nodes, aspect_clusters = cluster_stage(
-        expression_nodes(eligible, "raw_aspect", F.lit("all")).join(vectors, "text"),
+        with_vectors(expression_nodes(eligible, "raw_aspect", F.lit("all")), vectors),
         settings.aspect,
         "D-A-",
     )
@@ -566,8 +583,8 @@ def build_taxonomy(units: DataFrame, vectors: DataFrame, settings: TaxonomySetti
     assigned = many_to_one(eligible, aspect_lookup, ["raw_aspect"])
     with_status = assigned.filter(F.col("raw_status").isNotNull())
     status_nodes, status_clusters = cluster_stage(
-        expression_nodes(with_status, "raw_status", F.col("aspect_cluster_id")).join(
-            vectors, "text"
+        with_vectors(
+            expression_nodes(with_status, "raw_status", F.col("aspect_cluster_id")), vectors
         ),
         settings.status,
         "D-S-",

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import derived_id
 from ..operators import ingest, mapping
-from ..schemas import GENERAL_EXPERIENCE_ASPECTS, OPINION_UNITS, PRODUCTS, REVIEWS, STATUS_CONSTRAINTS
+from ..schemas import (
+    GENERAL_EXPERIENCE_ASPECTS,
+    OPINION_UNITS,
+    PENDING_REVIEWS,
+    PRODUCTS,
+    QUARANTINED_UNITS,
+    REVIEWS,
+    STATUS_CONSTRAINTS,
+)
 from ..session import cut_lineage
 from ..sources.catalog import CatalogStore
 from ..sources.inbox import parse_units
@@ -79,20 +87,26 @@ def ingest_run(
 ) -> bool:
     """Commit one run; False if it was committed before.
 
-    ``responses``: content_sha256, response, response_sha256 - the stored extraction of each text.
-    A text without one yields a review without units.
+    ``responses``: content_sha256, response, response_sha256 - the stored extraction of each text;
+    two different ones of a text are refused. A review without one is not committed but kept in
+    ``pending_reviews`` and tried again by every later run. With ``on_invalid="quarantine"`` invalid
+    units go to ``quarantined_units`` with the rules they break.
     """
     if store.is_committed(run_id):
         return False
     existing = store.read("reviews").select("content_sha256")
-    kept = cut_lineage(ingest.deduplicate(staged, existing))
+    waiting = store.read("pending_reviews").drop("pending_run_id")
+    fresh = cut_lineage(ingest.deduplicate(staged.unionByName(waiting.select(staged.columns)), existing))
+    stored = cut_lineage(responses.select("content_sha256", "response", "response_sha256").distinct())
+    if not stored.groupBy("content_sha256").count().filter("count > 1").isEmpty():
+        raise ValueError("a text has more than one stored response")
+    kept = fresh.join(stored, "content_sha256", "left_semi").select(fresh.columns)
+    pending = fresh.join(stored, "content_sha256", "left_anti").select(fresh.columns)
     now = F.current_timestamp()
-    found = kept.select("review_id", "review_text", "content_sha256").join(
-        responses.dropDuplicates(["content_sha256"]), "content_sha256"
-    )
+    found = kept.select("review_id", "review_text", "content_sha256").join(stored, "content_sha256")
     context = found.select("review_id", "review_text", "response_sha256")
     units = parse_units(found, "review_id").join(context, "review_id")
-    valid, _ = ingest.validate_units(units, on_invalid)
+    valid, rejected = ingest.validate_units(units, on_invalid)
     mapped = map_units(cut_lineage(valid), taxonomy)
     stamped = mapped.withColumns(
         {
@@ -115,6 +129,12 @@ def ingest_run(
             "products": conform(products, PRODUCTS),
             "reviews": new_reviews,
             "opinion_units": new_units,
+            "quarantined_units": conform(
+                rejected.withColumn("ingestion_run_id", F.lit(run_id)), QUARANTINED_UNITS
+            ),
+            "pending_reviews": conform(
+                pending.withColumn("pending_run_id", F.lit(run_id)), PENDING_REVIEWS
+            ),
         },
         ingest.commit_receipt(new_reviews, new_units, run_id),
     )

@@ -594,36 +594,36 @@ DECISION = (
     + CLASHES
     + NEAR
     + f""",
-dp AS (SELECT m.*, {distribution()}, {r('least(1.0::DOUBLE, supporting_review_count / 3.0::DOUBLE)')} AS support_reliability
+dp AS MATERIALIZED (SELECT m.*, {distribution()}, {r('least(1.0::DOUBLE, supporting_review_count / 3.0::DOUBLE)')} AS support_reliability
   FROM (SELECT product_id, aspect_id, status_id, aspect, status, count(*) AS supporting_review_count, {COUNTS}
         FROM pv WHERE status_id IS NOT NULL GROUP BY 1, 2, 3, 4, 5) m),
-wanted AS (SELECT request_id, source_id, resolved_aspect_id AS aspect_id, resolved_status_id AS status_id, sentiment, importance
+wanted AS MATERIALIZED (SELECT request_id, source_id, resolved_aspect_id AS aspect_id, resolved_status_id AS status_id, sentiment, importance
   FROM resolved WHERE reasons = '' AND sentiment IN ('positive', 'negative')),
-wanted_keys AS (SELECT DISTINCT aspect_id, status_id, sentiment FROM wanted),
-close AS (SELECT DISTINCT aspect_id, status_id, status_id AS near_status_id, 0.0::DOUBLE AS d FROM wanted_keys
+wanted_keys AS MATERIALIZED (SELECT DISTINCT aspect_id, status_id, sentiment FROM wanted),
+close AS MATERIALIZED (SELECT DISTINCT aspect_id, status_id, status_id AS near_status_id, 0.0::DOUBLE AS d FROM wanted_keys
   UNION ALL SELECT aspect_id, status_id, near_status_id, {r('d', 8)} FROM near WHERE d <= 0.9),
-matched AS (SELECT *, row_number() OVER (PARTITION BY aspect_id, status_id, sentiment, candidate_id
+matched AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY aspect_id, status_id, sentiment, candidate_id
     ORDER BY strength DESC, d, near_status_id) AS n FROM (
   SELECT k.*, p.product_id AS candidate_id, c.near_status_id, c.d, (1 - c.d / 0.9) * p.support_reliability AS strength,
     p.positive_wilson_lower AS lower_bound
   FROM wanted_keys k JOIN close c USING (aspect_id, status_id) JOIN dp p ON p.aspect_id = k.aspect_id AND p.status_id = c.near_status_id)),
-favoured AS (SELECT k.aspect_id, k.status_id, k.sentiment, p.product_id AS candidate_id,
+favoured AS MATERIALIZED (SELECT k.aspect_id, k.status_id, k.sentiment, p.product_id AS candidate_id,
     max(p.support_reliability * p.positive_wilson_lower) AS favour
   FROM wanted_keys k JOIN dp p ON p.aspect_id = k.aspect_id AND p.dominant_sentiment = 'positive'
-  WHERE k.sentiment = 'negative' AND NOT EXISTS (SELECT 1 FROM close c WHERE c.aspect_id = k.aspect_id
-    AND c.status_id = k.status_id AND c.near_status_id = p.status_id) GROUP BY 1, 2, 3, 4),
-contributions AS (SELECT k.*, p.product_id AS candidate_id, p.product_name AS candidate_name,
+  LEFT JOIN close c ON c.aspect_id = k.aspect_id AND c.status_id = k.status_id AND c.near_status_id = p.status_id
+  WHERE k.sentiment = 'negative' AND c.near_status_id IS NULL GROUP BY 1, 2, 3, 4),
+contributions AS MATERIALIZED (SELECT k.*, p.product_id AS candidate_id, p.product_name AS candidate_name,
     CASE k.sentiment WHEN 'positive' THEN coalesce(m.strength * m.lower_bound, 0)
       ELSE coalesce(f.favour, 0) - coalesce(m.strength, 0) END AS value, m.n IS NOT NULL OR f.favour IS NOT NULL AS supported
   FROM wanted_keys k CROSS JOIN products p
   LEFT JOIN matched m ON m.n = 1 AND m.aspect_id = k.aspect_id AND m.status_id = k.status_id AND m.sentiment = k.sentiment AND m.candidate_id = p.product_id
   LEFT JOIN favoured f ON f.aspect_id = k.aspect_id AND f.status_id = k.status_id AND f.sentiment = k.sentiment AND f.candidate_id = p.product_id),
-dscores AS (SELECT w.request_id, w.source_id, c.candidate_id, c.candidate_name,
+dscores AS MATERIALIZED (SELECT w.request_id, w.source_id, c.candidate_id, c.candidate_name,
     {settled('sum(w.importance * c.value) / sum(w.importance)')} AS score,
     {r('count(*) FILTER (WHERE c.supported)::DOUBLE / count(*)')} AS evidence_coverage,
     (count(*) FILTER (WHERE c.supported))::INTEGER AS supported_count
   FROM wanted w JOIN contributions c USING (aspect_id, status_id, sentiment) WHERE c.candidate_id <> w.source_id GROUP BY 1, 2, 3, 4),
-dranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_name)::INTEGER AS rank
+dranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_name)::INTEGER AS rank
   FROM dscores) WHERE rank <= 2)"""
 )
 ORACLES["requirement_scores"] = base("SELECT * FROM dranked", True, DECISION)
@@ -670,7 +670,7 @@ def mean_vector(source: str, keys: str, name: str) -> str:
 
 EXPRESSIONS = """
 WITH seen AS (SELECT user_id AS vec_id, count(*) AS n FROM events GROUP BY 1),
-expressions AS (SELECT vec_id, 'e' || lpad(CAST(vec_id AS VARCHAR), 6, '0') AS text, label AS boundary,
+expressions AS (SELECT vec_id, printf('e%06d', vec_id) AS text, label AS boundary,
     coalesce(n, 1) AS unique_review_count, embedding::DOUBLE[] AS embedding FROM embeddings LEFT JOIN seen USING (vec_id)),
 clustered AS (SELECT *, 'C-' || boundary || '-' || (embedding[1] > 0)::INTEGER || '-' || (embedding[2] > 0)::INTEGER AS cluster_id
   FROM expressions)"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy
-from ..schemas import OPINION_UNITS
+from ..schemas import OPINION_UNITS, TAXONOMY_VERSIONS
 from ..session import cut_lineage
-from ..sources.catalog import FIRST_GENERATION, CatalogStore, with_version
+from ..sources.catalog import CatalogStore, refuse_known_version, with_version
 from .ingestion import conform
 
 
@@ -36,6 +38,29 @@ def mapping_bundle(rebuilt: taxonomy.Taxonomy, version: str, installed: DataFram
     }
 
 
+def version_row(bundle: dict, version: str, run_id: str, config_sha256: str) -> DataFrame:
+    """The row of an installed version with the sizes of its mapping tables."""
+    counted = [
+        bundle[table].agg(F.count(F.lit(1)).alias(name))
+        for table, name in (
+            ("aspect_mapping_table", "aspect_mapping_count"),
+            ("aspect_clusters", "aspect_cluster_count"),
+            ("status_mapping_table", "status_mapping_count"),
+            ("status_clusters", "status_cluster_count"),
+        )
+    ]
+    one = [df.withColumn("one", F.lit(1)) for df in counted]
+    joined = reduce(lambda a, b: a.join(b, "one"), one)
+    return joined.withColumns(
+        {
+            "mapping_table_version_id": F.lit(version),
+            "normalization_run_id": F.lit(run_id),
+            "normalization_config_sha256": F.lit(config_sha256),
+            "created_at": F.current_timestamp(),
+        }
+    )
+
+
 def rebuild(
     store: CatalogStore,
     captured: DataFrame,
@@ -44,16 +69,25 @@ def rebuild(
     version: str,
     run_id: str,
     generation: str,
-    base_generation: str = FIRST_GENERATION,
     strict: bool = True,
+    config_sha256: str = "",
 ) -> DataFrame:
-    """Cluster the captured units, remap them, and commit the remapped unit table.
+    """Cluster the captured units, remap them, and commit the remapped unit table as the current one.
+
+    It holds all units of the generation before, and the version gets a row in ``taxonomy_versions``;
+    a version or generation that is there already is refused.
 
     ``captured`` are the units frozen when the rebuild began; rows committed since then keep their
     old mapping. Returns the audit row. ``strict`` fails if a cluster has no canonical label.
     """
+    versions = store.read("taxonomy_versions")
+    refuse_known_version(version, versions)
+    if not store.receipts().filter(F.col("generation") == generation).isEmpty():
+        raise ValueError(f"generation {generation} already exists")
     rebuilt = taxonomy.build_taxonomy(captured, vectors, settings)
     assignments = cut_lineage(rebuilt.assignments)
+    if not taxonomy.unmapped_exact(assignments, captured).isEmpty():
+        raise ValueError("a unit is marked as mapped exactly without an aspect or status")
     if strict:
         for clusters in (rebuilt.aspect_clusters, rebuilt.status_clusters):
             if not clusters.filter(F.col("canonical_label").isNull()).isEmpty():
@@ -64,20 +98,23 @@ def rebuild(
     ):
         if not taxonomy.threshold_violations(clusters, stage).isEmpty():
             raise ValueError("a cluster is wider than its linkage threshold")
-    units = store.read("opinion_units", base_generation)
+    units = store.read("opinion_units")
     audit = taxonomy.rebuild_audit(units, assignments)
     if audit.first()["missing_opinion_unit_count"]:
         raise ValueError("the catalog lacks captured opinion units")
     remapped = taxonomy.remap_units(
         units, assignments, {"mapping_table_version_id": version, "normalization_run_id": run_id}
     )
-    bundle = mapping_bundle(rebuilt, version, store.read("taxonomy_versions", base_generation))
+    bundle = mapping_bundle(rebuilt, version, versions)
     tables = {
         "opinion_units": conform(remapped, OPINION_UNITS),
-        "products": store.read("products", base_generation),
-        "reviews": store.read("reviews", base_generation),
+        "taxonomy_versions": conform(
+            version_row(bundle, version, run_id, config_sha256), TAXONOMY_VERSIONS
+        ),
         "taxonomy_rebuilds": audit.withColumn("recluster_run_id", F.lit(run_id)),
         **bundle,
     }
-    store.commit(run_id, tables, audit, generation)
+    if not store.commit(run_id, tables, audit, generation):
+        raise ValueError(f"run {run_id} was committed before")
+    store.switch_generation(generation)
     return audit

@@ -201,6 +201,23 @@ INBOX = StructType(
     _fields(_S, "source source_review_id product_id product_name category review_text")
 )
 UNIT_PAYLOAD = StructType(_fields(_S, "raw_aspect raw_status excerpt opinion sentiment"))
+# Reviews whose response is not there yet, as they were staged.
+PENDING_REVIEWS = StructType(
+    _fields(
+        _S,
+        "review_id source source_review_id product_id product_name category review_text content_sha256 demo_review_id",
+    )
+    + _fields(_L, "ordinal")
+    + _fields(_S, "pending_run_id")
+)
+# Extracted units that break a rule, with the rules.
+QUARANTINED_UNITS = StructType(
+    _fields(_S, "review_id")
+    + _fields(_L, "unit_position")
+    + _fields(_S, "raw_aspect raw_status excerpt opinion sentiment")
+    + [StructField("violations", ArrayType(StringType()))]
+    + _fields(_S, "ingestion_run_id")
+)
 
 TABLES = {
     "products": PRODUCTS,
@@ -214,6 +231,8 @@ TABLES = {
     "taxonomy_versions": TAXONOMY_VERSIONS,
     "taxonomy_rebuilds": TAXONOMY_REBUILDS,
     "catalog_commits": CATALOG_COMMITS,
+    "pending_reviews": PENDING_REVIEWS,
+    "quarantined_units": QUARANTINED_UNITS,
 }
 PRIMARY_KEYS = {
     "products": ["product_id"],

@@ -3,7 +3,8 @@
 A run writes only its own rows under ``<table>/generation=<g>/run_id=<r>`` and then one receipt. Readers see the
 runs that have a receipt, so a failed or repeated run is invisible until it is complete, and adding
 a day costs that day, not a copy of the catalog. A taxonomy rebuild, which changes most units,
-writes a new generation of the unit table.
+writes a new generation of the unit table and makes it the current one; runs that follow add to it.
+All other tables have no generations: their rows stay as they were written.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _RECEIPTS = StructType(
         StructField("payload", StringType()),
     ]
 )
+#: Tables that a rebuild writes anew as a whole.
+VERSIONED = ("opinion_units",)
 _MANIFEST = "release_id string, name string, rows long, checksum string"
 
 
@@ -56,23 +59,41 @@ class CatalogStore:
             return self.spark.createDataFrame([], _RECEIPTS)
         return self.spark.read.schema(_RECEIPTS).json(path)
 
-    def is_committed(self, run_id: str, generation: str = FIRST_GENERATION) -> bool:
-        same = (F.col("run_id") == run_id) & (F.col("generation") == generation)
-        return not self.receipts().filter(same).isEmpty()
+    def is_committed(self, run_id: str) -> bool:
+        return not self.receipts().filter(F.col("run_id") == run_id).isEmpty()
+
+    def current_generation(self) -> str:
+        """The generation that readers and new runs use: that of the latest rebuild."""
+        path = f"{self.root}/generations"
+        if not self._exists(path):
+            return FIRST_GENERATION
+        kept = self.spark.read.schema("generation string, number long").json(path)
+        return kept.agg(F.max_by("generation", "number").alias("generation")).first()["generation"]
+
+    def switch_generation(self, generation: str) -> None:
+        """Make a committed generation the current one."""
+        path = f"{self.root}/generations"
+        number = self.spark.read.json(path).count() + 1 if self._exists(path) else 1
+        pointer = self.spark.range(1).select(
+            F.lit(generation).alias("generation"), F.lit(number).alias("number")
+        )
+        pointer.coalesce(1).write.mode("append").json(path)
 
     def commit(
         self,
         run_id: str,
         tables: dict[str, DataFrame],
         receipt: DataFrame | None = None,
-        generation: str = FIRST_GENERATION,
+        generation: str | None = None,
     ) -> bool:
         """Write a run's rows and then its receipt; False if the run was committed before.
 
-        A repeated run overwrites only its own unfinished folder.
+        A repeated run overwrites only its own unfinished folder. Rows go to the current generation
+        unless another is named.
         """
-        if self.is_committed(run_id, generation):
+        if self.is_committed(run_id):
             return False
+        generation = generation or self.current_generation()
         for name, df in tables.items():
             path = f"{self.root}/{name}/generation={generation}/run_id={run_id}"
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -86,8 +107,11 @@ class CatalogStore:
         row.coalesce(1).write.mode("append").json(f"{self.root}/receipts")
         return True
 
-    def read(self, name: str, generation: str = FIRST_GENERATION) -> DataFrame:
-        """Committed rows of a table. The receipt join prunes run folders at run time."""
+    def read(self, name: str, generation: str | None = None) -> DataFrame:
+        """Committed rows of a table; of a versioned one, those of the current or the named generation.
+
+        The receipt join prunes run folders at run time.
+        """
         path = f"{self.root}/{name}"
         schema = TABLES.get(name)
         if not self._exists(path):
@@ -99,12 +123,14 @@ class CatalogStore:
             extra = [StructField(c, StringType()) for c in ("generation", "run_id")]
             known = [field for field in schema.fields if field.name not in ("generation", "run_id")]
             reader = reader.schema(StructType([*known, *extra]))
-        rows = reader.parquet(path).filter(F.col("generation") == generation)
-        committed = self.receipts().filter(F.col("generation") == generation).select("run_id")
-        visible = rows.join(committed.distinct(), "run_id", "left_semi").drop("generation")
+        rows = reader.parquet(path)
+        if name in VERSIONED:
+            rows = rows.filter(F.col("generation") == (generation or self.current_generation()))
+        committed = self.receipts().select("generation", "run_id").distinct()
+        visible = rows.join(committed, ["generation", "run_id"], "left_semi").drop("generation")
         return visible if schema is None or "run_id" in schema.names else visible.drop("run_id")
 
-    def load(self, generation: str = FIRST_GENERATION) -> dict[str, DataFrame]:
+    def load(self, generation: str | None = None) -> dict[str, DataFrame]:
         """Every catalog table by name."""
         return {name: self.read(name, generation) for name in TABLES}
 
@@ -118,8 +144,9 @@ class CatalogStore:
             "generation", "run_id", "counts.*"
         )
 
-    def capture(self, name: str = "opinion_units", generation: str = FIRST_GENERATION) -> DataFrame:
+    def capture(self, name: str = "opinion_units", generation: str | None = None) -> DataFrame:
         """Freeze an input boundary: committed run ids with the table's row count and checksum."""
+        generation = generation or self.current_generation()
         runs = (
             self.receipts()
             .filter(F.col("generation") == generation)
@@ -213,9 +240,14 @@ def checksum_mismatches(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def with_version(df: DataFrame, version: str, existing: DataFrame) -> DataFrame:
-    """Stamp a mapping version; fails if the version was installed before."""
+def refuse_known_version(version: str, existing: DataFrame) -> None:
+    """Fail if the mapping version was installed before."""
     same: Column = F.col("mapping_table_version_id") == version
     if not existing.filter(same).isEmpty():
         raise ValueError(f"mapping version {version} already exists")
+
+
+def with_version(df: DataFrame, version: str, existing: DataFrame) -> DataFrame:
+    """Stamp a mapping version; fails if the version was installed before."""
+    refuse_known_version(version, existing)
     return df.withColumn("mapping_table_version_id", F.lit(version))

@@ -159,7 +159,7 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(seen, "vec_id", "left")
         .select(
             "vec_id",
-            F.concat(F.lit("e"), F.lpad(F.col("vec_id").cast("string"), 6, "0")).alias("text"),
+            F.format_string("e%06d", F.col("vec_id")).alias("text"),
             F.col("label").alias("boundary"),
             F.coalesce("unique_review_count", F.lit(1).cast("long")).alias("unique_review_count"),
             F.col("embedding").cast("array<double>").alias("embedding"),

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import ingest
 from ..plans.ingestion import Lineage, TaxonomyTables, ingest_run
 from ..schemas import INBOX
-from ..sources.catalog import CatalogStore
+from ..sources.catalog import CatalogStore, checksum
 
 
 def inbox_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -29,14 +29,20 @@ def ingest_available(
     taxonomy: TaxonomyTables,
     lineage: Lineage,
     checkpoint: str,
-    on_invalid: str = "drop",
+    on_invalid: str = "fail",
 ) -> StreamingQuery:
-    """Ingest what is there and stop. A batch is one run: its id makes a replay a no-op."""
+    """Ingest what is there and stop.
+
+    A batch is one run, named by its content: a replay is a no-op, and a second stream or a new
+    checkpoint cannot take the name of another batch.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        content = checksum(batch).first()
+        run_id = f"batch-{content['rows']}-{content['checksum']}"
         numbered = batch.withColumn("ordinal", F.monotonically_increasing_id())
         staged = ingest.stage_inbox(numbered)
-        ingest_run(store, staged, responses, taxonomy, lineage, f"batch-{batch_id}", on_invalid)
+        ingest_run(store, staged, responses, taxonomy, lineage, run_id, on_invalid)
 
     return (
         stream.writeStream.foreachBatch(run)
