@@ -1,5 +1,19 @@
 """DuckDB statements of the queries that SQL can express."""
 
+from verdigris.llm.licences import TEMPLATES
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWERED = f"translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}')"
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{word}'" for word in words) + "]"
+
+
+_TEMPLATES = ", ".join(
+    f"('{t.label}', {_words(t.words)}, {t.key_at}, {_words(t.key)}, {str(t.base).lower()})" for t in TEMPLATES
+)
+
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": r"""
 WITH plain AS (
@@ -13,5 +27,51 @@ WITH plain AS (
     FROM plain
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256, n_chars FROM best
+""",
+    "op2_licences": rf"""
+WITH wordings(label, wording, key_at, phrase, base) AS (VALUES {_TEMPLATES}),
+texts AS (
+    SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), near AS (
+    SELECT doc_id, words, w.* FROM texts JOIN wordings w
+      ON contains(' ' || array_to_string(words, ' ') || ' ', ' ' || array_to_string(phrase, ' ') || ' ')
+), places AS (SELECT *, unnest(range(len(words))) AS spot FROM near),
+matches AS (
+    SELECT doc_id, label, base, spot,
+           list_sum(list_transform(range(len(wording)), lambda k: CASE WHEN spot - key_at + k >= 0
+               AND words[spot - key_at + k + 1] = wording[k + 1] THEN 1 ELSE 0 END))::DOUBLE / len(wording) AS share
+    FROM places WHERE words[spot + 1 : spot + len(phrase)] = phrase
+), found AS (
+    SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(spot) FILTER (WHERE base) AS first_word,
+           max(spot) FILTER (WHERE base) AS last_word, max(share) AS score,
+           string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+    FROM matches GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM texts LEFT JOIN found USING (doc_id)
+""",
+    "op7_ngram_join": rf"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1 : i + 5], ' ')) END) AS shingle
+    FROM texts
+), sizes AS (
+    SELECT doc_id, count(shingle) AS n_shingles FROM texts LEFT JOIN shingles USING (doc_id) GROUP BY doc_id
+), both_have AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM both_have JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)
+), reached(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM sizes
+    UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
+)
+SELECT doc_id, n_shingles, min(other) AS component_id FROM sizes JOIN reached USING (doc_id) GROUP BY 1, 2
 """,
 }
