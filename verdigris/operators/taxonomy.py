@@ -278,7 +278,7 @@ def complete_linkage(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
     return linked.unionByName(rounds)
 
 
-def sequential_ids(df: DataFrame, order: list[str], name: str, prefix: str) -> DataFrame:
+def sequential_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Number rows 1.. in a global order without one task seeing them all.
 
     Rows are range-partitioned and kept; each range is numbered apart and shifted by the sizes of
@@ -290,11 +290,13 @@ def sequential_ids(df: DataFrame, order: list[str], name: str, prefix: str) -> D
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     number = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(*order))
-    return (
-        kept.join(offsets, "__part")
-        .withColumn(name, F.format_string(f"{prefix}%06d", number))  # widens from a million on
-        .drop("__part", "__before")
-    )
+    return kept.join(offsets, "__part").withColumn(name, number).drop("__part", "__before")
+
+
+def sequential_ids(df: DataFrame, order: list[str], name: str, prefix: str) -> DataFrame:
+    """Number rows in a global order as ids of at least six digits."""
+    numbered = sequential_numbers(df, order, name)
+    return numbered.withColumn(name, F.format_string(f"{prefix}%06d", F.col(name)))  # widens from a million on
 
 
 def member_distances(members: DataFrame, block_rows: int = 2048) -> DataFrame:

@@ -579,7 +579,7 @@ CLASHES = """
 ORACLES["requirement_conflicts"] = base("SELECT * FROM clashes", True, REVIEW_REQUESTS + CLASHES)
 NEAR = """
 , vectors AS (SELECT s.aspect_id, s.status_id, s.status, e.embedding::DOUBLE[] AS embedding FROM (
-    SELECT *, row_number() OVER (ORDER BY status_id) - 1 AS vec_id FROM (SELECT DISTINCT aspect_id, status_id, status
+    SELECT *, (row_number() OVER (ORDER BY status_id) - 1) % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id FROM (SELECT DISTINCT aspect_id, status_id, status
       FROM units WHERE mapping_state = 'mapped_exact' AND status_id IS NOT NULL)) s JOIN embeddings e USING (vec_id)),
 near AS (SELECT a.aspect_id, a.status_id, b.status_id AS near_status_id, b.status AS near_status,
     1 - list_dot_product(a.embedding, b.embedding) / sqrt(list_dot_product(a.embedding, a.embedding) * list_dot_product(b.embedding, b.embedding)) AS d
@@ -706,15 +706,19 @@ members AS (SELECT 'all' AS boundary, 'L-' || boundary AS cluster_id, text, text
     + " SELECT * FROM best"
 )
 TEXTS = """
-, texts AS (SELECT t.text, e.embedding::DOUBLE[] AS embedding FROM (SELECT text, row_number() OVER (ORDER BY text) - 1 AS vec_id
+, texts AS (SELECT t.text, e.embedding::DOUBLE[] AS embedding FROM (SELECT text, (row_number() OVER (ORDER BY text) - 1) % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id
   FROM (SELECT raw_aspect AS text FROM units UNION SELECT raw_status FROM units WHERE raw_status IS NOT NULL)) t
   JOIN embeddings e USING (vec_id)),
-known AS (SELECT DISTINCT raw_aspect, raw_status, aspect_id, aspect, status_id, status FROM units
-  WHERE raw_aspect < 'n' AND aspect <> 'anvil'),
+seen AS (SELECT raw_aspect, raw_status, aspect_id, aspect, status_id, status, count(*) AS n FROM units
+  WHERE source_opinion_unit_idx IS NOT NULL AND aspect <> 'anvil' GROUP BY ALL),
+often AS (SELECT raw_aspect, sum(n) AS n FROM seen GROUP BY 1),
+known AS (SELECT * FROM seen WHERE raw_aspect IN (SELECT raw_aspect FROM often WHERE n >= (SELECT avg(n) FROM often))),
+known_statuses AS (SELECT aspect_id, raw_status, status_id, status, sum(n) AS n FROM known WHERE raw_status IS NOT NULL
+  GROUP BY ALL),
 amembers AS (SELECT 'all' AS boundary, k.aspect_id AS cluster_id, k.aspect AS label, t.text, t.embedding
   FROM (SELECT DISTINCT raw_aspect, aspect_id, aspect FROM known) k JOIN texts t ON t.text = k.raw_aspect),
 smembers AS (SELECT k.aspect_id AS boundary, k.status_id AS cluster_id, k.status AS label, t.text, t.embedding
-  FROM (SELECT DISTINCT aspect_id, raw_status, status_id, status FROM known WHERE raw_status IS NOT NULL AND status <> 'STANDARD') k
+  FROM (SELECT * FROM known_statuses WHERE n >= (SELECT avg(n) FROM known_statuses)) k
   JOIN texts t ON t.text = k.raw_status)"""
 MAPS = f"""
 , amap AS (SELECT m.text AS raw_aspect, m.cluster_id AS aspect_id, m.label AS aspect, {cosine('m.embedding', 'h.canonical')} AS aspect_map_distance

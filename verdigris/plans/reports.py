@@ -834,7 +834,7 @@ def render_submission(reports: DataFrame, time_zone: str = DISPLAY_TIME_ZONE) ->
 def document(reports: DataFrame, key: str, kind: str, version: str) -> DataFrame:
     """One JSON document per report row with a content-derived report id."""
     body = reports.withColumn("report_type", F.lit(kind)).withColumn("schema_version", F.lit(version))
-    payload = F.to_json(F.struct(*sorted(body.columns)))
+    payload = F.to_json(F.struct(*sorted(body.columns)), {"ignoreNullFields": "false"})
     return body.select(
         key,
         F.concat(F.lit(f"{kind}:"), F.substring(F.sha2(payload, 256), 1, 12)).alias("report_id"),

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import first_match
+from ..operators.taxonomy import sequential_numbers
 from ..schemas import CANDIDATE, EXCLUDED, MAPPED_EXACT, SENTIMENTS
+from ..session import cut_lineage
 
 
 NATION, CUSTOMER = "nation", "customer"
@@ -175,6 +177,15 @@ def clustered_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _borrowed_vectors(texts: DataFrame, order: str, vectors: DataFrame) -> DataFrame:
+    """Texts numbered in order take the same-numbered vector; behind the last one they begin anew."""
+    numbered = sequential_numbers(texts, [order], "number")
+    ids = vectors.select("vec_id", "embedding")
+    count = F.broadcast(ids.agg(F.max("vec_id").alias("last")))
+    placed = numbered.join(count).withColumn("vec_id", (F.col("number") - 1) % (F.col("last") + 1))
+    return placed.join(ids, "vec_id").drop("vec_id", "number", "last")
+
+
 def status_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vector for every canonical status: statuses numbered in order take the same-numbered one."""
     pairs = (
@@ -182,10 +193,8 @@ def status_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter((F.col("mapping_state") == MAPPED_EXACT) & F.col("status_id").isNotNull())
         .select("aspect_id", "status_id", "status")
         .distinct()
-        .withColumn("vec_id", F.row_number().over(W.orderBy("status_id")) - 1)
     )
-    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
-    return pairs.join(vectors, "vec_id").drop("vec_id")
+    return _borrowed_vectors(pairs, "status_id", embeddings(spark, sf_dir))
 
 
 def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,10 +205,8 @@ def text_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(raw.select(F.col("raw_status").alias("text")))
         .filter(F.col("text").isNotNull())
         .distinct()
-        .withColumn("vec_id", F.row_number().over(W.orderBy("text")) - 1)
     )
-    vectors = embeddings(spark, sf_dir).select("vec_id", "embedding")
-    return texts.join(vectors, "vec_id").drop("vec_id")
+    return _borrowed_vectors(texts, "text", embeddings(spark, sf_dir))
 
 
 # Raw aspects kept out of the taxonomy in the adapted data.
@@ -209,18 +216,26 @@ EXCLUDED_ASPECTS = tuple(
 CANDIDATE_THRESHOLD = 1.2
 
 
+def _often(counted: DataFrame) -> DataFrame:
+    """Rows whose count ``n`` is the average or more."""
+    average = F.broadcast(counted.agg(F.avg("n").alias("average")))
+    return counted.join(average, F.col("n") >= F.col("average")).drop("average")
+
+
 def mapping_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A taxonomy that knows part of the vocabulary, so that exact, candidate and miss all occur.
 
-    It knows raw aspects sorting before 'n' and, inside them, every status type but STANDARD.
+    It was made from the captured units: it has the raw aspects that were captured as often as the average one or
+    more, and inside them the raw statuses of which the same holds.
     """
     vectors = text_vectors(spark, sf_dir)
-    known = (
-        units(spark, sf_dir)
-        .filter((F.col("raw_aspect") < "n") & ~F.col("raw_aspect").isin(*EXCLUDED_ASPECTS))
-        .select("raw_aspect", "raw_status", "aspect_id", "aspect", "status_id", "status")
-        .distinct()
+    captured = units(spark, sf_dir).filter(
+        F.col("source_opinion_unit_idx").isNotNull() & ~F.col("raw_aspect").isin(*EXCLUDED_ASPECTS)
     )
+    names = ["raw_aspect", "raw_status", "aspect_id", "aspect", "status_id", "status"]
+    seen = cut_lineage(captured.groupBy(*names).agg(F.count(F.lit(1)).alias("n")))
+    aspects = _often(seen.groupBy("raw_aspect").agg(F.sum("n").alias("n"))).select("raw_aspect")
+    known = seen.join(aspects, "raw_aspect")
     threshold = F.lit(CANDIDATE_THRESHOLD).alias("distance_threshold")
     aspect_members = (
         known.select("raw_aspect", "aspect_id", "aspect")
@@ -230,9 +245,12 @@ def mapping_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         .select(F.col("aspect_id").alias("cluster_id"), "aspect", "text", "embedding", threshold)
     )
     status_members = (
-        known.filter(F.col("raw_status").isNotNull() & (F.col("status") != "STANDARD"))
+        _often(
+            known.filter(F.col("raw_status").isNotNull())
+            .groupBy("aspect_id", "raw_status", "status_id", "status")
+            .agg(F.sum("n").alias("n"))
+        )
         .select("aspect_id", "raw_status", "status_id", "status")
-        .distinct()
         .withColumnRenamed("raw_status", "text")
         .join(vectors, "text")
         .select(
