@@ -82,7 +82,7 @@ def test_search_finds_all_within_the_radius(spark, monkeypatch):
     values = set(centres)
     for centre in centres:
         for _ in range(40):
-            flips = rnd.sample(range(simhash.BITS), rnd.randint(0, 16))
+            flips = rnd.sample(range(simhash.BITS), rnd.randint(0, 11))
             values.add(centre ^ sum(1 << f for f in flips))
     digits = simhash.BITS // 4
     everything = spark.createDataFrame([(f"{v:0{digits}x}",) for v in values], "fingerprint string")
@@ -95,3 +95,16 @@ def test_search_finds_all_within_the_radius(spark, monkeypatch):
         if a != b and (a ^ b).bit_count() <= simhash.RADIUS
     }
     assert len(got) == len(expected) and set(map(tuple, got)) == expected
+
+
+def test_near_counts_equal_all_distances(sample, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 5)
+    docs, rows = sample
+    prints = dict(zip([i for i, _ in rows], simhash.fingerprints_of([text for _, text in rows]), strict=True))
+    values = {int.from_bytes(x, "big") for x in prints.values()}
+    got = simhash.with_near_counts(simhash.fingerprints(docs), every=5, radius=15).collect()
+    assert len(got) == len(rows)
+    for row in got:
+        own = int.from_bytes(prints[row.doc_id], "big")
+        near = sum(0 < (own ^ other).bit_count() <= 15 for other in values)
+        assert row.n_near == (near if row.doc_id % 5 == 0 else None)

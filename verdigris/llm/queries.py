@@ -23,7 +23,7 @@ def op2_licences(spark: SparkSession, folder: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return simhash.beside_next(docs, tasks * simhash.RANGES_PER_TASK)
+    return simhash.with_near_counts(simhash.beside_next(docs, tasks * simhash.RANGES_PER_TASK))
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import small_batches, whole_text
 from verdigris.llm.shingles import mixed, word_hashes
+from verdigris.session import cut_lineage
 
 BITS = 256
 TERM_WORDS = 3
 #: Weight of a term: one more for each so many bytes of its words, up to a limit. Long words are rarer.
 BYTES_PER_WEIGHT = 6
 LARGEST_WEIGHT = 7
-RADIUS = 12
+RADIUS = 7
 #: Ranges of ids for each task that compares neighbours: several, so that hashing deals them out evenly.
 RANGES_PER_TASK = 4
 #: Rows of one side that a task compares at a time.
@@ -226,12 +227,12 @@ def search(queries: DataFrame, classes: DataFrame, radius: int = RADIUS) -> Data
     bounded size, so no task holds a whole key; a pair is reported by the first table in which its keys agree.
     """
     blocks = _blocks(F.col("fingerprint"), radius)
-    keyed = classes.select("fingerprint", F.posexplode(F.array(*blocks)).alias("table", "key"))
-    sizes = keyed.groupBy("table", "key").agg(F.count(F.lit(1)).alias("rows"))
     asked = queries.select(F.col("fingerprint").alias("query"), F.posexplode(F.array(*blocks)).alias("table", "key"))
-    met_sizes = asked.select("table", "key").distinct().join(sizes, ["table", "key"])
-    tiles = met_sizes.select("table", "key", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
-    right = keyed.join(tiles, ["table", "key"]).withColumn(
+    keyed = classes.select("fingerprint", F.posexplode(F.array(*blocks)).alias("table", "key"))
+    met_keys = cut_lineage(keyed.join(asked.select("table", "key").distinct(), ["table", "key"], "left_semi"))
+    sizes = met_keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("rows"))
+    tiles = sizes.select("table", "key", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
+    right = met_keys.join(tiles, ["table", "key"]).withColumn(
         "tile", F.pmod(F.xxhash64("fingerprint"), F.col("tiles")).cast("int")
     )
     left = asked.join(tiles, ["table", "key"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -256,3 +257,15 @@ def search(queries: DataFrame, classes: DataFrame, radius: int = RADIUS) -> Data
         .where(F.col("distance") <= radius)
         .select("query", "fingerprint", "distance")
     )
+
+
+def with_near_counts(found: DataFrame, every: int = 50, radius: int = RADIUS) -> DataFrame:
+    """``found`` (with doc_id and fingerprint) and n_near: for documents whose id ``every`` divides, the number of other
+    fingerprints within ``radius`` of theirs, among those of all documents; null for the rest."""
+    kept = cut_lineage(found)
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    queries = kept.where(asks).select("fingerprint").distinct()
+    near = search(queries, kept.select("fingerprint").distinct(), radius)
+    counts = near.groupBy(F.col("query").alias("fingerprint")).agg(F.count(F.lit(1)).alias("n_near"))
+    asked = kept.where(asks).join(counts, "fingerprint", "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return kept.where(~asks).withColumn("n_near", F.lit(None).cast("long")).unionByName(asked)
