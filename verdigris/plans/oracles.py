@@ -261,8 +261,8 @@ LEFT JOIN (SELECT product_id AS right_id, count(*) AS n FROM net GROUP BY 1) nr
     True,
     ", "
     + NET
-    + """, pairs AS (SELECT product_id AS left_id, lead(product_id) OVER (PARTITION BY category ORDER BY product_name) AS right_id
-  FROM products QUALIFY right_id IS NOT NULL)""",
+    + """, pairs AS (SELECT DISTINCT a.product_id AS left_id, b.product_id AS right_id FROM net a JOIN net b
+  ON a.aspect_id = b.aspect_id AND a.product_id <> b.product_id)""",
 )
 KNOWN = ("positive", "negative", "mixed", "neutral")
 PROFILE = f"""

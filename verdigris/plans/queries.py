@@ -174,13 +174,12 @@ def net_sentiment_profile(spark, sf):
 
 @query
 def profile_similarity_l1(spark, sf):
-    neighbour = F.lead("product_id").over(W.partitionBy("category").orderBy("product_name"))
-    pairs = (
-        src.products(spark, sf)
-        .select(F.col("product_id").alias("left_id"), neighbour.alias("right_id"))
-        .filter(F.col("right_id").isNotNull())
-    )
-    return profiles.net_profile_similarity(net_sentiment_profile(spark, sf), pairs)
+    """All ordered pairs of products that have an aspect in common."""
+    net = net_sentiment_profile(spark, sf)
+    left = net.select("aspect_id", F.col("product_id").alias("left_id"))
+    right = net.select("aspect_id", F.col("product_id").alias("right_id"))
+    pairs = left.join(right, "aspect_id").filter("left_id <> right_id").select("left_id", "right_id")
+    return profiles.net_profile_similarity(net, cut_lineage(pairs.distinct()))
 
 
 @query
