@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import small_batches, whole_text
 from verdigris.llm.graph import merge_components
 from verdigris.llm.shingles import set_key, shingle_sets
-from verdigris.session import cut_lineage
+from verdigris.session import cut_lineage, ensure_checkpoint_dir
 
 #: Per cent of the union that two sets must have in common.
 THRESHOLD = 75
@@ -230,8 +232,25 @@ def set_parts(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 )
 
     rows = _texts(docs).mapInArrow(run, "set_key long, n long, part int, shingles array<long>")
-    once = rows.groupBy("set_key", "n", "part").agg(F.first("shingles").alias("shingles"))
-    return once.join(keys, "set_key", "left_semi")
+    # Copies were left out within each task; what comes from several is made one here, by the same partitioning.
+    asked = rows.join(keys, "set_key", "left_semi")
+    return asked.groupBy("set_key", "n", "part").agg(F.first("shingles").alias("shingles"))
+
+
+@contextmanager
+def _by_set(parts: DataFrame) -> Iterator[DataFrame]:
+    """The parts as a table in the shared folder, bucketed by set, so that joins by set don't shuffle them again."""
+    spark = parts.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = f"shingle_parts_{uuid.uuid4().hex}"
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    # As many buckets as shuffle partitions: the rows come dealt by set already.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts.write.bucketBy(buckets, "set_key").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
 
 
 def rare_shingles(parts: DataFrame) -> DataFrame:
@@ -274,10 +293,15 @@ def _may_reach(n: Column, after: Column, m: Column, after_too: Column) -> Column
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b, na, nb) that link: the overlap is counted in each part and summed."""
+    """Those of ``pairs`` (a, b, na, nb) that link: the overlap is counted in each part and summed.
+
+    Few sets are the second of a pair (a hub is that of many), so these are taken out first and not bound to their
+    buckets: a hub of very many pairs can be split.
+    """
     one = parts.select(F.col("set_key").alias("a"), "part", F.col("shingles").alias("of_a"))
     two = parts.select(F.col("set_key").alias("b"), "part", F.col("shingles").alias("of_b"))
-    common = pairs.join(one, "a").join(two, ["b", "part"])
+    seconds = two.join(pairs.select("b").distinct(), "b", "left_semi").repartition("b", "part")
+    common = pairs.join(one, "a").join(seconds, ["b", "part"])
     overlap = common.groupBy("a", "b", "na", "nb").agg(
         F.sum(F.size(F.array_intersect("of_a", "of_b"))).alias("both")
     )
@@ -386,9 +410,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("class_id"))
     )
     keys = cut_lineage(sets_that_may_link(docs, max(1, -(-total // PER_FRAGMENT))))
-    parts = cut_lineage(set_parts(docs, keys))
-    rare = cut_lineage(rare_shingles(parts))
-    labels = components_of(rare, parts).withColumnRenamed("node", "set_key")
+    with _by_set(set_parts(docs, keys)) as parts:
+        labels = components_of(cut_lineage(rare_shingles(parts)), parts).withColumnRenamed("node", "set_key")
     of_class = classes.join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     names = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = of_class.join(names, "component").select("set_key", "component_id")
@@ -405,15 +428,13 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
     counts = cut_lineage(shingle_counts(docs))
     total = counts.agg(F.sum("n_shingles")).first()[0] or 0
     keys = cut_lineage(sets_that_may_link(docs, max(1, -(-total // PER_FRAGMENT))))
-    parts = cut_lineage(set_parts(docs, keys))
-    rare = cut_lineage(rare_shingles(parts))
-    left = rare.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("after").alias("after_a"))
-    right = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
-    reach = _may_reach(F.col("na"), F.col("after_a"), F.col("nb"), F.col("after_b"))
-    pairs = (
-        left.join(right, "shingle").where((F.col("a") < F.col("b")) & reach).select("a", "b", "na", "nb").distinct()
-    )
-    return linked(pairs, parts)
+    with _by_set(set_parts(docs, keys)) as parts:
+        rare = cut_lineage(rare_shingles(parts))
+        left = rare.select("shingle", F.col("node").alias("a"), F.col("n").alias("na"), F.col("after").alias("after_a"))
+        right = rare.select("shingle", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("after").alias("after_b"))
+        reach = _may_reach(F.col("na"), F.col("after_a"), F.col("nb"), F.col("after_b"))
+        met = left.join(right, "shingle").where((F.col("a") < F.col("b")) & reach)
+        return cut_lineage(linked(met.select("a", "b", "na", "nb").distinct(), parts))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
