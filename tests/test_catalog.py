@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdigris.operators import ingest, quality, taxonomy, votes
-from verdigris.plans import ingestion, rebuild, reports
+from verdigris.plans import rebuild, reports
 from verdigris.plans.ingestion import Lineage, TaxonomyTables
 from verdigris.plans.statistics import CatalogStatistics
 from verdigris.sources import catalog, inbox
