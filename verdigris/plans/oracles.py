@@ -968,7 +968,8 @@ _CHECKS = {
     "reviews_have_product": "SELECT 1 FROM reviews WHERE product_id NOT IN (SELECT product_id FROM products)",
     "reviews_have_units": "SELECT 1 FROM reviews WHERE review_id NOT IN (SELECT review_id FROM units)",
     "excerpts_grounded": "SELECT 1 FROM catalog WHERE NOT contains(review_text, excerpt)",
-    "constant_lineage": "SELECT DISTINCT mapping_state FROM units OFFSET 1",
+    "constant_lineage": "SELECT DISTINCT 'v2' AS version FROM units WHERE source_opinion_unit_idx IS NOT NULL OFFSET 1",
+    "mixed_lineage": "SELECT DISTINCT CASE WHEN source_opinion_unit_idx IS NULL THEN 'v1' ELSE 'v2' END AS version FROM units OFFSET 1",
     "embeddings_valid": "SELECT 1 FROM embeddings WHERE len(embedding) <> 64",
     "source_rows_preserved": "SELECT review_id FROM reviews EXCEPT SELECT review_id FROM units",
     "distribution_invariants": "SELECT 1 WHERE false",
@@ -1052,8 +1053,10 @@ FROM catalog WHERE mapping_state = 'excluded_taxonomy' GROUP BY 1""",
 )
 ORACLES["risky_clusters_present"] = base(
     """SELECT product_id, count(DISTINCT status_id) AS risky_cluster_count FROM pv
-WHERE status_id IN (SELECT status_id FROM pv WHERE status_id IS NOT NULL GROUP BY 1
-  HAVING count(*) FILTER (WHERE vote = 'unknown')::DOUBLE / count(*) > 0.08::DOUBLE) GROUP BY 1"""
+WHERE status_id IN (SELECT status_id FROM risks WHERE risk > (SELECT avg(risk) FROM risks) + 1e-12) GROUP BY 1""",
+    True,
+    """, risks AS (SELECT status_id, count(*) FILTER (WHERE vote = 'unknown')::DOUBLE / count(*) AS risk
+  FROM pv WHERE status_id IS NOT NULL GROUP BY 1)""",
 )
 ORACLES["catalog_submissions"] = base(
     """SELECT 'demo-review-' || review_id AS submission_id, product_id, review_text, count(*)::INTEGER AS unit_count,

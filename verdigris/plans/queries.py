@@ -829,6 +829,11 @@ def integrity_checks(spark, sf):
     products, vectors = src.products(spark, sf), src.embeddings(spark, sf)
     lines = src.table(spark, sf, "lineitem")
     matrix = aspect_sentiment_matrix(spark, sf)
+    # After a rebuild the captured units share a version, late ones keep the one before.
+    version = "mapping_table_version_id"
+    stamped = taxonomy.remap_units(
+        units.withColumn(version, F.lit("v1")), _captured_assignments(spark, sf), {version: "v2"}
+    )
     return quality.report(
         {
             "unit_key_unique": quality.check_unique(units, ["opinion_unit_id"]),
@@ -843,7 +848,10 @@ def integrity_checks(spark, sf):
             "reviews_have_product": quality.orphans(reviews, products, "product_id"),
             "reviews_have_units": quality.orphans(reviews, units, "review_id"),
             "excerpts_grounded": quality.ungrounded(src.catalog_units(spark, sf)),
-            "constant_lineage": quality.varying_lineage(units, ["mapping_state"]),
+            "constant_lineage": quality.varying_lineage(
+                stamped.filter(F.col("source_opinion_unit_idx").isNotNull()), [version]
+            ),
+            "mixed_lineage": quality.varying_lineage(stamped, [version]),
             "embeddings_valid": quality.invalid_embeddings(vectors, 64),
             "source_rows_preserved": quality.lost_rows(
                 reviews.select("review_id", "product_id"),
@@ -958,12 +966,18 @@ def excluded_experience(spark, sf):
 
 @query
 def risky_clusters_present(spark, sf):
-    """Statuses with fewer than half of their votes decided count as risky."""
-    pairs = _counts(spark, sf, PAIR_KEYS)
+    """Risky clusters that each product meets, for a given list of them.
+
+    The list stands in for one that is delivered: statuses with a larger share of undecided votes than the average.
+    """
+    pairs = cut_lineage(_counts(spark, sf, PAIR_KEYS))
     totals = pairs.filter(F.col("status_id").isNotNull()).groupBy("status_id").agg(
         (F.sum("unknown_count") / F.sum("supporting_review_count")).alias("risk")
     )
-    risky = totals.filter(F.col("risk") > 0.08).withColumnRenamed("status_id", "cluster_id")
+    average = F.broadcast(totals.agg(F.avg("risk").alias("average")))
+    risky = totals.join(average, F.col("risk") > F.col("average") + 1e-12).select(
+        F.col("status_id").alias("cluster_id")
+    )
     return summary.risk_overlap(pairs, risky)
 
 
