@@ -104,6 +104,8 @@ def drop_copies(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
     alike = Window.partitionBy("own_sha", names["doc_id"]).orderBy(F.desc("own_chars"), "own_text")
     once = stays.where("rows = 1").withColumn("place", F.lit(1))
+    if keep.where("rows > 1").isEmpty():  # the usual case, which needs no second pass over the texts
+        return once.select(*(F.col(alias).alias(name) for name, alias in names.items()))
     twice = stays.where("rows > 1").withColumn("place", F.row_number().over(alike)).where("place = 1")
     return once.unionByName(twice).select(*(F.col(alias).alias(name) for name, alias in names.items()))
 
