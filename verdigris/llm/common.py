@@ -28,3 +28,14 @@ def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(text, upper, upper.lower())
+
+
+def hash_share(key: str, count: Column | int, rows: int) -> Column:
+    """Whether a row belongs to a share of about ``3 * rows`` of ``count`` rows, chosen by the hash of its key.
+
+    Cutting a bounded sample out of this share needs no more than that many rows in one place, however many tasks
+    there are. Of fewer rows, all belong to it.
+    """
+    total = count if isinstance(count, Column) else F.lit(count)
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 31)).cast("double")
+    return place * total < F.lit(3.0 * rows * (1 << 31))

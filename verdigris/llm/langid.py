@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verdigris.llm.common import small_batches, whole_text
+from verdigris.llm.common import hash_share, small_batches, whole_text
 
 #: Labelled rows of each language that the model is fitted on, at most.
 ROWS_PER_LANGUAGE = 800
@@ -185,10 +185,12 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
     """Train on labelled rows that aren't held out: of each language, those whose ids have the smallest hashes."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    with_letters = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
+    counts = with_letters.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
+    place = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
     chosen = (
-        labelled.where(F.col("text").rlike(r"\p{L}"))
-        .select("doc_id", "lang")
+        with_letters.join(counts, "lang")
+        .where(hash_share("doc_id", F.col("count"), rows_per_language))
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") <= rows_per_language)
         .select("doc_id", "lang")

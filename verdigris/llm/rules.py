@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import whole_text
+from verdigris.llm.common import hash_share, whole_text
 
 #: Labelled rows that the rules are fitted on, at most.
 SAMPLE_ROWS = 20_000
@@ -217,13 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> E
 
     Labels other than 0 and 1 don't count, nor ids whose labels contradict each other.
     """
-    chosen = (
+    usable = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
         .where("quality = other")
         .select("doc_id", "quality")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+    )
+    chosen = (
+        usable.where(hash_share("doc_id", usable.count(), sample_rows))
+        .orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
         .limit(sample_rows)
     )
     # At most sample_rows rows of two numbers, so the broadcast is bounded.
