@@ -229,7 +229,9 @@ def search(queries: DataFrame, classes: DataFrame, radius: int = RADIUS) -> Data
     blocks = _blocks(F.col("fingerprint"), radius)
     asked = queries.select(F.col("fingerprint").alias("query"), F.posexplode(F.array(*blocks)).alias("table", "key"))
     keyed = classes.select("fingerprint", F.posexplode(F.array(*blocks)).alias("table", "key"))
-    met_keys = cut_lineage(keyed.join(asked.select("table", "key").distinct(), ["table", "key"], "left_semi"))
+    # Both sides grow with the input: the same join at every size, never a broadcast.
+    wanted = asked.select("table", "key").distinct().hint("merge")
+    met_keys = cut_lineage(keyed.join(wanted, ["table", "key"], "left_semi"))
     sizes = met_keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("rows"))
     tiles = sizes.select("table", "key", F.ceil(F.col("rows") / TILE).cast("int").alias("tiles"))
     right = met_keys.join(tiles, ["table", "key"]).withColumn(
