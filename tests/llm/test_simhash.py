@@ -108,3 +108,42 @@ def test_near_counts_equal_all_distances(sample, monkeypatch):
         own = int.from_bytes(prints[row.doc_id], "big")
         near = sum(0 < (own ^ other).bit_count() <= 15 for other in values)
         assert row.n_near == (near if row.doc_id % 5 == 0 else None)
+
+
+def shingled(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def test_near_copies_lie_within_the_radius(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(row.doc_id, row.text, shingled(row.text)) for row in docs.collect()]
+    holders = {}
+    for k, (_, _, shingles) in enumerate(rows):
+        for shingle in shingles:
+            holders.setdefault(shingle, []).append(k)
+    pairs = {(a, b) for at in holders.values() if len(at) < 60 for a in at for b in at if a < b}
+    near = [(a, b) for a, b in pairs if 4 * len(rows[a][2] & rows[b][2]) >= 3 * len(rows[a][2] | rows[b][2])]
+    near = [(a, b) for a, b in near if rows[a][2] != rows[b][2]]
+    prints = dict(zip([i for i, _, _ in rows], simhash.fingerprints_of([text or "" for _, text, _ in rows]), strict=True))
+    table = spark.createDataFrame([(i, found.hex()) for i, found in prints.items()], "doc_id long, fingerprint string")
+    got = {row.doc_id: row for row in simhash.with_near_counts(table, every=1).collect()}
+    met = 0
+    for a, b in near:
+        one, two = got[rows[a][0]], got[rows[b][0]]
+        met += one.class_id == two.class_id or two.class_id in {x.class_id for x in one.near}
+    assert len(near) >= 20 and met >= 0.95 * len(near)
+
+
+def test_near_lists_name_classes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 2)
+    monkeypatch.setattr(simhash, "LEAST_TILE", 1)
+    monkeypatch.setattr(simhash, "ASKED", 1)
+    monkeypatch.setattr(simhash, "_AT_ONCE", 1)
+    values = {50: 0, 7: 0, None: 0, 100: (1 << 40) - 1, 8: (1 << 40) - 1, 9: 1 << 100, 11: (1 << 200) - 1}
+    rows = [(i, f"{v:064x}") for i, v in values.items()]
+    got = simhash.with_near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string"), radius=45)
+    found = {row.doc_id: (row.class_id, row.n_same, row.n_near, row.near and [tuple(x) for x in row.near]) for row in got.collect()}
+    assert found[50] == (7, 2, 2, [(9, 1), (8, 40)])
+    assert found[100] == (8, 1, 2, [(7, 40), (9, 41)])
+    assert len(found) == 7 and found[7] == found[None] == found[11] == (None, None, None, None)
