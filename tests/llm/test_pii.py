@@ -87,3 +87,31 @@ def test_redaction(make):
     }
     assert pii.redact(make([])).count() == 0
     assert pii.find_pii(make([])).count() == 0
+
+
+def test_ibans_end_where_their_number_does(make):
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    rows = [
+        (1, f"IBAN {german} BIC COBADEFF"), (2, "DE89370400440532013000 BIC COBADEFFXXX"), (3, f"é {british} 2 copies"),
+        (4, f"{german} {british} {german}"), (5, f"AT12 {german} 7"), (6, f"{british}9 {british}X"), (7, f"({german})"),
+        (8, "NO9386011117947 OK 15"), (9, "ZZ23WEST12345698765432 AND MORE"),
+    ]
+    numbers = {i: [text[int(a) : int(b)] for k, a, b in spans] for i, text, spans in _ibans(make, rows)}
+    assert numbers == {
+        1: [german], 2: ["DE89370400440532013000"], 3: [british], 4: [german, british, german], 5: [german], 6: [], 7: [german],
+        8: ["NO9386011117947"], 9: [_passing("ZZ", "WEST12345698765432")],
+    }
+    clean = {row.doc_id: row.text for row in pii.redact(make(rows[:3])).collect()}
+    assert clean == {1: "IBAN [IBAN] BIC COBADEFF", 2: "[IBAN] BIC COBADEFFXXX", 3: "é [IBAN] 2 copies"}
+
+
+def _passing(country, rest):
+    number = int("".join(str(int(c, 36)) for c in rest + country + "00"))
+    return f"{country}{98 - number % 97:02}{rest}"
+
+
+def _ibans(make, rows):
+    rows[-1] = (9, _passing("ZZ", "WEST12345698765432") + " AND MORE")
+    for row in pii.digest(pii.find_pii(make(rows))).collect():
+        spans = [s.split(":") for s in row.spans.split(",") if s.startswith("iban")]
+        yield row.doc_id, dict(rows)[row.doc_id], spans

@@ -37,6 +37,9 @@ class Kind:
     near: str  # words that make it likelier
     prior: float
     base: bool = True
+    #: For a pattern that finds only beginnings: how many code points from such a place (0-based) on belong to the span,
+    #: null if none do.
+    size: Callable[[Column, Column], Column] | None = None
 
 
 def _digits(match: Column) -> Column:
@@ -71,6 +74,38 @@ def _iban(match: Column) -> Column:
     return F.length(plain).between(15, 34) & (rest == 1)
 
 
+#: Characters of an IBAN by country (the registry of ISO 13616).
+IBAN_SIZES = {
+    country: size
+    for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _iban_size(text: Column, start: Column) -> Column:
+    """The size of the IBAN that begins there: the country's number of characters, or the most of any other's that pass.
+
+    Blanks, capitals and digits that follow belong to the text, so every end of a word is tried.
+    """
+    ahead = F.regexp_extract(F.substr(text, start + 1, F.lit(67)), r"\A[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", 0)
+    known = F.create_map(*(F.lit(x) for pair in IBAN_SIZES.items() for x in pair))
+
+    def ends(size: Column) -> Column:
+        part = F.substr(ahead, F.lit(1), size)
+        plain = F.length(F.regexp_replace(part, " ", ""))
+        whole = ~F.substr(text, start + size + 1, F.lit(1)).rlike("[A-Za-z0-9]") & ~part.endswith(" ")
+        wanted = F.coalesce(F.try_element_at(known, F.substr(ahead, F.lit(1), F.lit(2))), plain)
+        return whole & (plain == wanted) & _iban(part)
+
+    sizes = F.sequence(F.lit(15), F.greatest(F.char_length(ahead), F.lit(15)))
+    return F.when(ahead != "", F.array_max(F.filter(sizes, ends)))
+
+
 def _yes(match: Column) -> Column:
     return F.lit(True)
 
@@ -97,12 +132,13 @@ KINDS = (
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", _between(9, 15), "phone|call|tel|mobil|fax|llam", 0.8),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]){11})",
         r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11}",
-        _iban,
+        _yes,
         "iban|account|bank|konto|compte|cuenta",
         0.8,
         base=False,
+        size=_iban_size,
     ),
     Kind(
         "ssn",
@@ -153,7 +189,14 @@ def _scored(text: Column, kind: Kind) -> Column:
             F.least(F.lit(1.0), F.lit(kind.prior) + F.when(near, NEAR_BONUS).otherwise(0.0)).alias("score"),
         )
 
-    held = F.transform(F.filter(_places(text, kind), lambda span: kind.holds(span["match"])), score)
+    def grown(span: Column) -> Column:
+        end = span["start"] + kind.size(text, span["start"])
+        return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), end.alias("end"), span["match"].alias("match"))
+
+    places = F.filter(_places(text, kind), lambda span: kind.holds(span["match"]))
+    if kind.size:
+        places = F.filter(F.transform(places, grown), lambda span: span["end"].isNotNull())
+    held = F.transform(places, score)
     if not kind.base:
         held = F.filter(held, lambda span: span["score"] >= THRESHOLD)
     none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
