@@ -49,6 +49,24 @@ def test_deep_and_long_pages():
     assert render("<" * 3000).count("<") == 3000
 
 
+@pytest.mark.parametrize("depth", [300, 20_000])
+def test_elements_below_many_open_ones(depth):
+    for tag in ("div", "font", "b"):
+        deep = f"<{tag}>" * depth
+        assert render(deep + "<script>var a;</script><style>p{}</style>x").strip() == "x"
+        assert render(deep + "<p hidden>no<b>no</b></p><div style='display:none'>no</div>x").strip() == "x"
+        assert render(deep + "<ul><li>x<li>y</ul>z").strip() == "- x\n- y\n\nz"
+        assert render(deep + "<table><tr><td>a<td>b<tr><td>cc<td>d</table>").strip() == "a   b\ncc  d"
+        assert render(f"<p hidden>{deep}no</p>" if tag == "b" else f"<section hidden>{deep}no</section>").strip() == ""
+    # The end tags of deep elements don't end outer ones of the same name.
+    assert render("<div hidden>" + "<div>" * depth + "</div>" * depth + "no</div>x") == "x"
+    assert html_text._title(html_text.parse("<div>" * depth + "<title>t</title>")) == "t"
+
+
+def test_deep_pages_take_time_in_proportion():
+    assert render("<p><td>" + "<div>" * 100_000 + "</i></section>" * 50_000 + "x").strip() == "x"
+
+
 def visible_words(source):
     """By another way: drop what is hidden in the given pages, then all tags."""
     import html

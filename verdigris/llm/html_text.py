@@ -8,10 +8,11 @@ markers before list items, and table cells aligned in columns.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -54,9 +55,6 @@ _WALLS = frozenset("table td th caption".split())
 _INLINE = frozenset(
     "a abbr b big cite code em font i kbd label mark q s samp small span strike strong sub sup tt u var".split()
 )
-#: Elements nested deeper than this become siblings.
-DEEPEST = 256
-
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)",
@@ -88,26 +86,44 @@ class _Builder:
     def __init__(self) -> None:
         self.root = Node("#root")
         self.open = [self.root]
+        # Where elements of each name, and blocks, stand in ``open``: no tag needs a walk through a deep page.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
 
     def text(self, raw: str) -> None:
         if raw:
             self.open[-1].children.append(raw)
 
+    def _open(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.open))
+        if node.name in _BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
     def _close_to(self, at: int) -> None:
-        del self.open[at:]
+        while len(self.open) > at:
+            node = self.open.pop()
+            self.places[node.name].pop()
+            if node.name in _BLOCKS:
+                self.blocks.pop()
+
+    def _last(self, names: frozenset[str]) -> int:
+        """Where the innermost of the open ``names`` is; 0 if there is none."""
+        return max((self.places[name][-1] for name in names if self.places.get(name)), default=0)
 
     def _find(self, names: frozenset[str], limits: frozenset[str]) -> int | None:
         """Where the outermost of the open ``names`` is that no limit hides."""
+        behind = self._last(limits)
         found = None
-        for at in range(len(self.open) - 1, 0, -1):
-            if self.open[at].name in names:
-                found = at
-            elif self.open[at].name in limits:
-                break
+        for name in names:
+            places = self.places.get(name)
+            if places and places[-1] > behind:
+                first = places[bisect.bisect_right(places, behind)]
+                found = first if found is None else min(found, first)
         return found
 
     def start(self, name: str, attributes: dict[str, str], closed: bool) -> None:
-        if name in ("html", "body") and any(node.name == name for node in self.open):
+        if name in ("html", "body") and self.places.get(name):
             return
         if name in _BLOCKS and self._find(frozenset(["head"]), frozenset()) is not None and name != "html":
             self._close_to(self._find(frozenset(["head"]), frozenset()))
@@ -123,21 +139,20 @@ class _Builder:
             self.start("tr", {}, False)
         node = Node(name, attributes)
         self.open[-1].children.append(node)
-        if name not in _VOID and not closed and len(self.open) < DEEPEST:
-            self.open.append(node)
+        if name not in _VOID and not closed:
+            self._open(node)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.start("br", {}, True)
             return
         walls = frozenset() if name in ("body", "html", "table") else _WALLS - {name}
-        for at in range(len(self.open) - 1, 0, -1):
-            own = self.open[at].name
-            if own == name:
-                self._close_to(at)
-                return
-            if own in walls or name in _INLINE and own in _BLOCKS:
-                break
+        at, behind = self._last(frozenset([name])), self._last(walls)
+        if name in _INLINE and self.blocks:
+            behind = max(behind, self.blocks[-1])
+        if at > behind:
+            self._close_to(at)
+            return
         if name == "p":
             self.start("p", {}, True)
 
@@ -251,21 +266,39 @@ def _number(value: str | None, otherwise: int) -> int:
     return int(value) if value is not None and re.fullmatch(r"-?[0-9]{1,9}", value.strip()) else otherwise
 
 
-def _render(node: Node, page: _Page, kept: bool) -> None:
+#: A step of the renderer: it yields the steps that it waits for and is sent their results, so that the depth of a page
+#: is that of a list, not of the interpreter's stack.
+_Step = Generator["_Step", list[str] | None, list[str] | None]
+
+
+def _done(step: _Step) -> list[str] | None:
+    """The result of a step and all that it waits for."""
+    waiting, result = [step], None
+    while waiting:
+        try:
+            waiting.append(waiting[-1].send(result))
+            result = None
+        except StopIteration as end:
+            waiting.pop()
+            result = end.value
+    return result
+
+
+def _render(node: Node, page: _Page, kept: bool) -> _Step:
     for child in node.children:
         if isinstance(child, str):
             page.write(html.unescape(child), kept)
         elif visible(child):
-            _render_element(child, page, kept)
+            yield _render_element(child, page, kept)
 
 
-def _inner(node: Node, kept: bool) -> list[str]:
+def _inner(node: Node, kept: bool) -> _Step:
     page = _Page()
-    _render(node, page, kept)
+    yield _render(node, page, kept)
     return page.done()
 
 
-def _render_element(node: Node, page: _Page, kept: bool) -> None:
+def _render_element(node: Node, page: _Page, kept: bool) -> _Step:
     name = node.name
     if name == "br":
         page.break_line(always=True)
@@ -284,29 +317,29 @@ def _render_element(node: Node, page: _Page, kept: bool) -> None:
             elif child.name == "li" and visible(child):
                 number = _number(child.attributes.get("value"), number)
                 marker = _list_marker(node, number)
-                page.add(_inner(child, kept), marker, " " * len(marker))
+                page.add((yield _inner(child, kept)), marker, " " * len(marker))
                 number += 1
             elif visible(child):
-                _render_element(child, page, kept)
+                yield _render_element(child, page, kept)
         page.apart()
     elif name in ("dd", "blockquote"):
         page.apart() if name == "blockquote" else page.break_line()
-        page.add(_inner(node, kept), "  ", "  ")
+        page.add((yield _inner(node, kept)), "  ", "  ")
         page.apart() if name == "blockquote" else page.break_line()
     elif name == "table":
         page.apart()
-        _render_table(node, page, kept)
+        yield _render_table(node, page, kept)
         page.apart()
     elif name in _APART:
         page.apart()
-        _render(node, page, kept or name == "pre")
+        yield _render(node, page, kept or name == "pre")
         page.apart()
     elif name in _BLOCKS:
         page.break_line()
-        _render(node, page, kept)
+        yield _render(node, page, kept)
         page.break_line()
     else:
-        _render(node, page, kept)
+        yield _render(node, page, kept)
 
 
 def _rows_of(table: Node) -> Iterator[Node]:
@@ -318,13 +351,13 @@ def _rows_of(table: Node) -> Iterator[Node]:
                 yield from _rows_of(child)
 
 
-def _render_table(table: Node, page: _Page, kept: bool) -> None:
+def _render_table(table: Node, page: _Page, kept: bool) -> _Step:
     """Captions and stray text first, then the rows with their cells in columns; a lone column is plain text."""
     for child in table.children:
         if isinstance(child, str):
             page.write(html.unescape(child), kept)
         elif child.name not in ("tr", "tbody", "thead", "tfoot") and visible(child):
-            _render_element(child, page, kept)
+            yield _render_element(child, page, kept)
     page.break_line()
     rows = []
     for row in _rows_of(table):
@@ -334,7 +367,7 @@ def _render_table(table: Node, page: _Page, kept: bool) -> None:
                 if cell.strip():
                     cells.append([_BLANKS.sub(" ", html.unescape(cell)).strip()])
             elif visible(cell):
-                cells.append(_inner(Node("#cell", {}, [cell]) if cell.name not in ("td", "th") else cell, kept))
+                cells.append((yield _inner(Node("#cell", {}, [cell]) if cell.name not in ("td", "th") else cell, kept)))
                 span = min(_number(cell.attributes.get("colspan"), 1), 100)
                 cells += [[] for _ in range(span - 1)]
         if any(cells):
@@ -351,7 +384,7 @@ def _render_table(table: Node, page: _Page, kept: bool) -> None:
 
 def render(source: str) -> str:
     """All visible text of a page, laid out; without an empty line at the ends."""
-    lines = _inner(parse(source), False)
+    lines = _done(_inner(parse(source), False))
     return "\n".join(lines).strip("\n")
 
 
@@ -367,7 +400,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts, titles = [], []
             for source in batch.column(2).to_pylist():
                 tree = parse(source or "")
-                texts.append("\n".join(_inner(tree, False)).strip("\n"))
+                texts.append("\n".join(_done(_inner(tree, False))).strip("\n"))
                 titles.append(_title(tree))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(titles, pa.string()), pa.array(texts, pa.string())],
