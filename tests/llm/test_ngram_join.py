@@ -109,3 +109,18 @@ def test_drop_near_copies(make):
     assert kept.columns == docs.columns
     wanted = sorted(str(i) for i, _, component in brute(rows) if i is None or i == component)
     assert sorted(str(row.doc_id) for row in kept.collect()) == wanted
+
+
+def test_drop_near_copies_decides_by_text(make):
+    base = [f"w{k}" for k in range(60)]
+    copy, other = [*base[:-1], "end"], [f"v{k}" for k in range(30)]
+    rows = [
+        (1, " ".join(base)), (2, " ".join(copy)), (2, " ".join(other)),  # id 2: a near copy and a clean text
+        (3, "a b c d e f g"), (3, "A b c d e f g"),  # the smallest id twice
+        (None, "p q r s t u"), (None, "p q r s  t u"), (5, None), (5, " "), (6, "alone among the ones of its own id"),
+    ]
+    kept = ngram_join.drop_near_copies(make(rows, clash=("key", "rows")))
+    assert kept.columns[-2:] == ["key", "rows"]
+    got = sorted(((row.doc_id, row.text) for row in kept.collect()), key=str)
+    wanted = [rows[0], rows[2], (3, "A b c d e f g"), (None, "p q r s  t u"), rows[7], rows[8], rows[9]]
+    assert got == sorted(wanted, key=str)

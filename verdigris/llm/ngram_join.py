@@ -19,6 +19,7 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -380,6 +381,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that has another id; rows that repeat are linked as equal sets. An empty table gives an empty result. Only
     ``doc_id`` and ``text`` are read. Shingles are compared by 64-bit hashes.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """What ``near_duplicates`` returns, and of each row its set_key and ``keep_key``, the set that stands for its
+    component: that of the smallest doc_id (null last), then the smallest key. Both are null without shingles."""
     counts = cut_lineage(shingle_counts(docs))
     total = counts.agg(F.sum("n_shingles")).first()[0] or 0
     classes = cut_lineage(
@@ -390,12 +397,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rare = cut_lineage(rare_shingles(parts))
     labels = components_of(rare, parts).withColumnRenamed("node", "set_key")
     of_class = classes.join(labels, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    names = of_class.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = of_class.join(names, "component").select("set_key", "component_id")
+    first = F.struct(F.col("class_id").isNull(), F.col("class_id"), F.col("set_key"))
+    names = of_class.groupBy("component").agg(
+        F.min("class_id").alias("component_id"), F.min_by("set_key", first).alias("keep_key")
+    )
+    named = of_class.join(names, "component").select("set_key", "component_id", "keep_key")
     return counts.join(named, "set_key", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "set_key",
+        "keep_key",
     )
 
 
@@ -417,10 +429,35 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns as they were.
+    """``docs`` with one row of each component, all columns as they were.
 
-    Rows without a doc_id stay.
+    It is one of the smallest doc_id (null last); of several such rows, one of the smallest set, and of these the first
+    by text. Rows without words are alone, so all stay. An id that stands for several texts is decided for each of them.
     """
-    judged = near_duplicates(docs)
+
+    @F.pandas_udf("long")
+    def keys(texts: pd.Series) -> pd.Series:
+        return pd.Series([set_key(own) for own in shingle_sets(pa.array(texts, pa.string()))], dtype="Int64")
+
+    judged = cut_lineage(_judged(docs))
     gone = cut_lineage(judged.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*(f"`{name}`" for name in docs.columns))
+    names = [f"`{name}`" for name in docs.columns]
+    several = cut_lineage(
+        judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null").select("doc_id")
+    )
+    if several.isEmpty():  # the usual case: the id says which text it is
+        return docs.join(gone, "doc_id", "left_anti").select(*names)
+    same_id = docs["doc_id"].eqNullSafe(several["doc_id"])
+    once = docs.join(several, same_id, "left_anti").join(gone, "doc_id", "left_anti").select(*names)
+    row = F.struct(*(F.col(name).alias(f"_{i}") for i, name in enumerate(names)))
+    odd = docs.join(several, same_id, "left_semi").select(
+        row.alias("row"), F.col("doc_id").alias("id"), whole_text().alias("own_text")
+    )
+    odd = cut_lineage(small_batches(odd).withColumn("key", keys("own_text")))
+    keep = (
+        judged.where("set_key = keep_key and doc_id <=> component_id").select(F.col("doc_id").alias("keep_id"), "keep_key").distinct()
+    )
+    stays = odd.join(keep, odd["id"].eqNullSafe(keep["keep_id"]) & (odd["key"] == keep["keep_key"]))
+    one = stays.groupBy("id", "key").agg(F.min_by("row", "own_text").alias("row")).select("row")
+    kept = one.unionByName(odd.where("key is null").select("row"))
+    return once.unionByName(kept.select(*(F.col(f"row._{i}").alias(name) for i, name in enumerate(docs.columns))))
