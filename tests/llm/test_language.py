@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import langid
 
@@ -79,3 +80,9 @@ def test_rejection_filter(make, model, monkeypatch):
     kept = langid.keep_known(docs)
     assert kept.columns == docs.columns
     assert sorted(str(row.doc_id) for row in kept.collect()) == ["1", "None"]
+
+
+def test_without_a_model_texts_with_letters_stay(make):
+    rows = [(1, "some words"), (3, "é"), (5, "12 !?"), (7, None), (None, "no id")]
+    docs = make(rows).withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(str(row.doc_id) for row in langid.keep_known(docs).collect()) == ["1", "3", "None"]

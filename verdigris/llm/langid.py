@@ -236,14 +236,18 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language prediction is rejected; all columns as they were."""
+    """``docs`` without the rows whose language prediction is rejected; all columns as they were.
+
+    Where no model could be fitted (no labelled row with an id and letters that isn't held out), nothing is known against
+    any text: those with a letter stay.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series, letters: pd.Series) -> pd.Series:
         own = model.value
         if own is None:
-            return pd.Series([False] * len(texts))
+            return letters.astype(bool)
         odds = _softmax(_logits(own, pa.array(texts.fillna(""), pa.string())) / own.temperature)
         return pd.Series(letters.to_numpy(bool) & (odds.max(axis=1) >= own.least))
 
