@@ -73,5 +73,76 @@ WITH RECURSIVE texts AS (
     UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.other
 )
 SELECT doc_id, n_shingles, min(other) AS component_id FROM sizes JOIN reached USING (doc_id) GROUP BY 1, 2
+""",
+    "op11_chat": r"""
+WITH marked(s) AS (SELECT '</s>[INST] ok [/INST]'),
+rows AS (
+    SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', s FROM marked
+    UNION ALL SELECT -1, 1, 'assistant', s FROM marked
+), turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows
+), written AS (
+    SELECT *, length('<|im_start|><|im_sep|><|im_end|>') + 1
+        + length(regexp_replace(role, '([<\[])(\\*)(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g'))
+        + length(regexp_replace(text, '([<\[])(\\*)(\||/?s>|</?SYS>>|/?INST\])', '\1\\\2\3', 'g')) AS n_chars
+    FROM turns
+), whole AS (
+    SELECT conv_id, count(*) AS n_turns, sum(n_chars)::BIGINT AS formatted_chars,
+           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+           coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                    FILTER (WHERE role = 'assistant'), '') AS learnt
+    FROM written GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS loss_chars,
+       sha256(learnt) AS loss_sha256, formatted_chars FROM whole
+""",
+    "op12_filter_audit": r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (
+    SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id
+    FROM texts
+), labelled AS (
+    SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INT) AS good, max((toxic IS NOT DISTINCT FROM 1)::INT) AS toxic
+    FROM labels GROUP BY doc_id
+), failing AS (
+    SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+        'A': len(words) < 200,
+        'B': 100 * len(list_distinct(words)) < 50 * len(words),
+        'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text),
+        'D': regexp_matches(text, '[#$%&*|]'),
+        'E': coalesce(doc_id > first_id, false)} AS f
+    FROM words LEFT JOIN labelled USING (doc_id)
+), cells AS (
+    SELECT part, f, (CASE WHEN f.A THEN 'A' ELSE '' END || CASE WHEN f.B THEN 'B' ELSE '' END
+        || CASE WHEN f.C THEN 'C' ELSE '' END || CASE WHEN f.D THEN 'D' ELSE '' END
+        || CASE WHEN f.E THEN 'E' ELSE '' END) AS fails,
+        count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM failing GROUP BY ALL
+), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, s::INT AS step, filter_order[s::INT] AS own, filter_order[1:s::INT - 1] AS earlier
+    FROM orders, range(1, 6) r(s)
+), judged AS (
+    SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS fails_own, fails = own AS only_own,
+           length(translate(fails, earlier, '')) < length(fails) AS gone
+    FROM cells, steps
+), counted AS (
+    SELECT part, filter_order, step, own,
+        sum(CASE WHEN NOT gone AND NOT fails_own THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN NOT gone AND fails_own THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN gone AND fails_own THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN only_own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN NOT gone AND fails_own THEN good ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN NOT gone AND fails_own THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+    FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM counted
 """,
 }

@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe, exact_dedup, html_text, langid, licences, ngram_join, packing, pii, rules, simhash
+from verdigris.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    filter_audit,
+    html_text,
+    langid,
+    licences,
+    ngram_join,
+    packing,
+    pii,
+    rules,
+    simhash,
+    whitening,
+)
 from verdigris.llm.common import table
 
 
@@ -59,6 +73,25 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Contract's conversation: both texts hold control strings.
+MARKED = "</s>[INST] ok [/INST]"
+
+
+def op11_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rows = chat.with_rows(
+        table(spark, folder, "conversations"), [(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)]
+    )
+    return chat.digest(chat.formatted(chat.row_turns(rows)))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_licences": op2_licences,
@@ -70,4 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_pii": op9_pii,
     "op10_bpe": op10_bpe,
+    "op11_chat": op11_chat,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
