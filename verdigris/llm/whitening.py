@@ -64,13 +64,18 @@ def integer_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
 def matrix_of(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
     """The vectors of a batch as an int64 matrix."""
     column = batch.column(batch.schema.get_field_index(name))
-    rows = len(column)
-    return np.asarray(column.flatten(), dtype=np.int64).reshape(rows, -1) if rows else np.zeros((0, 0), np.int64)
+    entries = np.asarray(column.flatten(), dtype=np.int64)
+    return entries.reshape(len(column), len(entries) // max(1, len(column)))
+
+
+def _largest(x: np.ndarray) -> int:
+    """The largest absolute entry."""
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
 
 
 def _products(x: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """Blocks of exact sums over rows of outer products, each with a bound of its entries."""
-    largest = max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    largest = _largest(x)
     rows = (1 << 53) // max(1, largest * largest)
     if rows:  # exact in doubles, which have fast products
         for at in range(0, len(x), rows):
@@ -108,10 +113,10 @@ def _partial_moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
     for batch in batches:
         x = matrix_of(batch)
-        if not len(x):
+        if not x.size:
             continue
         sums = np.zeros(x.shape[1], dtype=object) if sums is None else sums
-        largest = max(abs(int(x.max())), abs(int(x.min())))
+        largest = _largest(x)
         whole = x if largest * len(x) < 1 << 62 else x.astype(object)
         sums = sums + whole.sum(axis=0).astype(object)
         count += len(x)
@@ -144,7 +149,7 @@ class Moments:
 
 
 def moments(fit: DataFrame) -> Moments | None:
-    """Exact moments of the column x; None for a table without rows."""
+    """Exact moments of the column x; None for a table without rows or entries."""
     total = (
         small_batches(fit.select("x"))
         .mapInArrow(_partial_moments, "place int, level int, digit long")
@@ -314,9 +319,7 @@ def largest_roots(coefficients: list[int], bound: int, most: int) -> list[int]:
         if high - low <= 1:
             roots += [high] * (above_low - above_high)
         elif above_low - above_high == 1:
-            below = _value(coefficients, low) > 0  # a simple root: the sign differs on its two sides
-            if _value(coefficients, low) == 0:
-                below = _value(coefficients, high) < 0
+            below = next(c for c in reversed(shifted(coefficients, low)) if c) > 0  # the sign right above low
             while high - low > 1:
                 middle = (low + high) // 2
                 value = _value(coefficients, middle)
@@ -434,7 +437,7 @@ def fit_whitening(fit: DataFrame, components: int = COMPONENTS) -> Whitening | N
 
 def _centred(x: np.ndarray, fitted: Whitening) -> np.ndarray:
     """n * x - S, exact: longs where they fit, whole numbers of any size elsewhere."""
-    largest = max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+    largest = _largest(x)
     if largest * fitted.n + max((abs(s) for s in fitted.sums), default=0) < 1 << 62:
         return x * fitted.n - np.array(fitted.sums, dtype=np.int64)
     return x.astype(object) * fitted.n - np.array(fitted.sums, dtype=object)
@@ -449,7 +452,7 @@ def deviations(x: np.ndarray, fitted: Whitening) -> list[int]:
     """Sum over dimensions of (n * x - S)^2 of each vector, exact."""
     moved = _centred(x, fitted)
     if moved.dtype != object and moved.size:
-        largest = max(abs(int(moved.max())), abs(int(moved.min())))
+        largest = _largest(moved)
         if largest * largest * moved.shape[1] < 1 << 62:
             return (moved * moved).sum(axis=1).tolist()
     return [sum(int(v) * int(v) for v in row) for row in moved]
