@@ -14,13 +14,13 @@ JSON = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
     (1, None), (2, ""), (3, "  two  spaces \n\n\t end "), (4, "naïve 😀 ​\u0000 <|endoftext|> don't"), (5, "word " * 9000),
-    (6, "x" * 3000), (7, "once"), (7, "once"), (None, "no id"), (8, "ÀÉ١٢٣ ½ 中文字"),
+    (6, "x" * 3000), (7, "once"), (7, "once"), (None, "no id"), (8, "ÀÉ١٢٣ ½ 中文字"), (9, "x <|endoftext|> y"), (10, "<|endoftext|><|endoftext|>"), (11, "<|endoftext|>"),
+    (12, "<|endoftext |> <|endoftext|"), (13, "end  <|endoftext|>  \n<|endoftext|>'s"), (14, "<<|endoftext|>>" * 500),
 ]
 
 
 def by_library():
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 

@@ -47,10 +47,14 @@ def load_encoder(vocabulary: str) -> tiktoken.Encoding:
     """An encoder with the ids of a byte-level tokenizer file.
 
     It gives the ids that the file's own library gives (tests compare them) in a fifth of its time. That needs merges
-    listed in the order of their ids, which is checked. Strings of special tokens are ordinary text.
+    listed in the order of their ids, which is checked. Strings of the file's added tokens are those tokens wherever
+    they stand, as there.
     """
     with open(vocabulary, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+        whole = json.load(file)
+    model, added = whole["model"], whole.get("added_tokens", [])
+    if any(token[rule] for token in added for rule in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what surrounds them")
     letters = _byte_letters()
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     made = [model["vocab"][a + b] for a, b in pairs]
@@ -61,7 +65,9 @@ def load_encoder(vocabulary: str) -> tiktoken.Encoding:
         raise ValueError("single bytes must come before merges")
     words = list(singles.items()) + list(zip((a + b for a, b in pairs), made, strict=True))
     ranks = {bytes(letters[x] for x in word): i for word, i in words}
-    return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    special = {token["content"]: token["id"] for token in added}
+    ranks = {data: i for data, i in ranks.items() if i not in set(special.values())}
+    return tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
@@ -72,7 +78,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFra
         for batch in batches:
             starts, counts, ids = [], [], []
             for text in batch.column(1):
-                own = encoder.encode_ordinary(text.as_py())
+                own = encoder.encode(text.as_py(), allowed_special="all")
                 own.append(end_id)
                 starts.append(done)
                 counts.append(len(own))
