@@ -1,5 +1,9 @@
 """The driver contract, and every statement against its query on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -47,3 +51,15 @@ def test_query_equals_statement(spark, duck, name):
     expected_names, expected = duck_rows(duck, contract.oracle_sql()[name])
     assert names == expected_names
     assert rows == expected
+
+
+def test_a_missing_library_costs_only_the_training_data_queries():
+    blocked = (
+        "import sys; sys.modules['ahocorasick'] = None; sys.modules['public_tokenizers'] = None\n"
+        "import __spark_entry__ as contract\n"
+        "from verdigris.plans.queries import QUERIES\n"
+        "assert set(contract.queries()) == set(QUERIES)\n"
+        "assert len(contract.oracle_sql()) > 70\n"
+    )
+    root = Path(__file__).resolve().parent.parent
+    subprocess.run([sys.executable, "-c", blocked], cwd=root, check=True, timeout=120)
