@@ -86,3 +86,26 @@ def test_without_a_model_texts_with_letters_stay(make):
     rows = [(1, "some words"), (3, "é"), (5, "12 !?"), (7, None), (None, "no id")]
     docs = make(rows).withColumn("lang", F.lit(None).cast("string"))
     assert sorted(str(row.doc_id) for row in langid.keep_known(docs).collect()) == ["1", "3", "None"]
+
+
+def test_languages_it_never_saw_are_rejected(docs):
+    spoken = docs.where("lang <> 'es'")
+    own = langid.fit(spoken, rows_per_language=100)
+    assert own.false_accepts < 0.05
+    foreign = langid.predict(docs.where("lang = 'es' and length(text) >= 200"), own).collect()
+    assert len(foreign) > 20
+    assert np.mean([row.rejected for row in foreign]) > 0.95
+    assert np.mean([row.rejected for row in langid.predict(spoken, own).collect()]) < 0.03
+
+
+def test_real_sentences_code_and_letter_salad_are_rejected(make, model):
+    odd = ["De kat zit op de mat en kijkt naar buiten", "Ala ma kota a kot ma", "def f(x): return x+1", "これは日本語です", "xqz wvk jjh qpz rtx"]
+    got = langid.predict(make(list(enumerate(odd))), model).collect()
+    assert all(row.rejected for row in got)
+
+
+def test_no_row_is_moved_by_language_before_the_share(docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(langid, "hash_share", lambda key, count, rows: plans.append(count) or F.lit(True))
+    langid.fit(docs, rows_per_language=5)
+    assert "map" in str(plans[0]).lower()  # the counts are literals, not a joined column

@@ -86,5 +86,5 @@ def test_run_is_registered(spark):
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     names = {name.split("_")[0] for name in __spark_entry__.queries() if re.match(r"op\d+_", name)}
-    assert names == {f"op{n}" for n in range(1, 11)}
+    assert names == {f"op{n}" for n in range(1, 14)}
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100

@@ -3,8 +3,10 @@
 A text is the mean of the embeddings of its subwords: all byte n-grams of its words (a blank marks their edges),
 hashed into a table. A linear softmax reads the language off that mean. Both are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. A temperature fitted on rows that training didn't see makes
-the scores probabilities, and the score under which a prediction is rejected is a low quantile of what those rows
-give their own language. Once trained, embedding and softmax are one table (a subword's contribution to each
+the scores probabilities. Rejection is calibrated on what the model must not take for its own: models that leave
+languages out score these, and texts with shuffled letters, beside known ones; a logistic regression on the best score
+and on the share of subwords that training saw tells them apart, and its threshold is a low quantile of what unseen
+rows of the learned languages reach. Once trained, embedding and softmax are one table (a subword's contribution to each
 language), so prediction is one lookup for each n-gram of the whole text.
 """
 
@@ -24,6 +26,8 @@ from verdigris.llm.common import hash_share, small_batches, whole_text
 
 #: Labelled rows of each language that the model is fitted on, at most.
 ROWS_PER_LANGUAGE = 800
+#: Languages that are learned, at most.
+LANGUAGES = 1000
 BUCKETS = 1 << 17
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
@@ -31,8 +35,16 @@ EPOCHS = 4
 #: Subwords that stand for a training text.
 GRAMS = 800
 RATE = 0.5
-#: Share of labelled rows whose own language may fall under the score of rejection.
+#: Share of unseen labelled examples that may be rejected, and the probability from which nothing is rejected.
 REJECTED_SHARE = 0.002
+MOST_TO_REJECT = 0.3
+#: Training examples that a familiar subword occurs in, at least.
+FAMILIAR_FROM = 3
+#: Folds of languages that are left out in turn for calibration, and the rows, subwords and epochs of their models.
+FOLDS = 4
+FOLD_ROWS = 1000
+FOLD_GRAMS = 150
+FOLD_EPOCHS = 2
 UNKNOWN = "und"
 _CHUNK = 1 << 19
 
@@ -49,7 +61,10 @@ class Model:
     table: np.ndarray  # buckets x languages: what a subword adds
     bias: np.ndarray
     temperature: float
-    least: float  # a score under this is rejected
+    familiar: np.ndarray  # buckets: whether training saw the subword often enough
+    known: np.ndarray  # weights of the signs of a known language
+    least: float  # a text less likely than this to be in a known language is rejected
+    false_accepts: float = 0.0  # share of the calibration's foreign and garbled examples that are not rejected
 
 
 def _spaced(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,21 +107,34 @@ def _texts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
-def _logits(model: Model, column: pa.Array) -> np.ndarray:
-    """The mean contribution of each text's subwords, with the bias."""
-    found = []
+def _read(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The mean contribution of each text's subwords, with the bias, and the signs of a known language."""
+    found, shares, sizes = [], [], []
     for data, offsets in _texts(column):
         spaced, begins = _spaced(data, offsets)
         sums = np.zeros((len(begins), len(model.languages)), np.float64)
-        counts = np.zeros(len(begins))
+        counts, known = np.zeros(len(begins)), np.zeros(len(begins))
         if len(begins) and len(spaced) > max(SIZES):
             for size in SIZES:
                 buckets = _buckets(spaced, size)
                 counts += np.add.reduceat(buckets != 0, begins, dtype=np.int64)
                 sums += np.add.reduceat(model.table[buckets], begins, axis=0)
+                known += np.add.reduceat(model.familiar[buckets], begins)
         found.append(sums / np.maximum(counts, 1)[:, None])
-    every = np.concatenate(found) if found else np.zeros((0, len(model.languages)))
-    return every + model.bias
+        shares.append(known / np.maximum(counts, 1))
+        sizes.append(counts)
+    if not found:
+        return np.zeros((0, len(model.languages))), np.zeros((0, 5))
+    logits = np.concatenate(found) + model.bias
+    return logits, _signs(_softmax(logits), np.concatenate(shares), np.concatenate(sizes))
+
+
+def _logits(model: Model, column: pa.Array) -> np.ndarray:
+    return _read(model, column)[0]
+
+
+def _is_known(model: Model, signs: np.ndarray) -> np.ndarray:
+    return _known(signs, model.known) >= model.least
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -131,49 +159,141 @@ def _examples(texts: list[str]) -> list[list[np.ndarray]]:
     return found
 
 
-def train(texts: list[str], languages: list[str], seed: int = 5) -> Model | None:
-    """Fit a model; None without labelled text. A tenth of the rows is kept out for temperature and rejection."""
-    names = sorted(set(languages))
-    examples = _examples(texts)
-    truth = np.array([names.index(x) for x in languages], int)
-    kept = [i for i in range(len(texts)) if examples[i]]
-    if not kept:
-        return None
-    random = np.random.default_rng(seed)
-    order = random.permutation(kept)
-    probe = order[: len(order) // 10]
-    fit = [(x, truth[i]) for i in order[len(probe) :] for x in examples[i]]
-    weights = len(fit) / (len(names) * np.maximum(np.bincount([y for _, y in fit], minlength=len(names)), 1))
+def _descend(fit: list[tuple[np.ndarray, int]], classes: int, epochs: int, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """What each subword adds to each class, and the bias, by stochastic gradient descent."""
+    weights = len(fit) / (classes * np.maximum(np.bincount([y for _, y in fit], minlength=classes), 1))
     embedding = random.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     embedding[0] = 0
-    output = random.normal(0, 0.1, (DIMENSIONS, len(names))).astype(np.float32)
-    bias = np.zeros(len(names), np.float32)
-    steps, step = EPOCHS * len(fit), 0
-    for _ in range(EPOCHS):
-        for i in random.permutation(len(fit)):
-            grams, own = fit[i]
+    output = random.normal(0, 0.1, (DIMENSIONS, classes)).astype(np.float32)
+    bias = np.zeros(classes, np.float32)
+    steps, step = epochs * len(fit), 0
+    distinct = [(*np.unique(grams, return_counts=True), own) for grams, own in fit]
+    for _ in range(epochs):
+        for i in random.permutation(len(distinct)):
+            grams, times, own = distinct[i]
+            size = times.sum()
             rate = RATE * (1 - step / steps) * min(weights[own], 4.0)
             step += 1
-            mean = embedding[grams].mean(axis=0)
+            mean = (times.astype(np.float32) @ embedding[grams]) / size
             error = _softmax(mean @ output + bias)
             error[own] -= 1
             back = output @ error
             output -= rate * np.outer(mean, error)
             bias -= rate * 0.1 * error
-            np.subtract.at(embedding, grams, (rate / np.sqrt(len(grams))) * back)
+            embedding[grams] -= np.outer(times * (rate / np.sqrt(size)), back).astype(np.float32)
     table = (embedding @ output).astype(np.float32)
     table[0] = 0
-    model = Model(names, table, bias.astype(np.float64), 1.0, 0.0)
+    return table, bias.astype(np.float64)
+
+
+def _familiar(fit: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """1 for the subwords that several training examples have."""
+    seen = np.zeros(BUCKETS, np.int64)
+    for grams, _ in fit:
+        seen[np.unique(grams)] += 1
+    seen[0] = 0
+    return (seen >= FAMILIAR_FROM).astype(np.float32)
+
+
+def _signs(odds: np.ndarray, familiar: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What tells a text of a known language from others: the best score, and how many of its subwords are familiar."""
+    best = np.clip(odds.max(axis=1), 1e-6, 1 - 1e-6)
+    short = 1 / np.sqrt(np.maximum(counts, 1))
+    return np.stack([np.ones(len(best)), familiar, np.log(best / (1 - best)), short, familiar * short], axis=1)
+
+
+def _example_signs(examples: list[np.ndarray], table: np.ndarray, bias: np.ndarray, familiar: np.ndarray) -> np.ndarray:
+    odds = _softmax(np.array([table[x].mean(axis=0) for x in examples]) + bias)
+    return _signs(odds, np.array([familiar[x].mean() for x in examples]), np.array([len(x) for x in examples]))
+
+
+def _logistic(signs: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression in which both classes count alike, by Newton steps."""
+    share = np.where(truth, 0.5 / max(truth.sum(), 1), 0.5 / max((~truth).sum(), 1))
+    weights = np.zeros(signs.shape[1])
+    for _ in range(25):
+        found = 1 / (1 + np.exp(-np.clip(signs @ weights, -30, 30)))
+        slope = signs.T @ (share * (found - truth)) + 1e-4 * weights
+        bend = (signs * (share * found * (1 - found))[:, None]).T @ signs + 1e-4 * np.eye(len(weights))
+        weights -= np.linalg.solve(bend, slope)
+    return weights
+
+
+def _known(signs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The probability that a text is in one of the learned languages."""
+    return 1 / (1 + np.exp(-np.clip(signs @ weights, -30, 30)))
+
+
+def _shuffled(text: str, random: np.random.Generator) -> str:
+    """The text with its letters in another order, word lengths kept."""
+    words = text.split()
+    letters = "".join(words)
+    order = random.permutation(len(letters))
+    mixed, at, out = "".join(letters[i] for i in order), 0, []
+    for word in words:
+        out.append(mixed[at : at + len(word)])
+        at += len(word)
+    return " ".join(out)
+
+
+def _rejection(texts: list[str], examples: list[list[np.ndarray]], truth: np.ndarray, fit: np.ndarray, probe: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Weights that tell known languages from others, and what they say of the examples of unknown ones.
+
+    The languages are dealt into folds. For each fold a model learns the other languages only; probes of the fold are
+    texts of an unknown language to it, probes of the others are known, and probes with shuffled letters are unknown.
+    """
+    languages = int(truth.max()) + 1
+    signs, known = [], []
+    garbled = [x for i in probe for x in _examples([_shuffled(texts[i], random)])[0]]
+    for fold in range(min(languages, FOLDS)):
+        outside = truth % FOLDS == fold
+        names = sorted(set(truth[~outside].tolist()))
+        own = {language: k for k, language in enumerate(names)}
+        learn = [(x, own[truth[i]]) for i in fit[:: max(1, len(fit) // FOLD_ROWS)] if not outside[i] for x in examples[i]]
+        if not learn:
+            continue
+        thinned = [(x[:: 1 + len(x) // FOLD_GRAMS], y) for x, y in learn]
+        table, bias = _descend(thinned, len(names), FOLD_EPOCHS, random)
+        familiar = _familiar(learn)
+        for rows, is_known in (
+            ([x for i in probe if not outside[i] for x in examples[i]], True),
+            ([x for i in probe if outside[i] for x in examples[i]], False),
+            (garbled, False),
+        ):
+            if rows:
+                signs.append(_example_signs(rows, table, bias, familiar))
+                known.append(np.full(len(rows), is_known))
+    if not signs:
+        return np.zeros(5), np.zeros(0)
+    every, truth = np.concatenate(signs), np.concatenate(known)
+    weights = _logistic(every, truth)
+    return weights, _known(every[~truth], weights)
+
+
+def train(texts: list[str], languages: list[str], seed: int = 5) -> Model | None:
+    """Fit a model; None without labelled text. A tenth of the rows is kept out for temperature and rejection."""
+    names = sorted(set(languages))
+    examples = _examples(texts)
+    truth = np.array([names.index(x) for x in languages], int)
+    kept = [i for i in range(len(texts)) if examples[i]]
+    if not kept:
+        return None
+    random = np.random.default_rng(seed)
+    order = random.permutation(kept)
+    probe, rest = order[: len(order) // 10], order[len(order) // 10 :]
+    fit = [(x, truth[i]) for i in rest for x in examples[i]]
+    table, bias = _descend(fit, len(names), EPOCHS, random)
+    model = Model(names, table, bias, 1.0, _familiar(fit), np.zeros(5), 0.0)
     if len(probe):
         logits = np.array([table[examples[i][0]].mean(axis=0) for i in probe]) + bias
         own = truth[probe]
         grid = np.geomspace(0.25, 8, 41)
         loss = [-np.log(_softmax(logits / t)[np.arange(len(own)), own] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
-        scores = _softmax(logits / model.temperature)
-        # No prediction can score less than 1 / languages; what is nearly that says nothing.
-        low = np.quantile(scores[np.arange(len(own)), own], REJECTED_SHARE)
-        model.least = float(np.clip(low, 1.2 / len(names), 0.9) if len(names) > 1 else 0.0)
+        model.known, foreign = _rejection(texts, examples, truth, rest, probe, random)
+        scores = _known(_example_signs([x for i in probe for x in examples[i]], table, bias, model.familiar), model.known)
+        model.least = float(min(np.quantile(scores, REJECTED_SHARE), MOST_TO_REJECT))
+        model.false_accepts = float((foreign >= model.least).mean()) if len(foreign) else 0.0
     return model
 
 
@@ -182,15 +302,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """Train on labelled rows that aren't held out: of each language, those whose ids have the smallest hashes."""
+def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
+    """Train on labelled rows that aren't held out: of each language, those whose ids have the smallest hashes.
+
+    The model holds a column for each language, so at most ``languages`` of them are learned, those with the most
+    rows. Their counts make a filter that only a bounded share of the rows passes before any row is moved.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     with_letters = labelled.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-    counts = with_letters.groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
+    counts = (
+        with_letters.groupBy("lang").agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "lang").limit(languages)
+    ).collect()
+    if not counts:
+        return None
+    count = F.create_map(*(F.lit(value) for row in counts for value in (row.lang, row["count"])))[F.col("lang")]
     place = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)), "doc_id")
     chosen = (
-        with_letters.join(counts, "lang")
-        .where(hash_share("doc_id", F.col("count"), rows_per_language))
+        with_letters.where(hash_share("doc_id", count, rows_per_language))
         .withColumn("place", F.row_number().over(place))
         .where(F.col("place") <= rows_per_language)
         .select("doc_id", "lang")
@@ -219,11 +347,12 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 names, scores = [UNKNOWN] * len(letters), np.zeros(len(letters))
                 rejected = np.ones(len(letters), bool)
             else:
-                odds = _softmax(_logits(own, batch.column(1)) / own.temperature)
+                logits, signs = _read(own, batch.column(1))
+                odds = _softmax(logits / own.temperature)
                 best = odds.argmax(axis=1)
                 scores = np.where(letters, odds[np.arange(len(best)), best], 0.0)
                 names = [own.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-                rejected = ~letters | (scores < own.least)
+                rejected = ~letters | ~_is_known(own, signs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
                 names=["doc_id", "lang_pred", "score", "rejected"],
@@ -248,8 +377,8 @@ def keep_known(docs: DataFrame) -> DataFrame:
         own = model.value
         if own is None:
             return letters.astype(bool)
-        odds = _softmax(_logits(own, pa.array(texts.fillna(""), pa.string())) / own.temperature)
-        return pd.Series(letters.to_numpy(bool) & (odds.max(axis=1) >= own.least))
+        _, signs = _read(own, pa.array(texts.fillna(""), pa.string()))
+        return pd.Series(letters.to_numpy(bool) & _is_known(own, signs))
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return small_batches(docs).where(known(whole_text(), letter))
