@@ -23,7 +23,8 @@ def brute_fingerprint(text):
         return word_hashes(data, np.array([0, len(data)]))[0][0]
 
     hashes = [word(w) for w in words]
-    terms = [range(i, i + 3) for i in range(len(words) - 2)] or ([range(len(words))] if words else [])
+    size = simhash.TERM_WORDS
+    terms = [range(i, i + size) for i in range(len(words) - size + 1)] or ([range(len(words))] if words else [])
     votes = np.zeros(simhash.BITS, int)
     for term in terms:
         h = np.zeros(1, np.uint64)
@@ -75,39 +76,55 @@ def test_edited_texts_are_nearer_than_next_ones(sample):
     assert np.mean([row.near_edited > row.near_next for row in long]) > 0.9
 
 
-def test_search_finds_all_within_the_radius(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 7)
+def hexes(spark, values, named=False):
+    digits = simhash.BITS // 4
+    rows = [(f"{v:0{digits}x}", f"{v:0{digits}x}") for v in values]
+    table = spark.createDataFrame(rows, "fingerprint string, name string")
+    return table if named else table.select("fingerprint")
+
+
+@pytest.mark.parametrize("bucket", [1, 40, 1 << 15])
+def test_search_finds_all_within_the_radius(spark, monkeypatch, bucket):
+    """Against all distances; small buckets make many leading bits and split ones."""
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "_AT_ONCE", 700)
     rnd = random.Random(2)
     centres = [rnd.getrandbits(simhash.BITS) for _ in range(6)]
     values = set(centres)
     for centre in centres:
-        for _ in range(40):
-            flips = rnd.sample(range(simhash.BITS), rnd.randint(0, 11))
-            values.add(centre ^ sum(1 << f for f in flips))
+        for distance in range(simhash.RADIUS + 3):  # every distance up to the radius and beyond, twice
+            for _ in range(2):
+                values.add(centre ^ sum(1 << f for f in rnd.sample(range(simhash.BITS), distance)))
+    # The hardest pairs: as many bits in each block as the radius allows.
+    values |= {centres[0] ^ sum(7 << (32 * k) for k in range(8)) ^ (1 << 40), centres[0] ^ sum((3 if k == 5 else 7) << (32 * k) for k in range(8))}
+    got = simhash.search(hexes(spark, centres), hexes(spark, values, named=True)).collect()
     digits = simhash.BITS // 4
-    everything = spark.createDataFrame([(f"{v:0{digits}x}",) for v in values], "fingerprint string")
-    asked = spark.createDataFrame([(f"{v:0{digits}x}",) for v in centres], "fingerprint string")
-    got = simhash.search(asked, everything).collect()
     expected = {
         (f"{a:0{digits}x}", f"{b:0{digits}x}", (a ^ b).bit_count())
         for a in centres
         for b in values
         if a != b and (a ^ b).bit_count() <= simhash.RADIUS
     }
+    assert {d for _, _, d in expected} == set(range(1, simhash.RADIUS + 1))
     assert len(got) == len(expected) and set(map(tuple, got)) == expected
 
 
 def test_near_counts_equal_all_distances(sample, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 5)
+    monkeypatch.setattr(simhash, "BUCKET", 5)
     docs, rows = sample
     prints = dict(zip([i for i, _ in rows], simhash.fingerprints_of([text for _, text in rows]), strict=True))
-    values = {int.from_bytes(x, "big") for x in prints.values()}
-    got = simhash.with_near_counts(simhash.fingerprints(docs), every=5, radius=15).collect()
-    assert len(got) == len(rows)
-    for row in got:
-        own = int.from_bytes(prints[row.doc_id], "big")
-        near = sum(0 < (own ^ other).bit_count() <= 15 for other in values)
-        assert row.n_near == (near if row.doc_id % 5 == 0 else None)
+    name = {}
+    for i, x in prints.items():
+        name[int.from_bytes(x, "big")] = min(i, name.get(int.from_bytes(x, "big"), i))
+    for radius in (15, simhash.RADIUS):
+        got = simhash.with_near_counts(simhash.fingerprints(docs), every=5, radius=radius).collect()
+        assert len(got) == len(rows)
+        for row in got:
+            own = int.from_bytes(prints[row.doc_id], "big")
+            near = sorted(((own ^ other).bit_count(), i) for other, i in name.items() if 0 < (own ^ other).bit_count() <= radius)
+            asked = row.doc_id % 5 == 0
+            assert row.n_near == (len(near) if asked else None)
+            assert (row.near_distance, row.near_id) == (near[0] if near and asked else (None, None))
 
 
 def shingled(text):
@@ -126,24 +143,24 @@ def test_near_copies_lie_within_the_radius(spark):
     near = [(a, b) for a, b in pairs if 4 * len(rows[a][2] & rows[b][2]) >= 3 * len(rows[a][2] | rows[b][2])]
     near = [(a, b) for a, b in near if rows[a][2] != rows[b][2]]
     prints = dict(zip([i for i, _, _ in rows], simhash.fingerprints_of([text or "" for _, text, _ in rows]), strict=True))
-    table = spark.createDataFrame([(i, found.hex()) for i, found in prints.items()], "doc_id long, fingerprint string")
-    got = {row.doc_id: row for row in simhash.with_near_counts(table, every=1).collect()}
+    table = spark.createDataFrame([(i, found.hex()) for i, found in prints.items()], "name long, fingerprint string")
+    classes = table.groupBy("fingerprint").agg({"name": "min"}).withColumnRenamed("min(name)", "name")
+    listed = {(row.query, row.name) for row in simhash.search(classes.select("fingerprint"), classes).collect()}
+    own = {row.fingerprint: row.name for row in classes.collect()}
     met = 0
     for a, b in near:
-        one, two = got[rows[a][0]], got[rows[b][0]]
-        met += one.class_id == two.class_id or two.class_id in {x.class_id for x in one.near}
-    assert len(near) >= 20 and met >= 0.95 * len(near)
-
-
-def test_near_lists_name_classes(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "TILE", 2)
-    monkeypatch.setattr(simhash, "LEAST_TILE", 1)
-    monkeypatch.setattr(simhash, "ASKED", 1)
-    monkeypatch.setattr(simhash, "_AT_ONCE", 1)
-    values = {50: 0, 7: 0, None: 0, 100: (1 << 40) - 1, 8: (1 << 40) - 1, 9: 1 << 100, 11: (1 << 200) - 1}
-    rows = [(i, f"{v:064x}") for i, v in values.items()]
-    got = simhash.with_near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string"), radius=45)
-    found = {row.doc_id: (row.class_id, row.n_same, row.n_near, row.near and [tuple(x) for x in row.near]) for row in got.collect()}
-    assert found[50] == (7, 2, 2, [(9, 1), (8, 40)])
-    assert found[100] == (8, 1, 2, [(7, 40), (9, 41)])
-    assert len(found) == 7 and found[7] == found[None] == found[11] == (None, None, None, None)
+        one, two = prints[rows[a][0]].hex(), prints[rows[b][0]].hex()
+        met += one == two or (one, own[two]) in listed
+    assert len(near) >= 20 and met >= 0.9 * len(near)
+
+
+def test_equal_fingerprints_null_and_repeated_ids(spark):
+    values = {50: 0, 7: 0, None: 0, 100: (1 << 20) - 1, 8: (1 << 20) - 1, 9: 1 << 100, 11: (1 << 200) - 1}
+    rows = [(i, f"{v:064x}") for i, v in values.items()] + [(100, f"{(1 << 20) - 1:064x}"), (None, f"{3:064x}")]
+    got = simhash.with_near_counts(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    found = {row.doc_id: (row.class_id, row.n_same, row.n_near, row.near_id, row.near_distance) for row in got}
+    assert found[50] == (7, 2, 3, 9, 1)
+    assert found[100] == (8, 2, 3, None, 18)
+    assert len(got) == 9 and found[7] == found[None] == found[11] == (None,) * 5
+    empty = spark.createDataFrame([], "doc_id long, fingerprint string")
+    assert simhash.with_near_counts(empty).collect() == []

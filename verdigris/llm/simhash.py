@@ -1,18 +1,22 @@
 """Document fingerprints by SimHash.
 
-A text's terms are its runs of three words. Each term's hash votes on every bit of the fingerprint with the weight of
-the term, and a bit is set where the votes for it prevail. The share of differing bits estimates the angle between
-the weighted term vectors of two texts.
-
-Fingerprints within a Hamming radius are found by comparing each query with each distinct fingerprint, tile by tile. At
-the distance of real near copies, a quarter of the bits, no exact table of blocks helps: blocks that must agree are so
-short that a key holds as many rows as it spares. Only what is near leaves a tile.
+A text's terms are its words. Each term's hash votes on every bit of the fingerprint with the weight of the term, and
+a bit is set where the votes for it prevail. The share of differing bits estimates the angle between the weighted term
+vectors of two texts.
+
+Fingerprints within a Hamming radius are found through permuted block tables. The 256 bits are eight blocks of 32, and
+table t holds every fingerprint under its block t. Two fingerprints within 23 bits differ in at most two bits of some
+block (eight blocks with three each would be 24), so a query looks up, in each table, the 529 keys within two bits of
+its own block, and the search is exact. With N random fingerprints a key has N / 2^32 of them: 2 at 10^10, so a query
+verifies some 10^4 fingerprints there, besides those that are near. Tables are dealt out by the leading bits of their
+keys, which a query reaches by flipping at most two of them; the other keys are found by binary search in its bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -25,22 +29,21 @@ from verdigris.llm.shingles import mixed, word_hashes
 from verdigris.session import cut_lineage
 
 BITS = 256
-TERM_WORDS = 3
+TERM_WORDS = 1
 #: Weight of a term: one more for each so many bytes of its words, up to a limit. Long words are rarer.
 BYTES_PER_WEIGHT = 6
 LARGEST_WEIGHT = 7
-#: Texts whose five-word shingles have a Jaccard similarity of 0.75 share 6/7 of each one's terms: a cosine of 0.857 is 44
-#: differing bits, with a standard deviation of 6. Unrelated texts differ in 128, with one of 8.
-RADIUS = 64
+#: Of pairs of texts whose five-word shingles have a Jaccard similarity of 0.75 or more, 95 % lie within this radius (half
+#: of them within 15 bits); of unrelated texts half differ in 121 bits or more.
+RADIUS = 23
+BLOCKS = 8
+BLOCK_BITS = BITS // BLOCKS
 #: Ranges of ids for each task that compares neighbours: several, so that hashing deals them out evenly.
 RANGES_PER_TASK = 4
-#: Fingerprints of a tile, and the queries that meet in it. A tile is cut finer, down to LEAST_TILE, to give all tasks some.
-TILE = 1 << 17
-ASKED = 1 << 17
-LEAST_TILE = 1000
-#: Fingerprints compared at a time (they stay in the cache), and results that are held before they are sent on.
-_AT_ONCE = 1 << 14
-_HELD = 1 << 18
+#: Fingerprints that a bucket of a table has on average; one with over four times as many is split.
+BUCKET = 1 << 15
+#: Lookups, and candidates, that are worked on at a time.
+_AT_ONCE = 1 << 20
 _CHUNK = 1 << 18
 _LEAST = -(1 << 63)
 _BESIDE = (
@@ -218,120 +221,152 @@ def _compared(pairs: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
 # Search.
 
 
-def _near(asked: np.ndarray, there: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query that has some, its place, the places within ``radius`` of it (not at 0), and their distances."""
-    columns = [np.ascontiguousarray(there[:, k]) for k in range(there.shape[1])]
-    last = columns.pop()
-    word, bits, sums = np.empty(len(there), np.uint64), np.empty(len(there), np.uint8), np.empty(len(there), np.uint8)
-    for i, query in enumerate(asked):
-        sums[:] = 0
-        for column, own in zip(columns, query, strict=False):
-            np.bitwise_xor(column, own, out=word)
-            np.bitwise_count(word, out=bits)
-            np.add(sums, bits, out=sums)
-        at = np.flatnonzero(sums <= radius)
-        if len(at):
-            distances = sums[at].astype(np.int32) + np.bitwise_count(last[at] ^ query[-1])
-            some = (distances <= radius) & (distances > 0)
-            if some.any():
-                yield i, at[some], distances[some]
-
-
-def _met(queries: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
-    """query and near (name and distance of each) of the fingerprints in ``queries`` that have others within ``radius``.
-
-    ``classes`` has columns fingerprint and name. Rows of a tile lie together, its queries first; a query has a row for
-    each tile in which something is near, and for each part of it that is compared at once.
+def flips(radius: int) -> int:
+    """Bits in which some block of two fingerprints within ``radius`` differs at most."""
+    return radius // BLOCKS
+
+
+def masks(bits: int, most: int) -> np.ndarray:
+    """All numbers of so many bits with at most ``most`` of them set, those with fewer first."""
+    chosen = (sum(1 << k for k in c) for size in range(min(most, bits) + 1) for c in combinations(range(bits), size))
+    return np.fromiter(chosen, np.uint64)
+
+
+def _blocks(fingerprints: np.ndarray) -> np.ndarray:
+    """The blocks of fingerprints, given as rows of bytes."""
+    return np.ascontiguousarray(fingerprints).view(">u4").astype(np.uint64)
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the range, place) of all places in ranges, so many at a time."""
+    some = np.flatnonzero(sizes)
+    first = 0
+    while first < len(some):
+        ends = np.cumsum(sizes[some[first:]])
+        last = first + max(1, int(np.searchsorted(ends, _AT_ONCE, "right")))
+        own = some[first:last]
+        number = np.repeat(own, sizes[own])
+        yield number, np.arange(len(number)) + np.repeat(starts[own] - np.cumsum(sizes[own]) + sizes[own], sizes[own])
+        first = last
+
+
+def bucket_hits(asked: np.ndarray, there: np.ndarray, table: int, depth: int, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place in asked, place in there, distance) of the near pairs in a bucket that no earlier table finds.
+
+    Both are rows of blocks; all of ``there`` share the leading ``depth`` bits of block ``table``. Pairs of equal
+    fingerprints are left out.
     """
-    name = classes.schema["name"].dataType
-    kind = f"query binary, near array<struct<name:{name.simpleString()},distance:int>>"
-    n_asked, n_there = queries.count(), classes.count()
-    if not n_asked or not n_there:
-        return queries.sparkSession.createDataFrame([], kind)
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiles = max(-(-n_there // TILE), min(tasks, -(-n_there // LEAST_TILE)))
-    parts = -(-n_asked // ASKED)
-    place = F.xxhash64("fingerprint")
-    asked = queries.select(
-        F.unhex("fingerprint").alias("bits"),
-        F.lit(None).cast(name).alias("name"),
-        F.lit(False).alias("there"),
-        F.pmod(place, F.lit(parts)).cast("int").alias("part"),
-        F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"),
+    low_bits = BLOCK_BITS - depth
+    low = np.uint64((1 << low_bits) - 1)
+    order = np.argsort(there[:, table], kind="stable")
+    keys = there[order, table]
+    lead, most = keys[0] >> np.uint64(low_bits), flips(radius)
+    used = np.bitwise_count((asked[:, table] >> np.uint64(low_bits)) ^ lead).astype(np.int64)
+    for spent in range(most + 1):
+        probes = masks(low_bits, most - spent)
+        queries = np.flatnonzero(used == spent)
+        at_once = max(1, _AT_ONCE // len(probes))
+        for first in range(0, len(queries), at_once):
+            own = queries[first : first + at_once]
+            wanted = (lead << np.uint64(low_bits)) | ((asked[own, table] & low)[:, None] ^ probes[None, :])
+            begin, end = np.searchsorted(keys, wanted.ravel(), "left"), np.searchsorted(keys, wanted.ravel(), "right")
+            for number, place in _spans(begin, end - begin):
+                who, found = own[number // len(probes)], order[place]
+                differing = np.bitwise_count(asked[who] ^ there[found]).astype(np.int64)
+                distance = differing.sum(axis=1)
+                fresh = (distance > 0) & (distance <= radius) & ~(differing[:, :table] <= most).any(axis=1)
+                yield who[fresh], found[fresh], distance[fresh]
+
+
+def _dealt(queries: DataFrame, classes: DataFrame, radius: int, tasks: int) -> tuple[DataFrame, int]:
+    """Both sides in the buckets where they may meet, those of a bucket together and its classes first; leading bits."""
+    count = classes.count()
+    depth = max(0, min(24, max(count // BUCKET, tasks // BLOCKS).bit_length()))
+    low = BLOCK_BITS - depth
+    table = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("table")
+    lead = F.conv(F.substring("fingerprint", F.col("table") * (BLOCK_BITS // 4) + 1, F.lit(BLOCK_BITS // 4)), 16, 10)
+    prefix = F.shiftrightunsigned(lead.cast("long"), low)
+    place = (F.col("table").cast("long") * (1 << depth) + F.col("prefix")).alias("bucket")
+    held = classes.select("fingerprint", "name", table).withColumn("prefix", prefix)
+    held = held.select(place, F.unhex("fingerprint").alias("bits"), "name")
+    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 4 * BUCKET)
+    split = cut_lineage(sizes.select("bucket", F.ceil(F.col("rows") / BUCKET).cast("int").alias("parts")))
+    held = held.join(split, "bucket", "left").withColumn(
+        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("bits"), F.col("parts"))).cast("int")
     )
-    there = classes.select(
-        F.unhex("fingerprint").alias("bits"),
-        "name",
-        F.lit(True).alias("there"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-        F.pmod(place, F.lit(tiles)).cast("int").alias("tile"),
+    flipped = F.array(*(F.lit(int(m)).cast("long") for m in masks(depth, flips(radius))))
+    asked = queries.select("fingerprint", table).withColumn("prefix", prefix)
+    asked = asked.withColumn("prefix", F.explode(F.transform(flipped, lambda m: m.bitwiseXOR(F.col("prefix")))))
+    asked = asked.select(place, F.unhex("fingerprint").alias("bits")).join(split, "bucket", "left")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    sides = held.select("bucket", "part", F.lit(False).alias("asks"), "bits", "name").unionByName(
+        asked.select("bucket", "part", F.lit(True).alias("asks"), "bits", F.lit(None).cast(classes.schema["name"].dataType).alias("name"))
     )
-    together = asked.unionByName(there).repartition(min(tasks, tiles * parts), "tile", "part")
-
-    def words(batches: list[pa.Array]) -> np.ndarray:
-        return np.frombuffer(b"".join(x for batch in batches for x in batch.to_pylist()), np.uint64).reshape(-1, BITS // 64)
-
-    def results(queried: list[pa.Array], rows: list[tuple[pa.Array, pa.Array]]) -> Iterator[pa.RecordBatch]:
-        if not queried or not rows:
-            return
-        own, named = pa.concat_arrays(queried), pa.concat_arrays([x for _, x in rows])
-        who, places, distances, held = [], [], [], 0
-
-        def batch() -> pa.RecordBatch:
-            offsets = np.cumsum([0, *map(len, places)]).astype(np.int32)
-            taken = named.take(pa.array(np.concatenate(places)))
-            pairs = pa.StructArray.from_arrays([taken, pa.array(np.concatenate(distances), pa.int32())], ["name", "distance"])
-            return pa.RecordBatch.from_arrays(
-                [own.take(pa.array(who)), pa.ListArray.from_arrays(pa.array(offsets), pairs)], names=["query", "near"]
-            )
-
-        for i, at, far in _near(words(queried), words([x for x, _ in rows]), radius):
-            who.append(i)
-            places.append(at)
-            distances.append(far)
-            held += len(at)
-            if held >= _HELD:
-                yield batch()
-                who, places, distances, held = [], [], [], 0
-        if who:
-            yield batch()
+    return sides.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part", "asks"), depth
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queried, rows, waiting = None, [], [], 0
-        for batch in batches:
-            spots = np.stack([batch.column(k).to_numpy() for k in (4, 3)], axis=1)
-            sides = batch.column(2).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((spots[1:] != spots[:-1]).any(axis=1) | (sides[1:] != sides[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sides)], strict=True):
-                if a == b:
-                    continue
-                if at != tuple(spots[a]):
-                    yield from results(queried, rows)
-                    at, queried, rows, waiting = tuple(spots[a]), [], [], 0
-                if not sides[a]:
-                    queried.append(batch.column(0).slice(a, b - a))
-                    continue
-                rows.append((batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)))
-                waiting += b - a
-                if waiting >= _AT_ONCE:
-                    yield from results(queried, rows)
-                    rows, waiting = [], 0
-        yield from results(queried, rows)
-
-    ordered = together.sortWithinPartitions("tile", "part", "there")
-    return small_batches(ordered.select("bits", "name", "there", "part", "tile")).mapInArrow(run, kind)
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
+    """(bucket, blocks of its classes, their names, blocks of some of its queries) of sorted rows."""
+    at, bits, names, there = None, [], [], None
+    for batch in batches:
+        spots = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+        sides = batch.column(2).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((spots[1:] != spots[:-1]).any(axis=1) | (sides[1:] != sides[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sides)], strict=True):
+            if a == b:
+                continue
+            if at != tuple(spots[a]):
+                at, bits, names, there = tuple(spots[a]), [], [], None
+            own = np.frombuffer(b"".join(batch.column(3).slice(a, b - a).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            if not sides[a]:
+                bits.append(own)
+                names.append(batch.column(4).slice(a, b - a))
+            elif bits:
+                if there is None:
+                    there = (_blocks(np.concatenate(bits)), pa.concat_arrays(names))
+                yield at[0], there[0], there[1], own
 
 
 def search(queries: DataFrame, classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """query, fingerprint and distance: all fingerprints in ``classes`` within ``radius`` of each one in ``queries``.
+    """query, name and distance: a row for each fingerprint in ``classes`` within ``radius`` of one in ``queries``.
 
-    Both have distinct values in column fingerprint (documents of equal fingerprints are one class), so a query's own
-    isn't listed.
+    Both have distinct values in column fingerprint (documents of equal fingerprints are one class); ``classes`` names
+    them in column name. A query's own fingerprint isn't listed. Null fingerprints are nowhere.
     """
-    named = classes.select("fingerprint", F.col("fingerprint").alias("name"))
-    found = _met(queries.select("fingerprint"), named, radius)
-    pairs = found.select(F.lower(F.hex("query")).alias("query"), F.explode("near").alias("near"))
-    return pairs.select("query", F.col("near.name").alias("fingerprint"), F.col("near.distance").alias("distance"))
+    return _found(queries, classes, radius, counted=False)
+
+
+def _found(queries: DataFrame, classes: DataFrame, radius: int, counted: bool) -> DataFrame:
+    """The pairs of ``search``, or a task's and bucket's counts of them with the nearest: query, n, distance, name."""
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    queries, classes = queries.where("fingerprint is not null"), classes.where("fingerprint is not null")
+    dealt, depth = _dealt(queries, classes, radius, tasks)
+    kind = f"query binary, n long, distance int, name {classes.schema['name'].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, there, names, own in _buckets(batches):
+            asked = _blocks(own)
+            for who, found, distance in bucket_hits(asked, there, bucket >> depth, depth, radius):
+                times = np.ones(len(who), np.int64)
+                if counted and len(who):
+                    shown = names.to_numpy(zero_copy_only=False)[found].astype(np.float64)  # nulls last
+                    order = np.lexsort((shown, distance, who))
+                    who, found, distance = who[order], found[order], distance[order]
+                    first = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+                    times = np.diff(np.r_[first, len(who)])
+                    who, found, distance = who[first], found[first], distance[first]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([own[i].tobytes() for i in who], pa.binary()),
+                        pa.array(times, pa.int64()),
+                        pa.array(distance, pa.int32()),
+                        names.take(pa.array(found)),
+                    ],
+                    names=["query", "n", "distance", "name"],
+                )
+
+    rows = small_batches(dealt).mapInArrow(run, kind).withColumn("query", F.lower(F.hex("query")))
+    return rows if counted else rows.select("query", "name", "distance")
 
 
 def with_near_counts(found: DataFrame, every: int = 50, radius: int = RADIUS) -> DataFrame:
@@ -340,10 +375,10 @@ def with_near_counts(found: DataFrame, every: int = 50, radius: int = RADIUS) ->
     - class_id: the smallest doc_id of the documents with their fingerprint, which stands for all of them,
     - n_same: the number of other rows with their fingerprint,
     - n_near: the number of other fingerprints within ``radius`` of theirs, among those of all documents,
-    - near: class_id and distance of each of these, by distance, then class_id.
+    - near_id and near_distance: the nearest of these, as its class_id (of equally near ones the smallest).
 
-    The members of a class are the rows with the fingerprint of the row class_id. A class without any doc_id is named
-    null.
+    The members of a class are the rows with the fingerprint of the row class_id; ``search`` lists the pairs. A class
+    without any doc_id is named null. An empty table gives an empty result.
     """
     kept = cut_lineage(found)
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
@@ -351,21 +386,20 @@ def with_near_counts(found: DataFrame, every: int = 50, radius: int = RADIUS) ->
         kept.groupBy("fingerprint").agg(F.min("doc_id").alias("name"), F.count(F.lit(1)).alias("rows"))
     )
     queries = cut_lineage(kept.where(asks).select("fingerprint").distinct())
+    by_distance = F.struct("distance", F.col("name").isNull().alias("nameless"), "name")
     near = (
-        _met(queries, classes.select("fingerprint", "name"), radius)
-        .groupBy(F.lower(F.hex("query")).alias("fingerprint"))
-        .agg(F.flatten(F.collect_list("near")).alias("near"))
+        _found(queries, classes.select("fingerprint", "name"), radius, counted=True)
+        .groupBy(F.col("query").alias("fingerprint"))
+        .agg(F.sum("n").alias("n_near"), F.min(by_distance).alias("nearest"))
     )
-    by_distance = F.array_sort(F.transform("near", lambda x: F.struct(x["distance"].alias("distance"), x["name"].alias("name"))))
-    kind = "array<struct<class_id:long,distance:int>>"
-    listed = F.transform(by_distance, lambda x: F.struct(x["name"].alias("class_id"), x["distance"].alias("distance")))
     own = queries.join(classes, "fingerprint").join(near, "fingerprint", "left").select(
         "fingerprint",
         F.col("name").alias("class_id"),
         (F.col("rows") - 1).alias("n_same"),
-        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near"),
-        F.coalesce(listed, F.array()).cast(kind).alias("near"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.col("nearest.name").alias("near_id"),
+        F.col("nearest.distance").alias("near_distance"),
     )
-    none = {name: F.lit(None).cast("long") for name in ("class_id", "n_same", "n_near")}
-    rest = kept.where(~asks).withColumns(none | {"near": F.lit(None).cast(kind)})
+    none = {name: F.lit(None).cast("long") for name in ("class_id", "n_same", "n_near", "near_id")}
+    rest = kept.where(~asks).withColumns(none | {"near_distance": F.lit(None).cast("int")})
     return rest.unionByName(kept.where(asks).join(own, "fingerprint"))
