@@ -45,6 +45,7 @@ BUCKET = 1 << 15
 #: Lookups, and candidates, that are worked on at a time.
 _AT_ONCE = 1 << 20
 _CHUNK = 1 << 18
+_TERMS = 1 << 13
 _LEAST = -(1 << 63)
 _BESIDE = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
@@ -54,9 +55,14 @@ _BESIDE = (
 
 def _votes(bits_of: np.ndarray, weights: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each text, the sum of the weights of the terms that set each bit."""
-    bits = np.unpackbits(bits_of.view(np.uint8).reshape(len(weights), -1), axis=1)
-    bits *= weights[:, None]
-    return np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
+    ends = np.append(begins[1:], len(weights))
+    votes = np.zeros((len(begins), BITS), np.int64)
+    packed, wide = bits_of.view(np.uint8).reshape(len(weights), -1), weights.astype(np.float32)
+    for k, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        for at in range(begin, end, _TERMS):  # sums of so few terms are exact in single precision
+            stop = min(at + _TERMS, end)
+            votes[k] += (wide[at:stop] @ np.unpackbits(packed[at:stop], axis=1).astype(np.float32)).astype(np.int64)
+    return votes
 
 
 def _chunk_fingerprints(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
