@@ -547,7 +547,7 @@ step2 AS (SELECT q.*, coalesce(q.status_cluster_id, CASE WHEN s.n = 1 THEN s.id
     CASE WHEN q.status_cluster_id IS NOT NULL AND i.status <> q.status THEN 'STATUS_LABEL_CLUSTER_MISMATCH' END AS label_reason
   FROM step1 q LEFT JOIN by_status s ON s.aspect_id = q.resolved_aspect_id AND s.status = q.status
   LEFT JOIN (SELECT DISTINCT aspect_id, status_id, status FROM pairs WHERE status_id IS NOT NULL) i ON i.status_id = q.status_cluster_id),
-resolved AS (SELECT * EXCLUDE (status, full_status, aspect_reason, status_reason, label_reason), full_status AS status,
+resolved AS MATERIALIZED (SELECT * EXCLUDE (status, full_status, aspect_reason, status_reason, label_reason), full_status AS status,
     CASE WHEN sentiment IN ('positive', 'negative') AND coalesce(aspect_reason, status_reason, label_reason) IS NULL
         AND (resolved_aspect_id IS NULL OR resolved_status_id IS NULL) THEN 'ACTIONABLE_REQUIREMENT_HAS_NO_RESOLVED_PAIR'
       ELSE concat_ws(',', aspect_reason, status_reason, label_reason) END AS reasons FROM step2)"""
@@ -572,7 +572,7 @@ REVIEW_REQUESTS = (
     + RESOLVE
 )
 CLASHES = """
-, clashes AS (SELECT request_id, resolved_aspect_id, resolved_status_id,
+, clashes AS MATERIALIZED (SELECT request_id, resolved_aspect_id, resolved_status_id,
     string_agg(DISTINCT sentiment, ',' ORDER BY sentiment) AS sentiments FROM resolved
   WHERE resolved_aspect_id IS NOT NULL AND resolved_status_id IS NOT NULL GROUP BY 1, 2, 3
   HAVING count(*) FILTER (WHERE sentiment = 'positive') > 0 AND count(*) FILTER (WHERE sentiment = 'negative') > 0)"""
@@ -612,31 +612,32 @@ favoured AS MATERIALIZED (SELECT k.aspect_id, k.status_id, k.sentiment, p.produc
   FROM wanted_keys k JOIN dp p ON p.aspect_id = k.aspect_id AND p.dominant_sentiment = 'positive'
   LEFT JOIN close c ON c.aspect_id = k.aspect_id AND c.status_id = k.status_id AND c.near_status_id = p.status_id
   WHERE k.sentiment = 'negative' AND c.near_status_id IS NULL GROUP BY 1, 2, 3, 4),
-contributions AS MATERIALIZED (SELECT k.*, p.product_id AS candidate_id, p.product_name AS candidate_name,
-    CASE k.sentiment WHEN 'positive' THEN coalesce(m.strength * m.lower_bound, 0)
-      ELSE coalesce(f.favour, 0) - coalesce(m.strength, 0) END AS value, m.n IS NOT NULL OR f.favour IS NOT NULL AS supported
-  FROM wanted_keys k CROSS JOIN products p
-  LEFT JOIN matched m ON m.n = 1 AND m.aspect_id = k.aspect_id AND m.status_id = k.status_id AND m.sentiment = k.sentiment AND m.candidate_id = p.product_id
-  LEFT JOIN favoured f ON f.aspect_id = k.aspect_id AND f.status_id = k.status_id AND f.sentiment = k.sentiment AND f.candidate_id = p.product_id),
-dscores AS MATERIALIZED (SELECT w.request_id, w.source_id, c.candidate_id, c.candidate_name,
-    {settled('sum(w.importance * c.value) / sum(w.importance)')} AS score,
-    {r('count(*) FILTER (WHERE c.supported)::DOUBLE / count(*)')} AS evidence_coverage,
-    (count(*) FILTER (WHERE c.supported))::INTEGER AS supported_count
-  FROM wanted w JOIN contributions c USING (aspect_id, status_id, sentiment) WHERE c.candidate_id <> w.source_id GROUP BY 1, 2, 3, 4),
+contributions AS MATERIALIZED (SELECT aspect_id, status_id, sentiment, candidate_id,
+    CASE sentiment WHEN 'positive' THEN sum(strength * lower_bound) ELSE coalesce(sum(favour), 0) - coalesce(sum(strength), 0) END AS value
+  FROM (SELECT aspect_id, status_id, sentiment, candidate_id, strength, lower_bound, NULL AS favour FROM matched WHERE n = 1
+    UNION ALL SELECT aspect_id, status_id, sentiment, candidate_id, NULL, NULL, favour FROM favoured) GROUP BY 1, 2, 3, 4),
+asked AS MATERIALIZED (SELECT request_id, source_id, count(*) AS conditions, sum(importance) AS importance FROM wanted GROUP BY 1, 2),
+supported AS MATERIALIZED (SELECT w.request_id, c.candidate_id, sum(w.importance * c.value) AS total, count(*) AS found
+  FROM wanted w JOIN contributions c USING (aspect_id, status_id, sentiment) GROUP BY 1, 2),
+dscores AS MATERIALIZED (SELECT a.request_id, a.source_id, p.product_id AS candidate_id, p.product_name AS candidate_name,
+    {settled('coalesce(s.total, 0) / a.importance')} AS score,
+    {r('coalesce(s.found, 0)::DOUBLE / a.conditions')} AS evidence_coverage, coalesce(s.found, 0)::INTEGER AS supported_count
+  FROM asked a CROSS JOIN products p LEFT JOIN supported s ON s.request_id = a.request_id AND s.candidate_id = p.product_id
+  WHERE p.product_id <> a.source_id),
 dranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_name)::INTEGER AS rank
   FROM dscores) WHERE rank <= 2)"""
 )
 ORACLES["requirement_scores"] = base("SELECT * FROM dranked", True, DECISION)
 ORACLES["decision_policy"] = base(
-    f"""SELECT request_id, source_id, actionable_count, unresolved_count, conflict_count, top_product_name, top_score, top_coverage,
+    f"""SELECT request_id, source_id, actionable_count, unresolved_count, coalesce(conflict_count, 0) AS conflict_count, top_product_name, top_score, top_coverage,
   runner_up_product_name, runner_up_score, {r('top_score - runner_up_score')} AS runner_up_margin,
-  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count > 0 THEN 'ASK_CLARIFICATION'
+  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count IS NOT NULL THEN 'ASK_CLARIFICATION'
     WHEN top_score IS NULL OR top_score < 0.15 OR top_coverage < 0.5 THEN 'ABSTAIN'
     WHEN top_score - runner_up_score <= 0.05 THEN 'COMPARE' ELSE 'RECOMMEND' END AS action,
-  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count > 0 THEN concat_ws(',',
+  CASE WHEN actionable_count = 0 OR unresolved_count > 0 OR conflict_count IS NOT NULL THEN concat_ws(',',
       CASE WHEN actionable_count = 0 THEN 'NO_RESOLVED_ACTIONABLE_REQUIREMENT' END,
       CASE WHEN unresolved_count > 0 THEN 'UNRESOLVED_ACTIONABLE_REQUIREMENT' END,
-      CASE WHEN conflict_count > 0 THEN 'CONFLICTING_REQUIREMENTS' END)
+      CASE WHEN conflict_count IS NOT NULL THEN 'CONFLICTING_REQUIREMENTS' END)
     WHEN top_score IS NULL THEN 'NO_CANDIDATE'
     WHEN top_score < 0.15 OR top_coverage < 0.5 THEN concat_ws(',', CASE WHEN top_score < 0.15 THEN 'TOP_SCORE_BELOW_THRESHOLD' END,
       CASE WHEN top_coverage < 0.5 THEN 'REQUIREMENT_COVERAGE_BELOW_THRESHOLD' END)
@@ -645,11 +646,10 @@ ORACLES["decision_policy"] = base(
       WHEN runner_up_score IS NULL THEN 'NO_RUNNER_UP_AVAILABLE' ELSE 'RUNNER_UP_MARGIN_EXCEEDS_COMPARE_THRESHOLD' END END AS reason_codes
 FROM (SELECT request_id, source_id, count(*) FILTER (WHERE reasons = '' AND sentiment IN ('positive', 'negative')) AS actionable_count,
     count(*) FILTER (WHERE reasons <> '' AND sentiment IN ('positive', 'negative')) AS unresolved_count FROM resolved GROUP BY 1, 2)
-LEFT JOIN (SELECT request_id, candidate_name AS top_product_name, score AS top_score, evidence_coverage AS top_coverage
-  FROM dranked WHERE rank = 1) USING (request_id)
-LEFT JOIN (SELECT request_id, candidate_name AS runner_up_product_name, score AS runner_up_score FROM dranked WHERE rank = 2) USING (request_id)
-LEFT JOIN (SELECT r.request_id, count(c.request_id) AS conflict_count FROM (SELECT DISTINCT request_id FROM resolved) r
-  LEFT JOIN clashes c USING (request_id) GROUP BY 1) USING (request_id)""",
+LEFT JOIN (SELECT request_id, max(candidate_name) FILTER (WHERE rank = 1) AS top_product_name, max(score) FILTER (WHERE rank = 1) AS top_score,
+    max(evidence_coverage) FILTER (WHERE rank = 1) AS top_coverage, max(candidate_name) FILTER (WHERE rank = 2) AS runner_up_product_name,
+    max(score) FILTER (WHERE rank = 2) AS runner_up_score FROM dranked GROUP BY 1) USING (request_id)
+LEFT JOIN (SELECT request_id, count(*) AS conflict_count FROM clashes GROUP BY 1) USING (request_id)""",
     True,
     DECISION,
 )
