@@ -245,11 +245,11 @@ def test_stream_rebuild_and_late_rows(spark, tmp_path):
     assert store.commits().agg(F.sum("review_count"), F.sum("candidate_count")).first()[:] == (4, 2)
     frozen = spark.createDataFrame(captured, captured_units(spark).schema)
     audit = rebuild.rebuild(
-        store, frozen, tables.vectors, taxonomy.TaxonomySettings(), "mapping-2", "rebuild-1", "g1"
+        store, frozen, tables.vectors, taxonomy.TaxonomySettings(), "mapping-2", "rebuild-1"
     ).first()
     assert (audit.captured_opinion_unit_count, audit.carried_forward_opinion_unit_count) == (3, 1)
     versions = {r.raw_aspect: (r.mapping_table_version_id, r.mapping_state)
-                for r in store.read("opinion_units", "g1").collect()}
+                for r in store.read("opinion_units").collect()}
     assert versions["디스플레이"] == ("mapping-2", "mapped_exact")
     assert versions["색감"] == ("mapping-1", "candidate")
     assert store.read("aspect_mapping_table").count() == 2
@@ -281,16 +281,15 @@ def test_ingestion_and_rebuild_are_one_lineage(spark, tmp_path):
         inbox = spark.createDataFrame(rows, INBOX).withColumn("ordinal", F.col("source_review_id").cast("long"))
         return ingest_run(store, stage_inbox(inbox), answered, tables, LINEAGE, run_id)
 
-    def rebuild_all(version, generation):
+    def rebuild_all(version):
         frozen = store.read("opinion_units").select("opinion_unit_id", "review_id", "raw_aspect", "raw_status")
         return rebuild.rebuild(
-            store, frozen, tables.vectors, taxonomy.TaxonomySettings(), version, f"rebuild-{version}", generation
+            store, frozen, tables.vectors, taxonomy.TaxonomySettings(), version, f"rebuild-{version}"
         )
 
     assert ingest("run-1", [0, 1], answers([0]))  # the second has no response yet
     assert (store.read("reviews").count(), store.read("pending_reviews").count()) == (1, 1)
-    rebuild_all("mapping-2", "g1")
-    assert store.current_generation() == "g1"
+    rebuild_all("mapping-2")
     assert ingest("run-2", [2], answers([0, 1, 2]))  # and is taken up again
     assert not ingest("run-2", [2], answers([0, 1, 2]))
     assert store.read("reviews").count() == 3 and store.read("products").count() == 1
@@ -298,12 +297,11 @@ def test_ingestion_and_rebuild_are_one_lineage(spark, tmp_path):
         "화면": "mapping-2", "디스플레이": "mapping-1", "색감": "mapping-1",
     }
     with pytest.raises(ValueError, match="already exists"):
-        rebuild_all("mapping-2", "g2")
-    with pytest.raises(ValueError, match="already exists"):
-        rebuild_all("mapping-3", "g1")
-    rebuild_all("mapping-3", "g2")
+        rebuild_all("mapping-2")
+    rebuild_all("mapping-3")
     assert {r.mapping_table_version_id for r in store.read("opinion_units").collect()} == {"mapping-3"}
-    assert store.read("opinion_units", "g1").count() == 3
+    assert store.read("opinion_units", "mapping-2").count() == 1
+    assert store.read("opinion_units", "mapping-3").count() == 3
     assert sorted(r.mapping_table_version_id for r in store.read("taxonomy_versions").collect()) == [
         "mapping-2", "mapping-3",
     ]
@@ -312,6 +310,110 @@ def test_ingestion_and_rebuild_are_one_lineage(spark, tmp_path):
         ingest("run-3", [0], doubled)
 
 
+def unit_rows(spark, run_id, ids):
+    from verdigris.plans.ingestion import conform
+    from verdigris.schemas import OPINION_UNITS
+
+    rows = spark.createDataFrame(
+        [(i, f"r-{i}", 1, "화면", "밝음", "x", "y", "positive", run_id, "mapping-1") for i in ids],
+        "opinion_unit_id string, review_id string, unit_position long, raw_aspect string, raw_status string, "
+        "excerpt string, opinion string, sentiment string, ingestion_run_id string, mapping_table_version_id string",
+    )
+    return {"opinion_units": conform(rows, OPINION_UNITS)}
+
+
+def current(store, version=None):
+    return {r.opinion_unit_id: r.mapping_table_version_id for r in store.read("opinion_units", version).collect()}
+
+
+@pytest.fixture
+def store_of_two_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rebuild.taxonomy, "build_taxonomy", one_cluster)
+    store = catalog.CatalogStore(spark, str(tmp_path / "catalog"))
+    for run_id, ids in (("run-1", ["a", "b"]), ("run-2", ["c"])):
+        assert store.commit(run_id, unit_rows(spark, run_id, ids))
+    return store
+
+
+def one_cluster(units, vectors, settings):
+    """A taxonomy without clustering: all units in one aspect cluster."""
+    spark = units.sparkSession
+    columns = "cluster_id string, boundary string, text string, canonical_label string, cluster_max_distance double, cannot_link_pair_count long"
+    clusters = spark.createDataFrame([("D-A-000001", "all", "화면", "화면", 0.0, 0)], columns)
+    assigned = units.select(
+        "opinion_unit_id",
+        F.lit("mapped_exact").alias("mapping_state"),
+        *(F.lit("x").alias(c) for c in ("aspect_cluster_id", "aspect", "status_cluster_id", "status")),
+        *(F.lit(0.0).alias(c) for c in ("aspect_mapping_distance", "status_mapping_distance")),
+    )
+    return taxonomy.Taxonomy(assigned, clusters, clusters, clusters, clusters)
+
+
+def rebuild_units(spark, store, version, run_id=None):
+    frozen = store.read("opinion_units").select("opinion_unit_id", "review_id", "raw_aspect", "raw_status")
+    vectors = spark.createDataFrame(VECTORS, "text string, embedding array<double>")
+    run_id = run_id or f"rebuild-{version}"
+    return rebuild.rebuild(store, frozen, vectors, taxonomy.TaxonomySettings(), version, run_id)
+
+
+def test_a_run_committed_during_a_rebuild_stays_visible(spark, store_of_two_runs, monkeypatch):
+    store = store_of_two_runs
+
+    def build_while_a_run_commits(*args):
+        assert store.commit("run-3", unit_rows(spark, "run-3", ["d", "e"]))
+        return one_cluster(*args)
+
+    monkeypatch.setattr(rebuild.taxonomy, "build_taxonomy", build_while_a_run_commits)
+    rebuild_units(spark, store, "mapping-2")
+    monkeypatch.setattr(rebuild.taxonomy, "build_taxonomy", one_cluster)
+    late = {"a": "mapping-2", "b": "mapping-2", "c": "mapping-2", "d": "mapping-1", "e": "mapping-1"}
+    assert current(store) == late
+    assert set(current(store, "mapping-2")) == {"a", "b", "c"}
+    rebuild_units(spark, store, "mapping-3")
+    assert current(store) == dict.fromkeys("abcde", "mapping-3")
+
+
+def test_a_rebuild_that_fails_before_its_receipt_can_be_repeated(spark, store_of_two_runs, monkeypatch):
+    store, commit = store_of_two_runs, catalog.CatalogStore.commit
+
+    def crash(self, run_id, tables, receipt=None):
+        for name, df in tables.items():  # everything is written, but the receipt
+            df.write.parquet(f"{self.root}/{name}/run_id={run_id}/attempt=lost")
+        raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(catalog.CatalogStore, "commit", crash)
+    with pytest.raises(RuntimeError):
+        rebuild_units(spark, store, "mapping-2")
+    monkeypatch.setattr(catalog.CatalogStore, "commit", commit)
+    assert current(store) == dict.fromkeys("abc", "mapping-1")
+    assert store.read("taxonomy_versions").isEmpty()
+    rebuild_units(spark, store, "mapping-2")
+    assert current(store) == dict.fromkeys("abc", "mapping-2")
+    with pytest.raises(ValueError, match="already exists"):
+        rebuild_units(spark, store, "mapping-2")
+
+
+@pytest.mark.parametrize("inner_first", [True, False])
+def test_two_rebuilds_at_a_time_lose_nothing(spark, store_of_two_runs, monkeypatch, inner_first):
+    """One rebuild begins inside another, with or without a run between; units have one row each in either order."""
+    store = store_of_two_runs
+
+    def build_beside_another(*args):
+        monkeypatch.setattr(rebuild.taxonomy, "build_taxonomy", one_cluster)
+        if inner_first:
+            assert store.commit("run-3", unit_rows(spark, "run-3", ["d"]))
+        rebuild_units(spark, store, "mapping-inner")
+        if not inner_first:
+            assert store.commit("run-3", unit_rows(spark, "run-3", ["d"]))
+        return one_cluster(*args)
+
+    monkeypatch.setattr(rebuild.taxonomy, "build_taxonomy", build_beside_another)
+    rebuild_units(spark, store, "mapping-outer")
+    own = "mapping-inner" if inner_first else "mapping-1"  # the outer one began before that run
+    assert store.read("opinion_units").count() == 4
+    assert current(store) == {"a": "mapping-outer", "b": "mapping-outer", "c": "mapping-outer", "d": own}
+
+
 def test_missing_vectors_and_wide_ids(spark):
     captured = spark.createDataFrame(
         [("ou-1", "r1", "화면", None), ("ou-2", "r2", "색감", None)],
@@ -335,7 +437,7 @@ def test_store_commits_once_and_release_is_verified(spark, tmp_path):
     table = spark.range(20).withColumn("v", F.col("id") * 2)
     assert store.commit("run-1", {"numbers": table})
     assert not store.commit("run-1", {"numbers": table})
-    table.write.parquet(f"{store.root}/numbers/generation=g0/run_id=unfinished")
+    table.write.parquet(f"{store.root}/numbers/run_id=unfinished/attempt=1")
     assert store.read("numbers").count() == 20
     assert store.capture("numbers").first().run_ids == ["run-1"]
     manifest = store.publish("release-1", {"numbers": store.read("numbers")})
@@ -355,8 +457,12 @@ def test_report_files(spark, tiny, tmp_path):
     built = reports.static_reports(statistics, units, reviews)
     documents = reports.document(built, "product_id", reports.STATIC_TYPE, reports.STATIC_SCHEMA_VERSION)
     catalog.write_reports(documents, reports.render_static(built), "product_id", str(tmp_path / "out"))
-    rows = spark.read.text(str(tmp_path / "out/json")).collect()
-    assert len(rows) == 3 and all(json.loads(r.value)["report_type"] for r in rows)
+    rows = spark.read.parquet(str(tmp_path / "out/json"))
+    assert rows.count() == 3 and all(json.loads(r.value)["report_type"] for r in rows.collect())
+    assert rows.filter(F.col("bucket") != catalog.report_bucket("product_id")).isEmpty()
+    one = rows.filter(F.col("product_id") == rows.first().product_id)
+    assert one.filter(F.col("bucket") == catalog.report_bucket("product_id")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "out/markdown")).filter(F.length("value") > 0).count() == 3
 
 
 def test_submitted_texts_survive_deduplication(spark):
@@ -408,6 +514,40 @@ def test_inbox_files_responses_and_attributes(spark, tmp_path):
         inbox.normalize_review_files(files.withColumn("product_name", F.lit("x")))
 
 
+def test_the_first_of_equal_texts_is_told_by_file_and_place(spark, tmp_path):
+    """Two files with equal texts, under any partitioning and in either format."""
+    folder, lines = tmp_path / "arrays", tmp_path / "lines"
+    folder.mkdir()
+    lines.mkdir()
+    for name, ids in (("a", range(50)), ("b", range(50, 100))):
+        rows = [{"source_review_id": str(i), "product_id": f"p{i % 7}", "product_name": f"n{i}", "review_text": f"text {i % 10}"} for i in ids]
+        (folder / f"{name}.json").write_text(json.dumps(rows))
+        (lines / f"{name}.json").write_text("\n".join(json.dumps(row) for row in rows))
+    (folder / "c.json").write_text("no array")
+    nothing = spark.createDataFrame([], "content_sha256 string")
+    no_products = spark.createDataFrame([], "product_id string")
+    for read, path in ((inbox.read_inbox, folder), (inbox.read_inbox_lines, lines)):
+        rows = read(spark, str(path))
+        assert rows.count() == 100
+        for parts in (1, 3, 16):
+            staged = ingest.stage_inbox(rows.repartition(parts, "review_text"))
+            kept = ingest.deduplicate(staged, nothing)
+            assert {r.source_review_id for r in kept.collect()} == {str(i) for i in range(10)}
+            products = ingest.new_products(no_products, staged, "run")
+            assert {r.product_id: r.product_name for r in products.collect()} == {f"p{i}": f"n{i}" for i in range(7)}
+    assert inbox.read_inbox(spark, str(folder), 2).count() == 4
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        cut = inbox.read_inbox_lines(spark, str(lines))
+        assert cut.rdd.getNumPartitions() > 4
+        for file in ("a.json", "b.json"):
+            placed = cut.filter(F.col("inbox_file").endswith(file)).orderBy("ordinal").collect()
+            ids = [int(r.source_review_id) for r in placed]
+            assert ids == sorted(ids) and len({r.ordinal for r in placed}) == 50
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_votes_keep_null_status_as_a_group(spark):
     rows = [("p", "r1", "a", None, "positive"), ("p", "r1", "a", None, "negative"), ("p", "r1", "a", "s", "positive")]
     units = spark.createDataFrame(rows, "product_id string, review_id string, aspect_id string, status_id string, sentiment string")

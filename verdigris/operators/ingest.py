@@ -26,7 +26,11 @@ from ..schemas import (
 
 
 def stage_inbox(inbox: DataFrame) -> DataFrame:
-    """Defaults, stripped text, content hash and an id derived from the natural key."""
+    """Defaults, stripped text, content hash and an id derived from the natural key.
+
+    Reviews come in order of inbox_file and ordinal; an inbox without files needs no inbox_file.
+    """
+    file = F.col("inbox_file") if "inbox_file" in inbox.columns else F.lit("")
     source = F.coalesce("source", F.lit(DEFAULT_INBOX_SOURCE))
     text = strip("review_text")
     return inbox.select(
@@ -40,6 +44,7 @@ def stage_inbox(inbox: DataFrame) -> DataFrame:
         content_hash("review_text").alias("content_sha256"),
         F.lit(None).cast("string").alias("demo_review_id"),
         "ordinal",
+        file.alias("inbox_file"),
     )
 
 
@@ -57,6 +62,7 @@ def stage_submissions(submitted: DataFrame, products: DataFrame) -> DataFrame:
         content_hash("review_text").alias("content_sha256"),
         "demo_review_id",
         F.col("position").cast("long").alias("ordinal"),
+        F.col("submission_id").cast("string").alias("inbox_file"),
     )
 
 
@@ -91,7 +97,7 @@ def deduplicate(staged: DataFrame, existing_hashes: DataFrame) -> DataFrame:
         ),
     )
     known = existing_hashes.select(F.concat(F.lit("h|"), "content_sha256").alias("__key"))
-    order = W.partitionBy("__key").orderBy("ordinal", "review_id")
+    order = W.partitionBy("__key").orderBy("inbox_file", "ordinal", "review_id")
     first = keyed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") == 1)
     return first.join(known, "__key", "left_anti").drop("__n", "__key")
 
@@ -148,8 +154,9 @@ def repeated_results(results: DataFrame) -> DataFrame:
 
 def new_products(existing: DataFrame, reviews: DataFrame, run_id: str) -> DataFrame:
     """Products of new reviews that the catalog lacks, as their first review names them."""
+    place = ["inbox_file", "ordinal"] if "inbox_file" in reviews.columns else ["ordinal"]
     first = reviews.groupBy("product_id").agg(
-        F.min(F.struct("ordinal", "product_name", "category")).alias("first")
+        F.min(F.struct(*place, "product_name", "category")).alias("first")
     )
     named = first.select(
         "product_id", "first.product_name", "first.category", F.lit(run_id).alias("first_seen_run_id")

@@ -1,4 +1,4 @@
-"""Full taxonomy rebuild over a captured unit table, committed as a new generation."""
+"""Full taxonomy rebuild over a captured unit table, committed as a run that holds a new mapping version."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import taxonomy
-from ..schemas import OPINION_UNITS, TAXONOMY_VERSIONS
+from ..schemas import OPINION_UNITS, TAXONOMY_CAPTURES, TAXONOMY_VERSIONS
 from ..session import cut_lineage
 from ..sources.catalog import CatalogStore, refuse_known_version, with_version
 from .ingestion import conform
@@ -68,22 +68,23 @@ def rebuild(
     settings: taxonomy.TaxonomySettings,
     version: str,
     run_id: str,
-    generation: str,
     strict: bool = True,
     config_sha256: str = "",
 ) -> DataFrame:
-    """Cluster the captured units, remap them, and commit the remapped unit table as the current one.
+    """Cluster the captured units, remap them, and commit them under a new mapping version.
 
-    It holds all units of the generation before, and the version gets a row in ``taxonomy_versions``;
-    a version or generation that is there already is refused.
+    The version gets a row in ``taxonomy_versions``; one that is there already is refused. The runs whose units it
+    holds are pinned when it begins: what is committed meanwhile stays visible as it is and can be captured by the next
+    rebuild. A rebuild that fails before its receipt leaves nothing a reader sees, and can be run again.
 
-    ``captured`` are the units frozen when the rebuild began; rows committed since then keep their
-    old mapping. Returns the audit row. ``strict`` fails if a cluster has no canonical label.
+    ``captured`` are the units frozen when the rebuild began; other units of the pinned runs keep their old mapping.
+    Returns the audit row. ``strict`` fails if a cluster has no canonical label.
     """
     versions = store.read("taxonomy_versions")
     refuse_known_version(version, versions)
-    if not store.receipts().filter(F.col("generation") == generation).isEmpty():
-        raise ValueError(f"generation {generation} already exists")
+    if store.is_committed(run_id):
+        raise ValueError(f"run {run_id} was committed before")
+    holders = cut_lineage(store.holders())
     rebuilt = taxonomy.build_taxonomy(captured, vectors, settings)
     assignments = cut_lineage(rebuilt.assignments)
     if not taxonomy.unmapped_exact(assignments, captured).isEmpty():
@@ -98,7 +99,7 @@ def rebuild(
     ):
         if not taxonomy.threshold_violations(clusters, stage).isEmpty():
             raise ValueError("a cluster is wider than its linkage threshold")
-    units = store.read("opinion_units")
+    units = store.read("opinion_units", holders=holders)
     audit = taxonomy.rebuild_audit(units, assignments)
     if audit.first()["missing_opinion_unit_count"]:
         raise ValueError("the catalog lacks captured opinion units")
@@ -111,10 +112,12 @@ def rebuild(
         "taxonomy_versions": conform(
             version_row(bundle, version, run_id, config_sha256), TAXONOMY_VERSIONS
         ),
+        "taxonomy_captures": conform(
+            holders.withColumn("mapping_table_version_id", F.lit(version)), TAXONOMY_CAPTURES
+        ),
         "taxonomy_rebuilds": audit.withColumn("recluster_run_id", F.lit(run_id)),
         **bundle,
     }
-    if not store.commit(run_id, tables, audit, generation):
+    if not store.commit(run_id, tables, audit):
         raise ValueError(f"run {run_id} was committed before")
-    store.switch_generation(generation)
     return audit

@@ -208,8 +208,10 @@ PENDING_REVIEWS = StructType(
         "review_id source source_review_id product_id product_name category review_text content_sha256 demo_review_id",
     )
     + _fields(_L, "ordinal")
-    + _fields(_S, "pending_run_id")
+    + _fields(_S, "inbox_file pending_run_id")
 )
+# Which ingestion runs a mapping version holds the units of.
+TAXONOMY_CAPTURES = StructType(_fields(_S, "mapping_table_version_id ingestion_run_id", False))
 # Extracted units that break a rule, with the rules.
 QUARANTINED_UNITS = StructType(
     _fields(_S, "review_id")
@@ -229,6 +231,7 @@ TABLES = {
     "aspect_clusters": ASPECT_CLUSTERS,
     "status_clusters": STATUS_CLUSTERS,
     "taxonomy_versions": TAXONOMY_VERSIONS,
+    "taxonomy_captures": TAXONOMY_CAPTURES,
     "taxonomy_rebuilds": TAXONOMY_REBUILDS,
     "catalog_commits": CATALOG_COMMITS,
     "pending_reviews": PENDING_REVIEWS,
@@ -244,6 +247,7 @@ PRIMARY_KEYS = {
     "aspect_clusters": ["mapping_table_version_id", "aspect_cluster_id"],
     "status_clusters": ["mapping_table_version_id", "status_cluster_id"],
     "taxonomy_versions": ["mapping_table_version_id"],
+    "taxonomy_captures": ["mapping_table_version_id", "ingestion_run_id"],
     "taxonomy_rebuilds": ["recluster_run_id"],
     "catalog_commits": ["run_id"],
 }

@@ -1,14 +1,16 @@
 """The catalog on shared storage: append-only run folders, receipts, releases with checksums.
 
-A run writes only its own rows under ``<table>/generation=<g>/run_id=<r>`` and then one receipt. Readers see the
-runs that have a receipt, so a failed or repeated run is invisible until it is complete, and adding
-a day costs that day, not a copy of the catalog. A taxonomy rebuild, which changes most units,
-writes a new generation of the unit table and makes it the current one; runs that follow add to it.
-All other tables have no generations: their rows stay as they were written.
+A run writes only its own rows under ``<table>/run_id=<r>/attempt=<a>`` and then one receipt that names the attempt.
+Readers see what has a receipt, so a failed or repeated run is invisible until it is complete, nothing is ever
+overwritten under a reader, and adding a day costs that day, not a copy of the catalog. A taxonomy rebuild is a run like any other: it writes the units that it captured under a new mapping
+version, and which ingestion runs these came from. The current units of an ingestion run are those of the latest
+committed version that captured it, or its own if none did; choosing them is a join with that small table. So a run
+committed while a rebuild works stays visible under its own version, and there is nothing to switch.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +19,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import TABLES
 
-FIRST_GENERATION = "g0"
-_RECEIPTS = StructType(
-    [
-        StructField("generation", StringType()),
-        StructField("run_id", StringType()),
-        StructField("payload", StringType()),
-    ]
-)
-#: Tables that a rebuild writes anew as a whole.
+_RECEIPTS = StructType([StructField(name, StringType()) for name in ("run_id", "attempt", "payload")])
+#: Tables whose rows a rebuild writes anew.
 VERSIONED = ("opinion_units",)
 _MANIFEST = "release_id string, name string, rows long, checksum string"
+#: Folders of a report sink.
+REPORT_BUCKETS = 64
 
 
 def checksum(df: DataFrame) -> DataFrame:
@@ -59,80 +56,88 @@ class CatalogStore:
             return self.spark.createDataFrame([], _RECEIPTS)
         return self.spark.read.schema(_RECEIPTS).json(path)
 
+    def runs(self) -> DataFrame:
+        """run_id and attempt of every committed run; of a run committed twice at a time one attempt counts."""
+        return self.receipts().groupBy("run_id").agg(F.min("attempt").alias("attempt"))
+
     def is_committed(self, run_id: str) -> bool:
         return not self.receipts().filter(F.col("run_id") == run_id).isEmpty()
 
-    def current_generation(self) -> str:
-        """The generation that readers and new runs use: that of the latest rebuild."""
-        path = f"{self.root}/generations"
-        if not self._exists(path):
-            return FIRST_GENERATION
-        kept = self.spark.read.schema("generation string, number long").json(path)
-        return kept.agg(F.max_by("generation", "number").alias("generation")).first()["generation"]
-
-    def switch_generation(self, generation: str) -> None:
-        """Make a committed generation the current one."""
-        path = f"{self.root}/generations"
-        number = self.spark.read.json(path).count() + 1 if self._exists(path) else 1
-        pointer = self.spark.range(1).select(
-            F.lit(generation).alias("generation"), F.lit(number).alias("number")
+    def holders(self, version: str | None = None) -> DataFrame:
+        """ingestion_run_id, run_id: the committed run that holds the units of each ingestion run.
+
+        That is the rebuild of the latest version that captured it (by time, then name), else the run itself; with
+        ``version`` only what that version captured. One row for each run, however many units.
+        """
+        runs = self.runs()
+        versions = self.read("taxonomy_versions").select("mapping_table_version_id", "created_at")
+        captured = self._committed("taxonomy_captures").join(versions, "mapping_table_version_id")
+        if version is not None:
+            return captured.filter(F.col("mapping_table_version_id") == version).select("ingestion_run_id", "run_id")
+        own = runs.select(
+            F.col("run_id").alias("ingestion_run_id"),
+            "run_id",
+            F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit("").alias("name")).alias("place"),
+        )
+        later = captured.select(
+            "ingestion_run_id",
+            "run_id",
+            F.struct(F.col("created_at").alias("at"), F.col("mapping_table_version_id").alias("name")).alias("place"),
         )
-        pointer.coalesce(1).write.mode("append").json(path)
-
-    def commit(
-        self,
-        run_id: str,
-        tables: dict[str, DataFrame],
-        receipt: DataFrame | None = None,
-        generation: str | None = None,
-    ) -> bool:
+        return own.unionByName(later).groupBy("ingestion_run_id").agg(F.max_by("run_id", "place").alias("run_id"))
+
+    def commit(self, run_id: str, tables: dict[str, DataFrame], receipt: DataFrame | None = None) -> bool:
         """Write a run's rows and then its receipt; False if the run was committed before.
 
-        A repeated run overwrites only its own unfinished folder. Rows go to the current generation
-        unless another is named.
+        What a failed attempt left stays unseen in its own folder.
         """
         if self.is_committed(run_id):
             return False
-        generation = generation or self.current_generation()
+        attempt = uuid.uuid4().hex
         for name, df in tables.items():
-            path = f"{self.root}/{name}/generation={generation}/run_id={run_id}"
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            path = f"{self.root}/{name}/run_id={run_id}/attempt={attempt}"
+            df.write.option("compression", "zstd").parquet(path)
         payload = F.lit(None).cast("string")
         source = self.spark.range(1)
         if receipt is not None:
             source, payload = receipt, F.to_json(F.struct(*receipt.columns))
-        row = source.select(
-            F.lit(generation).alias("generation"), F.lit(run_id).alias("run_id"), payload.alias("payload")
-        )
+        row = source.select(F.lit(run_id).alias("run_id"), F.lit(attempt).alias("attempt"), payload.alias("payload"))
         row.coalesce(1).write.mode("append").json(f"{self.root}/receipts")
         return True
 
-    def read(self, name: str, generation: str | None = None) -> DataFrame:
-        """Committed rows of a table; of a versioned one, those of the current or the named generation.
-
-        The receipt join prunes run folders at run time.
-        """
+    def _committed(self, name: str, holders: DataFrame | None = None) -> DataFrame:
+        """Rows of committed runs with their run_id, or of the runs that ``holders`` names for each ingestion run."""
         path = f"{self.root}/{name}"
         schema = TABLES.get(name)
-        if not self._exists(path):
-            if schema is None:
-                raise ValueError(f"no such table: {name}")
-            return self.spark.createDataFrame([], schema)
+        if schema is None and not self._exists(path):
+            raise ValueError(f"no such table: {name}")
         reader = self.spark.read
         if schema is not None:
-            extra = [StructField(c, StringType()) for c in ("generation", "run_id")]
-            known = [field for field in schema.fields if field.name not in ("generation", "run_id")]
-            reader = reader.schema(StructType([*known, *extra]))
+            known = [field for field in schema.fields if field.name != "run_id"]
+            own = StructType([*known, StructField("run_id", StringType()), StructField("attempt", StringType())])
+            if not self._exists(path):
+                return self.spark.createDataFrame([], own).drop("attempt")
+            reader = reader.schema(own)
+        kept = self.runs() if holders is None else self.runs().join(holders, "run_id")
         rows = reader.parquet(path)
+        rows = rows.withColumns({name: F.col(name).cast("string") for name in ("run_id", "attempt")})
+        return rows.join(kept, kept.columns, "left_semi").drop("attempt")
+
+    def read(self, name: str, version: str | None = None, holders: DataFrame | None = None) -> DataFrame:
+        """Committed rows of a table; of a versioned one the current rows, or those that a version holds.
+
+        ``holders`` pins the runs of a versioned table. The join with the runs prunes folders at run time.
+        """
+        schema = TABLES.get(name)
         if name in VERSIONED:
-            rows = rows.filter(F.col("generation") == (generation or self.current_generation()))
-        committed = self.receipts().select("generation", "run_id").distinct()
-        visible = rows.join(committed, ["generation", "run_id"], "left_semi").drop("generation")
+            holders = self.holders(version) if holders is None else holders
+            return self._committed(name, holders).drop("run_id")
+        visible = self._committed(name)
         return visible if schema is None or "run_id" in schema.names else visible.drop("run_id")
 
-    def load(self, generation: str | None = None) -> dict[str, DataFrame]:
+    def load(self) -> dict[str, DataFrame]:
         """Every catalog table by name."""
-        return {name: self.read(name, generation) for name in TABLES}
+        return {name: self.read(name) for name in TABLES}
 
     def commits(self) -> DataFrame:
         """Receipts with their counts."""
@@ -140,21 +145,14 @@ class CatalogStore:
             "review_count long, opinion_unit_count long, candidate_count long, delta_checksum string"
         )
         parsed = F.from_json("payload", fields)
-        return self.receipts().select("generation", "run_id", parsed.alias("counts")).select(
-            "generation", "run_id", "counts.*"
-        )
+        return self.receipts().select("run_id", parsed.alias("counts")).select("run_id", "counts.*")
 
-    def capture(self, name: str = "opinion_units", generation: str | None = None) -> DataFrame:
+    def capture(self, name: str = "opinion_units") -> DataFrame:
         """Freeze an input boundary: committed run ids with the table's row count and checksum."""
-        generation = generation or self.current_generation()
-        runs = (
-            self.receipts()
-            .filter(F.col("generation") == generation)
-            .agg(F.sort_array(F.collect_set("run_id")).alias("run_ids"))
-        )
+        runs = self.receipts().agg(F.sort_array(F.collect_set("run_id")).alias("run_ids"))
         one = F.lit(1).alias("one")
         return (
-            checksum(self.read(name, generation)).select("*", one).join(runs.select("*", one), "one")
+            checksum(self.read(name)).select("*", one).join(runs.select("*", one), "one")
         ).drop("one")
 
     def publish(self, release_id: str, artifacts: dict[str, DataFrame]) -> DataFrame:
@@ -203,14 +201,21 @@ class CatalogStore:
         return self.spark.read.parquet(f"{self.root}/releases/{release}/{name}")
 
 
-def write_reports(documents: DataFrame, texts: DataFrame, key: str, path: str) -> None:
-    """JSON documents and Markdown texts, one folder per report key."""
-    documents.select(key, F.col("payload").alias("value")).write.mode("overwrite").partitionBy(
-        key
-    ).text(f"{path}/json")
-    texts.select(key, F.col("markdown").alias("value")).write.mode("overwrite").partitionBy(
-        key
-    ).text(f"{path}/markdown")
+def write_reports(documents: DataFrame, texts: DataFrame, key: str, path: str, buckets: int = REPORT_BUCKETS) -> None:
+    """JSON documents and Markdown texts by report key, in a fixed number of folders.
+
+    A report lies in the folder of its key's bucket (``report_bucket``), with the key as a column, so that a reader of
+    one report opens one folder and millions of reports don't make millions of them.
+    """
+    for name, df, value in (("json", documents, "payload"), ("markdown", texts, "markdown")):
+        rows = df.select(report_bucket(key, buckets).alias("bucket"), key, F.col(value).alias("value"))
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
+
+def report_bucket(key: str | Column, buckets: int = REPORT_BUCKETS) -> Column:
+    """The bucket of a report key; compare it with column ``bucket`` to read only that folder."""
+    column = F.col(key) if isinstance(key, str) else key
+    return F.pmod(F.xxhash64(column.cast("string")), F.lit(buckets)).cast("int")
 
 
 def write_verified(df: DataFrame, path: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -11,19 +10,36 @@ from ..functions.text import non_blank, strip
 from ..schemas import INBOX, UNIT_PAYLOAD
 
 
+def inbox_elements(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Reviews of whole JSON array files (value, inbox_file) with their place: inbox_file and ordinal, from 0.
+
+    The place comes from the array itself, so it is the same however the files are dealt out or read again. A file that
+    is no such array has no reviews; ``limit`` keeps the first elements of each file.
+    """
+    elements = F.posexplode(F.from_json("value", ArrayType(INBOX))).alias("ordinal", "review")
+    rows = files.select("inbox_file", elements).select("review.*", "inbox_file", F.col("ordinal").cast("long"))
+    return rows if limit is None else rows.filter(F.col("ordinal") < limit)
+
+
 def read_inbox(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """JSON array files of reviews with their place in the file; ``limit`` keeps the first elements."""
-    rows = (
-        spark.read.schema(INBOX)
-        .option("multiLine", True)
-        .json(path)
-        .withColumn("inbox_file", F.col("_metadata.file_path"))
-        .withColumn("ordinal", F.monotonically_increasing_id())
+    """JSON array files of reviews, each read whole, with the place of every review (see ``inbox_elements``)."""
+    files = spark.read.option("wholetext", True).text(path)
+    return inbox_elements(files.select("value", F.col("_metadata.file_path").alias("inbox_file")), limit)
+
+
+def read_inbox_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Files with a JSON review on each line, for files too large for one task, with the place of every review.
+
+    ``ordinal`` grows with the line: the byte at which a block of the file begins, and the number of the row in its
+    task. A block has more bytes than a task has rows, so the order of a file's lines doesn't depend on the blocks.
+    """
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = spark.read.schema(INBOX).json(path)
+    return rows.select(
+        *INBOX.names,
+        F.col("_metadata.file_path").alias("inbox_file"),
+        (F.col("_metadata.file_block_start") + in_task).alias("ordinal"),
     )
-    if limit is None:
-        return rows
-    place = F.row_number().over(W.partitionBy("inbox_file").orderBy("ordinal"))
-    return rows.withColumn("__place", place).filter(F.col("__place") <= limit).drop("__place")
 
 
 def read_responses(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:

@@ -8,18 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest
 from ..plans.ingestion import Lineage, TaxonomyTables, ingest_run
-from ..schemas import INBOX
 from ..sources.catalog import CatalogStore, checksum
+from ..sources.inbox import inbox_elements
 
 
 def inbox_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New JSON array files of an inbox folder."""
-    return (
-        spark.readStream.schema(INBOX)
-        .option("multiLine", True)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(path)
-    )
+    """New JSON array files of an inbox folder, whole."""
+    files = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_batch).text(path)
+    return files.select("value", F.col("_metadata.file_path").alias("inbox_file"))
 
 
 def ingest_available(
@@ -38,10 +34,10 @@ def ingest_available(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        content = checksum(batch).first()
+        reviews = inbox_elements(batch)
+        content = checksum(reviews).first()
         run_id = f"batch-{content['rows']}-{content['checksum']}"
-        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id())
-        staged = ingest.stage_inbox(numbered)
+        staged = ingest.stage_inbox(reviews)
         ingest_run(store, staged, responses, taxonomy, lineage, run_id, on_invalid)
 
     return (
