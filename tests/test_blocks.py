@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from verdigris.operators.components import connected_components
 from verdigris.operators import evaluation, mapping, similarity, taxonomy
 
 
@@ -49,7 +50,7 @@ def brute_linkage(rows, threshold):
     return result
 
 
-@pytest.mark.parametrize("local_rows", [0, 10_000])
+@pytest.mark.parametrize("local_rows", [0, 9, 10_000])
 def test_complete_linkage_is_exact_locally_and_in_rounds(spark, local_rows):
     rows = expressions(60)
     settings = taxonomy.ClusterSettings(0.6, 0.6, local_boundary_rows=local_rows, block_rows=8)
@@ -157,3 +158,34 @@ def test_bootstrap_is_repeatable_and_centred(spark, monkeypatch):
     assert a == b
     assert a.lower_95 < 2.0 < a.upper_95
     assert abs(a.upper_95 - a.lower_95 - 2 * 1.96 * (2**0.5) / 300**0.5) < 0.08
+
+
+def test_components_of_paths_stars_loops_and_random_graphs(spark):
+    draw = np.random.default_rng(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 500), (600, 601), (601, 600)]
+    edges += [(int(a), int(b)) for a, b in draw.integers(1000, 1200, (120, 2))]
+    parent = {n: n for e in edges for n in e}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    found = connected_components(spark.createDataFrame(edges, "lo long, hi long")).collect()
+    assert len(found) == len(parent)
+    assert {r.node: r.component for r in found} == {n: root(n) for n in parent}
+    assert connected_components(spark.createDataFrame([], "lo long, hi long")).count() == 0
+
+
+def test_violations_of_linkage_are_found(spark):
+    rows = [("a", "x", [1.0, 0.0]), ("b", "x", [1.0, 0.01]), ("c", "x", [0.0, 1.0])]
+    apart = frame(spark, rows).withColumn("cluster_id", F.col("text"))
+    settings = taxonomy.ClusterSettings(0.2, 0.2)
+    assert [tuple(r) for r in taxonomy.mergeable_clusters(apart, settings).collect()] == [("a", "b")]
+    good = apart.withColumn("cluster_id", F.when(F.col("text") == "c", "c").otherwise("a"))
+    assert taxonomy.mergeable_clusters(good, settings).isEmpty()
+    statuses = frame(spark, [("밝음", "x", [1.0, 0.0]), ("어두움", "x", [1.0, 0.0])]).withColumn("cluster_id", F.lit("s"))
+    assert taxonomy.opposed_members(statuses, taxonomy.STATUS_CONSTRAINTS).count() == 1

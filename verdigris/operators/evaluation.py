@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -216,55 +218,76 @@ def risk_coverage(clusters: DataFrame, evaluated: DataFrame) -> DataFrame:
     )
 
 
+def cluster_sums(members: DataFrame) -> DataFrame:
+    """boundary, cluster_id, n and the sum of the unit vectors of each cluster.
+
+    Every task adds up what it holds of a cluster, so a cluster of any size moves as one vector for each task.
+    """
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ordered = frame.sort_values(["boundary", "cluster_id"], kind="stable")
+            keys = ordered[["boundary", "cluster_id"]].reset_index(drop=True)
+            if keys.empty:
+                continue
+            first = np.flatnonzero((keys != keys.shift()).any(axis=1))
+            sums = np.add.reduceat(unit_matrix(ordered["embedding"]), first, axis=0)
+            sizes = np.diff([*first, len(keys)])
+            yield keys.iloc[first].assign(n=sizes, part=list(sums))
+
+    kinds = "boundary string, cluster_id string, n long, part array<double>"
+    parts = members.select("boundary", "cluster_id", "embedding").mapInPandas(partial, kinds)
+    grain = ["boundary", "cluster_id"]
+    entries = parts.select(*grain, F.posexplode("part").alias("place", "entry"), "n")
+    summed = entries.groupBy(*grain, "place").agg(F.sum("entry").alias("entry"), F.sum("n").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("place", "entry")))
+    return summed.groupBy(*grain).agg(F.max("n").alias("n"), listed["entry"].alias("total"))
+
+
 def silhouettes(members: DataFrame, block_rows: int = 2048) -> DataFrame:
     """Mean silhouette per cluster inside its boundary (boundary, cluster_id, text, embedding).
 
-    Blocks send each node's distance sum per cluster they hold, never the pairs.
+    The mean cosine distance of a unit vector x to a cluster with vector sum S and n members is 1 - x.S / n, so nodes
+    meet cluster sums instead of nodes, and a block passes on one row for each of its nodes: the mean distance to the
+    others of its own cluster, and the smallest mean distance to another one.
     """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("cluster_id", kind="stable")
-        distances = distance_matrix(unit_matrix(left["embedding"]), unit_matrix(right["embedding"]))
-        distances[left["text"].to_numpy()[:, None] == right["text"].to_numpy()[None, :]] = 0.0
-        ids, starts, sizes = np.unique(
-            right["cluster_id"].to_numpy().astype(str), return_index=True, return_counts=True
-        )
-        sums = np.add.reduceat(distances, starts, axis=1)
-        rows = np.repeat(np.arange(len(left)), len(ids))
+        vectors, sums = unit_matrix(left["embedding"]), np.stack(right["total"])
+        sizes = right["n"].to_numpy(dtype=float)
+        shared = vectors @ sums.T
+        own = left["cluster_id"].to_numpy()[:, None] == right["cluster_id"].to_numpy()[None, :]
+        inside = np.full(len(left), np.nan)
+        rows, columns = np.nonzero(own & (sizes > 1)[None, :])
+        others = sizes[columns] - 1
+        itself = (vectors[rows] ** 2).sum(axis=1)
+        inside[rows] = np.clip((others - (shared[rows, columns] - itself)) / others, 0.0, 2.0)
+        outside = np.where(own, np.inf, np.clip(1.0 - shared / sizes[None, :], 0.0, 2.0)).min(axis=1)
         return pd.DataFrame(
             {
-                "boundary": left["boundary"].to_numpy()[rows],
-                "cluster_id": left["cluster_id"].to_numpy()[rows],
-                "text": left["text"].to_numpy()[rows],
-                "other_id": np.tile(ids, len(left)),
-                "total": sums.ravel(),
-                "n": np.tile(sizes, len(left)),
+                "boundary": left["boundary"],
+                "cluster_id": left["cluster_id"],
+                "text": left["text"],
+                "a": [None if np.isnan(v) else v for v in inside],
+                "b": [None if np.isinf(v) else v for v in outside],
             }
         )
 
     rows = members.select(
         F.col("boundary").cast("string").alias("boundary"), "cluster_id", "text", "embedding"
     )
-    partial = block_pairs(
-        rows,
+    per_node = block_pairs(
         rows,
+        cluster_sums(rows),
         kernel,
-        "boundary string, cluster_id string, text string, other_id string, total double, n long",
+        "boundary string, cluster_id string, text string, a double, b double",
         left_key=F.col("text"),
-        right_key=F.col("text"),
+        right_key=F.col("cluster_id"),
         left_boundary=F.col("boundary"),
         right_boundary=F.col("boundary"),
         left_rows=block_rows,
         right_rows=block_rows,
-    )
-    sums = partial.groupBy("boundary", "cluster_id", "text", "other_id").agg(
-        F.sum("total").alias("total"), F.sum("n").alias("n")
-    )
-    own = F.col("cluster_id") == F.col("other_id")
-    per_node = sums.groupBy("boundary", "cluster_id", "text").agg(
-        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
-    )
+    ).groupBy("boundary", "cluster_id", "text").agg(F.max("a").alias("a"), F.min("b").alias("b"))
     a, b = F.col("a"), F.col("b")
     value = F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(
         F.coalesce((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))

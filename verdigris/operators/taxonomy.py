@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,8 @@ from ..schemas import (
     STATUS_CONSTRAINTS,
     STATUS_DISTANCE_THRESHOLD,
 )
-from ..session import cut_lineage
+from ..session import cut_and_observe, cut_lineage
+from .components import connected_components
 from .joins import many_to_one, null_safe_join
 from .mapping import centroids
 from .tiles import block_pairs
@@ -54,6 +56,10 @@ STATUS_SETTINGS = ClusterSettings(
 )
 
 
+#: Rounds of merges between two searches for components.
+MERGE_ROUNDS = 8
+
+
 class Taxonomy(NamedTuple):
     assignments: DataFrame
     aspect_nodes: DataFrame
@@ -100,48 +106,35 @@ def _linkage_rounds(distances: np.ndarray, threshold: float) -> np.ndarray:
         labels = renamed[labels]
 
 
-def _fit_distances(frame: pd.DataFrame, settings: ClusterSettings) -> tuple[np.ndarray, int]:
-    """Distances of text-ordered rows, opposed pairs set to 2; and the number of such pairs."""
-    matrix = unit_matrix(frame["embedding"])
-    distances = distance_matrix(matrix, matrix)
-    if settings.constraints is None:
-        return distances, 0
-    texts = frame["text"].tolist()
-    opposed = np.triu(cannot_link_matrix(texts, texts, settings.constraints), 1)
-    distances[opposed | opposed.T] = 2.0
-    return distances, int(opposed.sum())
-
-
 def linkage_edges(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
-    """Pairs under the threshold that may share a cluster, each once with lo < hi.
+    """Pairs of nodes (boundary, node, text, embedding) under the threshold that may share a cluster, lo < hi.
 
-    A row with a NULL ``lo`` carries a block's number of opposed pairs instead.
+    A row whose ``lo`` is -1 carries a block's number of opposed pairs instead. Nodes are numbers, in the order of
+    their texts, so that an edge is 24 bytes however long its texts are.
     """
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        low, high = left["text"].to_numpy(), right["text"].to_numpy()
+        low, high = left["node"].to_numpy(), right["node"].to_numpy()
         ordered = low[:, None] < high[None, :]
         distances = distance_matrix(unit_matrix(left["embedding"]), unit_matrix(right["embedding"]))
         opposed = np.zeros_like(ordered)
         if settings.constraints is not None:
-            opposed = ordered & cannot_link_matrix(low.tolist(), high.tolist(), settings.constraints)
+            texts = left["text"].tolist(), right["text"].tolist()
+            opposed = ordered & cannot_link_matrix(*texts, settings.constraints)
         rows, columns = np.nonzero(ordered & ~opposed & (distances < settings.threshold))
-        edges = pd.DataFrame(
-            {"lo": low[rows], "hi": high[columns], "d": distances[rows, columns]}
-        )
+        edges = pd.DataFrame({"lo": low[rows], "hi": high[columns], "d": distances[rows, columns]})
         if opposed.any():
-            counted = pd.DataFrame({"lo": [None], "hi": [None], "d": [float(opposed.sum())]})
-            edges = pd.concat([edges, counted], ignore_index=True)
-        return edges.assign(boundary=left["boundary"].iloc[0])
+            edges.loc[len(edges)] = (-1, -1, float(opposed.sum()))
+        return edges.astype({"lo": "int64", "hi": "int64"}).assign(boundary=left["boundary"].iloc[0])
 
-    rows = nodes.select("boundary", "text", "embedding")
+    rows = nodes.select("boundary", "node", "text", "embedding")
     return block_pairs(
         rows,
         rows,
         kernel,
-        "boundary string, lo string, hi string, d double",
-        left_key=F.col("text"),
-        right_key=F.col("text"),
+        "boundary string, lo long, hi long, d double",
+        left_key=F.col("node"),
+        right_key=F.col("node"),
         left_boundary=F.col("boundary"),
         right_boundary=F.col("boundary"),
         left_rows=settings.block_rows,
@@ -177,105 +170,127 @@ def cannot_link_pairs(nodes: DataFrame, constraints: dict, block_rows: int = 204
 def _mutual_pairs(edges: DataFrame) -> DataFrame:
     """Edges that are the first choice, by (distance, lo, hi), of both their ends."""
     best = F.struct("d", "lo", "hi")
-    choice = edges.select("boundary", F.explode(F.array("lo", "hi")).alias("node"), best.alias("e"))
-    chosen = choice.groupBy("boundary", "node").agg(F.min("e").alias("e"))
+    choice = edges.select(F.explode(F.array("lo", "hi")).alias("node"), best.alias("e"))
+    chosen = choice.groupBy("node").agg(F.min("e").alias("e"))
     return (
-        chosen.groupBy("boundary", F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
+        chosen.groupBy(F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n = 2")
-        .select("boundary", "lo", "hi")
+        .select("lo", "hi")
     )
 
 
 def _merged_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
     """Edges between the merged clusters: the largest distance, if every crossing pair is an edge."""
-    roles = merges.select(
-        "boundary",
-        F.explode(F.array("lo", "hi")).alias("node"),
-        F.col("lo").alias("cluster"),
-    )
-
-    def relabel(df: DataFrame, column: str) -> DataFrame:
-        role = roles.select(
-            "boundary", F.col("node").alias(column), F.col("cluster").alias(f"{column}_cluster")
-        )
-        return df.join(role, ["boundary", column], "left")
-
-    named = relabel(relabel(edges, "lo"), "hi")
+    roles = merges.select(F.explode(F.array("lo", "hi")).alias("node"), F.col("lo").alias("cluster"))
+    named = edges
+    for end in ("lo", "hi"):
+        role = roles.select(F.col("node").alias(end), F.col("cluster").alias(f"{end}_cluster"))
+        named = named.join(role, end, "left")
     size = F.lit(1)
-    for column in ("lo", "hi"):
-        size = size * F.when(F.col(f"{column}_cluster").isNull(), 1).otherwise(2)
-    a = F.coalesce("lo_cluster", "lo")
-    b = F.coalesce("hi_cluster", "hi")
+    for end in ("lo", "hi"):
+        size = size * F.when(F.col(f"{end}_cluster").isNull(), 1).otherwise(2)
+    a, b = F.coalesce("lo_cluster", "lo"), F.coalesce("hi_cluster", "hi")
     return (
-        named.select(
-            "boundary", F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), "d", size.alias("size")
-        )
+        named.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"), "d", size.alias("size"))
         .filter(F.col("lo") != F.col("hi"))
-        .groupBy("boundary", "lo", "hi")
+        .groupBy("lo", "hi")
         .agg(F.max("d").alias("d"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
         .filter(F.col("n") == F.col("size"))
-        .select("boundary", "lo", "hi", "d")
+        .select("lo", "hi", "d")
     )
 
 
-def _linkage_by_rounds(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
-    """Complete linkage of boundaries of any size as rounds of joins over the edge table."""
-    found = cut_lineage(linkage_edges(nodes, settings))
-    counts = found.filter(F.col("lo").isNull()).groupBy("boundary").agg(
-        F.sum("d").cast("long").alias("cannot_link_pair_count")
-    )
-    edges = found.filter(F.col("lo").isNotNull())
-    membership = nodes.select("boundary", "text", F.col("text").alias("cluster"))
-    done = 0
-    while not edges.isEmpty():
-        merges = cut_lineage(_mutual_pairs(edges))
-        renamed = merges.select(
-            "boundary", F.col("hi").alias("cluster"), F.col("lo").alias("merged_into")
-        )
-        membership = membership.join(renamed, ["boundary", "cluster"], "left").select(
-            "boundary", "text", F.coalesce("merged_into", "cluster").alias("cluster")
+def _link_part(edges: pd.DataFrame) -> pd.DataFrame:
+    """node, cluster (its smallest node) of one part, from all of its edges; what isn't an edge never merges."""
+    nodes, ends = np.unique(edges[["lo", "hi"]].to_numpy(), return_inverse=True)
+    lo, hi = ends.reshape(-1, 2).T
+    distances = np.full((len(nodes), len(nodes)), np.inf)
+    distances[lo, hi] = distances[hi, lo] = edges["d"].to_numpy()
+    return pd.DataFrame({"node": nodes, "cluster": nodes[_linkage_rounds(distances, np.inf)]})
+
+
+def _renamed(kept: DataFrame | None, merges: DataFrame) -> DataFrame:
+    """node, cluster after the merges (lo, hi), for all nodes that any merge has moved."""
+    step = merges.select(F.col("hi").alias("node"), F.col("lo").alias("cluster"))
+    if kept is None:
+        return step
+    onward = merges.select(F.col("hi").alias("cluster"), F.col("lo").alias("further"))
+    moved = kept.join(onward, "cluster", "left").select("node", F.coalesce("further", "cluster").alias("cluster"))
+    return cut_lineage(moved.unionByName(step))
+
+
+def linked_nodes(edges: DataFrame, part_nodes: int) -> DataFrame:
+    """node, cluster of complete linkage over ``edges`` (part, lo, hi, d), for the nodes that have edges.
+
+    Nodes of different components can never merge. A part with at most ``part_nodes`` nodes is linked in one task
+    group; a larger one is split into its components, and a component that is still larger goes through rounds of
+    joins that merge all its mutual nearest neighbours at once, after which it falls into smaller components. Parts
+    that are linked leave the table, so no round touches them again.
+    """
+    kept: DataFrame | None = None
+    linked: list[DataFrame] = []
+    rounds = 0
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        ends = edges.select("part", F.explode(F.array("lo", "hi")).alias("node"))
+        sizes = ends.distinct().groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        over, found = cut_and_observe(sizes.filter(F.col("n") > part_nodes).select("part"))
+        small = edges.join(over, "part", "left_anti") if found["rows"] else edges
+        linked.append(
+            small.repartition(tasks, "part").groupBy("part").applyInPandas(
+                lambda group: _link_part(group), "node long, cluster long"
+            )
         )
-        done += 1
-        if done % 8 == 0:
-            membership = cut_lineage(membership)
-        edges = cut_lineage(_merged_edges(edges, merges))
-    return membership.join(counts, "boundary", "left").fillna(0, subset=["cannot_link_pair_count"])
+        if not found["rows"]:
+            break
+        large, left = edges.join(over, "part", "left_semi").drop("part"), 1
+        for _ in range(rounds):
+            merges = cut_lineage(_mutual_pairs(large))
+            kept = _renamed(kept, merges)
+            large, found = cut_and_observe(_merged_edges(large, merges))
+            left = found["rows"]
+            if not left:
+                break
+        if not left:
+            break
+        parts = connected_components(large).select(F.col("node").alias("lo"), F.col("component").alias("part"))
+        edges = cut_lineage(large.join(parts, "lo").select("part", "lo", "hi", "d"))
+        rounds = MERGE_ROUNDS
+    found = reduce(DataFrame.unionByName, linked)
+    if kept is None:
+        return found
+    found = cut_lineage(found)
+    last = found.select(F.col("node").alias("cluster"), F.col("cluster").alias("last"))
+    moved = kept.join(last, "cluster", "left").select("node", F.coalesce("last", "cluster").alias("cluster"))
+    return found.unionByName(moved)
 
 
 def complete_linkage(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
     """Clusters of ``nodes`` (boundary, text, embedding): boundary, text, cluster (smallest text).
 
-    Boundaries up to ``local_boundary_rows`` nodes are linked inside one task group each; larger
-    ones go through distributed rounds. Both give the same clusters.
+    Complete linkage needs only the pairs under its threshold: they are found block by block, and ``linked_nodes``
+    links them part by part (a part is a boundary to begin with).
     """
-    nodes = nodes.select(F.col("boundary").cast("string").alias("boundary"), "text", "embedding")
-    sizes = nodes.groupBy("boundary").agg(F.count(F.lit(1)).alias("__n"))
-    sized = nodes.join(sizes, "boundary")
-    small = sized.filter(F.col("__n") <= settings.local_boundary_rows).drop("__n")
-    large = sizes.filter(F.col("__n") > settings.local_boundary_rows)
-
-    def link(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("text").reset_index(drop=True)
-        distances, opposed = _fit_distances(frame, settings)
-        labels = _linkage_rounds(distances, settings.threshold)
-        return pd.DataFrame(
-            {
-                "boundary": frame["boundary"],
-                "text": frame["text"],
-                "cluster": frame["text"].to_numpy()[labels],
-                "cannot_link_pair_count": opposed,
-            }
-        )
-
-    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    linked = small.repartition(tasks, "boundary").groupBy("boundary").applyInPandas(
-        link, "boundary string, text string, cluster string, cannot_link_pair_count long"
+    ordered = nodes.select(F.col("boundary").cast("string").alias("boundary"), "text", "embedding")
+    # Ranges come in order, so the numbers do too; written, they stay.
+    numbered = cut_lineage(ordered.orderBy("boundary", "text").withColumn("node", F.monotonically_increasing_id()))
+    found = cut_lineage(linkage_edges(numbered, settings))
+    opposed = found.filter("lo < 0").groupBy("boundary").agg(
+        F.sum("d").cast("long").alias("cannot_link_pair_count")
+    )
+    edges = found.filter("lo >= 0").select(F.col("boundary").alias("part"), "lo", "hi", "d")
+    clusters = linked_nodes(edges, settings.local_boundary_rows)
+    heads = numbered.select(F.col("node").alias("cluster"), F.col("text").alias("cluster_text"))
+    return (
+        numbered.select("boundary", "text", "node")
+        .join(clusters, "node", "left")
+        .withColumn("cluster", F.coalesce("cluster", "node"))
+        .join(heads, "cluster")
+        .join(opposed, "boundary", "left")
+        .select("boundary", "text", F.col("cluster_text").alias("cluster"), "cannot_link_pair_count")
+        .fillna(0, subset=["cannot_link_pair_count"])
     )
-    if large.isEmpty():
-        return linked
-    rounds = _linkage_by_rounds(nodes.join(large, "boundary", "left_semi"), settings)
-    return linked.unionByName(rounds)
 
 
 def sequential_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -504,6 +519,34 @@ def threshold_violations(clusters: DataFrame, settings: ClusterSettings) -> Data
     return clusters.filter(F.col("cluster_max_distance") > limit)
 
 
+def mergeable_clusters(nodes: DataFrame, settings: ClusterSettings) -> DataFrame:
+    """Pairs of clusters of a boundary that complete linkage should have merged; must be empty.
+
+    All their crossing pairs are under the threshold and none is opposed. ``nodes``: boundary, text, embedding,
+    cluster_id.
+    """
+    columns = nodes.select(F.col("boundary").cast("string").alias("boundary"), "text", "embedding", "cluster_id")
+    numbered = cut_lineage(columns.orderBy("boundary", "text").withColumn("node", F.monotonically_increasing_id()))
+    edges = linkage_edges(numbered, settings).filter("lo >= 0").select("lo", "hi")
+    for end in ("lo", "hi"):
+        edges = edges.join(numbered.select(F.col("node").alias(end), F.col("cluster_id").alias(f"{end}_cluster")), end)
+    a, b = F.least("lo_cluster", "hi_cluster"), F.greatest("lo_cluster", "hi_cluster")
+    crossing = (
+        edges.filter("lo_cluster <> hi_cluster")
+        .groupBy(a.alias("one"), b.alias("two"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    for name in ("one", "two"):
+        sizes = numbered.groupBy(F.col("cluster_id").alias(name)).agg(F.count(F.lit(1)).alias(f"{name}_size"))
+        crossing = crossing.join(sizes, name)
+    return crossing.filter("n = one_size * two_size").select("one", "two")
+
+
+def opposed_members(nodes: DataFrame, constraints: dict) -> DataFrame:
+    """Opposed pairs inside a cluster; must be empty."""
+    return cannot_link_pairs(nodes.select(F.col("cluster_id").alias("boundary"), "text"), constraints)
+
+
 def cluster_stage(
     nodes: DataFrame,
     settings: ClusterSettings,
@@ -514,6 +557,7 @@ def cluster_stage(
 
     ``nodes``: boundary, text, counts, embedding. ``forbidden``: boundary, text.
     """
+    nodes = cut_lineage(nodes)
     linked = cut_lineage(complete_linkage(nodes, settings))
     distinct = linked.select("boundary", "cluster", "cannot_link_pair_count").distinct()
     numbered = sequential_ids(distinct, ["boundary", "cluster"], "cluster_id", id_prefix)

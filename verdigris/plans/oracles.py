@@ -1088,3 +1088,14 @@ WHERE (split_part(a.raw_status, '/', 1) = split_part(b.raw_status, '/', 1) AND s
    OR (a.raw_status = 'ECONOMY/F' AND b.raw_status = 'LARGE/O')""",
     False,
 )
+_KEPT_OUT = ", ".join(f"'{colour} anvil'" for colour in "blue cold hot large new old red small".split())
+ORACLES["taxonomy_invariants"] = base(
+    f"""SELECT 'units' AS name, count(*) AS value FROM units
+UNION ALL SELECT 'aspect_nodes', count(DISTINCT raw_aspect) FROM eligible
+UNION ALL SELECT 'aspect_source_rows', count(*) FROM eligible
+UNION ALL SELECT 'status_source_rows', count(raw_status) FROM eligible
+UNION ALL SELECT unnest(['wide_clusters', 'mergeable_aspect_clusters', 'mergeable_status_clusters', 'opposed_members',
+  'miscounted_reviews']), 0""",
+    False,
+    f", eligible AS (SELECT * FROM units WHERE raw_aspect NOT IN ({_KEPT_OUT}))",
+)

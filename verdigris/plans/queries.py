@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -654,6 +655,38 @@ def taxonomy_rebuild_clusters(spark, sf):
     )
 
 
+@query
+def taxonomy_invariants(spark, sf):
+    """What must hold of a rebuilt taxonomy whatever its clusters are: sizes of its tables, and counts of violations."""
+    units = src.units(spark, sf).select("opinion_unit_id", "review_id", "raw_aspect", "raw_status")
+    rebuilt = _rebuilt(spark, sf)
+    aspect, status = REBUILD_SETTINGS.aspect, REBUILD_SETTINGS.status
+    aspect_nodes, status_nodes = rebuilt.aspect_nodes, rebuilt.status_nodes
+    eligible = units.filter(~F.col("raw_aspect").isin(*REBUILD_SETTINGS.excluded_aspects))
+    by_aspect = eligible.join(aspect_nodes.select(F.col("text").alias("raw_aspect"), "cluster_id"), "raw_aspect")
+    recounted = by_aspect.groupBy("cluster_id").agg(F.countDistinct("review_id").alias("recounted"))
+    miscounted = rebuilt.aspect_clusters.join(recounted, "cluster_id", "full").filter(
+        ~F.col("recounted").eqNullSafe(F.col("unique_review_count"))
+    )
+    both = rebuilt.aspect_clusters.select("cluster_id", "cluster_max_distance").unionByName(
+        rebuilt.status_clusters.select("cluster_id", "cluster_max_distance")
+    )
+    one, total = F.count(F.lit(1)), F.coalesce(F.sum("source_row_count"), F.lit(0))
+    checks = {
+        "aspect_nodes": aspect_nodes.agg(one.alias("value")),
+        "aspect_source_rows": rebuilt.aspect_clusters.agg(total.alias("value")),
+        "status_source_rows": rebuilt.status_clusters.agg(total.alias("value")),
+        "units": rebuilt.assignments.agg(one.alias("value")),
+        "wide_clusters": taxonomy.threshold_violations(both, aspect).agg(one.alias("value")),
+        "mergeable_aspect_clusters": taxonomy.mergeable_clusters(aspect_nodes, aspect).agg(one.alias("value")),
+        "mergeable_status_clusters": taxonomy.mergeable_clusters(status_nodes, status).agg(one.alias("value")),
+        "opposed_members": taxonomy.opposed_members(status_nodes, STATUS_RULES).agg(one.alias("value")),
+        "miscounted_reviews": miscounted.agg(one.alias("value")),
+    }
+    rows = [df.select(F.lit(name).alias("name"), "value") for name, df in checks.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def _captured_assignments(spark: SparkSession, sf: str) -> DataFrame:
     """A new mapping of the units captured from the source files; units added later have none."""
     captured = src.units(spark, sf).filter(F.col("source_opinion_unit_idx").isNotNull())

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -63,3 +64,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_and_observe(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """``cut_lineage`` and the row count (``rows``) and further aggregates of what it writes, without another job."""
+    seen = Observation()
+    kept = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in measures.items())))
+    return kept, seen.get
