@@ -1,11 +1,11 @@
-"""Join helpers: NULL-safe keys, checked cardinality, missing keys, first-writer inserts."""
+"""Join helpers: NULL-safe keys, checked cardinality, differing rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,17 +43,31 @@ def many_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return left.join(checked.drop("__n"), list(keys), "left")
 
 
-def missing_keys(required: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Required keys with no row in ``present``."""
-    return required.select(*keys).join(present.select(*keys), list(keys), "left_anti")
+def one_to_one(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join that fails at run time if a key repeats or is missing on either side.
 
+    Both sides are grouped by the key they are joined on, so the checks add no shuffle. NULL keys match each other.
+    """
+
+    def single(df: DataFrame, side: str) -> DataFrame:
+        payload = [column for column in df.columns if column not in keys]
+        grouped = df.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias(f"__{side}"), *[F.first(column).alias(column) for column in payload]
+        )
+        return grouped if side == "left" else grouped.withColumnsRenamed({key: f"__{key}" for key in keys})
+
+    condition = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"__{key}")) for key in keys])
+    joined = single(left, "left").join(single(right, "right"), condition, "full")
+
+    def stop(text: str) -> Column:
+        return F.raise_error(F.lit(f"{text} on {', '.join(keys)}")).cast("boolean")
 
-def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Append rows whose key is new; the first writer keeps its values."""
-    fresh = incoming.dropDuplicates(list(keys)).join(
-        existing.select(*keys), list(keys), "left_anti"
+    fine = (
+        F.when((F.col("__left") > 1) | (F.col("__right") > 1), stop("a side is not unique"))
+        .when(F.col("__left").isNull() | F.col("__right").isNull(), stop("a side lacks a key"))
+        .otherwise(F.lit(True))
     )
-    return existing.unionByName(fresh)
+    return joined.filter(fine).drop("__left", "__right", *[f"__{key}" for key in keys])
 
 
 def differing_rows(

@@ -56,13 +56,6 @@ def near_statuses(vectors: DataFrame, maximum: float) -> DataFrame:
     )
 
 
-def encode(texts: DataFrame, column: str, encoder) -> DataFrame:
-    """Encode each distinct text once. ``encoder``: iterator of pandas frames with ``text`` to
-    iterator of frames with ``text`` and ``embedding``."""
-    distinct = texts.select(F.col(column).alias("text")).filter("text is not null").distinct()
-    return distinct.mapInPandas(encoder, "text string, embedding array<double>")
-
-
 def centroids(members: DataFrame, keys: list[str]) -> DataFrame:
     """Length-one mean vector per cluster; components are averaged apart, with partial sums."""
     component = members.select(*keys, F.posexplode("embedding").alias("i", "x"))

@@ -187,8 +187,8 @@ def rank_candidates(
 ) -> DataFrame:
     """The best ``limit`` candidates of every request.
 
-    ``requests``: request_id, source_id, conditions, and for the repair policies the source's
-    ``aspects``. Request and candidate blocks meet in task groups and each group passes on only its
+    ``requests``: request_id, source_id, conditions, for the repair policies the source's ``aspects``, and where a
+    request names them ``excluded``, product ids that it must not be given. Request and candidate blocks meet in task groups and each group passes on only its
     own best rows, so the product of requests and candidates is never shuffled.
     """
     repair = policy != DECISION
@@ -204,6 +204,10 @@ def rank_candidates(
         support = counts @ supported
         coverage = support / counts.sum(1)[:, None]
         allowed = left["source_id"].to_numpy()[:, None] != right["product_id"].to_numpy()[None, :]
+        if "excluded" in left:
+            ids = right["product_id"]
+            refused = [ids.isin(list(own)) if own is not None else np.zeros(len(ids), bool) for own in left["excluded"]]
+            allowed = allowed & ~np.stack(refused)
         names = np.broadcast_to(np.arange(len(right)), utility.shape)
         if repair:
             index = aspect_index(left["aspects"], right["aspects"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -314,6 +314,90 @@ def quality_flags(coverage_rows: DataFrame) -> DataFrame:
     )
 
 
+def evaluation_flags(
+    products: DataFrame, overlap: DataFrame, coverage: DataFrame, evaluators: DataFrame, minimum: int
+) -> DataFrame:
+    """The flags that a run's evaluation and its list of risky clusters add, for every product.
+
+    ``overlap``: product_id, risky_cluster_count (see ``risk_overlap``). ``coverage``: bounded and evaluated risky
+    clusters by stage. ``evaluators``: one row with evaluator_count, 0 where no evaluation was completed; then the two
+    flags about the evaluation itself are left out. Both small tables are one row after their aggregates.
+    """
+    whole = coverage.agg(
+        F.coalesce(F.sum("bounded_risky_cluster_count"), F.lit(0)).alias("bounded"),
+        F.coalesce(F.sum("evaluated_risky_cluster_count"), F.lit(0)).alias("evaluated"),
+    )
+    rate = rounded(F.col("evaluated") / F.nullif(F.col("bounded"), F.lit(0)))
+    rows = (
+        products.select("product_id")
+        .join(overlap.select("product_id", "risky_cluster_count"), "product_id", "left")
+        .fillna(0, subset=["risky_cluster_count"])
+        .join(F.broadcast(whole))
+        .join(F.broadcast(evaluators.select("evaluator_count")))
+        .withColumn("rate", rate)
+    )
+    done = F.col("evaluator_count") > 0
+
+    def flag(code: str, warns: Column, value: Column, implication: Column) -> Column:
+        severity = F.when(warns, F.lit("warning")).otherwise(F.lit("info"))
+        return F.struct(
+            F.lit(code).alias("code"),
+            severity.alias("severity"),
+            value.cast("string").alias("value"),
+            implication.alias("implication"),
+        )
+
+    text = F.lit
+    limited = F.concat_ws("/", "evaluated", "bounded", "rate")
+    return rows.select(
+        "product_id",
+        F.inline(
+            F.array_compact(
+                F.array(
+                    flag(
+                        "HUMAN_EVALUATION_INCOMPLETE",
+                        ~done,
+                        ~done,
+                        F.when(done, text("completed_human_evaluation_available")).otherwise(
+                            text("normalization_quality_not_human_validated_for_this_run")
+                        ),
+                    ),
+                    flag(
+                        "REVIEW_TIMESTAMPS_UNAVAILABLE",
+                        F.lit(True),
+                        F.lit(True),
+                        text("freshness_and_temporal_drift_unavailable"),
+                    ),
+                    flag(
+                        "NORMALIZATION_RISK_CLUSTERS_PRESENT",
+                        F.col("risky_cluster_count") > 0,
+                        F.col("risky_cluster_count"),
+                        text("inspect_cluster_lineage_before_high_stakes_use"),
+                    ),
+                    F.when(
+                        done,
+                        flag(
+                            "HUMAN_EVALUATION_RISK_COVERAGE_LIMITED",
+                            F.coalesce(F.col("rate") < 0.5, F.lit(False)),
+                            limited,
+                            text("sampled_cluster_scores_do_not_validate_all_risky_clusters"),
+                        ),
+                    ),
+                    F.when(
+                        done,
+                        flag(
+                            "HUMAN_EVALUATION_EVALUATOR_COUNT_AT_MINIMUM",
+                            F.col("evaluator_count") == minimum,
+                            F.concat_ws("/", "evaluator_count", F.lit(minimum)),
+                            text("agreement_and_generalization_have_limited_precision"),
+                        ),
+                    ),
+                )
+            )
+        ),
+    )
+
+
 def summary_rows(
     units: DataFrame,
     counts: DataFrame,

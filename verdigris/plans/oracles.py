@@ -1099,3 +1099,66 @@ UNION ALL SELECT unnest(['wide_clusters', 'mergeable_aspect_clusters', 'mergeabl
     False,
     f", eligible AS (SELECT * FROM units WHERE raw_aspect NOT IN ({_KEPT_OUT}))",
 )
+ORACLES["bundle_import"] = base(
+    """SELECT 'legacy-ou-' || (review_id * 100 + unit_position) AS opinion_unit_id, review_id * 100 + unit_position AS source_opinion_unit_idx,
+  'legacy-review-' || review_id AS review_id, unit_position, raw_aspect, raw_status, sentiment,
+  CASE WHEN mapping_state = 'mapped_exact' THEN 'mapped_exact' ELSE 'excluded_taxonomy' END AS mapping_state,
+  CASE WHEN mapping_state = 'mapped_exact' THEN aspect_id END AS aspect_id, CASE WHEN mapping_state = 'mapped_exact' THEN status_id END AS status_id,
+  CASE WHEN mapping_state = 'mapped_exact' THEN aspect_distance END::DOUBLE AS aspect_distance,
+  CASE WHEN mapping_state = 'mapped_exact' THEN status_distance END::DOUBLE AS status_distance,
+  'mapping-1' AS mapping_table_version_id, sha256('response ' || review_text) AS extraction_response_sha256 FROM catalog"""
+)
+ORACLES["bundle_import_reviews"] = base(
+    """SELECT 'legacy-review-' || review_id AS review_id, review_id::VARCHAR AS source_review_id, review_id AS external_review_idx,
+  'monitor-' || substr(sha256(product_name), 1, 16) AS product_id, product_name, '모니터' AS category,
+  sha256(trim(review_text)) AS content_sha256, (SELECT count(*) FROM units u WHERE u.review_id = v.review_id AND u.unit_position = 1) AS attribute_count
+FROM reviews v JOIN products p USING (product_id)""",
+    False,
+)
+ORACLES["report_inputs"] = base(
+    """SELECT product_name, CASE WHEN mapping_state = 'mapped_exact' THEN 'mapped_exact' ELSE 'excluded_taxonomy' END AS mapping_state,
+  count(*) AS opinion_unit_count, count(DISTINCT review_id) AS review_count FROM catalog JOIN products USING (product_id) GROUP BY 1, 2""",
+    False,
+)
+ORACLES["encoded_texts"] = base(
+    """SELECT text, 'characters-16' AS encoder_version, string_agg(format('{:.4f}', (n / sqrt(total))::FLOAT::DOUBLE), ',' ORDER BY place) AS entries
+FROM (SELECT text, place, count(code) AS n, sum(count(code) * count(code)) OVER (PARTITION BY text) AS total
+  FROM texts CROSS JOIN range(16) r(place) LEFT JOIN codes USING (text, place) GROUP BY text, place) GROUP BY text""",
+    False,
+    """, texts AS (SELECT raw_aspect AS text FROM units UNION SELECT raw_status FROM units WHERE raw_status IS NOT NULL),
+codes AS (SELECT text, unicode(letter) % 16 AS place, 1 AS code FROM (SELECT text, unnest(string_split(text, '')) AS letter FROM texts))""",
+)
+ORACLES["one_to_one_merge"] = base("SELECT product_id, product_name, review_count FROM review_counts", False)
+ORACLES["quality_flags_evaluation"] = base(
+    f"""SELECT p.product_id, unnest([
+  {{'code': 'HUMAN_EVALUATION_INCOMPLETE', 'severity': 'info', 'value': 'false', 'implication': 'completed_human_evaluation_available'}},
+  {{'code': 'REVIEW_TIMESTAMPS_UNAVAILABLE', 'severity': 'warning', 'value': 'true', 'implication': 'freshness_and_temporal_drift_unavailable'}},
+  {{'code': 'NORMALIZATION_RISK_CLUSTERS_PRESENT', 'severity': CASE WHEN coalesce(n, 0) > 0 THEN 'warning' ELSE 'info' END,
+    'value': coalesce(n, 0)::VARCHAR, 'implication': 'inspect_cluster_lineage_before_high_stakes_use'}},
+  {{'code': 'HUMAN_EVALUATION_RISK_COVERAGE_LIMITED', 'severity': CASE WHEN evaluated::DOUBLE / bounded < 0.5 THEN 'warning' ELSE 'info' END,
+    'value': evaluated || '/' || bounded || '/' || {r('evaluated::DOUBLE / bounded')}, 'implication': 'sampled_cluster_scores_do_not_validate_all_risky_clusters'}},
+  {{'code': 'HUMAN_EVALUATION_EVALUATOR_COUNT_AT_MINIMUM', 'severity': CASE WHEN raters = 3 THEN 'warning' ELSE 'info' END,
+    'value': raters || '/3', 'implication': 'agreement_and_generalization_have_limited_precision'}}], recursive := true)
+FROM products p LEFT JOIN (SELECT product_id, count(DISTINCT status_id) AS n FROM pv WHERE status_id IN (SELECT status_id FROM risky) GROUP BY 1) USING (product_id)
+CROSS JOIN (SELECT count(*) AS bounded, count(*) FILTER (WHERE status_id < 'm') AS evaluated FROM risky)
+CROSS JOIN (SELECT count(DISTINCT l_linenumber) AS raters FROM lineitem)""",
+    True,
+    """, risks AS (SELECT status_id, count(*) FILTER (WHERE vote = 'unknown')::DOUBLE / count(*) AS risk
+  FROM pv WHERE status_id IS NOT NULL GROUP BY 1),
+risky AS (SELECT status_id FROM risks WHERE risk > (SELECT avg(risk) FROM risks) + 1e-12)""",
+)
+ORACLES["staged_submissions"] = base(
+    """SELECT 'review-' || substr(sha256('demo_ui|demo-' || review_id), 1, 16) AS review_id, 'demo_ui' AS source,
+  'demo-' || review_id AS source_review_id, product_id::VARCHAR AS product_id, product_name, sha256(trim(review_text)) AS content_sha256,
+  'demo-' || review_id AS demo_review_id, review_id AS ordinal FROM reviews JOIN products USING (product_id)""",
+    False,
+    by_customer=True,
+)
+ORACLES["repeated_responses"] = """
+SELECT doc_id AS review_id, count(*) AS n FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM labels) GROUP BY 1 HAVING count(*) > 1"""
+ORACLES["decision_excluded_products"] = base(
+    """SELECT * EXCLUDE (rank), rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate_name)::INTEGER AS rank
+  FROM dscores WHERE (candidate_id + request_id) % 5 <> 0) WHERE rank <= 2""",
+    True,
+    DECISION,
+)

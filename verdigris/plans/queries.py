@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sentiment import rounded
@@ -14,6 +14,7 @@ from ..functions.text import content_hash, derived_id, field_violations
 from ..functions.vectors import cosine_distance
 from ..operators import (
     decision,
+    encode,
     evaluation,
     ingest,
     joins,
@@ -30,6 +31,7 @@ from ..operators import (
 from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
 from ..schemas import EXCLUDED, KNOWN_SENTIMENTS, MAPPED_EXACT
 from ..session import cut_lineage
+from ..sources import bundle as bundles
 from ..sources import driver_tables as src
 from ..sources import inbox
 from . import reports
@@ -378,10 +380,14 @@ def requirement_conflicts(spark, sf):
 NEAR_SETTINGS = decision.DecisionSettings(near_distance=0.9)
 
 
-def _scored_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _scored_requests(
+    spark: SparkSession, sf: str, excluded: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     requirements = cut_lineage(_review_requirements(spark, sf))
     near = near_status_pairs(spark, sf)
     requests = decision.decision_requests(requirements, near, NEAR_SETTINGS)
+    if excluded is not None:
+        requests = requests.withColumn("excluded", excluded)
     statistics = _statistics(spark, sf)
     profile = profiles.pair_profiles(statistics.pair_counts, NEAR_SETTINGS.minimum_support)
     candidates = recommend.candidate_arrays(
@@ -391,6 +397,14 @@ def _scored_requests(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame
     return requirements, ranked
 
 
+@query
+def decision_excluded_products(spark, sf):
+    """The best candidates of requests that each refuse some products, besides the one they come from."""
+    products = F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long"))
+    refused = F.filter(products, lambda p: (p + F.col("request_id")) % 5 == 0)
+    return _scored_requests(spark, sf, refused)[1].drop("utility", "experience_similarity")
+
+
 @query
 def near_status_pairs(spark, sf):
     return mapping.near_statuses(src.status_vectors(spark, sf), NEAR_SETTINGS.near_distance)
@@ -1065,3 +1079,131 @@ def submission_unit_problems(spark, sf):
         "catalog_comparison_eligible",
         F.concat_ws(",", "problems").alias("problems"),
     )
+
+
+ORIGIN = bundles.Origin("import-1", "mapping-1", attributes_sha256="0" * 64)
+
+
+def _imported(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return bundles.import_bundle(src.bundle(spark, sf), ORIGIN)
+
+
+@query
+def bundle_import(spark, sf):
+    """Units of a bundle with the assignment of their number, if it has one, and their review's response."""
+    return _imported(spark, sf)["opinion_units"].select(
+        "opinion_unit_id",
+        "source_opinion_unit_idx",
+        "review_id",
+        "unit_position",
+        "raw_aspect",
+        "raw_status",
+        "sentiment",
+        "mapping_state",
+        "aspect_id",
+        "status_id",
+        "aspect_distance",
+        "status_distance",
+        "mapping_table_version_id",
+        "extraction_response_sha256",
+    )
+
+
+@query
+def bundle_import_reviews(spark, sf):
+    """Reviews of a bundle beside their product and the number of their representative attributes."""
+    tables = _imported(spark, sf)
+    attributes = tables["representative_attributes"].groupBy("review_id").agg(F.count(F.lit(1)).alias("attribute_count"))
+    named = tables["reviews"].join(tables["products"].select("product_id", "product_name", "category"), "product_id")
+    return named.join(attributes, "review_id", "left").select(
+        "review_id",
+        "source_review_id",
+        "external_review_idx",
+        "product_id",
+        "product_name",
+        "category",
+        "content_sha256",
+        F.coalesce("attribute_count", F.lit(0)).alias("attribute_count"),
+    )
+
+
+@query
+def report_inputs(spark, sf):
+    """What a report reads of an imported bundle, after the checks of its keys, references and labels."""
+    tables = _imported(spark, sf)
+    joined = bundles.load_report_inputs(tables | {"opinion_units": cut_lineage(tables["opinion_units"])})["joined"]
+    return joined.groupBy("product_name", "mapping_state").agg(
+        F.count(F.lit(1)).alias("opinion_unit_count"), F.countDistinct("review_id").alias("review_count")
+    )
+
+
+@query
+def encoded_texts(spark, sf):
+    """Vectors of all raw expressions: statuses are known from an earlier run, the other texts are encoded."""
+    units = src.units(spark, sf)
+    none = spark.createDataFrame([], "text string, encoder_version string, embedding array<float>")
+    factory = encode.character_encoder(16)
+    earlier = cut_lineage(encode.encode_missing(units, none, factory, "characters-16", "raw_status"))
+    texts = units.select(F.explode(F.array("raw_aspect", "raw_status")).alias("text"))
+    vectors = encode.with_new_vectors(texts, earlier, factory, "characters-16")
+    return vectors.select(
+        "text",
+        "encoder_version",
+        F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", x.cast("double"))), ",").alias("entries"),
+    )
+
+
+@query
+def one_to_one_merge(spark, sf):
+    """Products beside their review counts, which have exactly one row for each other."""
+    counts = product_review_counts(spark, sf).select("product_id", "review_count")
+    return joins.one_to_one(src.products(spark, sf).select("product_id", "product_name"), counts, ["product_id"])
+
+
+def _risky_statuses(pairs: DataFrame) -> DataFrame:
+    """A list that stands in for a delivered one: statuses with a larger share of undecided votes than the average."""
+    totals = pairs.filter(F.col("status_id").isNotNull()).groupBy("status_id").agg(
+        (F.sum("unknown_count") / F.sum("supporting_review_count")).alias("risk")
+    )
+    average = F.broadcast(totals.agg(F.avg("risk").alias("average")))
+    return totals.join(average, F.col("risk") > F.col("average") + 1e-12).select(
+        F.lit("status").alias("stage"), F.col("status_id").alias("cluster_id")
+    )
+
+
+@query
+def quality_flags_evaluation(spark, sf):
+    """The five flags that risky clusters and a finished evaluation of some of them add."""
+    pairs = cut_lineage(_counts(spark, sf, PAIR_KEYS))
+    risky = cut_lineage(_risky_statuses(pairs))
+    evaluated = risky.filter(F.col("cluster_id") < "m")
+    raters = src.ratings(spark, sf).agg(F.countDistinct("rater_id").alias("evaluator_count"))
+    return summary.evaluation_flags(
+        src.products(spark, sf), summary.risk_overlap(pairs, risky), evaluation.risk_coverage(risky, evaluated), raters, 3
+    )
+
+
+@query
+def staged_submissions(spark, sf):
+    """Reviews of a customer staged as submitted ones, in the order of their position."""
+    submitted = src.reviews(spark, sf, src.CUSTOMER).select(
+        F.col("product_id").alias("submission_id"),
+        F.concat(F.lit("demo-"), F.col("review_id")).alias("demo_review_id"),
+        F.col("review_id").alias("position"),
+        "product_id",
+        "review_text",
+    )
+    staged = ingest.stage_submissions(submitted, src.products(spark, sf, src.CUSTOMER))
+    kept = ingest.deduplicate(staged, _existing_hashes(spark, sf))
+    return kept.select(
+        "review_id", "source", "source_review_id", F.col("product_id").cast("string").alias("product_id"), "product_name",
+        "content_sha256", "demo_review_id", "ordinal",
+    )
+
+
+@query
+def repeated_responses(spark, sf):
+    """Documents that more than one stored response claims: those whose line is a response and which are also labelled."""
+    responses = src.document_responses(spark, sf).select(F.col("doc_id").alias("review_id"))
+    again = src.table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"))
+    return ingest.repeated_results(responses.unionByName(again))

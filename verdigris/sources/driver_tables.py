@@ -324,3 +324,35 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.round(F.col("l_discount") * 100).cast("int") % 5 + 1).alias("score"),
         (F.col("l_returnflag") == "R").alias("preferred"),
     )
+
+
+def bundle(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The catalog as a delivered bundle: only exactly mapped units have an assignment."""
+    own = units(spark, sf_dir)
+    names = products(spark, sf_dir).select("product_id", "product_name")
+    texts = reviews(spark, sf_dir).join(names, "product_id")
+    number = F.col("review_id") * 100 + F.col("unit_position")
+    numbered = own.withColumn("idx", number).withColumn("review_idx", F.col("review_id"))
+    return {
+        "reviews": texts.select(
+            F.col("review_id").alias("idx"), F.col("product_name").alias("productName"), F.col("review_text").alias("review")
+        ),
+        "opinion_units": numbered.select(
+            "idx", "review_idx", "raw_aspect", "raw_status", "excerpt", "opinion", "sentiment"
+        ),
+        "representative_attributes": numbered.filter("unit_position = 1").select(
+            "idx", "review_idx", F.col("raw_aspect").alias("raw_attribute"), "sentiment"
+        ),
+        "assignments": numbered.filter(F.col("mapping_state") == MAPPED_EXACT).select(
+            "idx",
+            F.col("aspect_id").alias("aspect_cluster_id"),
+            "aspect",
+            F.col("status_id").alias("status_cluster_id"),
+            "status",
+            F.col("aspect_distance").alias("aspect_mapping_distance"),
+            F.col("status_distance").alias("status_mapping_distance"),
+        ),
+        "responses": texts.select(
+            F.col("review_id").alias("review_idx"), F.sha2(F.concat(F.lit("response "), "review_text"), 256).alias("response_sha256")
+        ),
+    }
