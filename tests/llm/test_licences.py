@@ -68,3 +68,33 @@ def test_rarity_counts_all_documents(make):
     rarity = licences.rarities(make(rows))
     assert rarity["license"] > rarity["cc"] > rarity["the"]
     assert [w for w, _ in licences.index_of(licences.TEMPLATES[0], rarity)] == ["mit", "under", "license"]
+
+
+def test_identifiers_and_further_licences(make):
+    rows = [
+        (1, "// SPDX-License-Identifier: Apache-2.0"), (2, "SPDX-License-Identifier: MIT\n"), (3, "Boost Software License - Version 1.0"),
+        (4, "Eclipse Public License v2.0"), (5, "under the GNU Lesser General Public License, version 2.1 or"), (6, "SPDX License: MIT"),
+        (7, "The Artistic License"), (8, "SPDX-License-Identifier: GPL-3.0-or-later AND CC-BY-NC-4.0"),
+    ]
+    got = {row.doc_id: row.labels for row in licences.digest(licences.scan(make(rows))).collect()}
+    assert got == {1: "apache-2", 2: "mit", 3: "bsl", 4: "epl", 5: "lgpl,lgpl-2.1", 6: "", 7: "artistic", 8: "cc-by-nc,gpl-3"}
+    assert len(licences.TEMPLATES) >= 60
+
+
+def test_the_plan_does_not_grow_with_the_templates(make):
+    def size(templates):
+        plan = licences.scan(make([(1, "x")]), {w: 1.0 for w in licences.VOCABULARY}, templates)._jdf.queryExecution()
+        text = plan.optimizedPlan().toString()
+        assert "Python" not in plan.toString() and "Arrow" not in plan.toString()
+        return text.count("lambdafunction")
+
+    assert size(licences.TEMPLATES[:5]) == size(licences.TEMPLATES)
+
+
+def test_index_lists_templates_by_their_rarest_words():
+    rarity = {w: float(len(w)) for w in licences.VOCABULARY}
+    index = licences.postings(licences.TEMPLATES, rarity)
+    for number, t in enumerate(licences.TEMPLATES):
+        own = [(word, offset) for word, held in index.items() for n, offset in held if n == number]
+        assert sorted(own) == sorted(licences.index_of(t, rarity))
+        assert all(t.words[offset] == word for word, offset in own)

@@ -1,19 +1,21 @@
 """Licence scans with a positional index of rare words.
 
 Each template is the fixed wording by which a licence is named or granted. Over all documents, the number of those
-that have each template word gives its rarity. A template is looked up by the rarest words of its key phrase, which it
-cannot lack: each place of such a word in a file says where the template would begin (the place less the word's offset
-in the template). Beginnings on which these words agree are candidates, and the whole key phrase must then stand at
-its place word for word.
-
-All of it is column expressions over a text's array of words. The templates and their index are literals.
+that have each template word gives its rarity. The index lists, for each word, the templates that have it among the
+rarest words of their key phrase, and its offset there. A file's words that the index has (its rarest licence words)
+are looked up with their positions, once for all templates: a posting of a template at a position says where the
+template would begin. Beginnings on which all indexed words of a template agree are candidates, and the mandatory key
+phrase must then stand at its place word for word.
+
+All of it is column expressions over a text's array of words. Templates and index are literals, and the plan is the same
+for any number of templates.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,80 @@ TEMPLATES = (
     template("cc-by-sa", "cc by sa"),
     template("cc-by-sa", "creative commons attribution sharealike"),
     template("cc0", "cc0 1 0 universal"),
+    template("lgpl-2.1", "gnu lesser general public license version 2 1"),
+    template("lgpl-3", "gnu lesser general public license version 3"),
+    template("lgpl", "gnu library general public license"),
+    template("agpl-3", "gnu affero general public license version 3"),
+    template("gpl-2", "either version 2 of the license or at your option any later version"),
+    template("gpl-3", "either version 3 of the license or at your option any later version"),
+    template("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "contributors may be used to endorse or promote products derived from this software"),
+    template("bsl", "boost software license version 1 0", "boost software license"),
+    template("epl", "eclipse public license v 2 0", "eclipse public license"),
+    template("epl", "the accompanying materials are provided under the terms of this eclipse public license", "this eclipse public license"),
+    template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    template("artistic", "the artistic license 2 0", "artistic license"),
+    template("wtfpl", "do what the fuck you want to public license"),
+    template("ofl", "sil open font license version 1 1", "sil open font license"),
+    template("cddl", "common development and distribution license"),
+    template("mpl", "mozilla public license version 1 1", "mozilla public license version 1"),
+    template("eupl", "european union public licence"),
+    template("ms-pl", "microsoft public license ms pl", "microsoft public license"),
+    template("psf", "python software foundation license"),
+    template("ncsa", "university of illinois ncsa open source license", "illinois ncsa open source license"),
+    template("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    template("cc-by", "creative commons attribution 3 0 unported license", "creative commons attribution 3 0"),
+    template("cc-by-nd", "creative commons attribution noderivatives"),
+    template("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", "dedicated all copyright and related and neighboring rights"),
 )
+
+#: Labels of identifiers from the public list of licences.
+IDENTIFIERS = {
+    "mit": ("MIT", "X11"),
+    "mit-0": ("MIT-0",),
+    "apache-2": ("Apache-2.0",),
+    "apache-1": ("Apache-1.1",),
+    "gpl-2": ("GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later"),
+    "gpl-3": ("GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later"),
+    "lgpl-2.1": ("LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later"),
+    "lgpl-3": ("LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"),
+    "agpl-3": ("AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"),
+    "bsd": ("BSD-2-Clause", "0BSD"),
+    "bsd-3": ("BSD-3-Clause",),
+    "mpl-2": ("MPL-2.0",),
+    "isc": ("ISC",),
+    "unlicense": ("Unlicense",),
+    "cc0": ("CC0-1.0",),
+    "cc-by": ("CC-BY-4.0", "CC-BY-3.0"),
+    "cc-by-sa": ("CC-BY-SA-4.0", "CC-BY-SA-3.0"),
+    "cc-by-nc": ("CC-BY-NC-4.0",),
+    "cc-by-nd": ("CC-BY-ND-4.0",),
+    "bsl": ("BSL-1.0",),
+    "epl": ("EPL-1.0", "EPL-2.0"),
+    "zlib": ("Zlib",),
+    "artistic": ("Artistic-2.0",),
+    "wtfpl": ("WTFPL",),
+    "ofl": ("OFL-1.1",),
+    "cddl": ("CDDL-1.0",),
+    "eupl": ("EUPL-1.2",),
+    "ms-pl": ("MS-PL",),
+    "psf": ("Python-2.0",),
+    "ncsa": ("NCSA",),
+    "postgresql": ("PostgreSQL",),
+}
+#: How a file names an identifier.
+IDENTIFIED_BY = "spdx license identifier"
+
+
+def _identified() -> tuple[Template, ...]:
+    """A template for each identifier, behind the words that announce it."""
+    return tuple(
+        template(label, f"{IDENTIFIED_BY} {' '.join(re.findall('[a-z0-9]+', name.lower()))}")
+        for label, names in IDENTIFIERS.items()
+        for name in names
+    )
+
+
+TEMPLATES += _identified()
 VOCABULARY = tuple(sorted({word for t in TEMPLATES for word in t.words}))
 
 
@@ -88,56 +163,101 @@ def index_of(template: Template, rarity: dict[str, float]) -> list[tuple[str, in
     return sorted(offsets.items(), key=lambda item: (-rarity[item[0]], item[0]))[:INDEX_WORDS]
 
 
-def _matches(words: Column, template: Template, rarity: dict[str, float]) -> Column:
-    """Places where the template begins (which may lie before the text) with the share of its words that stand there."""
+def postings(templates: tuple[Template, ...], rarity: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """(number of the template, offset) by word, for the indexed words of every template."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for number, t in enumerate(templates):
+        for word, offset in index_of(t, rarity):
+            index.setdefault(word, []).append((number, offset))
+    return index
 
-    def beginnings(word: str, offset: int) -> Column:
-        return F.array_compact(F.transform(words, lambda w, i: F.when(w == word, i - offset)))
 
-    agreed = reduce(F.array_intersect, [beginnings(*own) for own in index_of(template, rarity)])
-    key = F.array(*map(F.lit, template.key))
+#: A beginning is one number: the template's number above these bits, the place (which may lie before the text) in them.
+_PLACE_BITS = 32
+_FIRST_PLACE = 1 << 31
 
-    def stands(place: Column) -> Column:
-        at = place + template.key_at
-        return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, len(template.key)) == key)
 
-    def match(place: Column) -> Column:
-        # Past the end of the text, and before its beginning, there are no words.
-        begin = F.greatest(place, F.lit(0))
-        there = F.slice(words, begin + 1, F.lit(len(template.words)) - (begin - place))
-        wanted = F.slice(F.array(*map(F.lit, template.words)), begin - place + 1, len(template.words))
-        same = F.size(F.filter(F.zip_with(there, wanted, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
-        return F.struct(
-            F.lit(template.label).alias("label"),
-            (place + template.key_at).alias("start"),
-            (same / len(template.words)).alias("share"),
-        )
+def _beginnings(words: Column, index: dict[str, list[tuple[int, int]]]) -> Column:
+    """Where the postings of a file's indexed words say that templates begin, sorted."""
+    listed = F.map_from_arrays(
+        F.array(*map(F.lit, index)),
+        F.array(*(F.array(*(F.lit((n << _PLACE_BITS) + _FIRST_PLACE - offset) for n, offset in own)) for own in index.values())),
+    )
+    placed = F.transform(words, lambda word, i: F.struct(word.alias("word"), i.cast("long").alias("at")))
+    indexed = F.filter(placed, lambda hit: hit.word.isin(*index))
+    found = F.transform(indexed, lambda hit: F.transform(F.element_at(listed, hit.word), lambda posting: posting + hit.at))
+    return F.array_sort(F.flatten(found))
+
+
+def _agreed(beginnings: Column, needed: list[int]) -> Column:
+    """The sorted beginnings that occur as often as their template has indexed words, each once.
+
+    Every indexed word of a template votes for a beginning at most once, so equal ones are agreeing words.
+    """
+    wanted = F.array(*map(F.lit, needed))
 
-    return F.transform(F.filter(agreed, stands), match)
+    def agree(begin: Column, i: Column) -> Column:
+        votes = F.element_at(wanted, _number(begin) + 1)
+        first = (i == 0) | (F.get(beginnings, i - 1) != begin)
+        return first & F.coalesce(F.get(beginnings, i + votes - 1) == begin, F.lit(False))
+
+    return F.filter(beginnings, agree)
+
+
+def _number(begin: Column) -> Column:
+    return F.shiftright(begin, _PLACE_BITS).cast("int")
+
+
+def _match(words: Column, begin: Column, templates: tuple[Template, ...]) -> Column:
+    """Label, start of the key phrase and share of the template's words in place; null where the phrase doesn't stand."""
+    number = _number(begin) + 1
+    place = (begin.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)) - _FIRST_PLACE).cast("int")
+    label, at, base = (
+        F.element_at(F.array(*(F.lit(getattr(t, name)) for t in templates)), number) for name in ("label", "key_at", "base")
+    )
+    key, whole = (
+        F.element_at(F.array(*(F.array(*map(F.lit, getattr(t, name))) for t in templates)), number) for name in ("key", "words")
+    )
+    start = place + at
+    stands = (start >= 0) & (F.slice(words, F.greatest(start, F.lit(0)) + 1, F.size(key)) == key)
+    # Past the end of the text, and before its beginning, there are no words.
+    inside = F.greatest(place, F.lit(0))
+    there = F.slice(words, inside + 1, F.greatest(F.size(whole) - (inside - place), F.lit(0)))
+    wanted = F.slice(whole, inside - place + 1, F.size(whole))
+    same = F.size(F.filter(F.zip_with(there, wanted, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x))
+    share = same / F.size(whole)
+    return F.when(stands, F.struct(label.alias("label"), start.alias("start"), share.alias("share"), base.alias("base")))
 
 
 _MATCH = "array<struct<label:string,start:int,share:double>>"
 
 
-def scan(docs: DataFrame, rarity: dict[str, float] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame, rarity: dict[str, float] | None = None, templates: tuple[Template, ...] = TEMPLATES
+) -> DataFrame:
     """doc_id, n_words, base and more: the places of base phrases and of other templates with label, start and share.
 
     Null text is empty; a null doc_id and repeated rows stay as they are; an empty table gives an empty result; other
     columns are not read. A file without the rarest word of any key phrase is not looked at further.
     """
-    rarity = rarities(docs) if rarity is None else rarity
-    anchors = sorted({index_of(t, rarity)[0][0] for t in TEMPLATES})
+    rarity = rarities(docs, templates) if rarity is None else rarity
+    index = postings(templates, rarity)
+    anchors = sorted({index_of(t, rarity)[0][0] for t in templates})
     texts = docs.select("doc_id", words_of(whole_text()).alias("words"))
-    words = F.col("words")
-    hinted = F.arrays_overlap(words, F.array(*map(F.lit, anchors)))
-    none = F.array().cast(_MATCH)
+    hinted = F.arrays_overlap("words", F.array(*map(F.lit, anchors)))
+    none = F.array().cast("array<bigint>")
+    looked_up = texts.withColumn("begins", F.when(hinted, _beginnings(F.col("words"), index)).otherwise(none))
+    needed = [len(index_of(t, rarity)) for t in templates]
+    agreed = looked_up.withColumn("begins", _agreed(F.col("begins"), needed))
+    matches = F.array_compact(F.transform("begins", lambda begin: _match(F.col("words"), begin, templates)))
+    found = agreed.withColumn("matches", F.when(F.size("begins") > 0, matches).otherwise(F.array()))
+
+    def those(base: bool) -> Column:
+        own = F.filter("matches", lambda m: m.base == base)
+        return F.transform(own, lambda m: F.struct(m.label, m.start, m.share)).cast(_MATCH)
 
-    def all_of(base: bool) -> Column:
-        every = F.concat(*(_matches(words, t, rarity).cast(_MATCH) for t in TEMPLATES if t.base == base))
-        return F.when(hinted, every).otherwise(none)
-
-    return texts.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), all_of(True).alias("base"), all_of(False).alias("more")
+    return found.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), those(True).alias("base"), those(False).alias("more")
     )
 
 
