@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from verdigris.llm import html_text
@@ -19,9 +21,11 @@ CASES = {
     "<p>a<table><tr><td>b</table>c": "a\n\nb\n\nc",
     "<head><title>T</title><style>p{}</style></head><script>var t='</p>';</script>x": "x",
     "<script>a</scripty>b": "",
-    "<p hidden>no<p style='display : none'>no<p aria-hidden=true>no<p>yes": "yes",
+    "<p hidden>no<p style='display : none'>no<p aria-hidden=true>seen<p>yes": "seen\n\nyes",
     "<div style='visibility:hidden'>no<b>no</b></div>yes": "yes",
-    "<noscript>no</noscript><template><p>no</template><svg><text>no</svg>yes": "yes",
+    "<noscript>no</noscript><template><p>no</template>yes": "yes",
+    "<svg><title>no</title><defs><text>no</text></defs><g><text>in the image</text></g></svg>yes": "in the image\nyes",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
     "<pre>  a\n    b</pre>c": "  a\n    b\n\nc",
     "a <b>b</b> <i> c</i>d": "a b cd",
     "<p>a</b></div></p>b": "a\n\nb",
@@ -33,7 +37,19 @@ CASES = {
     "&nbsp;&copy;&#233;&bogus;": " ©é&bogus;",
     "<b>unclosed": "unclosed",
     "</p>x": "x",
-    "<select><option>no</select><textarea>no</textarea>yes": "yes",
+    "<select><option>first<option selected>chosen<option>no</select><textarea>so\nit is</textarea>yes": "chosen\nso\nit is\nyes",
+    "<select multiple><optgroup label=g><option>a<option>b</select>": "g\na\nb",
+    "<input value=v> <input type=submit> <input type=hidden value=no><input type=checkbox value=no><input placeholder=p><button>b</button>": "v Submit pb",
+    "<ol reversed><li>x<li>y</ol>": "2. x\n1. y",
+    "<ol type=a start=26><li>x<li>y</ol><ol type=I><li>p<li value=9>q</ol>": "z. x\naa. y\n\nI. p\nIX. q",
+    "<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>": "A  b\n   c\nd  e",
+    "<table><tr><td>a<td rowspan=2 colspan=2>big<td>x<tr><td>b<td>y</table>": "a  big    x\nb         y",
+    "<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>": "a  b\nc  d",
+    "<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>": "a  b\n   c\n   d",
+    "<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b></p>": "yes",
+    "<style>.h, #i{display:none} p{visibility:hidden}</style><div class='a h'>no</div><div id=i>no</div><p>no</p>yes": "yes",
+    "<style>/* .x{ */ @media print{.y{display:none}} .h{display:none} div.z{display:none}</style><p class=y>1<p class=z>2<b class=h style='display:inline'>3</b>": "1\n\n23",
+    "<style media=print>p{display:none}</style><p>yes<style>.s{display:block}</style><p hidden class=s>too": "yes\n\ntoo",
 }
 
 
@@ -95,3 +111,34 @@ def test_odd_rows(spark):
     got = html_text.extract(spark.createDataFrame(rows, kind)).collect()
     assert sorted((row.page_id or 0, row.title, row.text) for row in got) == [(0, "A b", "c"), (1, "", ""), (2, "", ""), (2, "", "")]
     assert html_text.extract(spark.createDataFrame([], kind)).count() == 0
+
+
+def placed(rows):
+    """By another way: where the cells of a table (text, colspan, rowspan) lie, by filling a grid of taken slots."""
+    taken, grid = set(), {}
+    for y, row in enumerate(rows):
+        x = 0
+        for text, across, down in row:
+            while (x, y) in taken:
+                x += 1
+            grid[x, y] = text
+            taken |= {(x + i, y + j) for i in range(across) for j in range(down)}
+            x += across
+    return grid
+
+
+def test_cells_stand_where_a_grid_puts_them():
+    draw = random.Random(4)
+    for _ in range(200):
+        rows = [
+            [(draw.choice(["a", "bb", "ccc"]) + str(draw.randrange(99)), draw.randint(1, 3), draw.randint(1, 3)) for _ in range(draw.randint(1, 4))]
+            for _ in range(draw.randint(1, 5))
+        ]
+        source = "<table>" + "".join(
+            "<tr>" + "".join(f"<td colspan={a} rowspan={d}>{t}" for t, a, d in row) for row in rows
+        )
+        grid = placed(rows)
+        columns = 1 + max(x for x, _ in grid)
+        widths = [max([len(t) for (x, _), t in grid.items() if x == k], default=0) for k in range(columns)]
+        lines = ["  ".join(grid.get((x, y), "").ljust(widths[x]) for x in range(columns)).rstrip() for y in range(len(rows))]
+        assert render(source + "</table>") == "\n".join(lines).strip("\n")
