@@ -3,10 +3,10 @@
 A text is the mean of the embeddings of its subwords: all byte n-grams of its words (a blank marks their edges),
 hashed into a table. A linear softmax reads the language off that mean. Both are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. A temperature fitted on rows that training didn't see makes
-the scores probabilities. Rejection is calibrated on what the model must not take for its own: models that leave
-languages out score these, and texts with shuffled letters, beside known ones; a logistic regression on the best score
-and on the share of subwords that training saw tells them apart, and its threshold is a low quantile of what unseen
-rows of the learned languages reach. Once trained, embedding and softmax are one table (a subword's contribution to each
+the scores probabilities. Rejection is calibrated on what the model must not take for its own: vocabularies of subwords
+that leave languages out are held against these languages, and texts with shuffled letters, beside known ones; a
+logistic regression on the share of subwords that training saw tells them apart, and its threshold is a low quantile
+of what unseen rows of the learned languages reach. Once trained, embedding and softmax are one table (a subword's contribution to each
 language), so prediction is one lookup for each n-gram of the whole text.
 """
 
@@ -37,14 +37,13 @@ GRAMS = 800
 RATE = 0.5
 #: Share of unseen labelled examples that may be rejected, and the probability from which nothing is rejected.
 REJECTED_SHARE = 0.002
-MOST_TO_REJECT = 0.3
+MOST_TO_REJECT = 0.2
 #: Training examples that a familiar subword occurs in, at least.
 FAMILIAR_FROM = 3
-#: Folds of languages that are left out in turn for calibration, and the rows, subwords and epochs of their models.
+#: Folds of languages that are left out in turn for calibration.
 FOLDS = 4
-FOLD_ROWS = 1000
-FOLD_GRAMS = 150
-FOLD_EPOCHS = 2
+#: Signs of a known language, see ``_signs``.
+SIGNS = 4
 UNKNOWN = "und"
 _CHUNK = 1 << 19
 
@@ -124,9 +123,9 @@ def _read(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         shares.append(known / np.maximum(counts, 1))
         sizes.append(counts)
     if not found:
-        return np.zeros((0, len(model.languages))), np.zeros((0, 5))
+        return np.zeros((0, len(model.languages))), np.zeros((0, SIGNS))
     logits = np.concatenate(found) + model.bias
-    return logits, _signs(_softmax(logits), np.concatenate(shares), np.concatenate(sizes))
+    return logits, _signs(np.concatenate(shares), np.concatenate(sizes))
 
 
 def _logits(model: Model, column: pa.Array) -> np.ndarray:
@@ -195,16 +194,18 @@ def _familiar(fit: list[tuple[np.ndarray, int]]) -> np.ndarray:
     return (seen >= FAMILIAR_FROM).astype(np.float32)
 
 
-def _signs(odds: np.ndarray, familiar: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """What tells a text of a known language from others: the best score, and how many of its subwords are familiar."""
-    best = np.clip(odds.max(axis=1), 1e-6, 1 - 1e-6)
+def _signs(familiar: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What tells a text of known languages from others: how many of its subwords are familiar, and how sure that is.
+
+    The best score isn't among them: a text in two known languages has a low one, one in an unknown language often a
+    high one.
+    """
     short = 1 / np.sqrt(np.maximum(counts, 1))
-    return np.stack([np.ones(len(best)), familiar, np.log(best / (1 - best)), short, familiar * short], axis=1)
+    return np.stack([np.ones(len(counts)), familiar, short, familiar * short], axis=1)
 
 
-def _example_signs(examples: list[np.ndarray], table: np.ndarray, bias: np.ndarray, familiar: np.ndarray) -> np.ndarray:
-    odds = _softmax(np.array([table[x].mean(axis=0) for x in examples]) + bias)
-    return _signs(odds, np.array([familiar[x].mean() for x in examples]), np.array([len(x) for x in examples]))
+def _example_signs(examples: list[np.ndarray], familiar: np.ndarray) -> np.ndarray:
+    return _signs(np.array([familiar[x].mean() for x in examples]), np.array([len(x) for x in examples]))
 
 
 def _logistic(signs: np.ndarray, truth: np.ndarray) -> np.ndarray:
@@ -239,21 +240,18 @@ def _shuffled(text: str, random: np.random.Generator) -> str:
 def _rejection(texts: list[str], examples: list[list[np.ndarray]], truth: np.ndarray, fit: np.ndarray, probe: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Weights that tell known languages from others, and what they say of the examples of unknown ones.
 
-    The languages are dealt into folds. For each fold a model learns the other languages only; probes of the fold are
-    texts of an unknown language to it, probes of the others are known, and probes with shuffled letters are unknown.
+    The languages are dealt into folds. For each fold the vocabulary of subwords is that of the other languages only;
+    probes of the fold are texts of an unknown language to it, probes of the others are known, and probes with shuffled
+    letters are unknown.
     """
     languages = int(truth.max()) + 1
     signs, known = [], []
     garbled = [x for i in probe for x in _examples([_shuffled(texts[i], random)])[0]]
     for fold in range(min(languages, FOLDS)):
         outside = truth % FOLDS == fold
-        names = sorted(set(truth[~outside].tolist()))
-        own = {language: k for k, language in enumerate(names)}
-        learn = [(x, own[truth[i]]) for i in fit[:: max(1, len(fit) // FOLD_ROWS)] if not outside[i] for x in examples[i]]
+        learn = [(x, 0) for i in fit if not outside[i] for x in examples[i]]
         if not learn:
             continue
-        thinned = [(x[:: 1 + len(x) // FOLD_GRAMS], y) for x, y in learn]
-        table, bias = _descend(thinned, len(names), FOLD_EPOCHS, random)
         familiar = _familiar(learn)
         for rows, is_known in (
             ([x for i in probe if not outside[i] for x in examples[i]], True),
@@ -261,10 +259,10 @@ def _rejection(texts: list[str], examples: list[list[np.ndarray]], truth: np.nda
             (garbled, False),
         ):
             if rows:
-                signs.append(_example_signs(rows, table, bias, familiar))
+                signs.append(_example_signs(rows, familiar))
                 known.append(np.full(len(rows), is_known))
     if not signs:
-        return np.zeros(5), np.zeros(0)
+        return np.zeros(SIGNS), np.zeros(0)
     every, truth = np.concatenate(signs), np.concatenate(known)
     weights = _logistic(every, truth)
     return weights, _known(every[~truth], weights)
@@ -283,7 +281,7 @@ def train(texts: list[str], languages: list[str], seed: int = 5) -> Model | None
     probe, rest = order[: len(order) // 10], order[len(order) // 10 :]
     fit = [(x, truth[i]) for i in rest for x in examples[i]]
     table, bias = _descend(fit, len(names), EPOCHS, random)
-    model = Model(names, table, bias, 1.0, _familiar(fit), np.zeros(5), 0.0)
+    model = Model(names, table, bias, 1.0, _familiar(fit), np.zeros(SIGNS), 0.0)
     if len(probe):
         logits = np.array([table[examples[i][0]].mean(axis=0) for i in probe]) + bias
         own = truth[probe]
@@ -291,7 +289,7 @@ def train(texts: list[str], languages: list[str], seed: int = 5) -> Model | None
         loss = [-np.log(_softmax(logits / t)[np.arange(len(own)), own] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
         model.known, foreign = _rejection(texts, examples, truth, rest, probe, random)
-        scores = _known(_example_signs([x for i in probe for x in examples[i]], table, bias, model.familiar), model.known)
+        scores = _known(_example_signs([x for i in probe for x in examples[i]], model.familiar), model.known)
         model.least = float(min(np.quantile(scores, REJECTED_SHARE), MOST_TO_REJECT))
         model.false_accepts = float((foreign >= model.least).mean()) if len(foreign) else 0.0
     return model
