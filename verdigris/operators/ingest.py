@@ -25,6 +25,11 @@ from ..schemas import (
 )
 
 
+def _place(reviews: DataFrame) -> list[str]:
+    """The columns that order reviews: file and place, or the place alone where there are no files."""
+    return ["inbox_file", "ordinal"] if "inbox_file" in reviews.columns else ["ordinal"]
+
+
 def stage_inbox(inbox: DataFrame) -> DataFrame:
     """Defaults, stripped text, content hash and an id derived from the natural key.
 
@@ -97,7 +102,7 @@ def deduplicate(staged: DataFrame, existing_hashes: DataFrame) -> DataFrame:
         ),
     )
     known = existing_hashes.select(F.concat(F.lit("h|"), "content_sha256").alias("__key"))
-    order = W.partitionBy("__key").orderBy("inbox_file", "ordinal", "review_id")
+    order = W.partitionBy("__key").orderBy(*_place(staged), "review_id")
     first = keyed.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") == 1)
     return first.join(known, "__key", "left_anti").drop("__n", "__key")
 
@@ -154,9 +159,8 @@ def repeated_results(results: DataFrame) -> DataFrame:
 
 def new_products(existing: DataFrame, reviews: DataFrame, run_id: str) -> DataFrame:
     """Products of new reviews that the catalog lacks, as their first review names them."""
-    place = ["inbox_file", "ordinal"] if "inbox_file" in reviews.columns else ["ordinal"]
     first = reviews.groupBy("product_id").agg(
-        F.min(F.struct(*place, "product_name", "category")).alias("first")
+        F.min(F.struct(*_place(reviews), "product_name", "category")).alias("first")
     )
     named = first.select(
         "product_id", "first.product_name", "first.category", F.lit(run_id).alias("first_seen_run_id")
