@@ -2,11 +2,13 @@ import math
 from difflib import SequenceMatcher
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from verdigris.functions import markdown as md
 from verdigris.functions import text
-from verdigris.functions.cannot_link import cannot_link_matrix
+from verdigris.functions.cannot_link import cannot_link_matrix, reaching, split_negation
 from verdigris.functions.sentiment import (
     collapse_mask,
     distribution_columns,
@@ -15,6 +17,7 @@ from verdigris.functions.sentiment import (
     vote_mask,
     wilson_bounds,
 )
+from verdigris.schemas import STATUS_CONSTRAINTS
 
 SPACES = "　\x1c 본문 글  \n"
 
@@ -72,18 +75,16 @@ def test_strip_and_hash_follow_unicode_white_space(spark):
 @pytest.mark.parametrize(
     ("raw", "expected"),
     [
-        ("선명하지 않음", (True, "선명하")),
-        ("불량 아님", (True, "불량")),
-        ("잘 안 보임", (True, "잘 보임")),
-        ("안", (False, "안")),
-        ("아님", (False, "아님")),
-        ("선명함", (False, "선명함")),
+        ("선명하지 않음", "선명하"),
+        ("불량 아님", "불량"),
+        ("잘 안 보임", "잘 보임"),
+        ("안", None),
+        ("아님", None),
+        ("선명함", None),
     ],
 )
-def test_negation_core(spark, raw, expected):
-    negative, core = text.negation_core(F.col("t"))
-    row = spark.createDataFrame([(raw,)], ["t"]).select(negative, core).first()
-    assert tuple(row) == expected
+def test_split_negation(raw, expected):
+    assert split_negation(raw, STATUS_CONSTRAINTS) == expected
 
 
 def test_cannot_link_truth_values():
@@ -93,10 +94,63 @@ def test_cannot_link_truth_values():
     assert [bool(matrix[i, i]) for i in range(len(left))] == [True, True, False, True, True, True]
 
 
-def test_matching_ratio_keeps_argument_order(spark):
-    pairs = [("private thought", "thought private"), ("abcd", "bcde"), ("tide", "diet"), ("diet", "tide")]
-    got = values(spark, pairs, ["a", "b"], text.matching_ratio("a", "b"))
-    assert got == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+words = st.lists(st.text("ab 선함", max_size=8), max_size=6)
+
+
+@given(words, words, st.sampled_from([0.0, 0.3, 0.5, 0.65, 0.8, 1.0]))
+def test_reaching_equals_the_ratio_of_every_pair(left, right, threshold):
+    matrix = reaching(left, right, threshold)
+    assert matrix.shape == (len(left), len(right))
+    for row, a in enumerate(left):
+        for column, b in enumerate(right):
+            assert matrix[row, column] == (SequenceMatcher(None, a, b).ratio() >= threshold)
+
+
+def test_reaching_keeps_the_order_of_its_sides():
+    ratios = [SequenceMatcher(None, *pair).ratio() for pair in (("tide", "diet"), ("diet", "tide"))]
+    assert ratios[0] != ratios[1]
+    threshold = max(ratios)
+    assert [bool(reaching(["tide"], ["diet"], threshold)[0, 0]), bool(reaching(["diet"], ["tide"], threshold)[0, 0])] == [
+        ratio >= threshold for ratio in ratios
+    ]
+
+
+def opposed(left: str, right: str, rules: dict) -> bool:
+    """The rules for one pair, one after the other."""
+
+    def alike(a, b):
+        return SequenceMatcher(None, a, b).ratio() >= rules["core_similarity"]
+
+    for side_a, side_b in rules["opposition_groups"]:
+        if (left in side_a and right in side_b) or (left in side_b and right in side_a):
+            return True
+    left, right = " ".join(left.split()), " ".join(right.split())
+    for suffix_a, suffix_b in rules["suffix_pairs"]:
+        for cut_l, cut_r in ((suffix_a, suffix_b), (suffix_b, suffix_a)):
+            if left.endswith(cut_l) and right.endswith(cut_r):
+                cores = left.removesuffix(cut_l).strip(), right.removesuffix(cut_r).strip()
+                if all(cores) and alike(*cores):
+                    return True
+                break
+    if rules["negation_enabled"]:
+        core_l, core_r = split_negation(left, rules), split_negation(right, rules)
+        if core_l is not None and core_r is None:
+            return alike(core_l, right)
+        if core_r is not None and core_l is None:
+            return alike(core_r, left)
+    return False
+
+
+phrases = st.lists(
+    st.lists(st.sampled_from(["소음", "소리", "발생", "미발생", "있음", "없음", "안", "밝음", "어두움", "선명하지 않음", "불량 아님", ""]), max_size=3).map(" ".join),
+    max_size=7,
+)
+
+
+@given(phrases, phrases)
+def test_cannot_link_equals_the_rules_pair_by_pair(left, right):
+    matrix = cannot_link_matrix(left, right)
+    assert matrix.tolist() == [[opposed(a, b, STATUS_CONSTRAINTS) for b in right] for a in left]
 
 
 def test_field_contract(spark):

@@ -1,15 +1,11 @@
-"""Text columns: stripping, hashing, ids, JSON contracts, negation cores, matching ratio."""
+"""Text columns: stripping, hashing, ids, JSON contracts, timestamps."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..schemas import SENTIMENTS, STATUS_CONSTRAINTS
+from ..schemas import SENTIMENTS
 
 # Every character Python's str.strip removes: Unicode white space and the four separators.
 _SPACE = r"[\s\x1c-\x1f]"
@@ -34,8 +30,8 @@ def derived_id(prefix: str, *parts: Column | str, digits: int = 16) -> Column:
 
 
 def fingerprint(*columns: str) -> Column:
-    """SHA-256 of the row's JSON with sorted keys."""
-    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
+    """SHA-256 of the row's compact JSON with sorted keys; NULL fields are there as null."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def valid_sentiment(sentiment: Column | str) -> Column:
@@ -69,34 +65,3 @@ def compact_timestamp(text: Column | str) -> Column:
     part = [F.regexp_extract(text, form, i) for i in range(1, 7)]
     joined = F.concat(*part[:3], F.lit("-"), *part[3:])
     return F.when(F.rlike(text, F.lit(form)), joined)
-
-
-def negation_core(text: Column, constraints: dict = STATUS_CONSTRAINTS) -> tuple[Column, Column]:
-    """(is negated, remaining text): longest negating suffix first, then a negating word."""
-    normal = collapse_spaces(text)
-    suffixes = sorted(constraints["negation_suffixes"], key=len, reverse=True)
-    core = F.lit(None).cast("string")
-    for suffix in suffixes:
-        rest = strip(normal.substr(F.lit(1), F.length(normal) - len(suffix)))
-        found = normal.endswith(suffix) & (F.length(rest) > 0)
-        core = F.coalesce(core, F.when(found, rest))
-    words = F.split(normal, " ")
-    places = [F.array_position(words, word) for word in constraints["negation_tokens"]]
-    place = F.least(*[F.when(p > 0, p) for p in places], F.lit(None).cast("long"))
-    rest = F.concat_ws(
-        " ", F.filter(words, lambda _, i: i != (place - 1).cast("int"))
-    )
-    core = F.coalesce(core, F.when(place.isNotNull() & (F.size(words) > 1), rest))
-    return core.isNotNull(), F.coalesce(core, normal)
-
-
-@F.pandas_udf(DoubleType())
-def matching_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; the order of the arguments matters."""
-    return pd.Series(
-        [
-            None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
-            for a, b in zip(left, right)
-        ],
-        dtype="float64",
-    )
