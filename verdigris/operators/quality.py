@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import grounded
+from ..schemas import PRIMARY_KEYS
 from .joins import repeated_keys
 
 
@@ -88,6 +89,22 @@ def distribution_violations(matrix: DataFrame) -> DataFrame:
     return matrix.filter(~fine)
 
 
+def key_checks(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Violations of each table's primary key by table and rule: key values that repeat, and rows without one."""
+    checks = {}
+    for name, table in tables.items():
+        keys = PRIMARY_KEYS[name]
+        checks[f"{name}_unique"] = check_unique(table, keys)
+        checks[f"{name}_not_null"] = null_keys(table, keys)
+    return checks
+
+
+def unsupported_evidence(selected: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence listed under a sentiment that its review did not vote for."""
+    voted = votes.select("product_id", "review_id", *keys, F.col("vote").alias("review_vote_sentiment"))
+    return selected.join(voted, voted.columns, "left_anti")
+
+
 def ranking_violations(ranked: DataFrame, limit: int) -> DataFrame:
     """Recommendations of the source itself, or beyond the allowed rank."""
     return ranked.filter((F.col("source_id") == F.col("candidate_id")) | (F.col("rank") > limit))

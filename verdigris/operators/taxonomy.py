@@ -505,6 +505,17 @@ def cluster_statistics(
     return nodes, rolled.drop("__details")
 
 
+def member_details(clusters: DataFrame) -> DataFrame:
+    """The members that each cluster's ``member_details_json`` lists, as rows again."""
+    member = (
+        "expression string, average_distance double, max_distance double, unique_review_count long, "
+        "central_candidate boolean, role_filter_passed boolean, centrality double, frequency_score double, "
+        "combined_score double"
+    )
+    listed = F.from_json("member_details_json", f"array<struct<{member.replace(' ', ':').replace(',:', ',')}>>")
+    return clusters.select("cluster_id", F.explode(listed).alias("member")).select("cluster_id", "member.*")
+
+
 def review_union(units: DataFrame, assigned: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct reviews per cluster, recounted from the units instead of uniting review lists."""
     per_review = null_safe_join(

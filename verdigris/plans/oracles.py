@@ -1162,3 +1162,109 @@ ORACLES["decision_excluded_products"] = base(
     True,
     DECISION,
 )
+
+# Names of an aspect whose ratio is 0.8 or more: the words before the noun, and the nouns for which that holds.
+ALIKE = """
+, alike(a, b, nouns) AS (VALUES ('cold', 'old', NULL), ('old', 'cold', NULL),
+  ('large', 'red', ['anvil', 'gizmo', 'plate', 'widget']), ('red', 'large', ['anvil', 'gizmo', 'plate', 'widget']),
+  ('hot', 'old', ['widget']), ('old', 'hot', ['widget']), ('new', 'red', ['widget']), ('red', 'new', ['widget']),
+  ('old', 'red', ['widget']), ('red', 'old', ['widget'])),
+said AS (SELECT DISTINCT aspect_id, split_part(raw_aspect, ' ', 1) AS word, sentiment IN ('negative', 'mixed') AS denied,
+    CASE sentiment WHEN 'negative' THEN raw_aspect || ' 아님' WHEN 'mixed' THEN '안 ' || raw_aspect ELSE raw_aspect END AS text FROM units)"""
+ORACLES["opposed_expressions"] = base(
+    """SELECT n.aspect_id AS boundary, least(n.text, p.text) AS lo, greatest(n.text, p.text) AS hi
+FROM said n JOIN said p ON n.aspect_id = p.aspect_id AND n.denied AND NOT p.denied
+WHERE n.word = p.word OR EXISTS (SELECT 1 FROM alike k WHERE k.a = n.word AND k.b = p.word
+  AND (k.nouns IS NULL OR list_contains(k.nouns, n.aspect_id)))""",
+    False,
+    ALIKE,
+)
+ORACLES["unit_fingerprints"] = base(
+    """SELECT opinion_unit_id, sha256('{"opinion_unit_id":"' || opinion_unit_id || '","raw_aspect":"' || raw_aspect || '","raw_status":'
+  || coalesce('"' || raw_status || '"', 'null') || ',"sentiment":"' || sentiment || '","unit_position":' || unit_position || '}') AS fingerprint
+FROM units""",
+    False,
+)
+_CHANGED = "FILTER (WHERE status_distance > 0)"
+ORACLES["mapping_stats_changed"] = base(
+    f"""SELECT product_id, aspect_id, aspect, count(*) AS eligible_opinion_unit_count, count(*) {_CHANGED} AS mapped_opinion_unit_count,
+  {r(f'(count(*) {_CHANGED})::DOUBLE / count(*)')} AS mapping_rate,
+  {r(f'quantile_cont(status_distance, 0.5) {_CHANGED}')} AS distance_p50,
+  {r(f'quantile_cont(status_distance, 0.95) {_CHANGED}')} AS distance_p95, {r(f'max(status_distance) {_CHANGED}')} AS distance_max
+FROM fact WHERE status_distance IS NOT NULL GROUP BY product_id, aspect_id, aspect""",
+    False,
+)
+ORACLES["status_votes_known"] = base(
+    f"""SELECT product_id, aspect_id, status_id, aspect, status, count(*) AS supporting_review_count, {COUNTS}
+FROM pv WHERE status_id IS NOT NULL GROUP BY ALL"""
+)
+
+
+def _with_stats(body: str, keys: str, parts: list[str]) -> str:
+    names = [key.strip() for key in keys.split(",")]
+    columns = [
+        f"{part}.{name} AS {part}_{name}"
+        for part in parts
+        for name in (
+            "eligible_opinion_unit_count",
+            "mapped_opinion_unit_count",
+            "mapping_rate",
+            "distance_p50",
+            "distance_p95",
+            "distance_max",
+        )
+    ]
+    joins = "".join(
+        f" JOIN ({stats(f'product_id, {keys}', part)}) {part} ON "
+        + " AND ".join(f"m.{name} IS NOT DISTINCT FROM {part}.{name}" for name in ["product_id", *names])
+        for part in parts
+    )
+    return f"SELECT m.*, {', '.join(columns)} FROM ({body}) m{joins}"
+
+
+ORACLES["aspect_summary_rows"] = base(_with_stats(ASPECT_MATRIX, "aspect_id, aspect", ["aspect"]))
+ORACLES["pair_summary_rows"] = base(
+    _with_stats(PAIR_MATRIX, "aspect_id, status_id, aspect, status", ["aspect", "status"])
+)
+_KEYED = {
+    "products": "SELECT 'p' || product_name AS key FROM products WHERE product_id IN (SELECT product_id FROM reviews)",
+    "reviews": "SELECT review_id AS key FROM reviews",
+    "opinion_units": "SELECT review_id * 100 + unit_position AS key FROM units JOIN reviews USING (review_id)",
+    "representative_attributes": "SELECT review_id AS key FROM units JOIN reviews USING (review_id) WHERE unit_position = 1",
+}
+ORACLES["primary_keys"] = base(
+    'SELECT "check", violations, violations = 0 AS passed FROM ('
+    + " UNION ALL ".join(
+        f"""SELECT '{name}_unique' AS "check", count(*) AS violations FROM (SELECT key FROM ({sql}) GROUP BY key HAVING count(*) > 1)
+  UNION ALL SELECT '{name}_not_null', count(*) FROM ({sql}) WHERE key IS NULL"""
+        for name, sql in _KEYED.items()
+    )
+    + ")",
+    False,
+)
+ORACLES["contract_invariants"] = """SELECT unnest(['aspect_distributions', 'pair_distributions', 'similar_products', 'weakness_repairs',
+  'aspect_evidence', 'aspect_evidence_limit', 'pair_evidence', 'pair_evidence_limit']) AS "check", 0 AS violations, true AS passed"""
+ORACLES["review_times"] = base(
+    """SELECT review_id, strftime(moment + INTERVAL 9 HOUR, '%Y%m%d-%H%M%S') AS shown,
+  CASE WHEN review_id % 5 <> 0 THEN strftime(moment, '%Y%m%d-%H%M%S') END AS compact
+FROM (SELECT review_id, created_at::TIMESTAMP + to_seconds(review_id % 86400) AS moment FROM reviews)""",
+    False,
+)
+ORACLES["label_cells"] = """
+SELECT p_partkey, replace(label, '|', chr(92) || '|') || '<br>' || p_type AS cell,
+  '**' || replace(replace(label, '|', chr(92) || '|'), '*', chr(92) || '*') || '**' AS bold,
+  CASE WHEN final = 0 THEN '는' ELSE '은' END AS topic, CASE WHEN final IS NULL OR final IN (0, 8) THEN '로' ELSE '으로' END AS direction,
+  coalesce(printf('%.3f', share), '—') AS fixed, p_partkey || '(' || coalesce(printf('%.1f%%', share * 100), '—') || ')' AS share
+FROM (SELECT p_partkey, p_type, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_name || '|*' || chr((44032 + p_partkey % 11172)::INTEGER) END AS label,
+    CASE WHEN p_partkey % 3 <> 0 THEN p_partkey % 11172 % 28 END AS final,
+    CASE WHEN p_partkey % 7 > 0 THEN (p_partkey % 7) / 8.0::DOUBLE END AS share FROM part)"""
+ORACLES["cluster_details_json"] = ORACLES["cluster_member_details"]
+ORACLES["inbox_first_reviews"] = """
+SELECT inbox_file, ordinal, doc_id::VARCHAR AS source_review_id, source AS product_id, lang AS category, length(text)::INTEGER AS n_chars
+FROM (SELECT *, (doc_id // 10)::VARCHAR AS inbox_file, row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) - 1 AS ordinal FROM documents)
+WHERE ordinal < 4"""
+ORACLES["parsed_attributes"] = """
+SELECT doc_id, unit_position AS attribute_position, raw_aspect AS raw_attribute, sentiment FROM (
+  SELECT doc_id, place::INTEGER AS unit_position, split_part(line, ' ', 1) AS raw_aspect,
+    ['positive', 'negative', 'mixed', 'neutral', 'unknown', 'joyful'][length(line) % 6 + 1] AS sentiment
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents))"""

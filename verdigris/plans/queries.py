@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sentiment import rounded
-from ..functions.text import content_hash, derived_id, field_violations
+from ..functions import markdown as md
+from ..functions.sentiment import first_match, rounded
+from ..functions.text import compact_timestamp, content_hash, derived_id, display_time, field_violations, fingerprint
 from ..functions.vectors import cosine_distance
 from ..operators import (
     decision,
@@ -29,7 +30,7 @@ from ..operators import (
     votes,
 )
 from ..operators.votes import ASPECT_KEYS, PAIR_KEYS
-from ..schemas import EXCLUDED, KNOWN_SENTIMENTS, MAPPED_EXACT
+from ..schemas import DISPLAY_TIME_ZONE, EXCLUDED, INBOX, KNOWN_SENTIMENTS, MAPPED_EXACT, STATUS_CONSTRAINTS
 from ..session import cut_lineage
 from ..sources import bundle as bundles
 from ..sources import driver_tables as src
@@ -1207,3 +1208,148 @@ def repeated_responses(spark, sf):
     responses = src.document_responses(spark, sf).select(F.col("doc_id").alias("review_id"))
     again = src.table(spark, sf, "labels").select(F.col("doc_id").alias("review_id"))
     return ingest.repeated_results(responses.unionByName(again))
+
+
+DENIED_RULES = STATUS_CONSTRAINTS | {"core_similarity": 0.8}
+
+
+@query
+def opposed_expressions(spark, sf):
+    """Raw expressions of an aspect that deny each other: a negative or mixed opinion denies what it names."""
+    text = first_match(
+        [
+            (F.col("sentiment") == "negative", F.concat("raw_aspect", F.lit(" 아님"))),
+            (F.col("sentiment") == "mixed", F.concat(F.lit("안 "), "raw_aspect")),
+        ],
+        F.col("raw_aspect"),
+    )
+    nodes = src.units(spark, sf).select(F.col("aspect_id").alias("boundary"), text.alias("text")).distinct()
+    return taxonomy.cannot_link_pairs(nodes, DENIED_RULES)
+
+
+@query
+def unit_fingerprints(spark, sf):
+    columns = ["opinion_unit_id", "raw_aspect", "raw_status", "sentiment", "unit_position"]
+    return src.units(spark, sf).select("opinion_unit_id", fingerprint(*columns).alias("fingerprint"))
+
+
+@query
+def mapping_stats_changed(spark, sf):
+    """Mapping statistics in which only labels count as mapped that the mapping changed."""
+    changed = F.when(F.col("status_distance").isNotNull(), F.col("status_distance") > 0)
+    units = src.mapped_units(spark, sf).withColumn("changed", changed)
+    return summary.mapping_stats(units, ["product_id", *ASPECT_KEYS], "status_distance", applied="changed")
+
+
+@query
+def status_votes_known(spark, sf):
+    """Votes on pairs that have a status; the others are no group of their own here."""
+    known = votes.review_votes(src.mapped_units(spark, sf), PAIR_KEYS, drop_null_keys=True)
+    return votes.count_votes(known, ["product_id", *PAIR_KEYS])
+
+
+def _summary_rows(spark: SparkSession, sf: str, keys) -> DataFrame:
+    mapped = cut_lineage(src.mapped_units(spark, sf))
+    counts = votes.count_votes(votes.review_votes(mapped, keys), ["product_id", *keys])
+    return summary.summary_rows(mapped, counts, _review_counts(spark, sf), keys)
+
+
+@query
+def aspect_summary_rows(spark, sf):
+    return _summary_rows(spark, sf, ASPECT_KEYS)
+
+
+@query
+def pair_summary_rows(spark, sf):
+    return _summary_rows(spark, sf, PAIR_KEYS)
+
+
+@query
+def primary_keys(spark, sf):
+    """The key rules of the imported tables, and of the units as they are before their numbers are unique ids."""
+    tables = _imported(spark, sf)
+    names = ("products", "reviews", "opinion_units", "representative_attributes")
+    return quality.report(quality.key_checks({name: tables[name] for name in names}))
+
+
+@query
+def contract_invariants(spark, sf):
+    """What must hold of the ranked and selected rows of all reports."""
+    statistics = _statistics(spark, sf)
+    mapped = cut_lineage(src.mapped_units(spark, sf))
+    checks = {
+        "aspect_distributions": quality.distribution_violations(statistics.aspect_matrix),
+        "pair_distributions": quality.distribution_violations(statistics.pair_matrix),
+        "similar_products": quality.ranking_violations(similarity.similar_products(statistics.profile_arrays), 3),
+        "weakness_repairs": quality.ranking_violations(statistics.weakness_repairs(), 3),
+    }
+    for name, keys, limit in (("aspect", ["aspect_id", "aspect"], 3), ("pair", ["aspect_id", "status_id", "aspect", "status"], 2)):
+        rows = mapped if name == "aspect" else mapped.filter(F.col("status_id").isNotNull())
+        selected = summary.evidence(rows, keys, limit)
+        checks[f"{name}_evidence"] = quality.unsupported_evidence(selected, votes.review_votes(rows, keys), keys)
+        checks[f"{name}_evidence_limit"] = selected.filter(F.col("evidence_rank") > limit)
+    return quality.report(checks)
+
+
+@query
+def review_times(spark, sf):
+    """Times of reviews as reports show them, from a timestamp and from a text."""
+    moment = F.col("created_at") + F.make_dt_interval(secs=(F.col("review_id") % 86400).cast("decimal(18,6)"))
+    text = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    given = F.when(F.col("review_id") % 5 == 0, F.date_format(moment, "yyyy-MM-dd HH:mm")).otherwise(text)
+    return src.reviews(spark, sf).select(
+        "review_id",
+        display_time(moment, DISPLAY_TIME_ZONE).alias("shown"),
+        compact_timestamp(given).alias("compact"),
+    )
+
+
+@query
+def label_cells(spark, sf):
+    """Part names with a syllable behind them as Markdown cells, with the particles that go with it."""
+    code = F.lit(0xAC00) + F.col("p_partkey") % 11172
+    syllable = F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+    label = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat_ws("|*", "p_name", syllable))
+    share = F.when(F.col("p_partkey") % 7 > 0, (F.col("p_partkey") % 7) / F.lit(8.0))
+    return src.table(spark, sf, "part").select(
+        "p_partkey",
+        md.cell(F.concat(label, F.lit("\n"), "p_type")).alias("cell"),
+        md.bold(label).alias("bold"),
+        md.topic_particle(label).alias("topic"),
+        md.directional_particle(label).alias("direction"),
+        md.fixed(share, 3).alias("fixed"),
+        md.count_and_rate(F.col("p_partkey"), share).alias("share"),
+    )
+
+
+@query
+def cluster_details_json(spark, sf):
+    """The members of every cluster, read back from the cluster's JSON."""
+    members = _label_members(spark, sf)
+    details = cut_lineage(taxonomy.label_details(members, LABEL_SETTINGS))
+    _, clusters = taxonomy.cluster_statistics(members, details, taxonomy.select_labels(details, LABEL_SETTINGS))
+    return taxonomy.member_details(clusters).withColumnRenamed("expression", "text")
+
+
+@query
+def inbox_first_reviews(spark, sf):
+    """The first four reviews of inbox files that hold ten ids each."""
+    documents = src.document_inbox(spark, sf).withColumn("inbox_file", F.floor(F.col("ordinal") / 10).cast("string"))
+    placed = F.struct("ordinal", F.struct(*INBOX.names).alias("review"))
+    files = documents.groupBy("inbox_file").agg(F.to_json(F.sort_array(F.collect_list(placed))["review"]).alias("value"))
+    first = inbox.inbox_elements(files, 4)
+    return first.select("inbox_file", "ordinal", "source_review_id", "product_id", "category", F.length("review_text").alias("n_chars"))
+
+
+@query
+def parsed_attributes(spark, sf):
+    """Representative attributes of each document's stored response: the first word of every line."""
+    item = F.struct(F.concat(F.lit(" "), "raw_aspect", F.lit("\t")).alias("raw_attribute"), "sentiment")
+    placed = F.struct("unit_position", item.alias("item"))
+    responses = (
+        src.document_units(spark, sf)
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(placed)).alias("rows"))
+        .select("doc_id", F.to_json(F.struct(F.col("rows.item").alias("representative_attributes"))).alias("response"))
+    )
+    return inbox.parse_attributes(responses, "doc_id")
