@@ -286,6 +286,18 @@ def excluded_conditions(groups: DataFrame, submitted: DataFrame) -> DataFrame:
     return without_status.unionByName(not_canonical)
 
 
+def recommendation_code(alternatives: Column, conditions: Column, excluded: Column) -> Column:
+    """Outcome of a submission by its numbers of alternatives, conditions and excluded conditions."""
+    return first_match(
+        [
+            (alternatives > 0, F.lit("COMPLETED")),
+            (conditions > 0, F.lit("NO_CANDIDATE_WITH_REPAIR_EVIDENCE")),
+            (excluded > 0, F.lit("NEGATIVE_INPUT_UNRESOLVED")),
+        ],
+        F.lit("NO_NEGATIVE_SUBMITTED_ASPECT_STATUS"),
+    )
+
+
 def recommendation_status(
     submissions: DataFrame, ranked: DataFrame, conditions: DataFrame, excluded: DataFrame
 ) -> DataFrame:
@@ -294,22 +306,15 @@ def recommendation_status(
     def counted(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.groupBy(F.col(key).alias("submission_id")).agg(F.count(F.lit(1)).alias(name))
 
+    names = ("alternative_count", "condition_count", "excluded_condition_count")
     joined = (
         submissions.select("submission_id")
-        .join(counted(ranked, "request_id", "alternative_count"), "submission_id", "left")
-        .join(counted(conditions, "submission_id", "condition_count"), "submission_id", "left")
-        .join(counted(excluded, "submission_id", "excluded_condition_count"), "submission_id", "left")
+        .join(counted(ranked, "request_id", names[0]), "submission_id", "left")
+        .join(counted(conditions, "submission_id", names[1]), "submission_id", "left")
+        .join(counted(excluded, "submission_id", names[2]), "submission_id", "left")
         .fillna(0)
     )
-    code = first_match(
-        [
-            (F.col("alternative_count") > 0, F.lit("COMPLETED")),
-            (F.col("condition_count") > 0, F.lit("NO_CANDIDATE_WITH_REPAIR_EVIDENCE")),
-            (F.col("excluded_condition_count") > 0, F.lit("NEGATIVE_INPUT_UNRESOLVED")),
-        ],
-        F.lit("NO_NEGATIVE_SUBMITTED_ASPECT_STATUS"),
-    )
-    return joined.withColumn("status", code)
+    return joined.withColumn("status", recommendation_code(*[F.col(name) for name in names]))
 
 
 def is_non_product_aspect(raw_aspect: Column, terms=NON_PRODUCT_TERMS) -> Column:

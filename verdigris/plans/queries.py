@@ -954,9 +954,12 @@ def nearest_cluster_pairs(spark, sf):
 
 
 def _static_reports(spark: SparkSession, sf: str) -> DataFrame:
-    return reports.static_reports(
-        _statistics(spark, sf), src.catalog_units(spark, sf), src.reviews(spark, sf)
+    units = cut_lineage(src.catalog_units(spark, sf))
+    reviews = src.reviews(spark, sf)
+    statistics = CatalogStatistics.compute(
+        units.filter(F.col("mapping_state") == MAPPED_EXACT), src.products(spark, sf), reviews
     )
+    return reports.static_reports(statistics, units, reviews)
 
 
 @query
@@ -979,12 +982,10 @@ def _submission_reports(spark: SparkSession, sf: str) -> DataFrame:
         "review_text",
         F.col("created_at").cast("timestamp").alias("submitted_at"),
     )
-    return reports.submission_reports(
-        _statistics(spark, sf),
-        _submitted(spark, sf, src.NATION),
-        submissions,
-        src.mapped_units(spark, sf),
-    )
+    submitted = cut_lineage(_submitted(spark, sf, src.NATION))
+    mapped = submitted.drop("submission_id").filter(F.col("mapping_state") == MAPPED_EXACT)
+    statistics = CatalogStatistics.compute(mapped, src.products(spark, sf), src.reviews(spark, sf))
+    return reports.submission_reports(statistics, submitted, submissions, mapped)
 
 
 @query

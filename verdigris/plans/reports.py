@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,35 @@ def _listed(df: DataFrame, keys: list[str], order: list, item: Column, name: str
     return packed.select(*keys, F.transform("__rows", lambda r: r["item"]).alias(name))
 
 
+class Part(NamedTuple):
+    """A part of a report: one value of each key, or, with an order, the list of its values."""
+
+    name: str
+    rows: DataFrame
+    item: Column
+    order: list[Column] | None = None
+
+
+def assembled(keys: list[str], parts: list[Part]) -> DataFrame:
+    """One row per key with a column for each part; NULL where a key has none of it.
+
+    All parts go through one exchange as tagged rows and meet in one aggregation. Only for parts whose rows of a key are
+    bounded by the taxonomy, a top-k or the size of a submission.
+    """
+    tagged, columns = [], []
+    for part in parts:
+        places = [column.alias(f"o{i}") for i, column in enumerate(part.order or [])]
+        tagged.append(part.rows.select(*keys, F.struct(*places, part.item.alias("item")).alias(part.name)))
+        if part.order is None:
+            column = F.first(part.name, ignorenulls=True)["item"]
+        else:
+            held = F.collect_list(part.name)
+            column = F.when(F.size(held) > 0, F.transform(F.sort_array(held), lambda row: row["item"]))
+        columns.append(column.alias(part.name))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return rows.groupBy(*keys).agg(*columns)
+
+
 def _evidence(units: DataFrame, keys, limit: int) -> DataFrame:
     selected = summary.evidence_with_text(summary.evidence(units, keys, limit), units)
     columns = [
@@ -100,12 +132,10 @@ def static_reports(
 ) -> DataFrame:
     """Nested report per product: summaries, debate, related products, weaknesses, flags.
 
-    ``units`` holds units of all mapping states with their review's columns. They are kept once,
-    partitioned by review, since several branches group them by review; losing a kept block only
-    recomputes it.
+    ``units`` holds units of all mapping states with their review's columns. Several branches read them, so give a
+    written table (``cut_lineage``); each branch then reads only its own columns.
     """
-    kept = units.repartition("review_id").persist()
-    mapped = kept.filter(F.col("mapping_state") == MAPPED_EXACT)
+    mapped = units.filter(F.col("mapping_state") == MAPPED_EXACT)
     counts = statistics.named_counts
     parts = []
     for keys, counted, limit, name in (
@@ -114,10 +144,10 @@ def static_reports(
     ):
         rows = summary.summary_rows(mapped, counted, counts, keys)
         rows = null_safe_join(rows, _evidence(mapped, keys, limit), ["product_id", *keys], "left")
-        parts.append(_listed(rows, ["product_id"], [F.col("rank")], _summary_item(keys), name))
+        parts.append(Part(name, rows, _summary_item(keys), [F.col("rank")]))
     pair_votes = cut_lineage(votes.review_votes(mapped, PAIR_KEYS))
     covered = cut_lineage(
-        summary.coverage(kept, statistics.review_counts.drop("category"), pair_votes)
+        summary.coverage(units, statistics.review_counts.drop("category"), pair_votes)
     )
     latest = summary.latest_review(reviews).join(
         reviews.select("review_id", "review_text"), "review_id"
@@ -126,90 +156,76 @@ def static_reports(
         "raw_aspect", "aspect", "raw_status", "status", "excerpt", "opinion", "sentiment"
     )
     latest_units = _listed(
-        kept.join(latest.select("review_id"), "review_id", "left_semi"),
+        units.join(latest.select("review_id"), "review_id", "left_semi"),
         ["review_id"],
         [F.col("unit_position")],
         unit,
         "opinion_units",
     )
-    latest = latest.join(latest_units, "review_id", "left").select(
-        "product_id",
-        F.struct(
-            "review_id",
-            F.col("review_text").alias("review"),
-            "created_at",
-            F.coalesce("opinion_units", F.array().cast("array<struct<raw_aspect:string,"
-            "aspect:string,raw_status:string,status:string,excerpt:string,opinion:string,"
-            "sentiment:string>>")).alias("opinion_units"),
-        ).alias("latest_review"),
-    )
-    debated = summary.most_debated(statistics.aspect_matrix).select(
-        "product_id",
-        F.struct(
-            "aspect_id",
-            "positive_negative_rate_gap",
-            "selection_scope",
-        ).alias("debated"),
-    )
-    negative_aspect = _negative(statistics.aspect_matrix, DISPLAY_LIMIT, "negative_aspect")
-    negative_pair = _negative(statistics.pair_matrix, None, "negative_pair")
-    distributions = _scoped_distributions(mapped, pair_votes)
-    related = _related_products(statistics)
-    flags = _listed(
-        summary.quality_flags(covered),
-        ["product_id"],
-        [F.col("code")],
-        F.struct("code", "severity", "value", "implication"),
-        "quality_flags",
-    )
-    report = covered.join(summary.normalization_reduction(mapped), "product_id", "left")
-    for part in (
-        *parts,
-        latest,
-        debated,
-        negative_aspect,
-        negative_pair,
-        distributions,
-        related,
-        flags,
-    ):
-        report = report.join(part, "product_id", "left")
+    latest = latest.join(latest_units, "review_id", "left")
+    latest_item = F.struct(
+        "review_id",
+        F.col("review_text").alias("review"),
+        "created_at",
+        F.coalesce("opinion_units", F.array().cast("array<struct<raw_aspect:string,"
+        "aspect:string,raw_status:string,status:string,excerpt:string,opinion:string,"
+        "sentiment:string>>")).alias("opinion_units"),
+    )
+    reduction = summary.normalization_reduction(mapped)
+    by_unit = votes.count_votes(mapped.withColumnRenamed("sentiment", "vote"), ["product_id"])
+    by_vote = votes.count_votes(votes.coarser_votes(pair_votes), ["product_id"])
+    debated = F.struct("aspect_id", "positive_negative_rate_gap", "selection_scope")
+    parts += [
+        Part("head", covered, _others(covered, ["product_id"])),
+        Part("reduction", reduction, _others(reduction, ["product_id"])),
+        Part("latest_review", latest, latest_item),
+        Part("debated", summary.most_debated(statistics.aspect_matrix), debated),
+        _negative(statistics.aspect_matrix, DISPLAY_LIMIT, "negative_aspect"),
+        _negative(statistics.pair_matrix, None, "negative_pair"),
+        Part("opinion_unit", votes.with_distribution(by_unit), distribution_struct()),
+        Part("review_aspect_vote", votes.with_distribution(by_vote), distribution_struct()),
+        *_related_products(statistics),
+        Part(
+            "quality_flags",
+            summary.quality_flags(covered),
+            F.struct("code", "severity", "value", "implication"),
+            [F.col("code")],
+        ),
+    ]
+    report = assembled(["product_id"], parts).filter(F.col("head").isNotNull())
     chosen = F.filter(
         "aspect_summary", lambda row: row["aspect_cluster_id"] == F.col("debated.aspect_id")
     )
-    return report.withColumn(
-        "most_debated_aspect",
-        F.when(
-            F.col("debated").isNotNull(),
-            F.struct(
-                F.get(chosen, F.lit(0)).alias("summary"),
-                F.col("debated.positive_negative_rate_gap").alias("positive_negative_rate_gap"),
-                F.col("debated.selection_scope").alias("selection_scope"),
+    summarized = F.struct(
+        F.get(chosen, F.lit(0)).alias("summary"),
+        F.col("debated.positive_negative_rate_gap").alias("positive_negative_rate_gap"),
+        F.col("debated.selection_scope").alias("selection_scope"),
+    )
+    repaired = F.when(F.size("alternatives") > 0, F.lit("COMPLETED"))
+    whole = report.withColumns(
+        {
+            "most_debated_aspect": F.when(F.col("debated").isNotNull(), summarized),
+            "sentiment_distribution": F.when(
+                F.col("opinion_unit").isNotNull(), F.struct("opinion_unit", "review_aspect_vote")
             ),
-        ),
-    ).drop("debated")
+            "repair_status": repaired.otherwise(F.lit("NO_HIGH_SUPPORT_NEGATIVE_ASPECT_STATUS_EVIDENCE")),
+        }
+    )
+    made = ("product_id", "head", "reduction", "debated", "opinion_unit", "review_aspect_vote")
+    return whole.select("product_id", "head.*", "reduction.*", *[c for c in whole.columns if c not in made])
 
 
-def _negative(matrix: DataFrame, limit: int | None, name: str) -> DataFrame:
-    columns = [c for c in ("aspect", "status", "negative_count") if c in matrix.columns]
-    return summary.top_negative(matrix, limit).select("product_id", F.struct(*columns).alias(name))
+def _others(df: DataFrame, keys: list[str]) -> Column:
+    return F.struct(*[column for column in df.columns if column not in keys])
 
 
-def _scoped_distributions(mapped: DataFrame, pair_votes: DataFrame) -> DataFrame:
-    by_unit = votes.count_votes(mapped.withColumnRenamed("sentiment", "vote"), ["product_id"])
-    by_vote = votes.count_votes(votes.coarser_votes(pair_votes), ["product_id"])
-    described = [
-        votes.with_distribution(counted).select("product_id", distribution_struct().alias(name))
-        for counted, name in ((by_unit, "opinion_unit"), (by_vote, "review_aspect_vote"))
-    ]
-    joined = described[0].join(described[1], "product_id", "full")
-    return joined.select(
-        "product_id", F.struct("opinion_unit", "review_aspect_vote").alias("sentiment_distribution")
-    )
+def _negative(matrix: DataFrame, limit: int | None, name: str) -> Part:
+    columns = [c for c in ("aspect", "status", "negative_count") if c in matrix.columns]
+    return Part(name, summary.top_negative(matrix, limit), F.struct(*columns))
 
 
-def _related_products(statistics: CatalogStatistics) -> DataFrame:
-    similar = statistics.similar_products()
+def _related_products(statistics: CatalogStatistics) -> list[Part]:
+    similar = statistics.similar_products().withColumnRenamed("source_id", "product_id")
     item = F.struct(
         F.col("rank"),
         F.col("candidate_id").alias("product_id"),
@@ -225,9 +241,6 @@ def _related_products(statistics: CatalogStatistics) -> DataFrame:
         ).alias("components"),
         "quality_codes",
     )
-    similar_rows = _listed(
-        similar.withColumnRenamed("source_id", "source"), ["source"], [F.col("rank")], item, "similar_products"
-    ).withColumnRenamed("source", "product_id")
     weaknesses, excluded = statistics.weaknesses
     weakness_item = F.struct(
         "condition_id",
@@ -240,40 +253,36 @@ def _related_products(statistics: CatalogStatistics) -> DataFrame:
         "negative_rate",
         "importance",
     )
-    listed = _listed(weaknesses, ["product_id"], [F.col("position")], weakness_item, "weaknesses")
-    excluded_rows = _listed(
-        excluded,
-        ["product_id"],
-        [F.col("aspect"), F.coalesce("status", F.lit(""))],
-        F.struct("aspect", "status", "reason", "negative_count", "supporting_review_count"),
-        "excluded_weaknesses",
-    )
+    excluded_item = F.struct("aspect", "status", "reason", "negative_count", "supporting_review_count")
     ranked = statistics.weakness_repairs()
-    alternatives = _alternatives(ranked, statistics.weakness_repair_matches(ranked))
-    return (
-        statistics.products.select("product_id")
-        .join(similar_rows, "product_id", "left")
-        .join(listed, "product_id", "left")
-        .join(excluded_rows, "product_id", "left")
-        .join(alternatives.withColumnRenamed("request_id", "product_id"), "product_id", "left")
-        .withColumn(
-            "repair_status",
-            F.when(F.size("alternatives") > 0, F.lit("COMPLETED")).otherwise(
-                F.lit("NO_HIGH_SUPPORT_NEGATIVE_ASPECT_STATUS_EVIDENCE")
-            ),
-        )
-    )
+    alternatives = _alternatives(ranked, statistics.weakness_repair_matches(ranked), "product_id")
+    return [
+        Part("similar_products", similar, item, [F.col("rank")]),
+        Part("weaknesses", weaknesses, weakness_item, [F.col("position")]),
+        Part("excluded_weaknesses", excluded, excluded_item, [F.col("aspect"), F.coalesce("status", F.lit(""))]),
+        alternatives,
+    ]
 
 
-def _alternatives(ranked: DataFrame, matches: DataFrame) -> DataFrame:
+def _alternatives(ranked: DataFrame, matches: DataFrame, key: str) -> Part:
     """Ranked candidates per request with the evidence of every condition."""
     match = F.struct(
-        "condition_id", "aspect", "status", "relation", "utility", "positive_status_id", "reason"
+        "condition_id",
+        "aspect",
+        "status",
+        "relation",
+        "utility",
+        "status_id",
+        "target_support",
+        "positive_status_id",
+        "reason",
     )
     number = F.regexp_extract("condition_id", r"(\d+)$", 1).cast("int")
-    explained = _listed(
-        matches, ["request_id", "candidate_id"], [number], match, "requirement_matches"
-    )
+    grain = ["request_id", "candidate_id"]
+    explained = assembled(
+        grain,
+        [Part("ranked", ranked, _others(ranked, grain)), Part("requirement_matches", matches, match, [number])],
+    ).select(*grain, "ranked.*", "requirement_matches")
     supported = F.filter("requirement_matches", lambda m: m["relation"] != "NO_EVIDENCE")
     item = F.struct(
         F.col("rank"),
@@ -288,8 +297,7 @@ def _alternatives(ranked: DataFrame, matches: DataFrame) -> DataFrame:
             "recommendation_reason"
         ),
     )
-    joined = ranked.join(explained, ["request_id", "candidate_id"], "left")
-    return _listed(joined, ["request_id"], [F.col("rank")], item, "alternatives")
+    return Part("alternatives", explained.withColumnRenamed("request_id", key), item, [F.col("rank")])
 
 
 def submission_reports(
@@ -301,9 +309,9 @@ def submission_reports(
     """Nested proposal per submission.
 
     ``submissions``: submission_id, review_id, product_id, review_text, submitted_at;
-    ``submitted``: its units of all states; ``mapped``: catalog units with canonical mapping.
+    ``submitted``: its units of all states; ``mapped``: catalog units with canonical mapping. Several branches read
+    both, so give written tables.
     """
-    submitted = submitted.repartition("review_id").persist()
     groups = cut_lineage(submission.submitted_groups(submitted))
     pair_votes = cut_lineage(votes.review_votes(mapped, PAIR_KEYS))
     sources = submissions.select("submission_id", "review_id")
@@ -360,33 +368,47 @@ def submission_reports(
         "suggested_aspect",
         "suggested_status",
         (F.col("mapping_state") == MAPPED_EXACT).alias("catalog_comparison_eligible"),
+        "aspect_id",
+        "status_id",
     )
-    listings = [
-        _listed(visible, ["submission_id"], [F.col("unit_position")], unit_item, "opinion_units"),
-        _listed(relations, ["submission_id"], [F.col("rank")], relation_item, "relationships"),
-        _listed(
-            conditions,
-            ["submission_id"],
-            [F.col("position")],
-            F.struct("condition_id", "aspect", "status", "aspect_id", "status_id", "importance"),
-            "negative_conditions",
-        ),
-        _listed(
+    named = submissions.join(statistics.named_counts.select("product_id", "product_name"), "product_id")
+    compared = submission.comparison_summary(submitted)
+    key = ["submission_id"]
+    condition = F.struct(
+        "condition_id",
+        "aspect",
+        "status",
+        "aspect_id",
+        "status_id",
+        "importance",
+        F.col("importance").cast("long").alias("submitted_review_vote_count"),
+        "submitted_opinion_unit_ids",
+    )
+    parts = [
+        Part("head", named, _others(named, key)),
+        Part("compared", compared, _others(compared, key)),
+        Part("opinion_units", visible, unit_item, [F.col("unit_position")]),
+        Part("relationships", relations, relation_item, [F.col("rank")]),
+        Part("negative_conditions", conditions, condition, [F.col("position")]),
+        Part(
+            "excluded_negative_conditions",
             excluded,
-            ["submission_id"],
-            [F.col("opinion_unit_id")],
             F.struct("opinion_unit_id", "aspect", "status", "mapping_state", "reason"),
-            "excluded_negative_conditions",
+            [F.col("opinion_unit_id")],
         ),
-        _alternatives(ranked, matches).withColumnRenamed("request_id", "submission_id"),
-        submission.comparison_summary(submitted),
+        _alternatives(ranked, matches, "submission_id"),
     ]
-    outcome = submission.recommendation_status(submissions, ranked, conditions, excluded)
-    report = submissions.join(
-        statistics.named_counts.select("product_id", "product_name"), "product_id"
-    ).join(outcome.withColumnRenamed("status", "recommendation_status"), "submission_id")
-    for part in listings:
-        report = report.join(part, "submission_id", "left")
+    report = assembled(key, parts).filter(F.col("head").isNotNull())
+    status = submission.recommendation_code(
+        *[F.size(F.coalesce(F.col(name), F.array())) for name in ("alternatives", "negative_conditions", "excluded_negative_conditions")]
+    )
+    report = report.select(
+        "submission_id",
+        "head.*",
+        "compared.*",
+        *[part.name for part in parts if part.name not in ("head", "compared")],
+        status.alias("recommendation_status"),
+    )
     negative = F.filter("opinion_units", lambda u: u["sentiment"] == "negative")
     return report.withColumn(
         "observed_negative_opinion_unit_count", F.coalesce(F.size(negative), F.lit(0))
