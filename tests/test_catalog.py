@@ -567,3 +567,40 @@ def test_quality_checks(spark):
     assert quality.varying_lineage(pairs, ["status_id"]).count() == 1
     assert quality.lost_rows(pairs, pairs.limit(2)).count() == 1
     assert quality.schema_difference(pairs, ["status_id", "x"]) == (["x"], ["aspect_id"])
+
+
+def test_documents_in_nested_layout(tiny):
+    from verdigris.plans import report_layout
+
+    statistics, units, reviews, submissions, submitted, mapped = tiny
+    release = report_layout.Release("release-1", "mapping-table-7", "m" * 64, "encoder-1", "p" * 64, "2026-08-04T09:00:00")
+    built = reports.static_reports(statistics, units, reviews)
+    rows = report_layout.written(report_layout.static_layout(built, release), "product_id", "report_id").collect()
+    texts = {row.product_id: json.loads(row.payload) for row in rows}
+    first, empty = texts["product-a"], texts["product-empty"]
+    assert list(first)[:4] == ["schema_version", "report_type", "report_id", "source"]
+    assert first["report_id"].startswith("static_catalog_analysis:7:")
+    assert len({row.report_id for row in rows}) == 3
+    assert first["product"]["catalog_review_count"] == 2
+    repair = first["related_products"]["weakness_repair_alternatives"]
+    assert repair["status"] == "COMPLETED"
+    assert repair["alternatives"][0]["product_id"] == "product-b"
+    match = repair["alternatives"][0]["requirement_matches"][0]
+    assert match["undesired_status_profile"] is None
+    assert match["positive_alternative_profile"] == {"status_cluster_id": "status-bright"}
+    assert first["aspect_summary"][0]["sentiment"]["counts"]["negative"] == 2
+    assert [flag["value"] for flag in first["quality_flags"]] == [["price", "inventory", "shipping", "promotion"], 0]
+    assert empty["aspect_summary"] == [] and empty["most_debated_aspect"] is None
+    assert empty["latest_review"]["opinion_units"] == []
+    built = reports.submission_reports(statistics, submitted, submissions, mapped)
+    rows = report_layout.written(report_layout.submission_layout(built, release), "submission_id", "proposal_id").collect()
+    texts = {row.submission_id: json.loads(row.payload) for row in rows}
+    full, empty = texts["demo-1"], texts["demo-empty"]
+    assert full["submission"]["submitted_at_local"] == "20260804-090000"
+    assert full["submission"]["excluded_products"] == ["상품 A"]
+    assert full["submitted_opinion_units"][0]["aspect_cluster_id"] == "aspect-brightness"
+    assert full["catalog_relationships"][0]["other_status_sentiment"]["counts"]["negative"] == 1
+    assert full["alternative_recommendations"]["negative_conditions"][0]["submitted_review_vote_count"] == 1
+    assert full["alternative_recommendations"]["alternatives"][0]["rank"] == 1
+    assert empty["catalog_relationships"] == [] and empty["catalog_comparison"]["unresolved_opinion_units"] == []
+    assert empty["alternative_recommendations"]["status"] == "NO_NEGATIVE_SUBMITTED_ASPECT_STATUS"

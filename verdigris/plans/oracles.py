@@ -1268,3 +1268,78 @@ SELECT doc_id, unit_position AS attribute_position, raw_aspect AS raw_attribute,
   SELECT doc_id, place::INTEGER AS unit_position, split_part(line, ' ', 1) AS raw_aspect,
     ['positive', 'negative', 'mixed', 'neutral', 'unknown', 'joyful'][length(line) % 6 + 1] AS sentiment
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM documents))"""
+
+
+def _given(names: list[str]) -> str:
+    """The statements of other queries as CTEs of their names."""
+    return "WITH " + ", ".join(f"q_{name} AS MATERIALIZED ({ORACLES[name]})" for name in names)
+
+
+ORACLES["static_report_facts"] = (
+    _given(
+        [
+            "coverage_by_product",
+            "normalization_reduction",
+            "latest_review",
+            "aspect_sentiment_matrix",
+            "aspect_status_matrix",
+            "most_debated_aspect",
+            "sentiment_entropy",
+            "similar_products",
+            "source_weaknesses",
+            "excluded_weaknesses",
+            "weakness_repair_static",
+            "condition_matches_static",
+        ]
+    )
+    + """
+SELECT c.product_id, c.product_name, c.review_count AS catalog_review_count, c.covered_review_count AS reviews_with_eligible_opinion_units,
+  c.review_coverage_rate, c.opinion_unit_count, c.review_aspect_vote_count, c.review_aspect_status_vote_count,
+  c.unique_aspect_count AS unique_aspect_cluster_count, c.unique_aspect_status_count AS unique_aspect_status_cluster_count,
+  c.excluded_opinion_unit_count AS excluded_general_experience_opinion_unit_count,
+  c.excluded_review_count AS excluded_general_experience_review_count,
+  c.mean_units_per_covered_review AS mean_opinion_units_per_covered_review, n.raw_pair_count, n.status_decrease_rate,
+  l.review_id AS latest_review_id, coalesce(l.names, '') AS latest_aspects, a.names AS aspects, p.n AS pair_count,
+  d.aspect AS debated_aspect, d.positive_negative_rate_gap AS debated_gap, e.mixed_count AS mixed_vote_count,
+  coalesce(s.names, '') AS similar_products,
+  CASE WHEN w.names IS NULL THEN 'NO_HIGH_SUPPORT_NEGATIVE_ASPECT_STATUS_EVIDENCE' ELSE 'COMPLETED' END AS repair_status,
+  coalesce(k.names, '') AS weaknesses, coalesce(x.n, 0) AS excluded_weakness_count, coalesce(w.names, '') AS alternatives,
+  w.score AS best_score, m.reason AS first_reason,
+  '[["price","inventory","shipping","promotion"],' || c.candidate_opinion_unit_count || ']' AS flag_values
+FROM q_coverage_by_product c LEFT JOIN q_normalization_reduction n USING (product_id)
+LEFT JOIN (SELECT product_id, review_id, string_agg(raw_aspect, ',' ORDER BY unit_position) AS names FROM q_latest_review GROUP BY 1, 2) l USING (product_id)
+LEFT JOIN (SELECT product_id, string_agg(aspect_id, ',' ORDER BY rank) AS names FROM q_aspect_sentiment_matrix GROUP BY 1) a USING (product_id)
+LEFT JOIN (SELECT product_id, count(*)::INTEGER AS n FROM q_aspect_status_matrix GROUP BY 1) p USING (product_id)
+LEFT JOIN q_most_debated_aspect d USING (product_id)
+LEFT JOIN (SELECT * FROM q_sentiment_entropy WHERE scope = 'review_aspect_vote') e USING (product_id)
+LEFT JOIN (SELECT source_id AS product_id, string_agg(candidate_id::VARCHAR, ',' ORDER BY rank) AS names FROM q_similar_products GROUP BY 1) s USING (product_id)
+LEFT JOIN (SELECT product_id, string_agg(status_id, ',' ORDER BY position) AS names FROM q_source_weaknesses GROUP BY 1) k USING (product_id)
+LEFT JOIN (SELECT product_id, count(*)::INTEGER AS n FROM q_excluded_weaknesses GROUP BY 1) x USING (product_id)
+LEFT JOIN (SELECT request_id AS product_id, string_agg(candidate_id::VARCHAR, ',' ORDER BY rank) AS names,
+    max(score) FILTER (WHERE rank = 1) AS score FROM q_weakness_repair_static GROUP BY 1) w USING (product_id)
+LEFT JOIN (SELECT request_id AS product_id, reason FROM q_condition_matches_static WHERE rank = 1 AND condition_id = 'weakness_1') m USING (product_id)"""
+)
+ORACLES["dynamic_report_facts"] = base(
+    """SELECT v.review_id AS submission_id, p.product_name, coalesce(u.names, '') AS raw_aspects, coalesce(u.exact, 0) AS exact_mapped_opinion_unit_count,
+  coalesce(u.pairs, 0) AS exact_mapped_aspect_status_count, coalesce(u.open, 0) AS unresolved_opinion_unit_count,
+  coalesce(u.reasons, '') AS unresolved_reasons, coalesce(g.codes, '') AS relation_codes, g.first_negative AS first_other_negative_count,
+  CASE WHEN a.names IS NOT NULL THEN 'COMPLETED' WHEN c.names IS NOT NULL THEN 'NO_CANDIDATE_WITH_REPAIR_EVIDENCE'
+    WHEN e.n > 0 THEN 'NEGATIVE_INPUT_UNRESOLVED' ELSE 'NO_NEGATIVE_SUBMITTED_ASPECT_STATUS' END AS recommendation_status,
+  coalesce(u.negative, 0) AS observed_negative_count, coalesce(c.names, '') AS conditions, coalesce(e.n, 0) AS excluded_condition_count,
+  coalesce(a.names, '') AS alternatives, a.score AS best_score
+FROM reviews v JOIN products p USING (product_id)
+LEFT JOIN (SELECT review_id, string_agg(raw_aspect, ',' ORDER BY unit_position) AS names,
+    count(*) FILTER (WHERE mapping_state = 'mapped_exact') AS exact, count(*) FILTER (WHERE mapping_state <> 'mapped_exact') AS open,
+    count(DISTINCT aspect_id || '|' || status_id) FILTER (WHERE mapping_state = 'mapped_exact') AS pairs,
+    count(*) FILTER (WHERE sentiment = 'negative')::INTEGER AS negative,
+    string_agg(CASE mapping_state WHEN 'candidate' THEN 'CANDIDATE_HAS_NO_CANONICAL_ASPECT_STATUS' WHEN 'excluded_taxonomy' THEN 'EXCLUDED_FROM_TAXONOMY' END,
+      ',' ORDER BY unit_position) AS reasons FROM catalog GROUP BY 1) u USING (review_id)
+LEFT JOIN (SELECT submission_id, string_agg(relation_code, ',' ORDER BY rank) AS codes,
+    max(other_negative_count) FILTER (WHERE rank = 1) AS first_negative FROM relations GROUP BY 1) g ON g.submission_id = v.review_id
+LEFT JOIN (SELECT submission_id, string_agg(status_id, ',' ORDER BY position) AS names FROM sconditions GROUP BY 1) c ON c.submission_id = v.review_id
+LEFT JOIN (SELECT submission_id, count(*)::INTEGER AS n FROM sexcluded GROUP BY 1) e ON e.submission_id = v.review_id
+LEFT JOIN (SELECT request_id, string_agg(candidate_id::VARCHAR, ',' ORDER BY rank) AS names, max(score) FILTER (WHERE rank = 1) AS score
+  FROM top_repairs GROUP BY 1) a ON a.request_id = v.review_id""",
+    True,
+    SUBMITTED + RELATIONS.removeprefix(GROUPS),
+)

@@ -35,7 +35,7 @@ from ..session import cut_lineage
 from ..sources import bundle as bundles
 from ..sources import driver_tables as src
 from ..sources import inbox
-from . import reports
+from . import report_layout, reports
 from .statistics import CatalogStatistics
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -962,10 +962,49 @@ def _static_reports(spark: SparkSession, sf: str) -> DataFrame:
     return reports.static_reports(statistics, units, reviews)
 
 
+RELEASE = report_layout.Release("release-1", "mapping-table-1", "0" * 64, "encoder-1", "0" * 64, "2026-08-04T09:00:00")
+
+
 @query
 def static_report(spark, sf):
-    return reports.document(
-        _static_reports(spark, sf), "product_id", reports.STATIC_TYPE, reports.STATIC_SCHEMA_VERSION
+    documents = report_layout.static_layout(_static_reports(spark, sf), RELEASE)
+    return report_layout.written(documents, "product_id", "report_id")
+
+
+def _joined(rows: str, field: str):
+    """One field of all rows of a list, as text."""
+    return F.array_join(F.transform(rows, lambda row: row[field].cast("string")), ",")
+
+
+@query
+def static_report_facts(spark, sf):
+    """What the fields of the static documents hold, one row for each document."""
+    documents = report_layout.static_layout(_static_reports(spark, sf), RELEASE)
+    related, repair = "related_products.", "related_products.weakness_repair_alternatives."
+    return documents.select(
+        "product_id",
+        "product.product_name",
+        "product.catalog_review_count",
+        "product.reviews_with_eligible_opinion_units",
+        "product.review_coverage_rate",
+        "coverage.*",
+        F.col("normalization_reduction.aspect_status.raw_count").alias("raw_pair_count"),
+        F.col("normalization_reduction.status.decrease_rate").alias("status_decrease_rate"),
+        F.col("latest_review.review_id").alias("latest_review_id"),
+        _joined("latest_review.opinion_units", "raw_aspect").alias("latest_aspects"),
+        _joined("aspect_summary", "aspect_cluster_id").alias("aspects"),
+        F.size("aspect_status_summary").alias("pair_count"),
+        F.col("most_debated_aspect.aspect").alias("debated_aspect"),
+        F.col("most_debated_aspect.positive_negative_rate_gap").alias("debated_gap"),
+        F.col("sentiment_distribution.review_aspect_vote.counts.mixed").alias("mixed_vote_count"),
+        _joined(related + "similar_products", "product_id").alias("similar_products"),
+        F.col(repair + "status").alias("repair_status"),
+        _joined(repair + "source_weakness_requirements", "status_cluster_id").alias("weaknesses"),
+        F.size(repair + "excluded_source_weaknesses").alias("excluded_weakness_count"),
+        _joined(repair + "alternatives", "product_id").alias("alternatives"),
+        F.get(repair + "alternatives", F.lit(0))["weakness_repair_score"].alias("best_score"),
+        F.get(F.get(repair + "alternatives", F.lit(0))["requirement_matches"], F.lit(0))["reason"].alias("first_reason"),
+        F.to_json(F.transform("quality_flags", lambda flag: flag["value"])).alias("flag_values"),
     )
 
 
@@ -990,11 +1029,31 @@ def _submission_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dynamic_report(spark, sf):
-    return reports.document(
-        _submission_reports(spark, sf),
+    documents = report_layout.submission_layout(_submission_reports(spark, sf), RELEASE)
+    return report_layout.written(documents, "submission_id", "proposal_id")
+
+
+@query
+def dynamic_report_facts(spark, sf):
+    """What the fields of the submission documents hold, one row for each document."""
+    documents = report_layout.submission_layout(_submission_reports(spark, sf), RELEASE)
+    advice = "alternative_recommendations."
+    return documents.select(
         "submission_id",
-        reports.DYNAMIC_TYPE,
-        reports.DYNAMIC_SCHEMA_VERSION,
+        "submission.product_name",
+        _joined("submitted_opinion_units", "raw_aspect").alias("raw_aspects"),
+        "catalog_comparison.exact_mapped_opinion_unit_count",
+        "catalog_comparison.exact_mapped_aspect_status_count",
+        "catalog_comparison.unresolved_opinion_unit_count",
+        _joined("catalog_comparison.unresolved_opinion_units", "reason").alias("unresolved_reasons"),
+        _joined("catalog_relationships", "relation_code").alias("relation_codes"),
+        F.get("catalog_relationships", F.lit(0))["other_status_sentiment"]["counts"]["negative"].alias("first_other_negative_count"),
+        F.col(advice + "status").alias("recommendation_status"),
+        F.col(advice + "observed_negative_opinion_unit_count").alias("observed_negative_count"),
+        _joined(advice + "negative_conditions", "status_cluster_id").alias("conditions"),
+        F.size(advice + "excluded_negative_conditions").alias("excluded_condition_count"),
+        _joined(advice + "alternatives", "product_id").alias("alternatives"),
+        F.get(advice + "alternatives", F.lit(0))["weakness_repair_score"].alias("best_score"),
     )
 
 
