@@ -37,3 +37,27 @@ def test_a_submission_report_is_put_together_without_a_shuffle(spark, monkeypatc
         assert reports.count() == 1500
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_copies_of_a_row_stop_growing_with_the_table(spark, monkeypatch):
+    from verdigris.operators import mapping, tiles
+
+    monkeypatch.setattr(tiles, "MOST_BLOCKS", 3)
+    rows = [(i, "all", f"t{i}", f"c{i % 5}", [float(i % 7) + 1.0, float(i % 11), 1.0], 1.2) for i in range(400)]
+    names = "expression_id long, boundary string, text string, cluster_id string, embedding array<double>, distance_threshold double"
+    members = spark.createDataFrame(rows, names)
+    groups = []
+    original = tiles.block_pairs
+
+    def counted(left, right, kernel, schema, **more):
+        found = original(left, right, lambda a, b: kernel(a, b).assign(pairs=len(a) * len(b)), schema + ", pairs long", **more)
+        groups.append(found.select("pairs").distinct().count())
+        return found.drop("pairs")
+
+    whole = mapping.cluster_distances(members, members, block_rows=1000).collect()
+    monkeypatch.setattr(mapping, "block_pairs", counted)
+    assert mapping.cluster_distances(members, members, block_rows=4).count() > 0
+    assert groups[0] <= 9
+    near = {(r.expression_id, r.cluster_id): round(r.max_member_distance, 9) for r in whole}
+    small = {(r.expression_id, r.cluster_id): round(r.max_member_distance, 9) for r in mapping.cluster_distances(members, members, block_rows=4).collect()}
+    assert all(small[key] == value for key, value in near.items())
