@@ -61,3 +61,16 @@ def test_copies_of_a_row_stop_growing_with_the_table(spark, monkeypatch):
     near = {(r.expression_id, r.cluster_id): round(r.max_member_distance, 9) for r in whole}
     small = {(r.expression_id, r.cluster_id): round(r.max_member_distance, 9) for r in mapping.cluster_distances(members, members, block_rows=4).collect()}
     assert all(small[key] == value for key, value in near.items())
+
+
+def test_the_search_for_components_gets_fewer_edges_than_were_found(spark, monkeypatch):
+    from verdigris.operators import taxonomy
+
+    edges = [("p", i, j, ((i * 7919 + j * 104729) % 1000) / 1000.0) for i in range(20) for j in range(i + 1, 20)]
+    seen = []
+    original = taxonomy.connected_components
+    monkeypatch.setattr(taxonomy, "MERGE_ROUNDS", 1)
+    monkeypatch.setattr(taxonomy, "connected_components", lambda df: (seen.append(df.count()), original(df))[1])
+    found = taxonomy.linked_nodes(spark.createDataFrame(edges, "part string, lo long, hi long, d double"), 0)
+    assert {row.cluster for row in found.collect()} == {0}
+    assert seen and seen[0] < len(edges)
