@@ -74,3 +74,40 @@ def test_the_search_for_components_gets_fewer_edges_than_were_found(spark, monke
     found = taxonomy.linked_nodes(spark.createDataFrame(edges, "part string, lo long, hi long, d double"), 0)
     assert {row.cluster for row in found.collect()} == {0}
     assert seen and seen[0] < len(edges)
+
+
+def test_joins_with_a_large_table_are_dealt(spark, monkeypatch):
+    columns = ("review_id", "unit_position", "product_id", "raw_aspect", "raw_status")
+    whole = src.catalog_units(spark, SMALL).select(*columns).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(src, "ROWS_OF_TASK", 1000)
+    try:
+        units = src.catalog_units(spark, SMALL).select(*columns)
+        assert sorted(map(repr, units.collect())) == sorted(map(repr, whole))
+        plan = units._jdf.queryExecution().executedPlan().toString()
+        for key in ("l_partkey", "o_custkey"):
+            shuffles = [line for line in plan.splitlines() if f"Exchange hashpartitioning({key}" in line]
+            assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles), key
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_statistics_read_the_units_once(spark, monkeypatch):
+    from verdigris.operators import votes
+    from verdigris.plans import statistics
+
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    written, original = [], statistics.cut_lineage
+    monkeypatch.setattr(statistics, "cut_lineage", lambda df: (written.append(joins(df)), original(df))[1])
+    units = src.mapped_units(spark, SMALL)
+    found = statistics.CatalogStatistics.compute(units, src.products(spark, SMALL), src.reviews(spark, SMALL))
+    assert written[0] == joins(units)
+    pairs = votes.review_votes(units, votes.PAIR_KEYS)
+    for counted, rows, keys in (
+        (found.pair_counts, pairs, votes.PAIR_KEYS),
+        (found.aspect_counts, votes.coarser_votes(pairs), votes.ASPECT_KEYS),
+    ):
+        expected = votes.count_votes(rows, ["product_id", *keys])
+        assert counted.columns == expected.columns
+        assert sorted(map(repr, counted.collect())) == sorted(map(repr, expected.collect()))
