@@ -111,3 +111,25 @@ def test_statistics_read_the_units_once(spark, monkeypatch):
         expected = votes.count_votes(rows, ["product_id", *keys])
         assert counted.columns == expected.columns
         assert sorted(map(repr, counted.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_requests_for_the_same_share_a_ranking(spark, monkeypatch):
+    from verdigris.operators import recommend
+    from verdigris.plans import queries
+
+    ranked, original = [], recommend.rank_candidates
+
+    def counted(requests, candidates, policy, limit):
+        ranked.append((requests.count(), candidates))
+        return original(requests, candidates, policy, limit)
+
+    monkeypatch.setattr(recommend, "rank_candidates", counted)
+    found = queries._scored_requests(spark, SMALL)[1]
+    shared, candidates = ranked[0]
+    requirements = queries._review_requirements(spark, SMALL)
+    requests = queries.decision.decision_requests(requirements, queries.near_status_pairs(spark, SMALL), queries.NEAR_SETTINGS)
+    assert shared < requests.count()
+    single = original(requests, candidates, recommend.DECISION, 2)
+    columns = ["request_id", "source_id", "candidate_id", "candidate_name", "utility", "score", "evidence_coverage", "supported_count", "rank"]
+    rows = lambda df: sorted(tuple(row) for row in df.select(*columns).collect())
+    assert rows(found) == rows(single)
