@@ -133,3 +133,13 @@ def test_requests_for_the_same_share_a_ranking(spark, monkeypatch):
     columns = ["request_id", "source_id", "candidate_id", "candidate_name", "utility", "score", "evidence_coverage", "supported_count", "rank"]
     rows = lambda df: sorted(tuple(row) for row in df.select(*columns).collect())
     assert rows(found) == rows(single)
+
+
+def test_static_reports_get_units_dealt_by_review(spark, monkeypatch):
+    from verdigris.operators import votes
+    from verdigris.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries.reports, "static_reports", lambda statistics, units, reviews: given.append(units))
+    queries._static_reports(spark, "/root/testdata/sf0.001")
+    assert exchanges(votes.review_votes(given[0], votes.PAIR_KEYS)) == 0
