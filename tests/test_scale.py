@@ -143,3 +143,37 @@ def test_static_reports_get_units_dealt_by_review(spark, monkeypatch):
     monkeypatch.setattr(queries.reports, "static_reports", lambda statistics, units, reviews: given.append(units))
     queries._static_reports(spark, "/root/testdata/sf0.001")
     assert exchanges(votes.review_votes(given[0], votes.PAIR_KEYS)) == 0
+
+
+def test_invariants_read_units_dealt_by_review(spark, monkeypatch):
+    from verdigris.operators import votes
+    from verdigris.plans import queries
+
+    monkeypatch.setattr(src, "ROWS_OF_TASK", 1000)
+    read, voted = [], []
+    evidence, unsupported = queries.summary.evidence, queries.quality.unsupported_evidence
+    monkeypatch.setattr(queries.summary, "evidence", lambda units, keys, limit: (read.append(units), evidence(units, keys, limit))[1])
+    monkeypatch.setattr(
+        queries.quality, "unsupported_evidence", lambda selected, found, keys: (voted.append((selected, found, keys)), unsupported(selected, found, keys))[1]
+    )
+    checks = queries.contract_invariants(spark, SMALL).collect()
+    assert len(checks) == 8 and all(row.passed for row in checks)
+    for units in read:
+        assert exchanges(votes.review_votes(units, votes.PAIR_KEYS)) == 0
+        assert largest_task(votes.review_votes(units, votes.PAIR_KEYS)) < 2000
+    for selected, found, keys in voted:
+        listed = selected.select("review_id").distinct()
+        assert found.select("review_id").distinct().count() == listed.count()
+        assert unsupported(selected, found, keys).count() == 0
+        other = F.when(F.col("review_vote_sentiment") == "mixed", "neutral").otherwise("mixed")
+        assert unsupported(selected.withColumn("review_vote_sentiment", other), found, keys).count() == selected.count()
+
+
+def test_summary_rows_read_units_dealt_by_review(spark, monkeypatch):
+    from verdigris.operators import votes
+    from verdigris.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries.summary, "summary_rows", lambda units, *more: given.append(units))
+    queries.aspect_summary_rows(spark, "/root/testdata/sf0.001")
+    assert exchanges(votes.review_votes(given[0])) == 0
