@@ -177,3 +177,19 @@ def test_summary_rows_read_units_dealt_by_review(spark, monkeypatch):
     monkeypatch.setattr(queries.summary, "summary_rows", lambda units, *more: given.append(units))
     queries.aspect_summary_rows(spark, "/root/testdata/sf0.001")
     assert exchanges(votes.review_votes(given[0])) == 0
+
+
+def test_a_table_that_a_task_may_hold_is_sent(spark, monkeypatch):
+    columns = ("review_id", "unit_position", "product_id", "raw_aspect", "raw_status")
+    whole = src.catalog_units(spark, SMALL).select(*columns).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(src, "ROWS_OF_TASK", 2500)
+    try:
+        units = src.catalog_units(spark, SMALL).select(*columns)
+        assert sorted(map(repr, units.collect())) == sorted(map(repr, whole))
+        plan = units._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(l_partkey" not in plan and "hashpartitioning(o_custkey" not in plan
+        assert largest_task(units) < 5000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
