@@ -44,6 +44,30 @@ def test_units_take_their_assignment_or_are_kept_out(spark):
     assert tables["representative_attributes"].first().source_artifact_sha256 == "1" * 64
 
 
+def test_repeated_and_missing_numbers_of_units(spark):
+    given = files(spark)
+    more = [(10, 2, "화면", "밝음", "x", "y", "mixed"), (None, 2, "화면", None, "x", "y", "mixed"), (12, None, "화면", None, "x", "y", "mixed")]
+    given["opinion_units"] = given["opinion_units"].unionByName(spark.createDataFrame(more, given["opinion_units"].schema))
+    units = bundle.import_bundle(given, ORIGIN)["opinion_units"].collect()
+    found = sorted((u.review_id, u.unit_position, str(u.source_opinion_unit_idx), u.mapping_state, u.status_id) for u in units)
+    assert found == [
+        ("legacy-review-1", 1, "10", "mapped_exact", "S1"),
+        ("legacy-review-1", 2, "11", "excluded_taxonomy", None),
+        ("legacy-review-2", 1, "None", "excluded_taxonomy", None),
+        ("legacy-review-2", 2, "10", "mapped_exact", "S1"),
+        ("legacy-review-2", 3, "12", "mapped_exact", "S2"),
+    ]
+
+
+def test_units_of_a_bundle_are_not_shuffled_by_their_number(spark):
+    from verdigris.plans import queries
+
+    units = queries.bundle_import(spark, "/root/testdata/sf0.001")
+    plan = units._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert 0 < len(shuffles) <= 3 and not any("raw_aspect" in line for line in shuffles)
+
+
 def test_files_of_a_bundle_are_read_and_projected(spark, tmp_path):
     given = files(spark)
     node = "raw_aspect string, cluster_id string, canonical_label string, naming_status string, mapping_applied boolean, mapping_distance double, source_row_count long, unique_review_count long, embedding array<double>, more int"

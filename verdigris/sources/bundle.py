@@ -143,8 +143,15 @@ def import_bundle(bundle: dict[str, DataFrame], origin: Origin) -> dict[str, Dat
     position = F.row_number().over(W.partitionBy("review_idx").orderBy("idx"))
     marked = bundle["assignments"].withColumn("assigned", F.lit(True))
     hashes = reviews.select(F.col("idx").alias("review_idx"), "response_sha256")
-    units = many_to_one(bundle["opinion_units"].withColumn("unit_position", position), marked, ["idx"]).join(
-        hashes, "review_idx"
+    # Assignments come to the review of their unit, so that units dealt by review stay where they are.
+    named = many_to_one(bundle["opinion_units"].select("idx", "review_idx"), marked, ["idx"])
+    known = named.filter(F.col("assigned") & F.col("review_idx").isNotNull())
+    entry = F.struct(*[name for name in known.columns if name != "review_idx"])
+    listed = known.groupBy("review_idx").agg(F.collect_list(entry).alias("__known"))
+    own = F.get(F.filter("__known", lambda a: a["idx"] == F.col("idx")), F.lit(0))
+    placed = bundle["opinion_units"].withColumn("unit_position", position).join(hashes, "review_idx")
+    units = placed.join(listed, "review_idx", "left").withColumn("__own", own).select(
+        *placed.columns, *[F.col(f"__own.{name}").alias(name) for name in marked.columns if name != "idx"]
     )
     lineage = {
         name: F.lit(getattr(origin, name))
