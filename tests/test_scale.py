@@ -183,6 +183,24 @@ def test_invariants_read_units_dealt_by_review(spark, monkeypatch):
         assert unsupported(selected.withColumn("review_vote_sentiment", other), found, keys).count() == selected.count()
 
 
+def test_integrity_checks_make_their_units_once(spark):
+    from verdigris.plans import queries
+
+    checks = queries.integrity_checks(spark, SMALL)
+    plan = checks._jdf.queryExecution().executedPlan().toString()
+    assert "l_linenumber" in plan and "l_partkey" not in plan  # the key of the lines; units are written
+    assert checks.filter("check in ('constant_lineage', 'source_rows_preserved')").count() == 2
+
+
+def test_rows_lost_or_won_are_counted_as_often_as_they_are(spark):
+    from verdigris.operators import quality
+
+    source = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "k long, v string")
+    result = spark.createDataFrame([("a", 1), (None, 2), ("d", 4), ("d", 4)], "v string, k long")
+    assert sorted(map(tuple, quality.lost_rows(source, result).collect())) == [(1, "a"), (3, "c"), (4, "d"), (4, "d")]
+    assert quality.lost_rows(source, source).isEmpty()
+
+
 def test_summary_rows_read_units_dealt_by_review(spark, monkeypatch):
     from verdigris.operators import votes
     from verdigris.plans import queries

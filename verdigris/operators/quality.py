@@ -65,8 +65,10 @@ def invalid_embeddings(vectors: DataFrame, dimension: int, column: str = "embedd
 def lost_rows(source: DataFrame, result: DataFrame) -> DataFrame:
     """Rows of either table missing in the other: empty if source columns were preserved."""
     columns = source.columns
-    kept = result.select(*columns)
-    return source.exceptAll(kept).unionByName(kept.exceptAll(source))
+    # One pass over both: a row that one table has n times more comes out n times.
+    both = source.withColumn("__n", F.lit(1)).unionByName(result.select(*columns).withColumn("__n", F.lit(-1)))
+    more = both.groupBy(*columns).agg(F.abs(F.sum("__n")).alias("__n")).filter(F.col("__n") > 0)
+    return more.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "__n")).alias("__n")).drop("__n")
 
 
 def distribution_violations(matrix: DataFrame) -> DataFrame:
